@@ -20,6 +20,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Up to so many hits, their ids go to every executor (16 bytes each); above it they are shuffled.
@@ -35,6 +36,7 @@ def keyed_state(docs: DataFrame, arrivals: str, bytes_per_trigger: int) -> DataF
     spark = docs.sparkSession.newSession()
     for k, v in STATE.items():
         spark.conf.set(k, v)
+    spark.conf.set("spark.sql.shuffle.partitions", docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch(spark, "dedup-state")
     schema = spark.read.parquet(arrivals).schema
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(arrivals)

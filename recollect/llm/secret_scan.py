@@ -20,6 +20,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Candidates of the character models: long tokens of the characters that keys are made of.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Ordinary identifiers: letters and inner underscores, no digits.
+IDENTIFIER = r"\b[A-Za-z][A-Za-z_]{5,}\b"
 #: Order of kinds at one start.
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
@@ -76,10 +78,11 @@ def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
     return ratios
 
 
-def labelled_samples(spans: DataFrame, tokens: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` values of each label: what the fixed patterns found, and tokens that no pattern touches and that hold no digit."""
-    secret = spans.filter("kind <> 'markov'").select(F.col("value"), F.lit(1).alias("label"))
-    plain = tokens.filter("value NOT RLIKE '[0-9]'").select("value", F.lit(0).alias("label"))
+def labelled_samples(spans: DataFrame, docs: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` values of each label: 1 for what the fixed patterns found, 0 for identifiers of ``sample / 20`` documents."""
+    secret = spans.select("value", F.lit(1).alias("label"))
+    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 20)
+    plain = some.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label"))
     return secret.orderBy(F.xxhash64("value"), "value").limit(sample).union(plain.orderBy(F.xxhash64("value"), "value").limit(sample))
 
 
@@ -88,7 +91,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
     Null texts count as empty, repeated rows are scanned each, and an empty
     table gives no rows.  The models are trained on at most ``sample`` values
-    of each label; where no value of a label exists no span is added.
+    of each label; where there is no value of a label no span is added.
     Candidates of the models are tokens of 20 characters or more with a digit
     and a letter that no base span touches.
     """
@@ -96,9 +99,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     found = docs.select("doc_id", base_spans("text").alias("base"), matches("text", TOKEN, "markov").alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     found = spool(found.select("doc_id", "base", free.alias("tokens")), "spans")
-    values = labelled_samples(found.select(F.explode("base").alias("s")).select("s.kind", "s.value"), found.select(F.explode("tokens").alias("s")).select("s.value"), sample)
+    values = spool(labelled_samples(found.select(F.explode("base").alias("s")).select("s.value"), docs, sample), "samples")
     ratios = train(values)
     trained = values.select("label").distinct().count() == 2
+    unspool(values)
     table = "array(" + ",".join(f"{x:.4f}D" for x in ratios) + ")"
     mean = f"aggregate(sequence(1, length(t.value) - 1), 0D, (a, i) -> a + element_at({table}, instr('{ALPHABET}', substring(t.value, i, 1)) * {CLASSES} + instr('{ALPHABET}', substring(t.value, i + 1, 1)) + 1)) / (length(t.value) - 1)"
     if not trained:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, secret_scan
+from . import decontaminate, exact_dedup, quality, secret_scan, tokens, toxicity
 
 QUERIES = {
+    "op2_token_output": tokens.op2_token_output,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_packing": tokens.op8_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_decontaminate": decontaminate.SQL}

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, quality, secret_scan, tokens, toxicity
+from . import decontaminate, exact_dedup, html_text, jaccard, quality, secret_scan, substring_dedup, tokens, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_token_output": tokens.op2_token_output,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_html_text": html_text.op5_html_text,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": tokens.op8_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+}
+SQL = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op4_decontaminate": decontaminate.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
-SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_decontaminate": decontaminate.SQL}

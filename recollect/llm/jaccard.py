@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, lists, spool, text_or_empty, unspool, whole_groups
+from .common import bounds, fits, lists, spool, text_or_empty, unspool, whole_groups
 from .components import components
 from .ngrams import gram_hashes, mixed, word_hashes
 
@@ -28,6 +28,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COORDINATES = 64
 #: Buckets of more sets are split further, down to DEPTH levels; those still larger are compared in blocks of this size.
 SMALL, DEPTH = 1024, 4
+#: Up to so many ids of sets to verify go to every executor; more are shuffled with the texts.
+BROADCAST_IDS = 1_000_000
 #: Sets that share so much less of their coordinates than the threshold are not verified: four standard errors of the estimate.
 SLACK = 4.0
 SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -218,7 +220,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     # verify on the full sets
     wanted = close.select(F.col("set_id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").join(rows.select("doc_id", "d1", "d2"), "doc_id")
+    wanted = F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted
+    texts = docs.join(wanted, "doc_id", "left_semi")
     texts = texts.select("doc_id", word_hashes(F.col("text"), GAP, True).alias("words")).dropDuplicates(["doc_id"])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

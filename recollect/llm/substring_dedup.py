@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, list_array, lists, ragged, spool, text_or_empty, unspool, whole_groups
+from .common import bounds, lists, ragged, spool, text_or_empty, unspool, whole_groups
 from .ngrams import mixed, sliding_min, word_hashes
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -89,7 +90,7 @@ class Automaton:
     def __init__(self) -> None:
         self.length, self.link, self.next, self.first = [0], [-1], [{}], [None]
 
-    def add(self, sequence: list[int], doc) -> None:
+    def add(self, sequence: list[bytes], doc) -> None:
         length, link, nexts, first = self.length, self.link, self.next, self.first
         last = 0
         for word in sequence:
@@ -145,7 +146,7 @@ class Automaton:
             if first[to] is None or first[state] < first[to]:
                 first[to] = first[state]
 
-    def first_of_windows(self, sequence: list[int], window: int) -> list:
+    def first_of_windows(self, sequence: list[bytes], window: int) -> list:
         """Matching statistics, cut at ``window`` words: the first document of each window."""
         length, link, nexts, first = self.length, self.link, self.next, self.first
         state, out = 0, []
@@ -164,7 +165,7 @@ def first_documents(parts: DataFrame, kind: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in whole_groups(batches, "anchor", rows=SHARD_ROWS, size=1 << 30):
             automaton = Automaton()
-            words, docs = shard.column("words").to_pylist(), shard.column("first_doc").to_pylist()
+            words, docs = [w.split(b" ") for w in shard.column("words").to_pylist()], shard.column("first_doc").to_pylist()
             for sequence, doc in zip(words, docs):
                 automaton.add(sequence, doc)
             automaton.finish()
@@ -177,28 +178,33 @@ def first_documents(parts: DataFrame, kind: str, window: int) -> DataFrame:
 def with_words(docs: DataFrame, places: DataFrame, kind: str, window: int, single: bool) -> DataFrame:
     """Words of segments at (doc_id, start, n, anchor, seg); with ``single``, each window is a row, its hash the anchor."""
     by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "seg")).alias("places"))
-    rows = docs.join(by_doc, "doc_id").select("doc_id", word_hashes(F.col("text"), GAP, False).alias("words"), "places")
+    rows = docs.join(by_doc, "doc_id").select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, offsets = lists(batch.column("words"))
-            places = batch.column("places")
-            per = np.diff(places.offsets.to_numpy())
-            field = lambda name: places.flatten().field(name).to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), per)
-            start, n, anchor, seg = offsets[doc] + field("start").astype(np.int64), field("n").astype(np.int64), field("anchor"), field("seg")
-            pos = np.full(len(doc), -1)
-            if single:
-                doc, seg, pos, start = np.repeat(doc, n), np.repeat(seg, n), ragged(np.zeros(len(n), np.int64), n), ragged(start, n)
-                n = np.ones(len(start), np.int64)
-                anchor = Prefixes(words).hashes(start, window).view(np.int64)
-            size = n + window - 1
-            for a in range(0, len(start), 100_000):
-                b = slice(a, a + 100_000)
-                cut = list_array(words[ragged(start[b], size[b])], np.r_[0, np.cumsum(size[b])], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[b]), pa.array(seg[b]), pa.array(pos[b].astype(np.int32)), batch.column("doc_id").take(pa.array(doc[b])), cut], ["anchor", "seg", "pos", "first_doc", "words"])
-
-    return rows.mapInArrow(run, f"anchor bigint, seg bigint, pos int, first_doc {kind}, words array<bigint>")
+            made: dict[str, list] = {"anchor": [], "seg": [], "pos": [], "first_doc": [], "words": []}
+            for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
+                words = text.encode().split()  # bytes split at ASCII white space alone
+                for p in places:
+                    start, n = p["start"], p["n"]
+                    cuts = [(p["anchor"], -1, b" ".join(words[start : start + n + window - 1]))]
+                    if single:
+                        cuts = [(None, i, b" ".join(words[start + i : start + i + window])) for i in range(n)]
+                        cuts = [(xxhash.xxh64_intdigest(w) - (1 << 63), i, w) for _, i, w in cuts]
+                    for anchor, pos, cut in cuts:
+                        for name, value in zip(made, (anchor, p["seg"], pos, doc, cut)):
+                            made[name].append(value)
+                if len(made["seg"]) > 50_000:
+                    yield pa.RecordBatch.from_pydict(made, schema=types(batch))
+                    for values in made.values():
+                        values.clear()
+            if made["seg"]:
+                yield pa.RecordBatch.from_pydict(made, schema=types(batch))
+
+    def types(batch: pa.RecordBatch) -> pa.Schema:
+        return pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("pos", pa.int32()), ("first_doc", batch.schema.field("doc_id").type), ("words", pa.binary())])
+
+    return rows.mapInArrow(run, f"anchor bigint, seg bigint, pos int, first_doc {kind}, words binary")
 
 
 def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:

@@ -2,5 +2,754 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import activity as act
+from ..operators import observations as ob
+from ..operators import relations as rl
+from ..operators import search as se
+from ..operators import vectors as ve
+from ..sources import sync
+from ..sources import tables as t
+from ..sources.tables import sql
+from ..streaming import streams
+
 QUERIES: dict = {}
 SQL: dict = {}
+FIELDS = "type, title, content, id"
+
+
+def query(twin: str | None, *needs: str):
+    """Register the function under its name; ``twin`` is its SQL over the mapped tables it names."""
+    def register(f):
+        QUERIES[f.__name__] = f
+        if twin:
+            SQL[f.__name__] = sql(twin, *needs) if needs else twin
+        return f
+    return register
+
+
+# --- lookups, filters, lists ---------------------------------------------------------------------
+
+
+@query("SELECT id, title, deleted_at FROM obs WHERE id = 17", "obs")
+def obs_get_by_id(s, d):
+    return t.observations(s, d).filter("id = 17").select("id", "title", "deleted_at")
+
+
+@query("SELECT id, sync_id FROM obs WHERE sync_id = md5('42')", "obs")
+def obs_get_by_sync_id(s, d):
+    return t.observations(s, d).filter("sync_id = md5('42')").select("id", "sync_id")
+
+
+@query("SELECT project, topic_key, id FROM (SELECT *, row_number() OVER (PARTITION BY project, topic_key ORDER BY created_at DESC, id DESC) AS rn FROM obs WHERE deleted_at IS NULL AND topic_key <> '') WHERE rn = 1", "obs")
+def obs_by_topic_key_latest(s, d):
+    return ob.by_topic_key(t.observations(s, d)).select("project", "topic_key", "id")
+
+
+@query("SELECT project, normalized_hash, min(id) AS id FROM obs WHERE deleted_at IS NULL GROUP BY ALL", "obs")
+def obs_by_hash(s, d):
+    return ob.by_hash(t.observations(s, d)).select("project", "normalized_hash", "id")
+
+
+@query("SELECT id, project, started_at FROM sess WHERE id = '7'", "sess")
+def session_get(s, d):
+    return t.sessions(s, d).filter("id = '7'").select("id", "project", "started_at")
+
+
+@query("SELECT id, coalesce(reason, '') AS reason, coalesce(confidence, 0) AS confidence FROM rel WHERE id = 8", "rel")
+def relation_get(s, d):
+    return t.relations(s, d).filter("id = 8").select("id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+@query("SELECT id, project, scope FROM obs WHERE deleted_at IS NULL AND (project = 'fr' OR scope = 'global')", "obs")
+def visible_filter(s, d):
+    return ob.visible(t.observations(s, d), "fr").select("id", "project", "scope")
+
+
+@query("SELECT id FROM obs WHERE deleted_at IS NULL", "obs")
+def soft_delete_filter(s, d):
+    return ob.live(t.observations(s, d)).select("id")
+
+
+@query("SELECT id, session_id FROM tools WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-06'", "tools")
+def time_range_filter(s, d):
+    return act.in_range(t.tool_usage(s, d), "2024-01-05", "2024-01-06").select("id", "session_id")
+
+
+@query("SELECT id FROM obs WHERE deleted_at IS NULL AND last_seen_at < TIMESTAMP '2024-01-01 08:00:00'", "obs")
+def gc_stale(s, d):
+    return ob.stale(t.observations(s, d), "2024-03-31 08:00:00", 90).select("id")
+
+
+@query("SELECT id, created_at FROM obs WHERE deleted_at IS NULL AND (project = 'de' OR scope = 'global') ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 20", "obs")
+def list_observations_page(s, d):
+    return ob.page(ob.visible(t.observations(s, d), "de"), 50, 20, F.desc("created_at"), F.desc("id")).select("id", "created_at")
+
+
+@query("SELECT id, project FROM obs WHERE deleted_at IS NULL", "obs")
+def list_all(s, d):
+    return ob.live(t.observations(s, d)).select("id", "project").orderBy("project", "id")
+
+
+@query("SELECT id FROM obs WHERE deleted_at IS NULL AND session_id = '3'", "obs")
+def list_session_observations(s, d):
+    return ob.live(t.observations(s, d)).filter("session_id = '3'").select("id", "created_at").orderBy("created_at", "id").select("id")
+
+
+@query("SELECT id, updated_at FROM obs WHERE deleted_at IS NULL ORDER BY updated_at DESC, id DESC LIMIT 200", "obs")
+def list_recent(s, d):
+    return ob.page(ob.live(t.observations(s, d)), 200, 0, F.desc("updated_at"), F.desc("id")).select("id", "updated_at")
+
+
+@query("SELECT id, started_at FROM sess ORDER BY started_at DESC, id LIMIT 20", "sess")
+def list_sessions(s, d):
+    return ob.page(t.sessions(s, d), 20, 0, F.desc("started_at"), F.asc("id")).select("id", "started_at")
+
+
+@query("SELECT project, id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY started_at DESC, id) AS rn FROM sess WHERE ended_at IS NULL) WHERE rn = 1", "sess")
+def active_session(s, d):
+    return ob.latest(t.sessions(s, d).filter("ended_at IS NULL"), ["project"], F.desc("started_at"), F.asc("id")).select("project", "id")
+
+
+@query("SELECT id, session_id FROM prom WHERE deleted_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 10", "prom")
+def list_prompts(s, d):
+    return ob.page(ob.live(t.prompts(s, d)), 10, 0, F.desc("created_at"), F.desc("id")).select("id", "session_id")
+
+
+@query("SELECT id, entity_type FROM que ORDER BY id LIMIT 200", "que")
+def queue_fifo_batch(s, d):
+    return t.queue(s, d).orderBy("id").limit(200).select("id", "entity_type")
+
+
+@query("SELECT project, id, rn FROM (SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id DESC) AS rn FROM obs) WHERE rn <= 14", "obs")
+def retain_newest_n(s, d):
+    return ob.newest_n(t.observations(s, d), ["project"], 14).select("project", "id", F.col("rn").cast("long").alias("rn"))
+
+
+@query("SELECT id, title, updated_at < TIMESTAMP '2024-01-10' AS stale FROM obs WHERE deleted_at IS NULL AND (project = 'es' OR scope = 'global') ORDER BY created_at DESC, id DESC LIMIT 10", "obs")
+def mem_context(s, d):
+    p = ob.page(ob.visible(t.observations(s, d), "es"), 10, 0, F.desc("created_at"), F.desc("id"))
+    return p.select("id", "title", (F.col("updated_at") < F.expr("TIMESTAMP_NTZ '2024-01-10'")).alias("stale"))
+
+
+@query("SELECT id, project IN ('fr', 'es') AS local_only FROM obs", "obs")
+def local_only_split(s, d):
+    return t.observations(s, d).select("id", tx.project_name(F.col("project")).isin("fr", "es").alias("local_only"))
+
+
+# --- writes ---------------------------------------------------------------------------------------
+
+
+@query("SELECT project, topic_key, min(id) AS id, max_by(title, id) AS title, count(*) AS revision_count FROM obs WHERE topic_key <> '' GROUP BY ALL", "obs")
+def upsert_by_topic_key(s, d):
+    return ob.upsert_by_topic(t.observations(s, d))
+
+
+@query("SELECT project, normalized_hash, min(id) AS id, count(*) AS duplicate_count, max(created_at) AS last_seen_at FROM obs WHERE topic_key = '' GROUP BY project, normalized_hash", "obs")
+def dedup_by_hash(s, d):
+    return ob.dedup_by_hash(t.observations(s, d).filter("topic_key = ''"))
+
+
+@query(None)
+def save_fold_counts(s, d):
+    log = t.observations(s, d).select("id", "project", "topic_key", "normalized_hash", "title", F.lit("save").alias("op"))
+    return ob.fold_saves(log).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("revision_count").alias("revisions"), F.sum("duplicate_count").alias("duplicates"))
+
+
+@query("SELECT sync_id, id FROM obs WHERE id % 3 = 0 UNION ALL SELECT sync_id, id FROM obs WHERE id % 3 <> 0 AND id % 2 = 0", "obs")
+def insert_or_ignore_sync_id(s, d):
+    o = t.observations(s, d)
+    return ob.insert_or_ignore(o.filter("id % 3 = 0"), o.filter("id % 2 = 0")).select("sync_id", "id")
+
+
+@query("SELECT id, CASE WHEN hit THEN 'new ' || id ELSE title END AS title, revision_count + hit::INT AS revision_count FROM (SELECT *, id % 4 = 0 AND deleted_at IS NULL AS hit FROM obs)", "obs")
+def partial_update_coalesce(s, d):
+    o = t.observations(s, d)
+    patch = o.filter("id % 4 = 0").select("id", F.concat(F.lit("new "), "id").alias("new_title"), F.lit(None).cast("string").alias("new_content"), F.lit(None).cast("string").alias("new_type"))
+    return ob.partial_update(o, patch).select("id", "title", "revision_count")
+
+
+@query("SELECT id, CASE WHEN deleted_at IS NULL AND project = 'fr' THEN 'en' ELSE project END AS project FROM obs", "obs")
+def merge_projects(s, d):
+    return ob.rename_project(t.observations(s, d), "fr", "en").select("id", "project")
+
+
+@query("SELECT id, CASE WHEN id % 10 = 1 THEN TIMESTAMP '2024-02-01' ELSE last_seen_at END AS last_seen_at FROM obs", "obs")
+def touch_last_seen(s, d):
+    o = t.observations(s, d)
+    return ob.touch(o, o.filter("id % 10 = 1"), F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")).select("id", "last_seen_at")
+
+
+@query("WITH a AS (SELECT * FROM obs WHERE id % 3 = 0), b AS (SELECT * FROM obs WHERE id % 2 = 0) SELECT id, 0 AS src FROM a UNION ALL SELECT id, 1 FROM b WHERE id NOT IN (SELECT id FROM a)", "obs")
+def primary_buffer_coalesce(s, d):
+    o = t.observations(s, d)
+    return ob.prefer_primary(o.filter("id % 3 = 0"), o.filter("id % 2 = 0")).select("id", "src")
+
+
+@query("SELECT id, last_activity_at AS ended_at, CASE WHEN search_count % 2 = 0 THEN 's' || search_count ELSE 'old' END AS summary FROM sess", "sess")
+def session_end_fold(s, d):
+    se_ = t.sessions(s, d).withColumn("new", F.when(F.col("search_count") % 2 == 0, F.concat(F.lit("s"), "search_count")).otherwise(""))
+    return se_.select("id", F.col("last_activity_at").alias("ended_at"), F.coalesce(F.nullif("new", F.lit("")), F.lit("old")).alias("summary"))
+
+
+@query("SELECT id, session_id IN (SELECT id FROM sess) OR session_id = '' AS kept FROM obs", "obs", "sess")
+def import_orphan_filter(s, d):
+    o, se_ = t.observations(s, d), t.sessions(s, d)
+    ok = sync.import_new(o.limit(0), o, se_).select("id", F.lit(True).alias("k"))
+    return o.select("id").join(ok, "id", "left").select("id", F.coalesce("k", F.lit(False)).alias("kept"))
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'title' WHEN id % 7 = 0 THEN 'content' ELSE '' END AS error FROM obs", "obs")
+def import_validate_split(s, d):
+    o = t.observations(s, d).withColumn("title", F.when(F.col("id") % 5 == 0, " ").otherwise("x")).withColumn("content", F.when(F.col("id") % 7 == 0, None).otherwise("x"))
+    return sync.split_valid(o).select("id", "error")
+
+
+@query("SELECT id, '[\"' || id || '\",\"x\"]' AS ids, 2 AS n FROM obs", "obs")
+def json_array_roundtrip(s, d):
+    made = t.observations(s, d).select("id", F.to_json(F.array(F.col("id").cast("string"), F.lit("x"))).alias("ids"))
+    return made.select("id", "ids", F.size(F.from_json("ids", "array<string>")).alias("n"))
+
+
+@query(None)
+def aes_roundtrip(s, d):
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    o = t.observations(s, d)
+    return o.select("id", (F.aes_decrypt(F.unbase64(F.base64(F.aes_encrypt("content", key, F.lit("GCM")))), key, F.lit("GCM")).cast("string") == F.col("content")).alias("same"))
+
+
+# --- counts and sessions ---------------------------------------------------------------------------
+
+
+@query("SELECT (SELECT count(*) FROM obs WHERE deleted_at IS NULL) AS observations, (SELECT count(*) FROM sess) AS sessions, (SELECT count(*) FROM prom WHERE deleted_at IS NULL) AS prompts", "obs", "sess", "prom")
+def vault_stats(s, d):
+    one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    return one(ob.live(t.observations(s, d)), "observations").crossJoin(one(t.sessions(s, d), "sessions")).crossJoin(one(ob.live(t.prompts(s, d)), "prompts"))
+
+
+@query("SELECT DISTINCT project FROM obs WHERE deleted_at IS NULL AND project <> ''", "obs")
+def distinct_projects(s, d):
+    return ob.live(t.observations(s, d)).filter("project <> ''").select("project").distinct()
+
+
+@query("SELECT project, count(*) AS n FROM obs WHERE deleted_at IS NULL GROUP BY project", "obs")
+def count_observations(s, d):
+    return ob.live(t.observations(s, d)).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT tool_name, count(*) AS n FROM tools WHERE project = 'p1' GROUP BY tool_name ORDER BY n DESC, tool_name LIMIT 5", "tools")
+def tool_usage_topk(s, d):
+    return t.tool_usage(s, d).filter("project = 'p1'").groupBy("tool_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tool_name").limit(5)
+
+
+@query("SELECT session_id, count(*) AS n FROM prom WHERE deleted_at IS NULL GROUP BY session_id", "prom")
+def session_prompt_count(s, d):
+    return ob.live(t.prompts(s, d)).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT session_id, count(*) AS n FROM obs WHERE deleted_at IS NULL AND type NOT IN ('passive', 'session') GROUP BY session_id", "obs")
+def session_obs_count(s, d):
+    return ob.live(t.observations(s, d)).filter("type NOT IN ('passive', 'session')").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+SINCE = "WITH l AS (SELECT session_id, max(created_at) AS m FROM obs WHERE deleted_at IS NULL AND type NOT IN ('passive', 'session') GROUP BY session_id) SELECT session_id, CAST(sum(CASE WHEN m IS NULL OR created_at > m THEN 1 ELSE 0 END) AS BIGINT) AS n FROM prom LEFT JOIN l USING (session_id) WHERE deleted_at IS NULL GROUP BY session_id"
+
+
+@query(SINCE, "obs", "prom")
+def prompts_since_last_save(s, d):
+    return act.since_last_save(t.prompts(s, d), t.observations(s, d))
+
+
+@query(SINCE + " HAVING n > 0 AND n % 3 = 0", "obs", "prom")
+def nudge_sessions(s, d):
+    return act.since_last_save(t.prompts(s, d), t.observations(s, d)).filter("n > 0 AND n % 3 = 0")
+
+
+@query("SELECT session_id, max(created_at) AS last_activity FROM (SELECT session_id, created_at FROM tools UNION ALL SELECT session_id, created_at FROM prom WHERE deleted_at IS NULL) GROUP BY session_id", "tools", "prom")
+def session_last_activity(s, d):
+    return act.activity_events(t.tool_usage(s, d), t.prompts(s, d)).groupBy("session_id").agg(F.max("created_at").alias("last_activity"))
+
+
+@query("SELECT session_id, count(*) AS n FROM tools WHERE tool_name = 'view' GROUP BY session_id", "tools")
+def session_search_count(s, d):
+    return t.tool_usage(s, d).filter("tool_name = 'view'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, CASE WHEN ended_at IS NOT NULL THEN 'cerrada' WHEN last_activity_at < TIMESTAMP '2024-01-30 11:30:00' THEN 'inactiva' ELSE 'activa' END AS status FROM sess", "sess")
+def session_status(s, d):
+    return t.sessions(s, d).select("id", act.status(F.col("last_activity_at"), F.col("ended_at"), "2024-01-30 12:00:00").alias("status"))
+
+
+@query("SELECT id, CASE WHEN m < 1 THEN 'ahora' WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' ELSE (m // 1440) || 'd' END AS age FROM (SELECT id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_activity_at)) // 60000000 AS m FROM sess)", "sess")
+def format_age(s, d):
+    return t.sessions(s, d).select("id", act.age_label(F.col("last_activity_at"), "2024-01-31 00:00:00").alias("age"))
+
+
+@query("SELECT t.id, t.session_id FROM tools t JOIN sess s ON s.id = t.session_id WHERE t.tool_name IN ('click', 'purchase') AND s.search_count % 5 = 0", "tools", "sess")
+def gate_violations(s, d):
+    few = t.sessions(s, d).withColumn("search_count", F.col("search_count") % 5)
+    return act.gate_violations(t.tool_usage(s, d), few, ["click", "purchase"]).select("id", "session_id")
+
+
+@query("SELECT count(*) AS n FROM que", "que")
+def queue_depth(s, d):
+    return t.queue(s, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT session_id, created_at, kind, id FROM (SELECT session_id, created_at, 'tool' AS kind, id FROM tools UNION ALL SELECT session_id, created_at, 'prompt', id FROM prom WHERE deleted_at IS NULL)", "tools", "prom")
+def activity_events(s, d):
+    return act.activity_events(t.tool_usage(s, d), t.prompts(s, d))
+
+
+@query("SELECT id FROM sess WHERE id IN (SELECT session_id FROM tools WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-07')", "sess", "tools")
+def sessions_in_range(s, d):
+    return act.sessions_in_range(t.sessions(s, d), t.tool_usage(s, d), "2024-01-05", "2024-01-07").select("id")
+
+
+def gap_sql(keys: str, then: str, source: str = "tools") -> str:
+    part, cols = (f"PARTITION BY {keys} ", f"{keys}, ") if keys else ("", "")
+    return f"WITH e AS (SELECT {cols}epoch_us(created_at) AS us, lag(epoch_us(created_at)) OVER ({part}ORDER BY created_at, id) AS pu FROM {source}), g AS (SELECT * FROM e WHERE us > pu AND us - pu <= 1800000000), s AS (SELECT {cols}d, least(us, (d + 1) * 86400000000) - greatest(pu, d * 86400000000) AS part FROM g, unnest(range(pu // 86400000000, us // 86400000000 + 1)) AS t(d)) {then}"
+
+
+DAY = "strftime(DATE '1970-01-01' + CAST(d AS INT), '%Y-%m-%d')"
+
+
+@query(gap_sql("", f"SELECT {DAY} AS day, CAST(sum(part) // 60000000 AS BIGINT) AS minutes FROM s GROUP BY d"), "tools")
+def timesheet_daily(s, d):
+    return act.daily_minutes(t.tool_usage(s, d), [])
+
+
+@query(gap_sql("session_id", f"SELECT session_id, {DAY} AS day, CAST(sum(part) // 60000000 AS BIGINT) AS minutes FROM s GROUP BY session_id, d"), "tools")
+def timesheet_session_day(s, d):
+    return act.daily_minutes(t.tool_usage(s, d), ["session_id"])
+
+
+@query(gap_sql("session_id", "SELECT session_id, CAST(sum(us - pu) // 60000000 AS BIGINT) AS minutes FROM g GROUP BY session_id"), "tools")
+def active_minutes_total(s, d):
+    return act.total_minutes(t.tool_usage(s, d), ["session_id"])
+
+
+RANGED = "(SELECT * FROM tools WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-09')"
+
+
+@query(gap_sql("session_id", f"SELECT f.session_id, 'p' || (CAST(f.session_id AS BIGINT) % 10) AS project, coalesce({DAY}, first_day) AS day, coalesce(m, 0) AS minutes FROM (SELECT session_id, strftime(min(created_at), '%Y-%m-%d') AS first_day FROM {RANGED} GROUP BY session_id) f LEFT JOIN (SELECT session_id, d, CAST(sum(part) // 60000000 AS BIGINT) AS m FROM s GROUP BY session_id, d) x USING (session_id)", RANGED), "tools")
+def timesheet_report(s, d):
+    return act.timesheet(t.sessions(s, d), t.tool_usage(s, d), "2024-01-05", "2024-01-09")
+
+
+@query(None)
+def timesheet_overlap(s, d):
+    tools = t.tool_usage(s, d)
+    own = act.daily_minutes(tools, ["session_id"]).groupBy("day").agg(F.sum("minutes").alias("own"))
+    return own.join(act.daily_minutes(tools, []), "day").select("day", "own", "minutes", (F.col("own") > F.col("minutes")).alias("overlap"))
+
+
+@query("WITH r AS (SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rn FROM obs WHERE deleted_at IS NULL), p AS (SELECT * FROM r WHERE id = 505) SELECT r.id, r.session_id, r.rn - p.rn AS step FROM r JOIN p USING (session_id) WHERE abs(r.rn - p.rn) <= 3", "obs")
+def timeline_window(s, d):
+    return act.timeline(t.observations(s, d), 505, 3)
+
+
+@query("SELECT id, count(*) OVER (PARTITION BY session_id ORDER BY created_at RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS in_window FROM tools", "tools")
+def rate_limit_window(s, d):
+    return act.trailing_count(t.tool_usage(s, d), ["session_id"], 3600).select("id", "in_window")
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+KEYED = "replace(content, 'token = ', 'api_token = ')"
+_RULES = {k: p.replace("'", "''") for k, p in tx.SECRET_RULES.items()}
+
+
+def redact_sql(x: str) -> str:
+    for rule, pattern in _RULES.items():
+        x = f"regexp_replace({x}, '{pattern}', '[REDACTED:{rule}]', 'g')"
+    return x
+
+
+@query(f"SELECT id, md5({redact_sql(KEYED)}) AS redacted FROM obs", "obs")
+def redact_secrets(s, d):
+    return t.observations(s, d).select("id", F.md5(tx.redact(F.expr(KEYED))).alias("redacted"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS n FROM obs WHERE regexp_matches({KEYED}, '{p}')" for r, p in _RULES.items()), "obs")
+def secret_rule_hits(s, d):
+    o = t.observations(s, d).select(F.expr(KEYED).alias("c"))
+    flags = o.agg(*(F.count(F.when(F.col("c").rlike(p), 1)).alias(r) for r, p in tx.SECRET_RULES.items()))
+    return flags.select(F.explode(F.map_from_arrays(F.array(*(F.lit(r) for r in tx.SECRET_RULES)), F.array(*(F.col(f"`{r}`") for r in tx.SECRET_RULES)))).alias("rule", "n"))
+
+
+@query("SELECT id, CASE WHEN octet_length(encode(content)) > 200 THEN substr(content, 1, 197) || '...' ELSE content END AS preview FROM obs", "obs")
+def search_preview(s, d):
+    return t.observations(s, d).select("id", tx.preview(F.col("content")).alias("preview"))
+
+
+SLUG = "regexp_replace(regexp_replace(translate(lower({0}), 'áéíóúäëïöüñç', 'aeiouaeiounc'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT id, CASE WHEN length(s) > 60 THEN regexp_replace(substr(s, 1, 60), '-+$', '') ELSE s END AS slug FROM (SELECT id, {SLUG.format('title')} AS s FROM obs)", "obs")
+def slugify(s, d):
+    return t.observations(s, d).select("id", tx.slug(F.col("title")).alias("slug"))
+
+
+@query(r"WITH w AS (SELECT id, type, list_filter(list_transform(regexp_split_to_array(lower(title), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '' AND x NOT IN ('the','a','an','el','la','los','las','de','en','con','por','para','que','y','o'))[1:3] AS k FROM obs) SELECT id, type || '/' || CASE WHEN len(k) = 0 THEN 'general' ELSE array_to_string(k, '-') END AS topic FROM w", "obs")
+def topic_key_suggest(s, d):
+    return t.observations(s, d).select("id", tx.topic_key(F.col("title"), F.col("type")).alias("topic"))
+
+
+@query(r"SELECT id, substr(regexp_replace(split_part(content, chr(10), 1), '^[0-9.\-) \t]+', ''), 1, 80) AS title FROM obs", "obs")
+def passive_title(s, d):
+    return t.observations(s, d).select("id", tx.passive_title(F.col("content")).alias("title"))
+
+
+@query("SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(substr(content, 1, 20))), '[^a-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS project FROM obs", "obs")
+def normalize_project(s, d):
+    return t.observations(s, d).select("id", tx.project_name(F.expr("trim(substring(content, 1, 20))")).alias("project"))
+
+
+@query("SELECT page_id, list_last(string_split(regexp_replace(url, '\\.git$', ''), '/')) AS repo FROM pages")
+def repo_name_from_url(s, d):
+    return t.table(s, d, "pages").select("page_id", tx.repo_name(F.col("url")).alias("repo"))
+
+
+@query("SELECT id, normalized_hash FROM obs", "obs")
+def normalized_hash(s, d):
+    return t.observations(s, d).select("id", "normalized_hash")
+
+
+@query("SELECT id, translate(substr(content, 1, 30), '/\\: ', '---_') || '.json' AS file FROM obs", "obs")
+def checkpoint_filename(s, d):
+    return t.observations(s, d).select("id", tx.checkpoint_name(F.substring("content", 1, 30)).alias("file"))
+
+
+@query("SELECT sync_id, 'session/summary/' || substr(sync_id, 1, 8) AS key FROM obs", "obs")
+def session_topic_key(s, d):
+    return t.observations(s, d).select("sync_id", F.concat(F.lit("session/summary/"), F.substring("sync_id", 1, 8)).alias("key"))
+
+
+@query("SELECT id, (id * 1000003) // 4194304 + 1735689600000 AS ms, (id * 1000003) // 4096 % 1024 AS salt, (id * 1000003) % 4096 AS seq FROM obs", "obs")
+def snowflake_decode(s, d):
+    return t.observations(s, d).select("id", tx.snowflake(F.col("id") * 1000003).alias("x")).select("id", "x.*")
+
+
+@query("SELECT id, CASE WHEN type IN ('passive', 'session', 'preference') THEN '' WHEN id % 2 = 0 THEN 'format' WHEN type IN ('decision', 'architecture', 'pattern', 'config') AND topic_key = '' THEN 'topic_key' ELSE '' END AS missing FROM obs", "obs")
+def validate_save_params(s, d):
+    o = t.observations(s, d).withColumn("content", F.when(F.col("id") % 2 == 1, F.concat(F.lit("What: x\nWhy: "), "content")).otherwise(F.lit("plain")))
+    return o.select("id", tx.missing_parts(F.col("content"), F.col("type"), F.col("topic_key")).alias("missing"))
+
+
+@query("SELECT id, CAST((id % 2 = 0)::INT + (id % 3 = 0)::INT AS INT) AS missing FROM obs", "obs")
+def validate_summary(s, d):
+    made = F.concat(F.when(F.col("id") % 2 == 0, "").otherwise("## Objetivo "), F.when(F.col("id") % 3 == 0, "").otherwise("## COMPLETADO"))
+    return t.observations(s, d).select("id", F.size(tx.missing_sections(made)).alias("missing"))
+
+
+@query(r"WITH i AS (SELECT id, list_filter(list_transform(string_split(content, '.'), lambda x: regexp_replace(replace(x, chr(10), ' '), '^\s+|\s+$', '', 'g')), lambda x: octet_length(encode(x)) >= 20 AND len(regexp_split_to_array(x, '\s+')) >= 4) AS v FROM obs) SELECT id, CAST(len(list_distinct(list_transform(v, lambda x: lower(x)))) AS INT) AS n FROM i", "obs")
+def extract_learnings(s, d):
+    lines = F.transform(F.split("content", r"\."), lambda x: F.concat(F.lit("- "), F.replace(x, F.lit("\n"), F.lit(" "))))
+    made = F.concat(F.lit("intro\n## Key Learnings:\n"), F.array_join(lines, "\n"), F.lit("\n## Next\n- not one of the learnings here"))
+    return t.observations(s, d).select("id", F.size(tx.learnings(made)).alias("n"))
+
+
+TURNS = "SELECT conv_id, turn, role || ': ' || text AS said FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system') WHERE text <> ''"
+
+
+def transcript_lines(s, d):
+    c = t.table(s, d, "conversations")
+    block = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
+    plain = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 1, block).otherwise(plain).alias("line"))
+
+
+@query(TURNS)
+def transcript_turns(s, d):
+    return transcript_lines(s, d).select("conv_id", "turn", tx.turn_text(F.col("line")).alias("said")).filter("said IS NOT NULL")
+
+
+@query(f"SELECT conv_id, right(string_agg(said, chr(10) ORDER BY turn), 500) AS tail FROM ({TURNS}) GROUP BY conv_id")
+def transcript_tail_excerpt(s, d):
+    said = transcript_lines(s, d).select("conv_id", "turn", tx.turn_text(F.col("line")).alias("said")).filter("said IS NOT NULL")
+    whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("x"))
+    return whole.select("conv_id", F.expr("right(array_join(x.said, '\n'), 500)").alias("tail"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'related' END AS relation, CASE WHEN id % 3 = 0 THEN NULL ELSE 0.5 END AS confidence FROM obs", "obs")
+def parse_judge_json(s, d):
+    good = F.concat(F.lit('sure: {"relation": "related", "confidence": 0.5} '), F.lit("end"))
+    answer = F.when(F.col("id") % 3 == 0, "no json").otherwise(good)
+    return t.observations(s, d).select("id", tx.verdict_json(answer).alias("v")).select("id", "v.relation", "v.confidence")
+
+
+@query("SELECT * FROM (VALUES (1,60),(2,60),(3,60),(4,300),(5,300),(6,300),(7,600),(8,600),(9,600),(10,1200),(11,1200),(12,1200),(13,1800),(14,1800),(15,1800),(16,3600),(17,3600)) AS v(attempt, seconds)")
+def retry_schedule(s, d):
+    return s.createDataFrame(list(enumerate(islice(streams.retry_intervals(), 17), 1)), "attempt int, seconds int")
+
+
+@query("SELECT session_id, max(created_at) AS updated_at, max(created_at) <= TIMESTAMP '2024-01-30 11:40:00' AS due FROM tools GROUP BY session_id", "tools")
+def digest_due(s, d):
+    last = t.tool_usage(s, d).groupBy("session_id").agg(F.max("created_at").alias("updated_at"))
+    return last.select("session_id", "updated_at", (F.col("updated_at") <= F.expr("TIMESTAMP_NTZ '2024-01-30 12:00:00' - INTERVAL '20' MINUTE")).alias("due"))
+
+
+# --- search ----------------------------------------------------------------------------------------
+
+TOKS = "list_filter(regexp_split_to_array(translate(lower({0}), 'áéíóúàèìòùâêîôûäëïöüãõñç', 'aeiouaeiouaeiouaeiouaonc'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+ALL_TOKS = TOKS.format("concat_ws(' ', title, content, type, project, topic_key)")
+TOKENISED = f"tk AS (SELECT id, project, scope, deleted_at, {ALL_TOKS} AS toks FROM obs)"
+
+
+def bm25_sql(terms: list[str], where: str, then: str = "SELECT id, round(rank, 6) AS rank FROM r") -> str:
+    tf = ", ".join(f"len(list_filter(toks, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
+    df = ", ".join(f"(SELECT count(*) FROM c WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    part = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 0.000001) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
+    any_tf = " + ".join(f"tf{i}" for i in range(len(terms)))
+    return f"WITH {TOKENISED}, c AS (SELECT id, project, scope, deleted_at, toks, len(toks) AS dl, {tf} FROM tk), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c), r AS (SELECT id, -({part}) AS rank FROM c, st WHERE {any_tf} > 0 AND {where}) {then}"
+
+
+def _search(s, d, text, project=None, limit=20):
+    return se.search(t.observations(s, d), text, project, limit).select("id", F.round("rank", 6).alias("rank"))
+
+
+def _tokenised(s, d):
+    return t.observations(s, d).select("id", se.tokens("title", "content", "type", "project", "topic_key").alias("toks"))
+
+
+@query(bm25_sql(["the", "worthless", "licensed"], "TRUE"), "obs")
+def bm25_scores(s, d):
+    return se.bm25(_tokenised(s, d), ["the", "worthless", "licensed"]).select("id", F.round("rank", 6).alias("rank"))
+
+
+TOP = "SELECT id, round(rank, 6) AS rank FROM r ORDER BY round(rank, 9), id LIMIT 20"
+
+
+@query(bm25_sql(["licensed", "license"], "deleted_at IS NULL AND (project = 'fr' OR scope = 'global') AND (tf0 > 0 OR tf1 > 0)", TOP), "obs")
+def fts_search_project(s, d):
+    return _search(s, d, "licensed OR license", "fr")
+
+
+@query(bm25_sql(["idiot", "the"], "deleted_at IS NULL AND tf0 > 0 AND tf1 > 0", TOP), "obs")
+def fts_search_all(s, d):
+    return _search(s, d, "idiot the")
+
+
+@query(f"WITH {TOKENISED} SELECT id FROM tk WHERE list_contains(toks, 'idiot') OR (list_contains(toks, 'trash') AND list_contains(toks, 'the'))", "obs")
+def fts_boolean_or(s, d):
+    return _tokenised(s, d).filter(se.condition(se.parse(se.sanitize("idiot OR trash the")))).select("id")
+
+
+@query(f"WITH {TOKENISED} SELECT id FROM tk WHERE list_contains(toks, 'licensed') AND NOT list_contains(toks, 'apache')", "obs")
+def fts_boolean_not(s, d):
+    return _tokenised(s, d).filter(se.condition(se.parse(se.sanitize("licensed NOT apache")))).select("id")
+
+
+@query(f"WITH {TOKENISED} SELECT id FROM tk WHERE contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')", "obs")
+def fts_phrase(s, d):
+    return _tokenised(s, d).filter(se.condition(se.parse('"of the"'))).select("id")
+
+
+@query(f"WITH {TOKENISED} SELECT id FROM tk WHERE contains(' ' || array_to_string(toks, ' '), ' licens')", "obs")
+def fts_prefix(s, d):
+    return _tokenised(s, d).filter(se.condition(se.parse("licens*"))).select("id")
+
+
+@query(f"WITH {TOKENISED} SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY ALL", "obs")
+def fts_postings(s, d):
+    return _tokenised(s, d).select("id", F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query(f"WITH tk AS (SELECT id, {TOKS.format(chr(34) + 'title' + chr(34) + " || ' ' || content")} AS toks FROM obs) SELECT id FROM tk WHERE list_contains(toks, 'idiot') AND list_contains(toks, 'clown')", "obs")
+def tsquery_and_match(s, d):
+    o = t.observations(s, d).select("id", se.tokens("title", "content").alias("toks"))
+    return o.filter(F.array_contains("toks", "idiot") & F.array_contains("toks", "clown")).select("id")
+
+
+# --- vectors ---------------------------------------------------------------------------------------
+
+VECS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)"
+PAIRS = f"{VECS}, p AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id)"
+
+
+def _vectors(s, d):
+    return t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query(f"WITH {PAIRS} SELECT query_id, id, sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rk FROM p WHERE sim >= 0.2) WHERE rk <= 5")
+def knn_topk(s, d):
+    v = _vectors(s, d)
+    return ve.knn(v, v.filter("id % 100 = 0"), 5, 0.2).withColumn("rk", F.col("rk").cast("long"))
+
+
+@query(f"WITH {PAIRS} SELECT query_id, id, sim FROM p WHERE sim >= 0.4")
+def similar_pairs(s, d):
+    v = _vectors(s, d)
+    return ve.knn(v, v.filter("id % 100 = 0"), 1 << 30, 0.4).select("query_id", "id", "sim")
+
+
+@query(f"WITH {PAIRS} SELECT query_id, id, sim FROM p WHERE sim >= 0.85")
+def related_085(s, d):
+    v = _vectors(s, d)
+    return ve.knn(v, v.filter("id % 100 = 0"), 3, 0.85).select("query_id", "id", "sim")
+
+
+@query(bm25_sql(["the"], "deleted_at IS NULL", f"""
+, lx AS (SELECT id, row_number() OVER (ORDER BY round(rank, 9), id) AS rk FROM (SELECT * FROM r ORDER BY round(rank, 9), id LIMIT 20)), {PAIRS},
+vx AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS rk FROM p WHERE query_id = 100 AND sim >= 0.2)
+SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 10) AS score FROM (SELECT * FROM lx UNION ALL SELECT * FROM vx WHERE rk <= 20) GROUP BY id ORDER BY score DESC, id LIMIT 10"""), "obs")
+def hybrid_rrf(s, d):
+    v = _vectors(s, d)
+    near = ve.knn(v, v.filter("id = 100"), 20, 0.2)
+    return ve.hybrid(se.search(t.observations(s, d), "the").withColumn("rank", F.round("rank", 9)), near, 10)
+
+
+@query("SELECT id FROM obs WHERE deleted_at IS NULL AND id NOT IN (SELECT vec_id FROM embeddings)", "obs")
+def reindex_missing(s, d):
+    return ob.live(t.observations(s, d)).select("id").join(_vectors(s, d), "id", "left_anti")
+
+
+@query(f"WITH {PAIRS} SELECT query_id, id FROM p WHERE sim >= 0.3 AND id % 2 = 1")
+def injected_anti_join(s, d):
+    v = _vectors(s, d)
+    shown = v.filter("id % 2 = 0").select(F.to_json(F.array("id")).alias("ids")).select(F.explode(F.from_json("ids", "array<bigint>")).alias("id"))
+    return ve.knn(v, v.filter("id % 100 = 0"), 1 << 30, 0.3).join(shown, "id", "left_anti").select("query_id", "id")
+
+
+# --- relations -------------------------------------------------------------------------------------
+
+ENDS = "e AS (SELECT r.*, s.id AS source_obs, s.project AS source_project, x.id AS target_obs, x.project AS target_project FROM rel r LEFT JOIN obs s ON s.sync_id = r.source_id LEFT JOIN obs x ON x.sync_id = r.target_id)"
+
+
+@query(f"WITH {ENDS} SELECT id, relation, coalesce(reason, '') AS reason, coalesce(confidence, 0) AS confidence, source_obs, target_obs FROM e WHERE judgment_status = 'judged' AND source_project = 'en' ORDER BY created_at DESC, id DESC LIMIT 50", "rel", "obs")
+def relations_list(s, d):
+    e = rl.enriched(t.relations(s, d), t.observations(s, d)).filter("judgment_status = 'judged' AND source_project = 'en'")
+    return ob.page(e, 50, 0, F.desc("created_at"), F.desc("id")).select("id", "relation", "reason", "confidence", "source_obs", "target_obs")
+
+
+@query("SELECT count(*) AS total, CAST(sum((judgment_status = 'pending')::INT) AS BIGINT) AS pending, CAST(sum((judgment_status = 'judged')::INT) AS BIGINT) AS judged, CAST(sum((judgment_status = 'orphaned')::INT) AS BIGINT) AS orphaned FROM rel", "rel")
+def relation_stats(s, d):
+    return rl.stats(t.relations(s, d))
+
+
+@query("SELECT id FROM rel WHERE source_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR target_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL)", "rel", "obs")
+def gc_dangling_relations(s, d):
+    return rl.dangling(t.relations(s, d), t.observations(s, d)).select("id")
+
+
+@query("SELECT id FROM rel WHERE judgment_status = 'pending' AND created_at < TIMESTAMP '2024-01-06'", "rel")
+def gc_stale_pending(s, d):
+    return t.relations(s, d).filter("judgment_status = 'pending' AND created_at < TIMESTAMP_NTZ '2024-02-05 00:00:00' - INTERVAL '30' DAY").select("id")
+
+
+@query(f"WITH {ENDS} SELECT id, source_project, target_project FROM e WHERE source_project <> target_project", "rel", "obs")
+def cross_project_relations(s, d):
+    return rl.across_projects(t.relations(s, d), t.observations(s, d)).select("id", "source_project", "target_project")
+
+
+@query("SELECT a.id FROM rel a WHERE EXISTS (SELECT 1 FROM rel b WHERE b.id % 2 = 0 AND least(b.source_id, b.target_id) = least(a.target_id, a.source_id) AND greatest(b.source_id, b.target_id) = greatest(a.target_id, a.source_id))", "rel")
+def relation_pair_exists(s, d):
+    r = t.relations(s, d)
+    asked = r.select("id", rl.pair_key("target_id", "source_id").alias("pair"))
+    return asked.join(r.filter("id % 2 = 0").select(rl.pair_key().alias("pair")), "pair", "left_semi").select("id")
+
+
+@query(f"WITH {VECS} SELECT r.id, CASE WHEN b.id IS NULL OR sim < 0.3 THEN 'not_conflict' WHEN sim >= 0.4 THEN 'related' ELSE 'pending' END AS verdict, CASE WHEN b.id IS NULL OR sim < 0.3 THEN 0.9 WHEN sim >= 0.4 THEN sim END AS confidence FROM (SELECT r.id, a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM rel r LEFT JOIN v a ON a.id = r.id LEFT JOIN v b ON b.id = r.id + 1 WHERE judgment_status = 'pending') r LEFT JOIN v b ON b.id = r.y", "rel")
+def judge_relations(s, d):
+    v = t.table(s, d, "embeddings").selectExpr("md5(CAST(vec_id AS STRING)) AS sync_id", "embedding")
+    return rl.judge_by_similarity(t.relations(s, d), v, 0.3, 0.4)
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'related' ELSE relation END AS relation, CASE WHEN id % 5 = 0 THEN 'judged' ELSE judgment_status END AS judgment_status FROM rel", "rel")
+def judge_apply(s, d):
+    r = t.relations(s, d)
+    said = r.filter("id % 5 < 2").select("sync_id", F.when(F.col("id") % 5 == 0, "related").otherwise("nonsense").alias("verb"))
+    return rl.apply_verdicts(r, said).select("id", "relation", "judgment_status")
+
+
+@query("SELECT relation, count(*) AS n, relation IN ('related', 'compatible', 'scoped', 'conflicts_with', 'supersedes', 'not_conflict') AS valid FROM rel GROUP BY relation", "rel")
+def relation_verb_validate(s, d):
+    return t.relations(s, d).groupBy("relation").agg(F.count(F.lit(1)).alias("n")).withColumn("valid", F.col("relation").isin(t.VERBS))
+
+
+@query("SELECT least(source_id, target_id) || '|' || greatest(source_id, target_id) AS pair, max(id) AS id FROM (SELECT id, source_id, target_id FROM rel UNION ALL SELECT id + 10000, target_id, source_id FROM rel WHERE id % 2 = 0) GROUP BY pair", "rel")
+def relation_upsert_symmetric(s, d):
+    r = t.relations(s, d).select("id", "source_id", "target_id")
+    back = r.filter("id % 2 = 0").select((F.col("id") + 10000).alias("id"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    return rl.upsert_symmetric(r.unionByName(back), F.desc("id")).select("pair", "id")
+
+
+@query("WITH q AS (SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE sync_id END AS ref FROM obs) SELECT q.ref, coalesce(a.id, b.id) AS found FROM q LEFT JOIN obs a ON a.id = try_cast(q.ref AS BIGINT) LEFT JOIN obs b ON b.sync_id = q.ref", "obs")
+def resolve_obs_ref(s, d):
+    o = t.observations(s, d).select("id", "sync_id")
+    q = o.select(F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise(F.col("sync_id")).alias("ref"))
+    q = q.withColumn("n", F.expr("try_cast(ref AS BIGINT)")).join(o.select(F.col("id").alias("n"), F.col("id").alias("x")), "n", "left")
+    return q.join(o.select(F.col("sync_id").alias("ref"), F.col("id").alias("y")), "ref", "left").select("ref", F.coalesce("x", "y").alias("found"))
+
+
+CAND = f"""WITH tk AS (SELECT id, sync_id, {TOKS.format("title || ' ' || content")} AS toks, list_distinct(list_filter({TOKS.format('title')}, lambda x: octet_length(encode(x)) > 2)) AS terms FROM obs),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tk), q AS (SELECT id AS src, unnest(terms) AS term FROM tk WHERE id % 100 = 0),
+po AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM tk) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+sc AS (SELECT src, id, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank FROM q JOIN po USING (term) JOIN dfs USING (term), st WHERE src <> id GROUP BY src, id),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM sc) WHERE rk <= 9)
+SELECT src, id, rank, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM tp WHERE abs(src - id) <> 1 OR least(src, id) NOT IN (SELECT id FROM rel) QUALIFY rk <= 3"""
+
+
+@query(CAND.replace("row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM tp", "row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM (SELECT src, id, rank FROM tp)"), "obs", "rel")
+def relation_candidates(s, d):
+    o = t.observations(s, d).select("id", "sync_id", se.tokens("title", "content").alias("toks"), F.filter(se.tokens("title"), lambda w: F.octet_length(w) > 2).alias("terms"))
+    return rl.candidates(o.drop("terms"), o.filter("id % 100 = 0"), t.relations(s, d), floor=None).withColumn("rk", F.col("rk").cast("long"))
+
+
+# --- sync, export, streams -------------------------------------------------------------------------
+
+
+@query("SELECT id FROM obs WHERE updated_at >= TIMESTAMP '2024-01-10'", "obs")
+def sync_export_since(s, d):
+    return sync.changed_since(t.observations(s, d), "2024-01-10 00:00:00").select("id")
+
+
+@query("SELECT id FROM obs WHERE id % 3 <> 0 AND session_id IN (SELECT id FROM sess)", "obs", "sess")
+def sync_import_once(s, d):
+    o = t.observations(s, d)
+    return sync.import_new(o.filter("id % 3 = 0"), o, t.sessions(s, d)).select("id")
+
+
+@query("SELECT project, count(*) AS memories, count(DISTINCT session_id) AS sessions FROM obs GROUP BY project", "obs")
+def sync_chunk_counts(s, d):
+    return t.observations(s, d).groupBy("project").agg(F.count(F.lit(1)).alias("memories"), F.countDistinct("session_id").alias("sessions"))
+
+
+def note_sql(title: str) -> str:
+    return f"(SELECT CASE WHEN length(s) > 60 THEN regexp_replace(substr(s, 1, 60), '-+$', '') ELSE s END FROM (SELECT {SLUG.format(title)} AS s))"
+
+
+@query(f"SELECT id, project || '/' || type || '/' || CASE WHEN id < 10000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END || '-' || {note_sql('title')} || '.md' AS path FROM obs WHERE deleted_at IS NULL", "obs")
+def export_markdown_rows(s, d):
+    return sync.markdown(ob.live(t.observations(s, d))).select("id", "path")
+
+
+@query("SELECT project, count(*) AS n, min(id) AS first_id, max(created_at) AS newest FROM obs WHERE deleted_at IS NULL GROUP BY project", "obs")
+def export_index(s, d):
+    return sync.index(ob.live(t.observations(s, d)))
+
+
+@query("SELECT entity_type, count(*) AS n, round(sum(value), 4) AS total FROM que GROUP BY entity_type", "que")
+def replay_dispatch(s, d):
+    return streams.replay(t.queue(s, d)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query('SELECT user_id AS "user", max_by(entity_type, id) AS last_type FROM que GROUP BY user_id', "que")
+def replay_final_state(s, d):
+    return streams.replay(t.queue(s, d)).groupBy("user").agg(F.max_by("entity_type", "id").alias("last_type"))
+
+
+@query("WITH e AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM tools), g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS grp FROM e) SELECT session_id, count(*) AS events, min(created_at) AS first, max(created_at) AS last FROM g GROUP BY session_id, grp", "tools")
+def stream_session_windows(s, d):
+    return streams.session_windows(t.tool_usage(s, d)).select("session_id", "events", "first", "last")
+
+
+@query("SELECT DISTINCT project, normalized_hash FROM obs", "obs")
+def stream_dedup(s, d):
+    return streams.first_of_each(t.observations(s, d)).select("project", "normalized_hash")

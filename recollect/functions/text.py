@@ -41,14 +41,14 @@ def preview(x: Column, most: int = 200) -> Column:
 
 def learnings(x: Column) -> Column:
     """Items of the learnings section: 20 bytes and four words at least, the first of each spelling."""
-    body = F.element_at(F.split(x, LEARNINGS, 2), 2)
-    section = F.element_at(F.split(body, HEADER, 2), 1)
+    body = F.get(F.split(x, LEARNINGS, 2), F.lit(1))  # null without the header
+    section = F.get(F.split(body, HEADER, 2), F.lit(0))
     items = F.transform(F.regexp_extract_all(section, F.lit(ITEM), F.lit(1)), lambda i: strip(i))
     good = F.filter(items, lambda i: (F.octet_length(i) >= 20) & (F.size(F.split(i, r"\s+")) >= 4))
-    keys = F.transform(good, lambda i: F.lower(i))
-    first = F.filter(F.arrays_zip(good.alias("item"), F.transform(keys, lambda k: F.array_position(keys, k)).alias("at"), F.sequence(F.lit(1), F.size(keys)).alias("pos")), lambda z: z["at"] == z["pos"])
-    has = F.size(F.split(x, LEARNINGS, 2)) == 2
-    return F.when(has & (F.size(good) > 0), F.transform(first, lambda z: z["item"])).otherwise(F.array().cast("array<string>"))
+    start = F.array().cast("array<struct<key: string, item: string>>")
+    new = lambda i: F.array(F.struct(F.lower(i).alias("key"), i.alias("item")))
+    first = F.aggregate(good, start, lambda acc, i: F.when(F.array_contains(acc["key"], F.lower(i)), acc).otherwise(F.concat(acc, new(i))), lambda acc: acc["item"])
+    return F.coalesce(first, F.array().cast("array<string>"))
 
 
 def slug(x: Column) -> Column:

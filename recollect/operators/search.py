@@ -122,9 +122,9 @@ def matches(term: Term, toks: str = "toks") -> Column:
         return F.lit(False)
     if len(term.words) == 1 and not term.prefix:
         return F.array_contains(toks, term.words[0])
-    n = len(term.words)
-    body = " AND ".join((f"startswith({toks}[i + {k}], '{w}')" if term.prefix and k == n - 1 else f"{toks}[i + {k}] = '{w}'") for k, w in enumerate(term.words))
-    return F.expr(f"size({toks}) >= {n} AND exists(sequence(0, greatest(size({toks}) - {n}, 0)), i -> {body})")
+    # tokens hold no spaces, so neighbours are a substring of the joined list
+    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    return joined.contains(" " + " ".join(term.words) + ("" if term.prefix else " "))
 
 
 def condition(tree, toks: str = "toks") -> Column:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import list_array, lists, ragged, scratch, spool, text_or_empty
 
-#: Words whose ids a worker remembers (about 150 bytes each); it starts anew when they are more.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers (about 200 bytes each); it starts anew when they are more.
+REMEMBERED = 700_000
+#: New words that are encoded at a time.
+LEARNT_AT_ONCE = 20_000
 #: Characters that are encoded at a time.
 AT_ONCE = 4 << 20
 
@@ -62,14 +64,15 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self) -> None:
-        if self.new:
-            ids = self.whole(self.new)
+        new, self.new = self.new, []
+        for at in range(0, len(new), LEARNT_AT_ONCE):
+            words = new[at : at + LEARNT_AT_ONCE]
+            ids = self.whole(words)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(lengths) - lengths]
             self.lengths = np.r_[self.lengths, lengths]
             self.pool = np.r_[self.pool, np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum()))]
-            self.plain = np.r_[self.plain, np.fromiter((w != " " and not w[:2].isspace() for w in self.new), bool, len(ids))]
-            self.new = []
+            self.plain = np.r_[self.plain, np.fromiter((w != " " and not w[:2].isspace() for w in words), bool, len(ids))]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the number of ids of each."""

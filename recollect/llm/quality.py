@@ -195,7 +195,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     fitted = rows.repartition(1).mapInArrow(fit, "w array<double>").collect()  # one row, from the bounded sample
     unspool(voted)
     weights = spark.sparkContext.broadcast(np.array(fitted[0].w if fitted else np.zeros(BUCKETS + len(SHARES) + 1), np.float32))
-    schema = docs.schema.add("quality_score", "double") if "quality_score" not in docs.columns else docs.schema
+    schema = docs.withColumn("quality_score", F.lit(0.0)).schema  # a copy: adding to docs.schema would change docs
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value

@@ -61,21 +61,23 @@ def pairs_of(value: str) -> Column:
     return F.expr(f"transform(sequence(1, length({value}) - 1), i -> instr('{ALPHABET}', substring({value}, i, 1)) * {CLASSES} + instr('{ALPHABET}', substring({value}, i + 1, 1)))")
 
 
-def train(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
+def train(labelled: DataFrame, smooth: float = 0.5, backoff: float = 30.0) -> list[float]:
     """Log-likelihood ratios of all character pairs from (value string, label int); label 1 is a random string.
 
-    Counts are summed on the executors; at most two times the number of pairs
-    come to the driver.  Without samples of either label all ratios are as the
-    smoothing leaves them.
+    A character follows another with its share among the pairs seen, drawn to
+    its share among all characters by ``backoff`` pairs, so pairs that the
+    samples happen to lack tell little.  Counts are summed on the executors; at
+    most two times the number of pairs come to the driver.
     """
     counted = labelled.filter("length(value) > 1").select("label", F.explode(pairs_of("value")).alias("pair")).groupBy("label", "pair").count().collect()
     n = {(r.label, r.pair): r["count"] for r in counted}
-    ratios = []
-    for a in range(CLASSES):
-        rows = [[n.get((label, a * CLASSES + b), 0) + smooth for b in range(CLASSES)] for label in (0, 1)]
-        plain, random = (sum(r) for r in rows)
-        ratios += [math.log(y / random) - math.log(x / plain) for x, y in zip(*rows)]
-    return ratios
+    logs = []
+    for label in (0, 1):
+        table = [[n.get((label, a * CLASSES + b), 0) for b in range(CLASSES)] for a in range(CLASSES)]
+        single = [sum(row[b] for row in table) + smooth for b in range(CLASSES)]
+        whole = sum(single)
+        logs.append([math.log((x + backoff * s / whole) / (sum(row) + backoff)) for row in table for x, s in zip(row, single)])
+    return [random - plain for plain, random in zip(*logs)]
 
 
 def labelled_samples(spans: DataFrame, docs: DataFrame, sample: int) -> DataFrame:

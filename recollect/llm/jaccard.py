@@ -66,8 +66,8 @@ def min_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this probability, if all its buckets are split DEPTH - 1 times."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** (DEPTH - 1)))
+    """Runs after which a pair at the threshold has met with this probability, even if all its buckets are split to the last level."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH))
 
 
 def chosen(path, run, level: int):

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,11 @@ from .common import list_array, lists, ragged, scratch, spool, text_or_empty
 REMEMBERED = 700_000
 #: New words that are encoded at a time.
 LEARNT_AT_ONCE = 20_000
-#: Characters that are encoded at a time.
+#: Words that the tokenizer is given as one text.
+JOINED = 1000
+#: How a token that starts with a space starts in the vocabulary of a byte-level BPE.
+SPACE = "\u0120"
+#: Bytes of text that are encoded at a time (one text at least).
 AT_ONCE = 4 << 20
 
 
@@ -45,7 +50,8 @@ class Encoder:
     This byte-level BPE never merges across the start of a word after a space,
     so the ids of a text are those of its space-separated words, each with the
     space before it.  That holds unless white space follows a space; such texts
-    go to the tokenizer whole.
+    go to the tokenizer whole.  New words go to it joined, and the tokens that
+    start with a space say where each begins.
     """
 
     def __init__(self, path: str):
@@ -53,6 +59,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -63,42 +72,51 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words, and the number of ids of each."""
+        ids = self.whole(words)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum())), lengths
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, of words that start with a space and have no white space after it."""
+        ids = [np.array(x, np.int32) for x in self.whole(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        begins = np.flatnonzero(self.leads[flat])
+        return (flat, np.diff(np.r_[begins, len(flat)])) if len(begins) == len(words) else self.each(words)
+
     def learn(self) -> None:
         new, self.new = self.new, []
         for at in range(0, len(new), LEARNT_AT_ONCE):
             words = new[at : at + LEARNT_AT_ONCE]
-            ids = self.whole(words)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(lengths) - lengths]
-            self.lengths = np.r_[self.lengths, lengths]
-            self.pool = np.r_[self.pool, np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum()))]
-            self.plain = np.r_[self.plain, np.fromiter((w != " " and not w[:2].isspace() for w in words), bool, len(ids))]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            plain = np.fromiter((w != " " and not w[:2].isspace() for w in words), bool, len(words))
+            inner = np.fromiter((w[:1] == " " for w in words), bool, len(words))
+            starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            for chosen, ids_of in ((np.flatnonzero(plain & inner), self.joined), (np.flatnonzero(plain & ~inner), self.each)):
+                ids, own = ids_of([words[i] for i in chosen])
+                starts[chosen], lengths[chosen] = len(self.pool) + np.cumsum(own) - own, own
+                self.pool = np.r_[self.pool, ids]
+            self.starts, self.lengths, self.plain = np.r_[self.starts, starts], np.r_[self.lengths, lengths], np.r_[self.plain, plain]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the number of ids of each."""
         if self.count > REMEMBERED:
             self.forget()
-        words: list[int] = []
-        sizes = []
-        for text in texts:
-            before = len(words)
-            if text:
-                parts = text.split(" ")
-                words.append(self.first[parts[0]])
-                del parts[0]
-                words.extend(map(self.inner.__getitem__, parts))
-            sizes.append(len(words) - before)
+        parts = pc.split_pattern(texts, " ")
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.slice(ends[0], ends[-1] - ends[0])
+        ends -= ends[0]
+        distinct = words.dictionary_encode()
+        number = np.fromiter(map(self.inner.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(distinct.dictionary))[distinct.indices.to_numpy()]
+        number[ends[:-1]] = [self.first[w] for w in words.take(pa.array(ends[:-1])).to_pylist()]
         self.learn()
-        number, sizes = np.array(words, np.int64), np.array(sizes, np.int64)
-        ends = np.cumsum(sizes)
         per_word = self.lengths[number]
-        upto = np.r_[0, np.cumsum(per_word)]
-        counts = upto[ends] - upto[ends - sizes]
+        counts = np.diff(np.r_[0, np.cumsum(per_word)][ends])
         ids = self.pool[ragged(self.starts[number], per_word)]
-        odd = np.flatnonzero(np.r_[0, np.cumsum(~self.plain[number])][ends] - np.r_[0, np.cumsum(~self.plain[number])][ends - sizes])
+        odd = np.flatnonzero(np.diff(np.r_[0, np.cumsum(~self.plain[number])][ends]))
         if len(odd):
             pieces = np.split(ids, np.cumsum(counts)[:-1])
-            for i, own in zip(odd, self.whole([texts[i] for i in odd])):
+            for i, own in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist())):
                 pieces[i], counts[i] = np.array(own, np.int32), len(own)
             ids = np.concatenate(pieces)
         return ids, counts
@@ -118,13 +136,11 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """Parts of the batches, with the ids of their column ``text``, in pieces of bounded size."""
     make = encoder(path)
     for batch in batches:
-        texts, at = batch.column("text").to_pylist(), 0
+        texts, at = batch.column("text"), 0
+        upto = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))]
         while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= AT_ONCE):
-                size += len(texts[to])
-                to += 1
-            yield batch.slice(at, to - at), *with_end(*make.encode(texts[at:to]), end_id)
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_ONCE, "right")) - 1)
+            yield batch.slice(at, to - at), *with_end(*make.encode(texts.slice(at, to - at)), end_id)
             at = to
 
 

@@ -146,7 +146,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5
     return w
 
 
-def small(batch: pa.RecordBatch, size: int = 4 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def small(batch: pa.RecordBatch, size: int = 1 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of bounded bytes and rows (one row at least)."""
     ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text").cast(pa.large_binary())])
     at = 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import list_array, lists, ragged, scratch, spool, text_or_empty
 
 #: Words whose ids a worker remembers (about 200 bytes each); it starts anew when they are more.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: New words that are encoded at a time.
 LEARNT_AT_ONCE = 20_000
 #: Words that the tokenizer is given as one text.
@@ -142,6 +142,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
             to = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_ONCE, "right")) - 1)
             yield batch.slice(at, to - at), *with_end(*make.encode(texts.slice(at, to - at)), end_id)
             at = to
+    make.forget()  # the worker may go on to other work
 
 
 def crc_of(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

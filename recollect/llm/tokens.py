@@ -5,6 +5,7 @@ Encoding uses a public tokenizer file through the ``tokenizers`` library.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import list_array, lists, ragged, scratch, spool, text_or_empty
 
 #: Words whose ids a worker remembers (about 200 bytes each); it starts anew when they are more.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: New words that are encoded at a time.
 LEARNT_AT_ONCE = 20_000
 #: Words that the tokenizer is given as one text.
@@ -27,7 +28,7 @@ JOINED = 1000
 #: How a token that starts with a space starts in the vocabulary of a byte-level BPE.
 SPACE = "\u0120"
 #: Bytes of text that are encoded at a time (one text at least).
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 
 class Words(dict):
@@ -124,6 +125,8 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
+    # a task has one core; the library's own threads cost it memory and a quarter more CPU time
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 

@@ -9,6 +9,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import list_array, lists, ragged, scratch, spool, text_or_empty
 
 #: Words whose ids a worker remembers (about 200 bytes each); it starts anew when they are more.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: New words that are encoded at a time.
 LEARNT_AT_ONCE = 20_000
 #: Words that the tokenizer is given as one text.
@@ -28,21 +29,7 @@ JOINED = 1000
 #: How a token that starts with a space starts in the vocabulary of a byte-level BPE.
 SPACE = "\u0120"
 #: Bytes of text that are encoded at a time (one text at least).
-AT_ONCE = 2 << 20
-
-
-class Words(dict):
-    """Numbers words as they come; ``new`` has those not yet encoded."""
-
-    def __init__(self, lead: str, owner: Encoder):
-        super().__init__()
-        self.lead, self.owner = lead, owner
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = self.owner.count
-        self.owner.count += 1
-        self.owner.new.append(self.lead + word)
-        return number
+AT_ONCE = 4 << 20
 
 
 class Encoder:
@@ -66,8 +53,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.count, self.new = 0, []
-        self.first, self.inner = Words("", self), Words(" ", self)
+        self.first, self.inner = {}, {}
         self.pool, self.starts, self.lengths, self.plain = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -80,37 +66,45 @@ class Encoder:
         return np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum())), lengths
 
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same, of words that start with a space and have no white space after it."""
-        ids = [np.array(x, np.int32) for x in self.whole(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])]
+        """The same, of words that have a space before them and no white space after it."""
+        ids = [np.array(x, np.int32) for x in self.whole([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])]
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
         begins = np.flatnonzero(self.leads[flat])
-        return (flat, np.diff(np.r_[begins, len(flat)])) if len(begins) == len(words) else self.each(words)
+        return (flat, np.diff(np.r_[begins, len(flat)])) if len(begins) == len(words) else self.each([" " + w for w in words])
 
-    def learn(self) -> None:
-        new, self.new = self.new, []
+    def numbers(self, known: dict[str, int], words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; those not in ``known`` are encoded, after a space where that is ``inner``."""
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(known.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(number < 0)
         for at in range(0, len(new), LEARNT_AT_ONCE):
-            words = new[at : at + LEARNT_AT_ONCE]
-            plain = np.fromiter((w != " " and not w[:2].isspace() for w in words), bool, len(words))
-            inner = np.fromiter((w[:1] == " " for w in words), bool, len(words))
-            starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            for chosen, ids_of in ((np.flatnonzero(plain & inner), self.joined), (np.flatnonzero(plain & ~inner), self.each)):
-                ids, own = ids_of([words[i] for i in chosen])
-                starts[chosen], lengths[chosen] = len(self.pool) + np.cumsum(own) - own, own
-                self.pool = np.r_[self.pool, ids]
-            self.starts, self.lengths, self.plain = np.r_[self.starts, starts], np.r_[self.lengths, lengths], np.r_[self.plain, plain]
+            part = new[at : at + LEARNT_AT_ONCE]
+            leads = pc.utf8_slice_codeunits(words.take(pa.array(part)), 0, 1).dictionary_encode()
+            plain = np.array([c != "" and not c.isspace() for c in leads.dictionary.to_pylist()], bool)[leads.indices.to_numpy()]
+            if known is self.first:
+                plain |= np.array([c == "" for c in leads.dictionary.to_pylist()], bool)[leads.indices.to_numpy()]
+            chosen = [listed[i] for i in part[plain].tolist()]
+            ids, own = self.joined(chosen) if known is self.inner else self.each(chosen)
+            lengths = np.zeros(len(part), np.int64)
+            lengths[plain] = own
+            number[part] = len(self.starts) + np.arange(len(part))
+            known.update(zip([listed[i] for i in part.tolist()], number[part].tolist()))
+            self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(lengths) - lengths]
+            self.pool, self.lengths, self.plain = np.r_[self.pool, ids], np.r_[self.lengths, lengths], np.r_[self.plain, plain]
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the number of ids of each."""
-        if self.count > REMEMBERED:
+        if len(self.starts) > REMEMBERED:
             self.forget()
         parts = pc.split_pattern(texts, " ")
         ends = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.slice(ends[0], ends[-1] - ends[0])
         ends -= ends[0]
         distinct = words.dictionary_encode()
-        number = np.fromiter(map(self.inner.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(distinct.dictionary))[distinct.indices.to_numpy()]
-        number[ends[:-1]] = [self.first[w] for w in words.take(pa.array(ends[:-1])).to_pylist()]
-        self.learn()
+        number = self.numbers(self.inner, distinct.dictionary)[distinct.indices.to_numpy()]
+        start = words.take(pa.array(ends[:-1])).dictionary_encode()
+        number[ends[:-1]] = self.numbers(self.first, start.dictionary)[start.indices.to_numpy()]
         per_word = self.lengths[number]
         counts = np.diff(np.r_[0, np.cumsum(per_word)][ends])
         ids = self.pool[ragged(self.starts[number], per_word)]

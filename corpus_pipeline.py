@@ -26,8 +26,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = tokens.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokens.with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")
+    pieces = tokens.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")
 
 
 STAGES = [

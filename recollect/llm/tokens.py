@@ -212,12 +212,13 @@ def op2_token_output(spark, sf_dir: str) -> DataFrame:
 # --- packing ------------------------------------------------------------------------------------
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Concatenate all documents, each with its end id, and cut every ``length`` ids.
 
     One row per piece: doc_id, start (the document's ids before it), length,
-    doc_tokens, sequence_id, offset (in the sequence), ids, padded.  Two passes
-    of sums give each document its place: ids are written once with their
+    doc_tokens, sequence_id, offset (in the sequence), padded, ids; without
+    ``with_ids`` ids_crc32 in place of ids, which then stay where they are cut.
+    Two passes of sums give each document its place: ids are written once with their
     running count in the partition, and the counts of partitions are summed.
     A document that crosses a boundary has a piece on either side.  Only the
     last sequence may be short; ``padded`` is the length that it is filled up
@@ -256,11 +257,16 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, i
             cuts = np.r_[0, np.cumsum(size)].astype(np.int32)
             columns = {
                 "doc_id": batch.column("doc_id").take(pa.array(doc)), "start": pa.array(begin - at[doc]), "length": pa.array(size), "doc_tokens": pa.array(n[doc]),
-                "sequence_id": pa.array(sequence), "offset": pa.array(begin - sequence * length), "padded": pa.array(padded.astype(np.int64)), "ids": list_array(ids, cuts, pa.int32()),
+                "sequence_id": pa.array(sequence), "offset": pa.array(begin - sequence * length), "padded": pa.array(padded.astype(np.int64)),
             }
+            if with_ids:
+                columns["ids"] = list_array(ids, cuts, pa.int32())
+            else:
+                columns["ids_crc32"] = pa.array(crc_of(ids, cuts[:-1], size))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(second, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint, ids array<int>")
+    schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint, "
+    return rows.mapInArrow(second, schema + ("ids array<int>" if with_ids else "ids_crc32 bigint"))
 
 
 def with_crc(pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
@@ -281,5 +287,5 @@ def with_crc(pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = with_crc(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")))
+    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")

@@ -61,6 +61,11 @@ def test_packing(docs):
     assert sorted(by_sequence) == list(range(len(by_sequence)))
 
 
+def test_crc_of_the_cutting_pass(docs):
+    apart = tokens.with_crc(tokens.pack(docs, PATH))
+    assert sorted(tokens.pack(docs, PATH, with_ids=False).select(apart.columns).collect()) == sorted(apart.collect())
+
+
 def test_crc(docs):
     rows = tokens.with_crc(tokens.pack(docs, PATH)).collect()
     wanted = ids_of(0)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import list_array, lists, ragged, scratch, spool, text_or_empty
 
 #: Words whose ids a worker remembers (about 200 bytes each); it starts anew when they are more.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: New words that are encoded at a time.
 LEARNT_AT_ONCE = 20_000
 #: Words that the tokenizer is given as one text.

@@ -26,7 +26,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = tokens.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    pieces = tokens.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")
 
 

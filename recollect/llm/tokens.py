@@ -40,13 +40,19 @@ class Encoder:
     space before it.  That holds unless white space follows a space; such texts
     go to the tokenizer whole.  New words go to it joined, and the tokens that
     start with a space say where each begins.
+
+    With ``added``, the string of an added token (as ``<|endoftext|>``) is that
+    token wherever it stands in a text, as the file's defaults have it; texts
+    that hold one go to the tokenizer whole.  Without, special tokens' strings
+    are ordinary characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
@@ -108,7 +114,10 @@ class Encoder:
         per_word = self.lengths[number]
         counts = np.diff(np.r_[0, np.cumsum(per_word)][ends])
         ids = self.pool[ragged(self.starts[number], per_word)]
-        odd = np.flatnonzero(np.diff(np.r_[0, np.cumsum(~self.plain[number])][ends]))
+        whole = np.diff(np.r_[0, np.cumsum(~self.plain[number])][ends]) > 0
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(whole)
         if len(odd):
             pieces = np.split(ids, np.cumsum(counts)[:-1])
             for i, own in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist())):
@@ -118,10 +127,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     # a task has one core; the library's own threads cost it memory and a quarter more CPU time
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +138,9 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, np.cumsum(counts), end_id).astype(np.int32), counts + 1
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, added: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches, with the ids of their column ``text``, in pieces of bounded size."""
-    make = encoder(path)
+    make = encoder(path, added)
     for batch in batches:
         texts, at = batch.column("text"), 0
         upto = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))]
@@ -161,18 +170,19 @@ FORMAT = {
 }
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", **options: str) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added: bool = False, **options: str) -> None:
     """Write (doc_id, n_tokens, ids) in ascending doc_id order over the files of ``out``.
 
     Null texts are empty documents (the end id alone), null ids come first,
     repeated rows are written each, next to one another; other columns are left
     out.  Files are numbered in order, so an empty table writes no rows.
+    ``added`` as in ``Encoder``.
     """
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, counts in encoded(batches, tokenizer, end_id):
+        for part, ids, counts in encoded(batches, tokenizer, end_id, added):
             offsets = np.r_[0, np.cumsum(counts)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), list_array(ids, offsets, pa.int32())], ["doc_id", "n_tokens", "ids"])
 
@@ -197,7 +207,7 @@ def op2_token_output(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch(spark, "tokens")
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +222,7 @@ def op2_token_output(spark, sf_dir: str) -> DataFrame:
 # --- packing ------------------------------------------------------------------------------------
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, added: bool = False) -> DataFrame:
     """Concatenate all documents, each with its end id, and cut every ``length`` ids.
 
     One row per piece: doc_id, start (the document's ids before it), length,
@@ -224,14 +234,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, i
     last sequence may be short; ``padded`` is the length that it is filled up
     to, its own where that is a power of two.  Null texts are empty documents
     (one piece, the end id), repeated rows are packed each, an empty table
-    gives no rows.
+    gives no rows.  ``added`` as in ``Encoder``.
     """
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, part = 0, TaskContext.get().partitionId()
-        for rows, ids, counts in encoded(batches, tokenizer, end_id):
+        for rows, ids, counts in encoded(batches, tokenizer, end_id, added):
             ends = np.cumsum(counts)
             arrays = [rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(done + ends - counts), pa.array(counts), list_array(ids, np.r_[0, ends], pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "own", "n", "ids"])
@@ -287,5 +297,5 @@ def with_crc(pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added=True)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")

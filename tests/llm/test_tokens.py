@@ -82,3 +82,19 @@ def test_empty_table(spark, docs, tmp_path):
 def test_repeated_rows_and_null_ids_are_packed_each(spark):
     rows = tokens.pack(brute.frame(spark, [(1, "a b"), (1, "a b"), (None, None)]), PATH).collect()
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 3), (1, 3)]
+
+
+def test_added_tokens_in_texts_are_those_tokens(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y  z", "plain words here", "<|endoftext|><|endoftext|> w", "<|endof text|>", "words <|endoftext|", None]
+    rows = list(enumerate(texts))
+    brute.frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    loaded = Tokenizer.from_file(PATH)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    wanted = {i: loaded.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert wanted[0] == [64, 50256, 65]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.op2_token_output(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(ids) + 1, crc(ids + [2])) for i, ids in wanted.items()}
+    for out in (tokens.op8_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, brute.frame(spark, rows), str(tmp_path))):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in out.collect()} == {i: (len(ids) + 1, crc(ids + [0])) for i, ids in wanted.items()}

@@ -1,8 +1,9 @@
 """Secret scans in DataFrame functions: three fixed patterns, and character models.
 
 The models are first-order Markov chains over characters, one of random
-strings (values that the fixed patterns find) and one of ordinary identifiers
-(long tokens around them).  A token is reported when its log-likelihood ratio
+strings (values that the fixed patterns find, and strings drawn from several
+alphabets, which those values may lack) and one of ordinary identifiers (the
+words around them, some as in paths, hyphened names and constants).  A token is reported when its log-likelihood ratio
 for each character is above a threshold.
 """
 
@@ -26,6 +27,9 @@ IDENTIFIER = r"\b[A-Za-z][A-Za-z_]{5,}\b"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CLASSES = len(ALPHABET) + 1
+#: Alphabets that keys are written in; the random model learns from strings drawn from each.
+LETTERS, DIGITS = ALPHABET[:52], ALPHABET[52:62]
+DRAWN = [LETTERS + DIGITS, LETTERS + DIGITS + "+/", LETTERS[:26] + DIGITS, DIGITS + "abcdef"]
 SPANS = "array<struct<start: bigint, end: bigint, kind: string, value: string>>"
 
 
@@ -80,12 +84,29 @@ def train(labelled: DataFrame, smooth: float = 0.5, backoff: float = 30.0) -> li
     return [random - plain for plain, random in zip(*logs)]
 
 
+def random_strings(spark, n: int) -> DataFrame:
+    """``n`` strings of each alphabet of ``DRAWN``, of 20 to 64 characters; the same in every run."""
+    one = "substring(letters, pmod(xxhash64(id, kind, i), length(letters)) + 1, 1)"
+    kinds = F.posexplode(F.array(*map(F.lit, DRAWN))).alias("kind", "letters")
+    return spark.range(n).select("id", kinds).selectExpr(f"array_join(transform(sequence(1, 20 + pmod(id, 45)), i -> {one}), '') AS value")
+
+
 def labelled_samples(spans: DataFrame, docs: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` values of each label: 1 for what the fixed patterns found, 0 for identifiers of ``sample / 20`` documents."""
+    """Samples of both labels, at most ``sample`` values of each source.
+
+    1 for what the fixed patterns found and for strings drawn from each
+    alphabet, 0 for identifiers of ``sample / 20`` documents.  One identifier
+    in 20 stands between slashes, one between hyphens and one in capitals: the
+    joints of names are no sign of a key.
+    """
     secret = spans.select("value", F.lit(1).alias("label"))
+    drawn = random_strings(docs.sparkSession, sample).select("value", F.lit(1).alias("label"))
     some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 20)
-    plain = some.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label"))
-    return secret.orderBy(F.xxhash64("value"), "value").limit(sample).union(plain.orderBy(F.xxhash64("value"), "value").limit(sample))
+    plain = some.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("pos", "value"))
+    plain = plain.selectExpr("value", "pmod(xxhash64(doc_id, pos), 20) AS form", "0 AS label")
+    plain, form = plain.orderBy(F.xxhash64("value"), "value", "form").limit(sample), F.col("form")
+    name = F.when(form == 0, F.concat(F.lit("/"), "value", F.lit("/"))).when(form == 1, F.concat(F.lit("-"), "value", F.lit("-"))).when(form == 2, F.upper("value")).otherwise(F.col("value"))
+    return secret.orderBy(F.xxhash64("value"), "value").limit(sample).union(drawn).union(plain.select(name.alias("value"), "label"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
@@ -93,7 +114,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
     Null texts count as empty, repeated rows are scanned each, and an empty
     table gives no rows.  The models are trained on at most ``sample`` values
-    of each label; where there is no value of a label no span is added.
+    of each source; where there is no identifier no span is added.
     Candidates of the models are tokens of 20 characters or more with a digit
     and a letter that no base span touches.
     """

@@ -43,6 +43,29 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert np.mean([got[2000 + i] for i in range(40)]) <= 0.1
 
 
+def test_random_strings_of_alphabets_that_the_base_values_lack(spark):
+    import random
+    from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
+
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    names = ["quarterly", "bounding", "vectors", "workflow", "justified", "example", "keyword", "mixture", "puzzle", "hardware"]
+    name = lambda joint: joint.join(rng.choice(names) for _ in range(3))
+    kinds = {
+        "base62": lambda: draw(ascii_letters + digits, 40), "prefix": lambda: "ghp_" + draw(ascii_letters + digits, 36), "base64": lambda: "a1" + draw(ascii_letters + digits + "+/", 42),
+        "lower": lambda: "a1" + draw(ascii_lowercase + digits, 30), "upper": lambda: "A1" + draw(ascii_uppercase + digits, 18), "hex": lambda: "a1" + draw(digits + "abcdef", 22),
+        "snake": lambda: name("_") + "_2", "path": lambda: name("/") + "/v1", "hyphen": lambda: name("-") + "-2024", "constant": lambda: name("_").upper() + "_1",
+    }
+    rows = [(i, f"{' '.join(names)} token = {draw(digits + 'abcdef', 40)}") for i in range(100)]
+    keys = {1000 * k + i: kind for k, kind in enumerate(kinds, 1) for i in range(100)}
+    rows += [(i, f"x1 {kinds[kind]()} y") for i, kind in keys.items()]
+    got = {r.doc_id: len(r.added) for r in secret_scan.scan(brute.frame(spark, rows)).collect()}
+    share = {kind: np.mean([got[i] for i, k in keys.items() if k == kind]) for kind in kinds}
+    print(share)
+    assert all(share[k] >= 0.95 for k in ("base62", "prefix", "base64", "lower", "upper", "hex")), share
+    assert all(share[k] <= 0.05 for k in ("snake", "path", "hyphen", "constant")), share
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_rows(spark, n):
     docs = brute.frame(spark, [(1, None)]).limit(n)

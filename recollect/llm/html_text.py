@@ -8,7 +8,7 @@ line around paragraphs, markers before list items, table cells in columns.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -22,8 +22,8 @@ BLANK = re.compile(r"[ \t\r\n\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math select textarea meta link".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas meta link".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure hr form fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div article section nav aside header footer main address li dt dd tr caption figcaption details summary legend option center dir menu hgroup search".split())
 #: An opening tag ends open elements of these kinds, up to the nearest of the limits.
 IMPLIED = {
@@ -32,14 +32,20 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, {"html"}),
 }
+#: Tags that may stand in the head; any other, and text, ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title html".split())
+#: Elements of drawings and formulas whose text is not shown; there ``/>`` ends an element.
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 SCOPE = frozenset("table td th caption html body".split())
 
 
 class Node:
-    __slots__ = ("children", "attributes", "tag")
+    __slots__ = ("children", "attributes", "tag", "rows")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.rows = False  # has rows of the table around it
 
     def shown(self) -> bool:
         a = self.attributes
@@ -50,6 +56,7 @@ def build(html: str) -> Node:
     """The tree of a page, with implied end tags and rows; unmatched end tags are passed over."""
     root = Node("html", {})
     stack, at = [root], 0
+    head = foreign = 0  # places in the stack, 0 for none
 
     def close(kinds: set, limits: frozenset | set) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -59,9 +66,22 @@ def build(html: str) -> Node:
             if stack[i].tag in limits:
                 return
 
+    def add(node: Node) -> None:
+        if node.tag == "tr":
+            for n in reversed(stack):
+                if n.rows or n.tag in SCOPE:
+                    break
+                n.rows = True
+        stack[-1].children.append(node)
+
+    def text(piece: str) -> None:
+        if stack[-1].tag == "head" and piece.strip():
+            stack.pop()
+        stack[-1].children.append(piece)
+
     while match := MARKUP.search(html, at):
         if match.start() > at:
-            stack[-1].children.append(html[at : match.start()])
+            text(html[at : match.start()])
         at = match.end()
         if not match[2]:
             continue
@@ -73,6 +93,12 @@ def build(html: str) -> Node:
             continue
         if tag == "html":
             continue
+        if head and (len(stack) <= head or stack[head].tag != "head"):
+            head = 0
+        if head and tag not in HEAD:
+            close({"head"}, {"template", "noscript"})
+        if len(stack) <= foreign:
+            foreign = 0
         kinds, limits = IMPLIED.get(tag, (None, None))
         if kinds:
             close(kinds, limits)
@@ -83,19 +109,30 @@ def build(html: str) -> Node:
             close({"p"}, SCOPE)
         if tag in ("td", "th") and stack[-1].tag != "tr" and any(n.tag == "table" for n in stack):
             row = Node("tr", {})
-            stack[-1].children.append(row)
+            add(row)
             stack.append(row)
         node = Node(tag, {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(match[3])} if match[3] else {})
-        stack[-1].children.append(node)
+        if foreign and tag in FOREIGN_UNSEEN:
+            node.attributes["hidden"] = ""
+        add(node)
+        if (foreign or tag in FOREIGN) and match[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
+            if tag not in UNSEEN:
+                inner = html[at : end.start() if end else len(html)]
+                node.children.append(inner if tag == "textarea" else inner.replace("&", "&amp;"))
             at = end.start() if end else len(html)
             if end:
                 at = html.find(">", end.start()) + 1 or len(html)
         elif tag not in VOID:
+            if tag == "head":
+                head = len(stack)
+            elif tag in FOREIGN:
+                foreign = foreign or len(stack)
             stack.append(node)
     if at < len(html):
-        stack[-1].children.append(html[at:])
+        text(html[at:])
     return root
 
 
@@ -140,14 +177,33 @@ class Page:
         return "\n".join(self.lines)
 
 
-def render(node: Node, page: Page, kept: bool = False) -> None:
-    """Depth first, without recursion: a page may nest without bound."""
+def render(node: Node, page: Page) -> None:
+    """Depth first, without recursion: a page, and tables in tables, may nest without bound."""
+    running, lines = [flow(node, page)], None
+    while running:
+        try:
+            inner = running[-1].send(lines)
+        except StopIteration as done:
+            running.pop()
+            lines = done.value
+        else:
+            running.append(inner)
+            lines = None
+
+
+def flow(node: Node, page: Page, kept: bool = False) -> Generator:
+    """Renders a node; yields the parts that have pages of their own to ``render``, which runs them first."""
     todo: list = [("open", node, kept)]
     marks: list[tuple[str, int]] = []
     while todo:
         what, node, kept = todo.pop()
         if what == "text":
             page.put(node, kept)
+        elif what == "table":
+            page.end_line(1)
+            if lines := (yield table(node)):
+                page.lines += ([""] if page.lines and page.gap else []) + lines
+                page.gap = 1
         elif what == "close":
             page.end_line(1 if node.tag in PARAGRAPHS and not (node.tag in ("ul", "ol") and len(marks) > 1) else 0)
             if node.tag in ("ul", "ol", "menu", "dir"):
@@ -159,9 +215,10 @@ def render(node: Node, page: Page, kept: bool = False) -> None:
         elif node.shown():
             tag = node.tag
             if tag == "table":
-                page.end_line(1)
-                page.lines += ([""] if page.lines and page.gap else []) + table(node)
-                page.gap = 1
+                before, rows = parts_of(node)
+                todo.append(("table", rows, kept))
+                for child in reversed(before):
+                    todo.append(("text" if isinstance(child, str) else "open", child, kept))
                 continue
             if tag in BLOCKS:
                 page.end_line(1 if tag in PARAGRAPHS and not (tag in ("ul", "ol") and marks) else 0)
@@ -173,7 +230,7 @@ def render(node: Node, page: Page, kept: bool = False) -> None:
                     kind, n = marks.pop() if marks else ("ul", 0)
                     marks.append((kind, n + 1))
                     page.lead = "  " * (len(marks) - 1) + (f"{n + 1}. " if kind == "ol" else "- ")
-            inside = kept or tag in ("pre", "xmp")
+            inside = kept or tag in ("pre", "xmp", "textarea")
             children = [c for c in node.children if isinstance(c, str) or c.tag == "summary"] if tag == "details" and "open" not in node.attributes else node.children
             if tag == "details" and "open" not in node.attributes:
                 children = [c for c in children if not isinstance(c, str)]
@@ -181,32 +238,53 @@ def render(node: Node, page: Page, kept: bool = False) -> None:
                 todo.append(("text", child, inside) if isinstance(child, str) else ("open", child, inside))
 
 
-def rows_of(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if not isinstance(child, str) and child.shown():
-            if child.tag in ("tr", "caption"):
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from (c for c in child.children if not isinstance(c, str) and c.tag == "tr" and c.shown())
-
-
-def table(node: Node, depth: int = 0) -> list[str]:
+def parts_of(node: Node) -> tuple[list, list]:
+    """What stands in a table outside its cells, which is shown before it, and its captions and rows (lists of cells)."""
+    before, rows = [], []
+    todo = [(child, None) for child in reversed(node.children)]
+    while todo:
+        child, cells = todo.pop()
+        if isinstance(child, str):
+            if child.strip(" \t\r\n\f"):
+                before.append(child)
+        elif not child.shown():
+            continue
+        elif child.tag == "caption":
+            rows.append(child)
+        elif child.tag in ("td", "th") and cells is not None:
+            cells.append(child)
+        elif child.tag == "tr" or child.rows or child.tag in ("thead", "tbody", "tfoot", "colgroup"):
+            if child.tag == "tr" and cells is None:
+                cells = []
+                rows.append(cells)
+            for c in reversed(child.children):
+                if isinstance(c, str) and child.rows and child.tag in BLOCKS:
+                    line = Node("div", {})
+                    line.children.append(c)
+                    c = line if c.strip() else c
+                todo.append((c, cells))
+        else:
+            before.append(child)
+    return before, rows
+
+
+def table(rows: list) -> Generator:
     """Lines of a table: each column as wide as its widest cell that spans no other."""
     head, grid, widths = [], [], []
-    for row in rows_of(node):
-        if row.tag == "caption":
+    for row in rows:
+        if isinstance(row, Node):
             page = Page()
-            render(row, page)
+            yield flow(row, page)
             head += page.text().split("\n")
             continue
         cells = []
-        for cell in row.children:
-            if isinstance(cell, str) or not cell.shown():
-                continue
+        for cell in row:
             page = Page()
-            if depth < 20:
-                for child in cell.children:
-                    page.put(child) if isinstance(child, str) else render(child, page)
+            for child in cell.children:
+                if isinstance(child, str):
+                    page.put(child)
+                else:
+                    yield flow(child, page)
             lines = page.text().split("\n")
             span = cell.attributes.get("colspan", "1")
             span = max(1, min(int(span), 100)) if span.isdigit() else 1

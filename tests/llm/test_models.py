@@ -136,6 +136,21 @@ def test_page_text(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><form><tr><td>a<td>b</tr></form></table>", "a  b"), ("<table><center><tr><td>a<tr><td>b</center></table>", "a\nb"), ("<table><p>note</p><tr><td>a</table>", "note\n\na"),
+    ("<table>x<tbody>y<tr>z<td>a</table>", "xyz\n\na"), ("<table><tr><form><td>a<td>b</form><td>c</table>", "a  b  c"), ("<table><script>no</script><div>one<tr><td>a</div></table>", "one\n\na"),
+    ("<head><title>t</title><p>text", "text"), ("<head><title>t</title>text", "text"), ("<head><noscript><p>no</p></noscript><meta x><style>no</style></head><body>yes", "yes"), ("<head><link x>\n<div>a</div><title>no</title>b", "a\nb"),
+    ("a <svg><title>no</title><desc>no</desc><defs/><path d=''/><text>drawn</text></svg> b", "a drawn b"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<select><option>one<option>two</select>", "one\ntwo"), ("<textarea>a &amp; <b>\n  c</textarea>", "a & <b>\n  c"), ("<xmp>a &amp; <b></xmp>", "a &amp; <b>"), ("<table><tr><td><table><tr><td>in<td>ner</table><td>b</table>", "in  ner  b"),
+])
+def test_page_text_that_is_easily_lost(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_tables_nest_without_bound():
+    assert html_text.visible_text("<table><tr><td>" * 3000 + "deep") == "deep"
+
+
 def test_deep_pages_and_other_columns(spark):
     rows = [(1, "u", "<div>" * 5000 + "deep", "old"), (2, None, None, None), (2, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -18,14 +18,15 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float, most: int = 1000) -> DataFrame:
     """(query_id, id, sim, rk): the k vectors nearest to each query, itself left out.
 
-    ``queries`` is a stated set of at most ``most`` rows, which every task
-    holds; vectors stream past it and are not shuffled, and each task keeps
-    only its best k by the partial limit of the rank.
+    Every task holds up to ``most`` queries; vectors stream past them and are
+    not shuffled, and each task keeps only its best k by the partial limit of
+    the rank.  More queries are cut into blocks of about ``most``, and each
+    task pairs one block with one part of the vectors.
     """
-    few = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).limit(most + 1)
-    if few.count() > most:
-        raise ValueError(f"more than {most} queries: give them in blocks")
-    pairs = vectors.crossJoin(F.broadcast(few)).filter("id <> query_id")
+    few = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    n = few.count()
+    few = F.broadcast(few) if n <= most else few.repartition(-(-n // most), "query_id")
+    pairs = vectors.crossJoin(few).filter("id <> query_id")
     scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).filter(F.col("sim") >= least)
     return scored.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))).filter(F.col("rk") <= k)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,14 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; decides on a broadcast without reading further."""
     return df.limit(rows + 1).count() <= rows
@@ -79,6 +90,13 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat bytes and the n + 1 offsets of a column of texts or bytes without nulls, not copied."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
@@ -91,6 +109,32 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
 
 
+def portions(offsets: np.ndarray, size: int, rows: int | None = None) -> list[tuple[int, int]]:
+    """(from, to) of slices whose offsets differ by ``size`` at most and that have ``rows`` at most, one row at least."""
+    at, made, n = 0, [], len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        to = min(to, n, at + (rows or n))
+        made.append((at, to))
+        at = to
+    return made
+
+
+def portioned(batch: pa.RecordBatch, column: str, size: int, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose text or list ``column`` has so many bytes or elements at most; work on them needs bounded memory."""
+    values = batch.column(column)
+    lengths = (pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length)(values)
+    for a, b in portions(np.r_[0, np.cumsum(pc.fill_null(lengths, 0).to_numpy().astype(np.int64))], size, rows):
+        yield batch.slice(a, b - a)
+
+
+def give_back() -> None:
+    """Return this worker's unused memory to the system: it stays alive between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 20_000, size: int = 32 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key``; several small groups come in one table."""
     held: list[pa.RecordBatch] = []

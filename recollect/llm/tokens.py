@@ -9,7 +9,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +17,69 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, lists, ragged, scratch, spool, text_or_empty
-
-#: Words whose ids a worker remembers (about 200 bytes each); it starts anew when they are more.
-REMEMBERED = 500_000
-#: New words that are encoded at a time.
-LEARNT_AT_ONCE = 20_000
-#: Words that the tokenizer is given as one text.
-JOINED = 1000
-#: How a token that starts with a space starts in the vocabulary of a byte-level BPE.
-SPACE = "\u0120"
-#: Bytes of text that are encoded at a time (one text at least).
-AT_ONCE = 4 << 20
+from .common import give_back, list_array, lists, portioned, portions, ragged, scratch, spool, text_or_empty, texts_of
+
+#: Bytes of text whose units are told apart together (one text at least), and bytes of text that are cut or put out at a time.
+AT_ONCE, PORTION = 24 << 20, 4 << 20
+#: Units that the tokenizer is given as one text, and texts that it is given at a time.
+JOINED, BATCH = 1000, 50
+#: How a token that starts with a space starts in the vocabulary of a byte-level BPE, and its token of a line end.
+SPACE, LINE_END = "\u0120", "\u010a"
+#: Classes of bytes: blank, other white space, letter, digit, other sign, apostrophe, never white space, anything.
+BLANK, WHITE, LETTER, DIGIT, SIGN, APOSTROPHE, SOLID, ANY = range(8)
+CLASS = np.full(256, SOLID, np.uint8)
+CLASS[:0x20], CLASS[0x20], CLASS[0x21:0x7F], CLASS[0x7F] = ANY, BLANK, SIGN, ANY
+CLASS[[9, 10, 13]], CLASS[0x30:0x3A], CLASS[0x27] = WHITE, DIGIT, APOSTROPHE
+CLASS[0x41:0x5B] = CLASS[0x61:0x7B] = LETTER
+CLASS[0xC2] = CLASS[0xE1:0xE4] = ANY  # first bytes of all characters beyond ASCII that are white space
+#: Neighbours of these classes are never in one piece of the tokenizer's pattern, whatever stands around them.
+APART = np.zeros((8, 8), bool)
+APART[LETTER:ANY, :LETTER] = APART[WHITE, LETTER:ANY] = True
+for _x, _y in ((LETTER, DIGIT), (LETTER, SIGN), (DIGIT, SIGN)):
+    APART[_x, _y] = APART[_y, _x] = True
+APART[[LETTER, DIGIT], APOSTROPHE] = True
+
+
+def classes(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8; a character's bytes have one class."""
+    kinds = CLASS[raw]
+    at = np.flatnonzero(raw >= 0x80)
+    if len(at):
+        byte, own = raw[at], kinds[at]
+        follows = raw[np.minimum(at + 1, len(raw) - 1)]
+        own[(byte == 0xC3) & (follows != 0x97) & (follows != 0xB7)] = LETTER
+        first = np.maximum.accumulate(np.where(byte >= 0xC0, np.arange(len(at)), 0))
+        kinds[at] = own[first]
+    return kinds
+
+
+def cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin: at their starts, and where no piece of the pattern can lie across.
+
+    Of several white characters before a sign the last is a unit of its own or begins the next.
+    """
+    kinds = classes(raw)
+    cut = np.ones(len(raw), bool)
+    np.take(APART.ravel(), kinds[:-1] * np.uint8(8) + kinds[1:], out=cut[1:])
+    gap = kinds <= WHITE
+    last = np.flatnonzero(gap[:-1] & gap[1:]) + 1
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[starts] = begin[-1] = True
+    last = last[~begin[last + 1]]
+    after = kinds[last + 1]
+    cut[last[(after >= LETTER) & (after <= SOLID)]] = True
+    cut |= begin[:-1]
+    return np.flatnonzero(cut).astype(np.int32)
 
 
 class Encoder:
-    """Ids of whole texts, with the words it has met before taken from memory.
+    """Ids of whole texts; each distinct unit of a stretch of text is encoded once.
 
-    This byte-level BPE never merges across the start of a word after a space,
-    so the ids of a text are those of its space-separated words, each with the
-    space before it.  That holds unless white space follows a space; such texts
-    go to the tokenizer whole.  New words go to it joined, and the tokens that
-    start with a space say where each begins.
+    Units are parts of a text between places where the tokenizer's pattern
+    always begins a new piece, so the ids of a text are those of its units.
+    The tokenizer is given many units joined: those that begin with a space,
+    as the first token of each begins with it, and those without white space
+    on lines of their own.  All others go to it one by one.
 
     With ``added``, the string of an added token (as ``<|endoftext|>``) is that
     token wherever it stands in a text, as the file's defaults have it; texts
@@ -54,76 +94,76 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.tokenizer.get_vocab()
-        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.top = max(vocabulary.values())
+        self.leads, self.ends = np.zeros((2, self.top + 1), bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.first, self.inner = {}, {}
-        self.pool, self.starts, self.lengths, self.plain = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ends[vocabulary[LINE_END]] = True
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of words, and the number of ids of each."""
-        ids = self.whole(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum())), lengths
+    def each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of units, and the number of ids of each."""
+        ids = [np.array(x, np.int32) for i in range(0, len(units), JOINED) for x in self.whole(units[i : i + JOINED])]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same, of words that have a space before them and no white space after it."""
-        ids = [np.array(x, np.int32) for x in self.whole([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])]
+    def joined(self, units: list[str], line_end: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same, of units that all begin with a space, or that have no white space and are joined by ``line_end``."""
+        texts = [line_end.join(units[i : i + JOINED]) + line_end for i in range(0, len(units), JOINED)]
+        ids = [np.array(x, np.int32) for i in range(0, len(texts), BATCH) for x in self.whole(texts[i : i + BATCH])]
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        begins = np.flatnonzero(self.leads[flat])
-        return (flat, np.diff(np.r_[begins, len(flat)])) if len(begins) == len(words) else self.each([" " + w for w in words])
-
-    def numbers(self, known: dict[str, int], words: pa.Array) -> np.ndarray:
-        """Numbers of distinct words; those not in ``known`` are encoded, after a space where that is ``inner``."""
-        listed = words.to_numpy(zero_copy_only=False).tolist()
-        number = np.fromiter(map(known.get, listed, repeat(-1)), np.int64, len(listed))
-        new = np.flatnonzero(number < 0)
-        for at in range(0, len(new), LEARNT_AT_ONCE):
-            part = new[at : at + LEARNT_AT_ONCE]
-            leads = pc.utf8_slice_codeunits(words.take(pa.array(part)), 0, 1).dictionary_encode()
-            plain = np.array([c != "" and not c.isspace() for c in leads.dictionary.to_pylist()], bool)[leads.indices.to_numpy()]
-            if known is self.first:
-                plain |= np.array([c == "" for c in leads.dictionary.to_pylist()], bool)[leads.indices.to_numpy()]
-            chosen = [listed[i] for i in part[plain].tolist()]
-            ids, own = self.joined(chosen) if known is self.inner else self.each(chosen)
-            lengths = np.zeros(len(part), np.int64)
-            lengths[plain] = own
-            number[part] = len(self.starts) + np.arange(len(part))
-            known.update(zip([listed[i] for i in part.tolist()], number[part].tolist()))
-            self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(lengths) - lengths]
-            self.pool, self.lengths, self.plain = np.r_[self.pool, ids], np.r_[self.lengths, lengths], np.r_[self.plain, plain]
-        return number
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, and the number of ids of each."""
-        if len(self.starts) > REMEMBERED:
-            self.forget()
-        parts = pc.split_pattern(texts, " ")
-        ends = parts.offsets.to_numpy().astype(np.int64)
-        words = parts.values.slice(ends[0], ends[-1] - ends[0])
-        ends -= ends[0]
-        distinct = words.dictionary_encode()
-        number = self.numbers(self.inner, distinct.dictionary)[distinct.indices.to_numpy()]
-        start = words.take(pa.array(ends[:-1])).dictionary_encode()
-        number[ends[:-1]] = self.numbers(self.first, start.dictionary)[start.indices.to_numpy()]
-        per_word = self.lengths[number]
-        counts = np.diff(np.r_[0, np.cumsum(per_word)][ends])
-        ids = self.pool[ragged(self.starts[number], per_word)]
-        whole = np.diff(np.r_[0, np.cumsum(~self.plain[number])][ends]) > 0
-        for content in self.added:
-            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
-        odd = np.flatnonzero(whole)
-        if len(odd):
-            pieces = np.split(ids, np.cumsum(counts)[:-1])
-            for i, own in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist())):
-                pieces[i], counts[i] = np.array(own, np.int32), len(own)
-            ids = np.concatenate(pieces)
-        return ids, counts
+        if line_end:
+            end = self.ends[flat]
+            lengths, flat = np.diff(np.r_[-1, np.flatnonzero(end)]) - 1, flat[~end]
+        else:
+            lengths = np.diff(np.r_[np.flatnonzero(self.leads[flat]), len(flat)])
+        return (flat, lengths) if len(lengths) == len(units) else self.each(units)
+
+    def units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where those of each unit begin and how many they are."""
+        raw, offsets = texts_of(distinct)
+        kinds, first = classes(raw), offsets[:-1]
+        loose = np.add.reduceat(((kinds < LETTER) | (kinds == ANY)).astype(np.int32), first)
+        led = (kinds[first] == BLANK) & (loose == 1) & (np.diff(offsets) > 1)
+        order, pools, lengths = [], [], []
+        for chosen, make in ((led, lambda u: self.joined(u, "")), (loose == 0, lambda u: self.joined(u, "\n")), (~led & (loose > 0), self.each)):
+            at = np.flatnonzero(chosen)
+            ids, n = make(distinct.take(pa.array(at)).cast(pa.string()).to_numpy(zero_copy_only=False).tolist())
+            order.append(at)
+            pools.append(ids)
+            lengths.append(n)
+        made = np.concatenate(lengths)
+        where = np.concatenate(order)
+        starts, counts = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        starts[where], counts[where] = np.cumsum(made) - made, made
+        return np.concatenate(pools), starts, counts
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, flat ids, number of ids of each) of one portion of the texts after another."""
+        raw, offsets = texts_of(texts)
+        slices = portions(offsets, PORTION)
+        begins = np.concatenate([np.zeros(0, np.int32), *(offsets[a] + cuts(raw[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]) for a, b in slices if offsets[b] > offsets[a])])
+        pool, starts, lengths, number = (np.zeros(0, np.int64),) * 4
+        if len(begins):
+            found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.append(begins, np.int32(len(raw)))), pa.py_buffer(raw)]).dictionary_encode()
+            pool, starts, lengths = self.units(found.dictionary)
+            number = found.indices.to_numpy()
+        unit = np.searchsorted(begins, offsets)
+        for a, b in slices:
+            own = number[unit[a] : unit[b]]
+            per = lengths[own]
+            counts = np.diff(np.r_[0, np.cumsum(per)][unit[a : b + 1] - unit[a]])
+            ids = pool[ragged(starts[own], per)]
+            part, whole = texts.slice(a, b - a), np.zeros(b - a, bool)
+            for content in self.added:
+                whole |= pc.match_substring(part, content).to_numpy(zero_copy_only=False)
+            odd = np.flatnonzero(whole)
+            if len(odd):
+                pieces = np.split(ids, np.cumsum(counts)[:-1])
+                for i, own in zip(odd, self.whole(part.take(pa.array(odd)).to_pylist())):
+                    pieces[i], counts[i] = np.array(own, np.int32), len(own)
+                ids = np.concatenate(pieces)
+            yield a, b, ids, counts
 
 
 @lru_cache(maxsize=1)
@@ -140,15 +180,12 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, added: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches, with the ids of their column ``text``, in pieces of bounded size."""
-    make = encoder(path, added)
     for batch in batches:
-        texts, at = batch.column("text"), 0
-        upto = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))]
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(upto, upto[at] + AT_ONCE, "right")) - 1)
-            yield batch.slice(at, to - at), *with_end(*make.encode(texts.slice(at, to - at)), end_id)
-            at = to
-    make.forget()  # the worker may go on to other work
+        for part in portioned(batch, "text", AT_ONCE):
+            for a, b, ids, counts in encoder(path, added).encode(part.column("text")):
+                yield part.slice(a, b - a), *with_end(ids, counts, end_id)
+    encoder.cache_clear()  # the worker may go on to other work
+    give_back()
 
 
 def crc_of(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -189,10 +226,17 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, id_
     docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>").write.options(**FORMAT | options).parquet(out)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """The files of ``write_tokens`` with ``part`` and ``row``, their order; columns that are not selected are not read."""
+def read_tokens(spark, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The files of ``write_tokens`` with ``part`` and ``row``, their order; columns that are not selected are not read.
+
+    With ``first`` and ``last``, only documents of these ids and between: files,
+    row groups and pages without any are skipped by their statistics.
+    """
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    return spark.read.parquet(path).select("*", part.alias("part"), F.col("_metadata.row_index").alias("row"))
+    rows = spark.read.parquet(path)
+    rows = rows if first is None else rows.filter(F.col("doc_id") >= first)
+    rows = rows if last is None else rows.filter(F.col("doc_id") <= last)
+    return rows.select("*", part.alias("part"), F.col("_metadata.row_index").alias("row"))
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
@@ -238,26 +282,31 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, i
     """
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    # ids are kept as bytes between the passes: a column of bytes is copied whole where a list is written id by id
+    kept_as = "<u2" if max(encoder(tokenizer, added).top, end_id) < 1 << 16 else "<u4"
+    encoder.cache_clear()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, part = 0, TaskContext.get().partitionId()
         for rows, ids, counts in encoded(batches, tokenizer, end_id, added):
             ends = np.cumsum(counts)
-            arrays = [rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(done + ends - counts), pa.array(counts), list_array(ids, np.r_[0, ends], pa.int32())]
+            size = np.dtype(kept_as).itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((np.r_[0, ends] * size).astype(np.int32)), pa.py_buffer(ids.astype(kept_as))])
+            arrays = [rows.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(done + ends - counts), pa.array(counts), data]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "own", "n", "ids"])
             done += int(ends[-1])
 
-    rows = spool(docs.mapInArrow(first, f"doc_id {kind}, part int, own bigint, n bigint, ids array<int>"), "ids")
+    rows = spool(docs.mapInArrow(first, f"doc_id {kind}, part int, own bigint, n bigint, ids binary"), "ids")
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))  # a row for each partition
     all_ids = rows.agg(F.sum("n")).first()[0] or 0
     last, rest = divmod(all_ids, length)
-    rows = rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("own")).alias("at"), "ids")
+    rows = rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("own")).alias("at"), "n", "ids")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, offsets = lists(batch.column("ids"))
-            at, n = batch.column("at").to_numpy(), np.diff(offsets).astype(np.int64)
+        for batch in (part for whole in batches for part in portioned(whole, "ids", PORTION)):
+            ids = texts_of(batch.column("ids"))[0].view(kept_as).astype(np.int32)
+            at, n = batch.column("at").to_numpy(), batch.column("n").to_numpy()
             pieces = (at + n - 1) // length - at // length + 1
             doc = np.repeat(np.arange(len(n)), pieces)
             sequence = ragged(at // length, pieces)

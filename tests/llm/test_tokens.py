@@ -98,3 +98,52 @@ def test_added_tokens_in_texts_are_those_tokens(spark, tmp_path):
     assert got == {i: (len(ids) + 1, crc(ids + [2])) for i, ids in wanted.items()}
     for out in (tokens.op8_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, brute.frame(spark, rows), str(tmp_path))):
         assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in out.collect()} == {i: (len(ids) + 1, crc(ids + [0])) for i, ids in wanted.items()}
+
+
+@pytest.mark.parametrize("added", [True, False])
+def test_ids_are_those_of_the_library_on_odd_texts(added, monkeypatch):
+    """Joined units, portions and white space of every kind, against whole texts."""
+    import random
+
+    import pyarrow as pa
+
+    for name, value in {"JOINED": 7, "BATCH": 3, "PORTION": 200}.items():
+        monkeypatch.setattr(tokens, name, value)
+    parts = "a b Z don 's 'll ' ll 7 42 . !! , é × ÷ ß 日本 İ я ٣ ½ _ - 😀 ñ ª ⅷ <|endoftext|>".split() + [" ", "  ", "\n", "\t", "\r\n"]
+    parts += [chr(x) for x in (0, 0x0B, 0x1C, 0x7F, 0x85, 0xA0, 0x1680, 0x2003, 0x200B, 0x2028, 0x3000, 0x301)]
+    rng = random.Random(5)
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = not added
+    encoder = tokens.Encoder(PATH, added)
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 8, 30]))) for _ in range(60)]
+        got = [x.tolist() for _, _, ids, counts in encoder.encode(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_file_format_lets_readers_skip(docs, tmp_path):
+    """Footers name delta encoding and page indexes, rows are in order, and a range of ids reads few row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    tokens.write_tokens(docs, f"{tmp_path}/ids", PATH, **{"parquet.block.row.count.limit": "16"})
+    groups, with_rows = 0, 0
+    for file in sorted(glob.glob(f"{tmp_path}/ids/part-*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            columns = [meta.row_group(g).column(i) for i in range(meta.num_columns)]
+            ids = next(c for c in columns if c.path_in_schema.startswith("ids"))
+            assert "DELTA_BINARY_PACKED" in ids.encodings and not ids.has_dictionary_page
+            assert all(c.has_offset_index and c.has_column_index for c in columns)
+            own = next(c for c in columns if c.path_in_schema == "doc_id").statistics
+            groups, with_rows = groups + 1, with_rows + (own.min <= 20 <= own.max)
+    assert with_rows == 1 and groups > 1
+
+
+def test_chosen_documents_are_read_by_a_pushed_filter(spark, docs, tmp_path):
+    tokens.write_tokens(docs, f"{tmp_path}/ids", PATH)
+    chosen = tokens.read_tokens(spark, f"{tmp_path}/ids", first=10, last=12)
+    assert "GreaterThanOrEqual(doc_id,10)" in chosen._jdf.queryExecution().executedPlan().toString()
+    wanted = ids_of(2)
+    assert {r.doc_id: r["ids"] for r in chosen.collect()} == {i: wanted[i] for i in (10, 11, 12)}

@@ -8,80 +8,84 @@ and segments with an anchor of several documents meet in one shard.  A shard's
 automaton is built over its distinct segments, each state with the smallest
 document it occurs in; segments stream through it, and the matching statistics
 give the first document of each window.
+
+Hashes only bring segments together: which are equal is decided on their words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, lists, ragged, spool, text_or_empty, unspool, whole_groups
-from .ngrams import mixed, sliding_min, word_hashes
+from .common import bounds, give_back, lists, portioned, ragged, spool, text_or_empty, unspool, whole_groups
+from .ngrams import gram_hashes, sliding_min, word_hashes
 
 GAP = r"[\x20\x09-\x0D]+"
 #: Words in an anchor, and distinct segments of one anchor above which its segments are cut into single windows.
 ANCHOR, CROWD = 4, 2000
 #: Segments of a shard: its automaton has some 100,000 states.
 SHARD_ROWS = 3000
-ODD = np.uint64(0xD6E8FEB86659FD93)
-
-
-class Prefixes:
-    """Hashes of any run of words in constant time, from sums of powers modulo 2 to the 64th."""
-
-    def __init__(self, words: np.ndarray):
-        powers = np.ones(len(words) + 1, np.uint64)
-        powers[1:] = ODD
-        self.powers = np.cumprod(powers)
-        inverse = np.ones(len(words) + 1, np.uint64)
-        inverse[1:] = np.uint64(pow(int(ODD), -1, 1 << 64))
-        self.inverse = np.cumprod(inverse)
-        self.sums = np.r_[np.uint64(0), np.cumsum(words.view(np.uint64) * self.powers[:-1])]
-
-    def hashes(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        run = (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
-        return mixed(run + np.asarray(lengths).astype(np.uint64))
+#: Words that are cut into segments at a time, and segments of one anchor among them above which they are dealt out evenly.
+WORDS_AT_ONCE, HOT = 1 << 21, 8
 
 
 def segments(words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Document, first word, windows, anchor and hash of each segment."""
+    """Document, first word, windows and anchor of each segment."""
     counts = np.diff(offsets)
     per = np.maximum(counts - window + 1, 0)
     starts = ragged(offsets[:-1].astype(np.int64), per)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
-    prefixes = Prefixes(words)
-    grams = prefixes.hashes(np.arange(len(words) - ANCHOR + 1), ANCHOR)
-    anchors = sliding_min(grams, window - ANCHOR + 1)[starts]
+        return (np.zeros(0, np.int64),) * 4
+    anchors = sliding_min(gram_hashes(words.view(np.uint64), ANCHOR), window - ANCHOR + 1)[starts]
     doc = np.repeat(np.arange(len(counts)), per)
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchors[1:] != anchors[:-1])])
-    n = np.diff(np.r_[first, len(doc)])
-    return doc[first], starts[first] - offsets[doc[first]], n, anchors[first].view(np.int64), prefixes.hashes(starts[first], n + window - 1).view(np.int64)
+    return doc[first], starts[first] - offsets[doc[first]], np.diff(np.r_[first, len(doc)]), anchors[first].view(np.int64)
+
+
+def dealt(doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A salt for each segment, and segments that stand for hot anchors.
+
+    An anchor that many segments of these documents have is known to be shared.
+    Its segments get a salt and spread over all tasks, and one row without
+    windows tells the anchor's own task, so a hot passage makes no hot task.
+    """
+    order = np.argsort(anchor, kind="stable")
+    edges = bounds(anchor[order])
+    hot = np.flatnonzero((np.diff(edges) >= HOT) & (doc[order[edges[:-1]]] != doc[order[edges[1:] - 1]]))
+    salt = np.zeros(len(anchor), np.int32)
+    rows = order[ragged(edges[hot], edges[hot + 1] - edges[hot])]
+    salt[rows] = 1 + (rows * 2654435761 % (1 << 30))
+    return salt, order[edges[hot]]
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor and doc_id, those whose anchor is in two documents or more; holds one document's rows at most."""
     held, known = None, None
     for batch in batches:
+        salted = batch.column("salt").to_numpy() > 0
+        if salted.any():
+            yield batch.filter(pa.array(salted)).drop_columns(["salt"])
+            batch = batch.filter(pa.array(~salted))
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-        anchor = table.column("anchor").to_numpy()
+        anchor, n = table.column("anchor").to_numpy(), table.column("n").to_numpy()
         edges = bounds(anchor)
-        doc = pa.compute.rank(table.column("doc_id"), tiebreaker="dense").to_numpy()
-        several = doc[edges[:-1]] != doc[edges[1:] - 1]
+        doc = pc.rank(table.column("doc_id"), tiebreaker="dense").to_numpy()
+        several = (doc[edges[:-1]] != doc[edges[1:] - 1]) | np.logical_or.reduceat(n == 0, edges[:-1])
         if known is not None and anchor[0] == known:
             several[0] = True
-        keep = np.repeat(several, np.diff(edges))
+        keep = np.repeat(several, np.diff(edges)) & (n > 0)
         known = anchor[-1] if several[-1] else None
         held = None if several[-1] else table.slice(edges[-2]).combine_chunks().to_batches()[0]
-        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+        yield from table.filter(pa.array(keep)).drop_columns(["salt"]).combine_chunks().to_batches()
+    give_back()
 
 
 class Automaton:
@@ -159,92 +163,122 @@ class Automaton:
         return out
 
 
-def first_documents(parts: DataFrame, kind: str, window: int) -> DataFrame:
-    """(seg, firsts) from distinct segments (anchor, seg, first_doc, words): the smallest document of each of its windows."""
+def named(words: bytes) -> bytes:
+    """A key of a word sequence that no two sequences are known to share."""
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def with_words(docs: DataFrame, places: DataFrame, kind: str, window: int) -> DataFrame:
+    """``places`` (doc_id, start, n, anchor) with the words of each segment and their key."""
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("places"))
+    rows = docs.join(by_doc, "doc_id").select("doc_id", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portioned(whole, "places", 50_000)):
+            column = batch.column("places")
+            per, flat = np.diff(column.offsets.to_numpy()), column.flatten()
+            start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+            found, at = [], 0
+            for text, own in zip(batch.column("text").to_pylist(), per.tolist()):
+                words = text.encode().split()  # bytes split at ASCII white space alone
+                found += [b" ".join(words[a:b]) for a, b in zip(start[at : at + own].tolist(), (start[at : at + own] + n[at : at + own] + window - 1).tolist())]
+                at += own
+            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(per)), per)))
+            keys = pa.array([named(w) for w in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([doc, flat.field("start"), flat.field("n"), flat.field("anchor"), keys, pa.array(found, pa.binary())], ["doc_id", "start", "n", "anchor", "key", "words"])
+        give_back()
+
+    return rows.mapInArrow(run, f"doc_id {kind}, start int, n int, anchor bigint, key binary, words binary")
+
+
+def first_documents(distinct: DataFrame, kind: str, window: int) -> DataFrame:
+    """(key, first, firsts) of distinct segments (anchor, words, first_doc).
+
+    The smallest document of each window is ``firsts``; that of a segment that
+    no other one of its anchor can share windows with is ``first`` for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in whole_groups(batches, "anchor", rows=SHARD_ROWS, size=1 << 30):
+            words, docs = shard.column("words").to_pylist(), shard.column("first_doc").to_pylist()
+            edges = bounds(shard.column("anchor").to_numpy())
+            met = np.repeat(np.diff(edges) > 1, np.diff(edges)).tolist()
             automaton = Automaton()
-            words, docs = [w.split(b" ") for w in shard.column("words").to_pylist()], shard.column("first_doc").to_pylist()
-            for sequence, doc in zip(words, docs):
-                automaton.add(sequence, doc)
+            for sequence, doc, several in zip(words, docs, met):
+                if several:
+                    automaton.add(sequence.split(b" "), doc)
             automaton.finish()
-            firsts = [automaton.first_of_windows(sequence, window) for sequence in words]
-            yield pa.RecordBatch.from_arrays([shard.column("seg").combine_chunks(), pa.array(firsts, pa.list_(shard.schema.field("first_doc").type))], ["seg", "firsts"])
+            firsts = [automaton.first_of_windows(sequence.split(b" "), window) if several else None for sequence, several in zip(words, met)]
+            doc = shard.column("first_doc").combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([named(w) for w in words], pa.binary()), doc, pa.array(firsts, pa.list_(doc.type))], ["key", "first", "firsts"])
+        give_back()
 
-    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"seg bigint, firsts array<{kind}>")
+    return distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"key binary, first {kind}, firsts array<{kind}>")
 
 
-def with_words(docs: DataFrame, places: DataFrame, kind: str, window: int, single: bool) -> DataFrame:
-    """Words of segments at (doc_id, start, n, anchor, seg); with ``single``, each window is a row, its hash the anchor."""
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "seg")).alias("places"))
-    rows = docs.join(by_doc, "doc_id").select("doc_id", "text", "places")
+def first_documents_of_crowds(distinct: DataFrame, kind: str, window: int) -> DataFrame:
+    """The same for anchors with too many segments for one automaton: each window is grouped by its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made: dict[str, list] = {"anchor": [], "seg": [], "pos": [], "first_doc": [], "words": []}
-            for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
-                words = text.encode().split()  # bytes split at ASCII white space alone
-                for p in places:
-                    start, n = p["start"], p["n"]
-                    cuts = [(p["anchor"], -1, b" ".join(words[start : start + n + window - 1]))]
-                    if single:
-                        cuts = [(None, i, b" ".join(words[start + i : start + i + window])) for i in range(n)]
-                        cuts = [(xxhash.xxh64_intdigest(w) - (1 << 63), i, w) for _, i, w in cuts]
-                    for anchor, pos, cut in cuts:
-                        for name, value in zip(made, (anchor, p["seg"], pos, doc, cut)):
-                            made[name].append(value)
-                if len(made["seg"]) > 50_000:
-                    yield pa.RecordBatch.from_pydict(made, schema=types(batch))
-                    for values in made.values():
-                        values.clear()
-            if made["seg"]:
-                yield pa.RecordBatch.from_pydict(made, schema=types(batch))
-
-    def types(batch: pa.RecordBatch) -> pa.Schema:
-        return pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("pos", pa.int32()), ("first_doc", batch.schema.field("doc_id").type), ("words", pa.binary())])
-
-    return rows.mapInArrow(run, f"anchor bigint, seg bigint, pos int, first_doc {kind}, words binary")
+        for batch in (part for whole in batches for part in portioned(whole, "words", 1 << 20)):
+            keys, pos, of, cut = [], [], [], []
+            for i, sequence in enumerate(batch.column("words").to_pylist()):
+                words = sequence.split(b" ")
+                windows = [b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)]
+                keys += [named(sequence)] * len(windows)
+                pos += range(len(windows))
+                of += [i] * len(windows)
+                cut += windows
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(pos, pa.int32()), batch.column("first_doc").take(pa.array(of, pa.int64())), pa.array(cut, pa.binary())], ["key", "pos", "first_doc", "words"])
+
+    single = spool(distinct.mapInArrow(run, f"key binary, pos int, first_doc {kind}, words binary"), "windows")
+    once = single.groupBy("words").agg(F.min("first_doc").alias("first"))
+    found = single.select("key", "pos", "words").join(once, "words").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("f"))
+    return found.select("key", F.lit(None).cast(kind).alias("first"), F.col("f.first").alias("firsts"))
 
 
 def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
     """(doc_id, covered): sorted, merged (from, to) word ranges that windows of earlier documents cover."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, start, n, anchor, seg = segments(*lists(batch.column("words")), window)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seg)], ["anchor", "doc_id", "start", "n", "seg"])
-
-    schema = f"anchor bigint, doc_id {kind}, start int, n int, seg bigint"
+        for batch in (part for whole in batches for part in portioned(whole, "words", WORDS_AT_ONCE)):
+            doc, start, n, anchor = segments(*lists(batch.column("words")), window)
+            salt, hot = dealt(doc, anchor)
+            more = lambda x, y, t: pa.array(np.r_[x, y].astype(t))
+            zero = np.zeros(len(hot))
+            ids = batch.column("doc_id").take(pa.array(np.r_[doc, doc[hot]]))
+            yield pa.RecordBatch.from_arrays([more(anchor, anchor[hot], np.int64), ids, more(start, zero, np.int32), more(n, zero, np.int32), more(salt, zero, np.int32)], ["anchor", "doc_id", "start", "n", "salt"])
+        give_back()
+
+    schema = f"anchor bigint, doc_id {kind}, start int, n int"
     words = docs.select("doc_id", word_hashes(F.col("text"), GAP, False).alias("words"))
-    rows = words.mapInArrow(cut, schema).repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(shared_anchors, schema)
+    rows = words.mapInArrow(cut, schema + ", salt int").repartition("anchor", "salt").sortWithinPartitions("anchor", "doc_id").mapInArrow(shared_anchors, schema)
     rows = spool(rows, "segments")
+    known = spool(with_words(docs, rows, kind, window), "known")
+    unspool(rows)
 
-    distinct = spool(rows.groupBy("seg").agg(F.min(F.struct("doc_id", "start", "n", "anchor")).alias("p")).select("seg", "p.*"), "distinct")
+    distinct = spool(known.groupBy("anchor", "words").agg(F.min("doc_id").alias("first_doc")), "distinct")
     crowded = distinct.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor")
-    firsts = first_documents(with_words(docs, distinct.join(crowded, "anchor", "left_anti"), kind, window, False), kind, window)
-    if not crowded.isEmpty():
-        single = spool(with_words(docs, distinct.join(crowded, "anchor"), kind, window, True), "windows")
-        once = single.groupBy("anchor").agg(F.min("first_doc").alias("first_doc"), F.max("words").alias("words"))
-        found = first_documents(once.select("anchor", F.col("anchor").alias("seg"), "first_doc", "words"), kind, window)
-        found = single.select("seg", "pos", "anchor").join(found.select(F.col("seg").alias("anchor"), F.col("firsts")[0].alias("first")), "anchor")
-        found = found.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("f")).select("seg", F.col("f.first").alias("firsts"))
-        firsts = firsts.unionByName(found)
+    none = crowded.isEmpty()
+    firsts = first_documents(distinct if none else distinct.join(crowded, "anchor", "left_anti"), kind, window)
+    if not none:
+        firsts = firsts.unionByName(first_documents_of_crowds(distinct.join(crowded, "anchor"), kind, window))
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            start, n, ids = batch.column("start").to_numpy().astype(np.int64), batch.column("n").to_numpy().astype(np.int64), batch.column("doc_id")
+            alike = np.flatnonzero(pc.fill_null(pc.less(batch.column("first"), ids), False).to_numpy(zero_copy_only=False) & batch.column("firsts").is_null().to_numpy(zero_copy_only=False))
             firsts = batch.column("firsts")
-            per = np.diff(firsts.offsets.to_numpy())
+            per = pc.fill_null(pc.list_value_length(firsts), 0).to_numpy().astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), per)
-            earlier = pa.compute.less(firsts.flatten(), batch.column("doc_id").take(pa.array(row))).to_numpy(zero_copy_only=False)
-            at = batch.column("start").to_numpy()[row] + ragged(np.zeros(len(per), np.int64), per.astype(np.int64))
-            hit = np.flatnonzero(earlier)
-            if len(hit):
-                begin = np.r_[True, (np.diff(hit) > 1) | (row[hit[1:]] != row[hit[:-1]])]
-                a, b = hit[begin], hit[np.r_[begin[1:], True]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[a])), pa.array(at[a].astype(np.int32)), pa.array((at[b] + window).astype(np.int32))], ["doc_id", "a", "b"])
-
-    pieces = rows.select("seg", "doc_id", "start").join(firsts, "seg").select("doc_id", "start", "firsts").mapInArrow(covered, f"doc_id {kind}, a int, b int")
+            hit = np.flatnonzero(pc.less(firsts.flatten(), ids.take(pa.array(row))).to_numpy(zero_copy_only=False))
+            at = start[row] + ragged(np.zeros(len(per), np.int64), per)
+            begin = np.r_[True, (np.diff(hit) > 1) | (row[hit[1:]] != row[hit[:-1]])] if len(hit) else np.zeros(0, bool)
+            a, b = hit[begin], hit[np.r_[begin[1:], True]] if len(hit) else hit
+            of, first, last = np.r_[alike, row[a]], np.r_[start[alike], at[a]], np.r_[start[alike] + n[alike] - 1, at[b]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(first.astype(np.int32)), pa.array((last + window).astype(np.int32))], ["doc_id", "a", "b"])
+
+    pieces = known.select("key", "doc_id", "start", "n").join(firsts, "key").select("doc_id", "start", "n", "first", "firsts").mapInArrow(covered, f"doc_id {kind}, a int, b int")
     by_doc = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +295,7 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "covered"])
 
     out = spool(by_doc.mapInArrow(merge, f"doc_id {kind}, covered array<struct<a: int, b: int>>"), "covered")
-    unspool(rows, distinct)
+    unspool(known, distinct)
     return out
 
 

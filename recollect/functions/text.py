@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import strip
@@ -20,18 +20,22 @@ SECRET_RULES = {
     "generic-api-key": r"""(?i)(?:api[_\-]?key|api[_\-]?token|access[_\-]?key|secret[_\-]?key|secret[_\-]?token)\s*[=:]\s*["']?([a-zA-Z0-9\-_.~]{20,})["']?""",
     "password": r"""(?i)(?:password|passwd|pwd)\s*[=:]\s*["']([^"'\s]{8,})["']""",
 }
+#: What every match of a rule holds, one alternative for each rule at least.
+NEEDED = r"A3T|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA|gh[pousr]_|github_pat_|sk-|eyJ|-----BEGIN|(?i:aws|bearer|(?:api|access|secret)[_\-]?(?:key|token)|(?:passwd|password|pwd)\s*[=:])"
 # Words that no topic key holds, and the folded letters of slugs.
 STOP_WORDS = ["the", "a", "an", "el", "la", "los", "las", "de", "en", "con", "por", "para", "que", "y", "o"]
 SLUG_FROM, SLUG_TO = "áéíóúäëïöüñç", "aeiouaeiounc"
+# The section of learnings, the header that ends it, and its items, each on one line.
 LEARNINGS = r"(?im)^#{2,3}\s+(?:Key\s+Learnings?|Learnings?|Aprendizajes(?:\s+Clave)?):?\s*$"
-HEADER, ITEM = r"(?m)^#{1,3}\s+", r"(?m)^\s*(?:\d+[.)]\s+|[-*]\s+)(.+)$"
+HEADER, ITEM = r"(?m)^#{1,3}\s+", r"(?m)^[^\S\n]*(?:\d+[.)][^\S\n]+|[-*][^\S\n]+)(.+)$"
 
 
 def redact(x: Column) -> Column:
     """Every match of every rule becomes [REDACTED:<rule>]."""
+    out = x
     for rule, pattern in SECRET_RULES.items():
-        x = F.regexp_replace(x, pattern, f"[REDACTED:{rule}]")
-    return x
+        out = F.regexp_replace(out, pattern, f"[REDACTED:{rule}]")
+    return F.when(x.rlike(NEEDED), out).otherwise(x)  # one look spares most texts the ten passes
 
 
 def preview(x: Column, most: int = 200) -> Column:
@@ -51,6 +55,12 @@ def learnings(x: Column) -> Column:
     return F.coalesce(first, F.array().cast("array<string>"))
 
 
+def captured(answer: DataFrame, text_col: str = "content") -> DataFrame:
+    """A row for each learning of a sub-agent's answer: redacted text, its title and place, to be saved as passive notes."""
+    rows = answer.select("*", F.posexplode(learnings(F.col(text_col))).alias("pos", "learning"))
+    return rows.withColumn("learning", redact(F.col("learning"))).withColumn("title", passive_title(F.col("learning")))
+
+
 def slug(x: Column) -> Column:
     s = F.regexp_replace(F.translate(F.lower(x), SLUG_FROM, SLUG_TO), "[^a-z0-9]+", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +103,126 @@ def trailing_count(events: DataFrame, keys: list[str], seconds: int) -> DataFram
     us = events.withColumn("us", micros(F.col("created_at")))
     w = Window.partitionBy(*keys).orderBy("us").rangeBetween(-seconds * 1_000_000 + 1, 0)
     return us.withColumn("in_window", F.count(F.lit(1)).over(w)).drop("us")
+
+
+def report(sessions: DataFrame, events: DataFrame, observations: DataFrame, start: str, end: str, project: str | None = None) -> DataFrame:
+    """(day, session_id, minutes, day_minutes, total_minutes, observations): the timesheet of a range.
+
+    ``events`` are tool calls and prompts; those of sessions that are not listed
+    (or of another project than asked) are left out.  Minutes of a day and in
+    total are over all sessions together, so time that sessions share counts
+    once.  A session without a gap to measure has its first day with 0
+    minutes; the ids of its live observations stand on its first day.
+    """
+    rows = timesheet(sessions, events, start, end, project)
+    own = sessions.filter(F.col("project") == project) if project else sessions
+    ev = in_range(events, start, end).join(own.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    days = daily_minutes(ev, []).withColumnRenamed("minutes", "day_minutes")
+    total = total_minutes(ev, []).withColumnRenamed("minutes", "total_minutes")
+    first = ev.groupBy("session_id").agg(F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("day"))
+    notes = observations.filter("deleted_at IS NULL").groupBy("session_id").agg(F.array_sort(F.collect_list("id")).alias("observations"))
+    out = rows.join(days, "day", "left").join(first.join(notes, "session_id"), ["session_id", "day"], "left").crossJoin(F.broadcast(total))  # one row
+    none = F.array().cast("array<bigint>")
+    return out.select("day", "session_id", "minutes", F.coalesce("day_minutes", F.lit(0)).cast("long").alias("day_minutes"), "total_minutes", F.coalesce("observations", none).alias("observations"))
+
+
+def overlapping(events: DataFrame) -> DataFrame:
+    """(day, own, minutes, overlap): minutes summed over sessions, minutes of all together, and whether sessions ran at once."""
+    own = daily_minutes(events, ["session_id"]).groupBy("day").agg(F.sum("minutes").alias("own"))
+    return own.join(daily_minutes(events, []), "day").select("day", "own", "minutes", (F.col("own") > F.col("minutes")).alias("overlap"))
+
+
+def admitted(us: np.ndarray, limit: int, window: int) -> np.ndarray:
+    """Which calls, in order of time, find fewer than ``limit`` admitted ones in the window before them."""
+    ok, taken, first = np.zeros(len(us), bool), [], 0
+    for i, at in enumerate(us.tolist()):
+        while first < len(taken) and taken[first] <= at - window:
+            first += 1
+        if len(taken) - first < limit:
+            taken.append(at)
+            ok[i] = True
+    return ok
+
+
+def rate_limited(events: DataFrame, keys: list[str], limit: int = 120, seconds: int = 10) -> DataFrame:
+    """(id, admitted): a call is admitted when fewer than ``limit`` admitted ones lie in the trailing window; refused calls don't count.
+
+    Whether a call counts depends on those before it, so calls of one key are
+    followed in order, but after a pause as long as the window nothing is left
+    to remember: calls between pauses are followed apart, in many tasks.  A
+    stretch in which no window has more than ``limit`` calls is admitted whole
+    without being followed.
+    """
+    window = seconds * 1_000_000
+
+    def follow(calls: pd.DataFrame) -> pd.DataFrame:
+        calls = calls.sort_values(["us", "id"])
+        return pd.DataFrame({"id": calls["id"], "admitted": admitted(calls["us"].to_numpy(), limit, window)})
+
+    order = Window.partitionBy(*keys).orderBy("us", "id")
+    e = events.select(*keys, "id", micros(F.col("created_at")).alias("us"))
+    e = e.withColumn("new", (F.col("us") - F.lag("us").over(order) >= window).cast("int"))
+    e = e.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("us").rangeBetween(-window + 1, 0)))
+    e = e.withColumn("most", F.max("n").over(Window.partitionBy(*keys, "stretch")))
+    calm = e.filter(F.col("most") <= limit).select("id", F.lit(True).alias("admitted"))
+    busy = e.filter(F.col("most") > limit).groupBy(*keys, "stretch").applyInPandas(follow, f"id {dict(events.dtypes)['id']}, admitted boolean")
+    return calm.unionByName(busy)
+
+
+def nudges(events: DataFrame, actions: int, fallback_minutes: int) -> DataFrame:
+    """(session_id, id, reason) of the checks at which a session is reminded to save.
+
+    ``events`` are (session_id, id, created_at, kind) with kind 'start',
+    'save', 'action' or 'check'.  At a check, a session that is two minutes old
+    is reminded when so many actions came since the last such reminder and over
+    five minutes since the last save (reason 'actions'), else when the fallback
+    has passed since the last save ('time').  A session that never started is
+    never reminded; its reminders depend on one another, so each is followed in
+    order by one task.
+    """
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        started = saved = None
+        done, out = 0, []
+        for number, kind, us in zip(*(pdf.sort_values(["us", "id"])[c] for c in ("id", "kind", "us"))):
+            if kind == "start":
+                started, saved, done = us, us, 0
+            elif started is None:
+                continue
+            elif kind == "save":
+                saved = us
+            elif kind == "action":
+                done += 1
+            elif us - started >= 120_000_000:
+                if done >= actions and us - saved > 300_000_000:
+                    done = 0
+                    out.append((number, "actions"))
+                elif us - saved > fallback_minutes * 60_000_000:
+                    out.append((number, "time"))
+        made = pd.DataFrame(out, columns=["id", "reason"])
+        made.insert(0, "session_id", pdf["session_id"].iloc[0])
+        return made
+
+    e = events.select("session_id", "id", "kind", micros(F.col("created_at")).alias("us"))
+    return e.groupBy("session_id").applyInPandas(follow, "session_id string, id bigint, reason string")
+
+
+def started(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Sessions with new ones (id, project, started_at), active since their start; an id that is there stays as it is."""
+    fresh = incoming.groupBy("id").agg(F.min_by(F.struct("project", "started_at"), "started_at").alias("s")).join(current.select("id"), "id", "left_anti")
+    made = fresh.select("id", "s.project", "s.started_at", F.col("s.started_at").alias("last_activity_at"))
+    return current.unionByName(made, allowMissingColumns=True)
+
+
+def ended(sessions: DataFrame, ends: DataFrame) -> DataFrame:
+    """Sessions after end events (session_id, created_at, summary): the last end, and the last summary that is not empty."""
+    said = F.nullif(F.col("summary"), F.lit(""))
+    last = ends.groupBy("session_id").agg(F.max("created_at").alias("__end"), F.max_by(said, F.when(said.isNotNull(), F.col("created_at"))).alias("__said"))
+    j = sessions.join(last.withColumnRenamed("session_id", "id"), "id", "left")
+    return j.withColumn("ended_at", F.coalesce("__end", "ended_at")).withColumn("summary", F.coalesce("__said", "summary")).drop("__end", "__said")
+
+
+def valid_prompts(prompts: DataFrame) -> DataFrame:
+    """Prompts that are kept: those without a text or a project are passed over."""
+    return prompts.filter("content <> '' AND project <> ''")

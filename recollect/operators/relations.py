@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spool, spread
 from ..sources.tables import VERBS
 from .observations import latest, live
 from .vectors import cosine
@@ -22,6 +23,19 @@ def enriched(relations: DataFrame, observations: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.coalesce("reason", F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
+def listed(relations: DataFrame, observations: DataFrame, project: str | None = None, status: str | None = None) -> DataFrame:
+    """Enriched relations, newest first; of the project of their source, and of a status, where these are named."""
+    out = enriched(relations, observations)
+    out = out.filter(F.col("source_project") == project) if project else out
+    out = out.filter(F.col("judgment_status") == status) if status else out
+    return out.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def verb_counts(relations: DataFrame) -> DataFrame:
+    """Relations by verb, those pending left out."""
+    return relations.filter("judgment_status <> 'pending'").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stats(relations: DataFrame) -> DataFrame:
     count = lambda s: F.sum((F.col("judgment_status") == s).cast("long")).alias(s)
     return relations.agg(F.count(F.lit(1)).alias("total"), count("pending"), count("judged"), count("orphaned"))
@@ -61,31 +75,93 @@ def apply_verdicts(relations: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumn("relation", F.coalesce("verb", "relation")).withColumn("judgment_status", F.when(F.col("verb").isNotNull(), "judged").otherwise(F.col("judgment_status"))).drop("verb")
 
 
+def judged(relations: DataFrame, observations: DataFrame, verdicts: DataFrame, at: Column) -> DataFrame:
+    """Relations after verdicts (id, verb, why, sure, actor, kind, model) of agents; each says in ``error`` why a verdict was refused.
+
+    A verb must be valid, and both ends must lie in one project (an end that is
+    not there does not count).  Rows without a verdict stay as they are.
+    """
+    ends = enriched(relations, observations).select("id", "source_project", "target_project")
+    j = relations.join(ends, "id").join(verdicts, "id", "left")
+    known = F.col("verb").isNotNull()
+    error = F.when(known & ~F.col("verb").isin(VERBS), "verb").when(known & (F.col("source_project") != F.col("target_project")), "project").otherwise("")
+    j = j.withColumn("error", error).withColumn("hit", known & (F.col("error") == ""))
+    new = {"relation": F.col("verb"), "reason": F.col("why"), "confidence": F.col("sure"), "judgment_status": F.lit("judged")}
+    for c, value in new.items():
+        j = j.withColumn(c, F.when(F.col("hit"), value).otherwise(F.col(c)))
+    for c, value in {"marked_by_actor": F.col("actor"), "marked_by_kind": F.col("kind"), "marked_by_model": F.col("model"), "updated_at": at}.items():
+        j = j.withColumn(c, F.when(F.col("hit"), value))
+    return j.drop("hit", "verb", "why", "sure", "actor", "kind", "model", "source_project", "target_project")
+
+
+def judge_by_meaning(relations: DataFrame, verdicts: DataFrame, at: Column, actor: str = "engine") -> DataFrame:
+    """Relations after a model's verdicts (source_id, target_id, verb, sure, why, model, n), the last of each pair by ``n``.
+
+    A pair that has a relation in either direction keeps its id and direction and
+    takes the verdict; of several the one with the smallest id does.  Other pairs
+    are new rows without an id.  Verdicts with an unknown verb are passed over.
+    """
+    good = latest(verdicts.filter(F.col("verb").isin(VERBS)).withColumn("pair", pair_key()), ["pair"], F.desc("n"))
+    marks = [F.lit("judged").alias("judgment_status"), F.lit("system").alias("marked_by_kind"), F.lit(actor).alias("marked_by_actor"), F.col("model").alias("marked_by_model"), at.alias("updated_at")]
+    verdict = [F.col("verb").alias("relation"), F.col("sure").alias("confidence"), F.col("why").alias("reason"), *marks]
+    keyed = relations.withColumn("pair", pair_key())
+    first = latest(keyed, ["pair"], F.asc("id")).select("pair", "id", "source_id", "target_id", "created_at")
+    changed = good.join(first.withColumnRenamed("source_id", "s").withColumnRenamed("target_id", "t"), "pair").select("id", F.col("s").alias("source_id"), F.col("t").alias("target_id"), *verdict, "created_at")
+    new = good.join(first.select("pair"), "pair", "left_anti").select(F.lit(None).cast("bigint").alias("id"), "source_id", "target_id", *verdict, at.alias("created_at"))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    same = keyed.join(changed.select("id"), "id", "left_anti").select("id", "source_id", "target_id", "relation", "confidence", "reason", "judgment_status", none("marked_by_kind"), none("marked_by_actor"), none("marked_by_model"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), "created_at")
+    return same.unionByName(changed).unionByName(new)
+
+
 def upsert_symmetric(relations: DataFrame, order: Column) -> DataFrame:
     """One relation of each pair, whichever its direction: the last."""
     return latest(relations.withColumn("pair", pair_key()), ["pair"], order)
 
 
+#: Parts into which the postings of a frequent word are dealt, and the share of documents above which it is frequent.
+PARTS, FREQUENT = 64, 0.01
+
+
 def candidates(observations: DataFrame, sources: DataFrame, existing: DataFrame, limit: int = 3, floor: float | None = -2.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(src, id, rank, rk): observations whose words match the title of each source, best first.
 
     ``observations`` has id, sync_id and toks, ``sources`` id, sync_id and terms.
-    The terms of the sources select the postings before the join; scores are
-    summed map-side.  The best ``3 * limit`` are cut first, then those below the
+    Where ``observations`` has ``deleted_at``, ``project`` and ``scope``, only
+    live rows of the source's project and global ones are candidates (all count
+    in the statistics).  The terms of the sources select the postings before the
+    join; scores are summed map-side.  The postings of a word that more than
+    one document in a hundred has are dealt over many tasks, and its sources
+    sent to each.  The best ``3 * limit`` are cut first, then those below the
     floor and pairs that exist go, then ``limit`` stay.
     """
+    scoped = {"deleted_at", "project", "scope"} <= set(observations.columns)
     wanted = sources.select(F.col("id").alias("src"), F.explode(F.array_distinct("terms")).alias("term"))
-    n = observations.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    posts = observations.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = posts.join(df, "term").crossJoin(F.broadcast(n))  # one row
+    toks = spool(spread(observations).select("id", "toks"), "tokens")
+    n = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    posts = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    posts = spool(posts.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row
+    parts = F.when(F.col("df") > F.col("n") * FREQUENT, PARTS).otherwise(1).alias("parts")
+    df = df.select("*", parts)
+    wanted = wanted.join(df.select("term", "parts"), "term").select("src", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    w = posts.join(df, "term")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    w = w.select("id", "term", (-idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("part"))
-    scored = wanted.join(w, "term").filter("src <> id").groupBy("src", "id").agg(F.round(F.sum("part"), 6).alias("rank"))
+    w = w.select("id", "term", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), (-idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("score"))
+    scored = wanted.join(w, ["term", "part"]).filter("src <> id").groupBy("src", "id").agg(F.round(F.sum("score"), 6).alias("rank"))
+    if scoped:
+        own = sources.join(observations.select("id", "project"), "id").select(F.col("id").alias("src"), F.col("project").alias("src_project")) if "project" not in sources.columns else sources.select(F.col("id").alias("src"), F.col("project").alias("src_project"))
+        seen = observations.select("id", "deleted_at", "project", "scope")
+        scored = scored.join(own, "src").join(seen, "id").filter("deleted_at IS NULL AND (project = src_project OR scope = 'global')").select("src", "id", "rank")
     top = scored.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy("rank", "id"))).filter(F.col("rk") <= 3 * limit)
     top = top.filter(F.col("rank") >= floor) if floor is not None else top
     ids = observations.select("id", "sync_id")
     known = existing.select(pair_key().alias("pair")).distinct()
     top = top.join(ids.toDF("src", "s"), "src").join(ids.toDF("id", "t"), "id").withColumn("pair", pair_key("s", "t")).join(known, "pair", "left_anti")
     return top.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy("rank", "id"))).filter(F.col("rk") <= limit).select("src", "id", "rank", "rk")
+
+
+def pending_rows(found: DataFrame, observations: DataFrame, at: Column) -> DataFrame:
+    """New relations of candidates (src, id, rank, rk): pending, from the source to the candidate."""
+    ids = observations.select("id", "sync_id")
+    j = found.join(ids.toDF("src", "source_id"), "src").join(ids.toDF("id", "target_id"), "id")
+    return j.select("source_id", "target_id", F.lit("pending").alias("relation"), F.lit("pending").alias("judgment_status"), F.col("rank").alias("score"), at.alias("created_at"))

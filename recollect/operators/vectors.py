@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,20 +17,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float, most: int = 1000) -> DataFrame:
-    """(query_id, id, sim, rk): the k vectors nearest to each query, itself left out.
+def with_norm(df: DataFrame) -> DataFrame:
+    """``df`` with the length of ``embedding``, so that each pair needs one product."""
+    return df.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+
+
+def similar(vectors: DataFrame, queries: DataFrame, least: float, most: int = 1000) -> DataFrame:
+    """(query_id, id, sim): all vectors at a similarity of ``least`` or more to each query, itself left out.
 
     Every task holds up to ``most`` queries; vectors stream past them and are
-    not shuffled, and each task keeps only its best k by the partial limit of
-    the rank.  More queries are cut into blocks of about ``most``, and each
+    not shuffled.  More queries are cut into blocks of about ``most``, and each
     task pairs one block with one part of the vectors.
     """
-    few = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    few = with_norm(queries.select("id", "embedding")).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
     n = few.count()
     few = F.broadcast(few) if n <= most else few.repartition(-(-n // most), "query_id")
-    pairs = vectors.crossJoin(few).filter("id <> query_id")
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("sim")).filter(F.col("sim") >= least)
-    return scored.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))).filter(F.col("rk") <= k)
+    pairs = with_norm(spread(vectors).select("id", "embedding")).crossJoin(few).filter("id <> query_id")
+    length = F.col("norm") * F.col("q_norm")
+    sim = F.when(length > 0, dot(F.col("embedding"), F.col("q")) / length)
+    return pairs.select("query_id", "id", F.round(sim, 6).alias("sim")).filter(F.col("sim") >= least)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float, most: int = 1000) -> DataFrame:
+    """(query_id, id, sim, rk): the k vectors nearest to each query, itself left out; each task keeps only its best k."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return similar(vectors, queries, least, most).withColumn("rk", rank).filter(F.col("rk") <= k)
+
+
+def prompt_context(near: DataFrame, lexical: DataFrame, injected: DataFrame) -> DataFrame:
+    """(id, source): notes to show with a prompt, without those shown before.
+
+    ``near`` are the two nearest vectors at 0.65 or more, ``lexical`` the two
+    best text matches; these count only where no vector is left.
+    """
+    both = near.select("id", F.lit("vector").alias("source")).unionByName(lexical.select("id", F.lit("text").alias("source")))
+    left = both.join(injected.select("id").distinct(), "id", "left_anti")
+    some = left.agg(F.max((F.col("source") == "vector").cast("int")).alias("some"))  # one row
+    return left.crossJoin(F.broadcast(some)).filter((F.col("source") == "vector") | (F.col("some") == 0)).select("id", "source")
+
+
+def replace_vectors(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, embedding, snippet) after changes (id, embedding, content, n): the last of each id; a null embedding removes it."""
+    last = changes.groupBy("id").agg(F.max_by(F.struct("embedding", "content"), "n").alias("c"))
+    snippet = F.decode(F.substring(F.encode("c.content", "UTF-8"), 1, 100), "UTF-8")
+    made = last.filter("c.embedding IS NOT NULL").select("id", "c.embedding", snippet.alias("snippet"))
+    return current.join(last.select("id"), "id", "left_anti").unionByName(made)
 
 
 def fuse(*ranked: DataFrame, k: int = 60) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import search as se
 from ..operators import vectors as ve
 from ..sources import sync
 from ..sources import tables as t
+from ..sources.scratch import scratch, spread
 from ..sources.tables import sql
 from ..streaming import streams
 
@@ -215,7 +216,7 @@ def json_array_roundtrip(s, d):
     return made.select("id", "ids", F.size(F.from_json("ids", "array<string>")).alias("n"))
 
 
-@query(None)
+@query("SELECT id, TRUE AS same FROM obs", "obs")
 def aes_roundtrip(s, d):
     key = F.lit("0123456789abcdef0123456789abcdef")
     o = t.observations(s, d)
@@ -341,11 +342,104 @@ def timesheet_report(s, d):
     return act.timesheet(t.sessions(s, d), t.tool_usage(s, d), "2024-01-05", "2024-01-09")
 
 
-@query(None)
+OVERLAP = f"""
+o AS (SELECT {DAY} AS day, CAST(sum(m) AS BIGINT) AS own FROM (SELECT session_id, d, CAST(sum(part) // 60000000 AS BIGINT) AS m FROM so GROUP BY session_id, d) GROUP BY d), w AS (SELECT {DAY} AS day, CAST(sum(part) // 60000000 AS BIGINT) AS minutes FROM sw GROUP BY d)"""
+
+
+def parts_sql(name: str, keys: str, source: str) -> str:
+    """CTEs e, g and s of ``gap_sql`` under other names."""
+    return gap_sql(keys, "", source)[5:].replace("e AS (SELECT", f"e{name} AS (SELECT", 1).replace("g AS (SELECT * FROM e ", f"g{name} AS (SELECT * FROM e{name} ").replace("s AS (SELECT", f"s{name} AS (SELECT").replace("FROM g, unnest", f"FROM g{name}, unnest").strip()
+
+
+@query(f"WITH {parts_sql('o', 'session_id', 'tools')}, {parts_sql('w', '', 'tools')}, {OVERLAP} SELECT day, own, minutes, own > minutes AS overlap FROM o JOIN w USING (day)", "tools")
 def timesheet_overlap(s, d):
-    tools = t.tool_usage(s, d)
-    own = act.daily_minutes(tools, ["session_id"]).groupBy("day").agg(F.sum("minutes").alias("own"))
-    return own.join(act.daily_minutes(tools, []), "day").select("day", "own", "minutes", (F.col("own") > F.col("minutes")).alias("overlap"))
+    return act.overlapping(t.tool_usage(s, d))
+
+
+ALL_EVENTS = "(SELECT session_id, created_at, id FROM tools WHERE session_id IN (SELECT id FROM sess) AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-09' UNION ALL SELECT session_id, created_at, id FROM prom WHERE deleted_at IS NULL AND session_id IN (SELECT id FROM sess) AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-09')"
+
+
+@query(f"""WITH ev AS {ALL_EVENTS}, {parts_sql('o', 'session_id', 'ev')}, {parts_sql('w', '', 'ev')},
+f AS (SELECT session_id, strftime(min(created_at), '%Y-%m-%d') AS first_day FROM ev GROUP BY session_id),
+x AS (SELECT session_id, {DAY} AS day, CAST(sum(part) // 60000000 AS BIGINT) AS m FROM so GROUP BY session_id, d), w AS (SELECT {DAY} AS day, CAST(sum(part) // 60000000 AS BIGINT) AS m FROM sw GROUP BY d),
+n AS (SELECT session_id, list(id ORDER BY id) AS ids FROM obs WHERE deleted_at IS NULL GROUP BY session_id),
+r AS (SELECT f.session_id, coalesce(x.day, first_day) AS day, coalesce(x.m, 0) AS minutes, first_day FROM f LEFT JOIN x USING (session_id))
+SELECT r.day, r.session_id, minutes, coalesce(w.m, 0) AS day_minutes, (SELECT CAST(sum(us - pu) // 60000000 AS BIGINT) FROM gw) AS total_minutes, CASE WHEN r.day = first_day AND ids IS NOT NULL THEN array_to_string(ids, ',') ELSE '' END AS observations
+FROM r LEFT JOIN w ON w.day = r.day LEFT JOIN n ON n.session_id = r.session_id""", "tools", "prom", "sess", "obs")
+def timesheet_full(s, d):
+    events = act.activity_events(t.tool_usage(s, d), t.prompts(s, d))
+    out = act.report(t.sessions(s, d), events, t.observations(s, d), "2024-01-05", "2024-01-09")
+    return out.withColumn("observations", F.array_join(F.col("observations").cast("array<string>"), ","))
+
+
+@query("SELECT id FROM sess WHERE id IN (SELECT session_id FROM tools WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-05 03:00:00' UNION SELECT session_id FROM prom WHERE deleted_at IS NULL AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-05 03:00:00')", "sess", "tools", "prom")
+def sessions_in_range_all(s, d):
+    return act.sessions_in_range(t.sessions(s, d), act.activity_events(t.tool_usage(s, d), t.prompts(s, d)), "2024-01-05", "2024-01-05 03:00:00").select("id")
+
+
+@query(None)
+def rate_limit_exact(s, d):
+    """Calls of each project, three in a day."""
+    return act.rate_limited(t.tool_usage(s, d), ["project"], 3, 86_400)
+
+
+@query(None)
+def activity_nudges(s, d):
+    """Each session starts at its first call; purchases are saves, clicks significant actions, views checks."""
+    kinds = F.when(F.col("tool_name") == "purchase", "save").when(F.col("tool_name") == "click", "action").otherwise("check")
+    calls = t.tool_usage(s, d).select("session_id", "id", "created_at", kinds.alias("kind"))
+    starts = t.sessions(s, d).select(F.col("id").alias("session_id"), F.lit(-1).cast("bigint").alias("id"), F.col("started_at").alias("created_at"), F.lit("start").alias("kind"))
+    return act.nudges(calls.unionByName(starts), 2, 10_000)
+
+
+@query("SELECT id, project, started_at, last_activity_at FROM sess UNION ALL SELECT 'n' || id, project, started_at, started_at FROM sess WHERE CAST(id AS BIGINT) % 5 = 0", "sess")
+def session_create(s, d):
+    now = t.sessions(s, d)
+    new = now.filter("CAST(id AS BIGINT) % 5 = 0").select(F.concat(F.lit("n"), "id").alias("id"), "project", "started_at")
+    return act.started(now, new.unionByName(now.select("id", "project", F.col("last_activity_at").alias("started_at")))).select("id", "project", "started_at", "last_activity_at")
+
+
+@query("WITH e AS (SELECT session_id, created_at, CASE WHEN tool_name = 'purchase' THEN 'bought ' || id ELSE '' END AS summary FROM tools WHERE tool_name IN ('purchase', 'click')) SELECT sess.id, coalesce(x.e, ended_at) AS ended_at, coalesce(x.said, 'old') AS summary FROM sess LEFT JOIN (SELECT session_id, max(created_at) AS e, max_by(summary, created_at) FILTER (WHERE summary <> '') AS said FROM e GROUP BY session_id) x ON x.session_id = sess.id", "sess", "tools")
+def session_end_events(s, d):
+    ends = t.tool_usage(s, d).filter("tool_name IN ('purchase', 'click')").select("session_id", "created_at", F.when(F.col("tool_name") == "purchase", F.concat(F.lit("bought "), "id")).otherwise("").alias("summary"))
+    return act.ended(t.sessions(s, d).withColumn("summary", F.lit("old")), ends).select("id", "ended_at", "summary")
+
+
+@query("SELECT id, session_id, project FROM prom WHERE id % 2 = 0 UNION ALL SELECT id + 1000000000, session_id, project FROM prom WHERE content <> '' AND id % 3 > 0", "prom")
+def prompt_append(s, d):
+    p = t.prompts(s, d).select("id", "session_id", "project", "content")
+    new = p.withColumn("id", F.col("id") + 1_000_000_000).withColumn("project", F.when(F.expr("(id - 1000000000) % 3 > 0"), F.col("project")).otherwise(""))
+    return p.filter("id % 2 = 0").unionByName(act.valid_prompts(new)).select("id", "session_id", "project")
+
+
+@query("SELECT id, session_id, tool_name FROM tools UNION ALL SELECT id + 1000000000, session_id, 'mem_search' FROM tools WHERE tool_name = 'view'", "tools")
+def tool_use_append(s, d):
+    u = t.tool_usage(s, d)
+    return u.unionByName(u.filter("tool_name = 'view'").withColumn("id", F.col("id") + 1_000_000_000).withColumn("tool_name", F.lit("mem_search"))).select("id", "session_id", "tool_name")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN TIMESTAMP '2024-05-01' ELSE deleted_at END AS again, CASE WHEN id % 7 = 0 AND deleted_at IS NULL THEN TIMESTAMP '2024-05-01' ELSE deleted_at END AS once FROM obs", "obs")
+def soft_delete(s, d):
+    o = t.observations(s, d)
+    gone, at = o.filter("id % 7 = 0"), F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")
+    once = ob.mark_deleted(o, gone, at, again=False).select("id", F.col("deleted_at").alias("once"))
+    return ob.mark_deleted(o, gone, at).select("id", F.col("deleted_at").alias("again")).join(once, "id")
+
+
+@query("SELECT id, md5(content) AS stored, CASE WHEN id % 3 = 0 THEN id WHEN id % 3 = 1 THEN id ELSE -1 END AS n FROM obs", "obs")
+def nul_strip_lenient_int(s, d):
+    o = t.observations(s, d).withColumn("c", F.concat(F.lit("\0"), "content", F.lit("\0")))
+    raw = F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).when(F.col("id") % 3 == 1, F.concat("id", F.lit(".75"))).otherwise("none")
+    return o.select("id", F.md5(ob.without_nul(F.col("c"))).alias("stored"), ob.lenient_int(raw, -1).alias("n"))
+
+
+@query(None)
+def save_fold_rows(s, d):
+    """The rows that all saves leave, with a delete after each hundred."""
+    o = t.observations(s, d).select("id", "project", "topic_key", "normalized_hash", "title", "content", "type", "created_at")
+    return ob.fold_saves(o.withColumn("op", F.when(F.col("id") % 100 == 99, "delete").otherwise("save"))).drop("content", "title")
+
+
 
 
 @query("WITH r AS (SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rn FROM obs WHERE deleted_at IS NULL), p AS (SELECT * FROM r WHERE id = 505) SELECT r.id, r.session_id, r.rn - p.rn AS step FROM r JOIN p USING (session_id) WHERE abs(r.rn - p.rn) <= 3", "obs")
@@ -372,12 +466,12 @@ def redact_sql(x: str) -> str:
 
 @query(f"SELECT id, md5({redact_sql(KEYED)}) AS redacted FROM obs", "obs")
 def redact_secrets(s, d):
-    return t.observations(s, d).select("id", F.md5(tx.redact(F.expr(KEYED))).alias("redacted"))
+    return spread(t.observations(s, d).select("id", "content")).select("id", F.md5(tx.redact(F.expr(KEYED))).alias("redacted"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS n FROM obs WHERE regexp_matches({KEYED}, '{p}')" for r, p in _RULES.items()), "obs")
 def secret_rule_hits(s, d):
-    o = t.observations(s, d).select(F.expr(KEYED).alias("c"))
+    o = spread(t.observations(s, d).select("content")).select(F.expr(KEYED).alias("c"))
     flags = o.agg(*(F.count(F.when(F.col("c").rlike(p), 1)).alias(r) for r, p in tx.SECRET_RULES.items()))
     return flags.select(F.explode(F.map_from_arrays(F.array(*(F.lit(r) for r in tx.SECRET_RULES)), F.array(*(F.col(f"`{r}`") for r in tx.SECRET_RULES)))).alias("rule", "n"))
 
@@ -387,6 +481,7 @@ def search_preview(s, d):
     return t.observations(s, d).select("id", tx.preview(F.col("content")).alias("preview"))
 
 
+SLUG_CUT = "CASE WHEN length(s) > 60 THEN regexp_replace(substr(s, 1, 60), '-+$', '') ELSE s END"
 SLUG = "regexp_replace(regexp_replace(translate(lower({0}), 'áéíóúäëïöüñç', 'aeiouaeiounc'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
@@ -454,6 +549,18 @@ def extract_learnings(s, d):
     return t.observations(s, d).select("id", F.size(tx.learnings(made)).alias("n"))
 
 
+@query(r"""WITH i AS (SELECT id, list_transform(string_split(content, '.'), lambda x: regexp_replace(replace(x, chr(10), ' '), '^\s+|\s+$', '', 'g')) AS v FROM obs),
+u AS (SELECT id, k, v[k] AS item FROM i, unnest(range(1, len(v) + 1)) AS t(k) WHERE octet_length(encode(v[k])) >= 20 AND len(regexp_split_to_array(v[k], '\s+')) >= 4 AND k % 2 = 1)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS pos, md5(item) AS item, substr(regexp_replace(item, '^[0-9.\-) \t]+', ''), 1, 80) AS title FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id, lower(item) ORDER BY k) = 1)""".replace("'\\", "'\\"), "obs")
+def learning_items(s, d):
+    """Sentences as items of a section, every second one without its mark, which is no item."""
+    marks = lambda x, i: F.concat(F.when(i % 2 == 0, "* ").otherwise("-\n~ "), F.replace(x, F.lit("\n"), F.lit(" ")))
+    lines = F.transform(F.split("content", r"\."), marks)
+    made = F.concat(F.lit("## Learnings\n"), F.array_join(lines, "\n"))
+    rows = tx.captured(t.observations(s, d).select("id", made.alias("content")))
+    return rows.select("id", F.col("pos").cast("bigint").alias("pos"), F.md5("learning").alias("item"), "title")
+
+
 TURNS = "SELECT conv_id, turn, role || ': ' || text AS said FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system') WHERE text <> ''"
 
 
@@ -514,7 +621,7 @@ def _search(s, d, text, project=None, limit=20):
 
 
 def _tokenised(s, d):
-    return t.observations(s, d).select("id", se.tokens("title", "content", "type", "project", "topic_key").alias("toks"))
+    return spread(t.observations(s, d)).select("id", se.tokens("title", "content", "type", "project", "topic_key").alias("toks"))
 
 
 @query(bm25_sql(["the", "worthless", "licensed"], "TRUE"), "obs")
@@ -566,6 +673,50 @@ def tsquery_and_match(s, d):
     return o.filter(F.array_contains("toks", "idiot") & F.array_contains("toks", "clown")).select("id")
 
 
+def unit_sql(units: list[str], where: str, then: str) -> str:
+    """Ranked search in which each unit is a SQL expression of its frequency in ``toks``."""
+    tf = ", ".join(f"{u} AS tf{i}" for i, u in enumerate(units))
+    df = ", ".join(f"(SELECT count(*) FROM c WHERE tf{i} > 0) AS df{i}" for i in range(len(units)))
+    part = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 0.000001) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(units)))
+    return f"WITH {TOKENISED}, c AS (SELECT id, project, scope, deleted_at, len(toks) AS dl, {tf} FROM tk), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c), r AS (SELECT id, -({part}) AS rank FROM c, st WHERE {where}) {then}"
+
+
+PREFIX = "len(list_filter(toks, lambda x: starts_with(x, 'licens')))"
+PHRASE = "len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the'))"
+WORD = "len(list_filter(toks, lambda x: x = '{0}'))"
+
+
+@query(unit_sql([PREFIX], "deleted_at IS NULL AND tf0 > 0", TOP), "obs")
+def fts_search_prefix(s, d):
+    return _search(s, d, "licens*")
+
+
+@query(unit_sql([PHRASE, WORD.format("license")], "deleted_at IS NULL AND (project = 'en' OR scope = 'global') AND tf0 > 0 AND tf1 = 0", TOP), "obs")
+def fts_search_phrase(s, d):
+    return _search(s, d, '"of the" NOT "license"', "en")
+
+
+@query(unit_sql(["CASE WHEN toks[1] = 'the' THEN 1 ELSE 0 END", WORD.format("license")], "deleted_at IS NULL AND (tf0 > 0 OR tf1 > 0)", TOP), "obs")
+def fts_search_initial(s, d):
+    return _search(s, d, "^the OR license")
+
+
+@query(unit_sql([PREFIX, PHRASE], "deleted_at IS NULL AND (project = 'en' OR scope = 'global') AND (tf0 > 0 OR tf1 > 0)", TOP), "obs")
+def fts_search_index(s, d):
+    path = scratch(s, "index")
+    se.write_index(t.observations(s, d), path)
+    return se.search_index(s, path, 'licens* OR "of the"', "en").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH tk AS (SELECT id, {TOKS.format("title || ' ' || content")} AS toks FROM obs WHERE deleted_at IS NULL AND (project = 'en' OR scope = 'global')),
+h AS (SELECT id, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'licensed') AS a, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'the') AS b FROM tk WHERE list_contains(toks, 'licensed') AND list_contains(toks, 'the')),
+p AS (SELECT id, abs(x - y) AS d FROM (SELECT id, b, unnest(a) AS x FROM h), unnest(b) AS u(y))
+SELECT id, round(1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)))), 6) AS rank FROM p GROUP BY id ORDER BY rank DESC, id LIMIT 20""", "obs")
+def tsrank_search(s, d):
+    o = spread(t.observations(s, d)).filter(se.visible_to("en")).select("id", se.tokens("title", "content").alias("toks"))
+    return se.distance_rank(o, ["licensed", "the"]).select("id", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 VECS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -585,13 +736,13 @@ def knn_topk(s, d):
 @query(f"WITH {PAIRS} SELECT query_id, id, sim FROM p WHERE sim >= 0.4")
 def similar_pairs(s, d):
     v = _vectors(s, d)
-    return ve.knn(v, v.filter("id % 100 = 0"), 1 << 30, 0.4).select("query_id", "id", "sim")
+    return ve.similar(v, v.filter("id % 100 = 0"), 0.4)
 
 
 @query(f"WITH {PAIRS} SELECT query_id, id, sim FROM p WHERE sim >= 0.85")
 def related_085(s, d):
     v = _vectors(s, d)
-    return ve.knn(v, v.filter("id % 100 = 0"), 1 << 30, 0.85).select("query_id", "id", "sim")
+    return ve.similar(v, v.filter("id % 100 = 0"), 0.85)
 
 
 @query(bm25_sql(["the"], "deleted_at IS NULL", f"""
@@ -604,6 +755,40 @@ def hybrid_rrf(s, d):
     return ve.hybrid(se.search(t.observations(s, d), "the").withColumn("rank", F.round("rank", 9)), near, 10)
 
 
+CONTEXT = """, {pairs}, lx AS (SELECT id FROM r ORDER BY round(rank, 9), id LIMIT 2), shown AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0),
+vx AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rk FROM p WHERE query_id = {query} AND sim >= {least}) WHERE rk <= 2 AND id NOT IN (SELECT id FROM shown))
+SELECT id, 'vector' AS source FROM vx UNION ALL SELECT id, 'text' FROM lx WHERE id NOT IN (SELECT id FROM shown) AND NOT EXISTS (SELECT 1 FROM vx)"""
+
+
+def _context(s, d, query, least):
+    v = _vectors(s, d)
+    near = ve.knn(v, v.filter(F.col("id") == query), 2, least)
+    return ve.prompt_context(near, se.search(t.observations(s, d), "licensed", "fr", 2), v.filter("id % 3 = 0").select("id"))
+
+
+IN_FR = "deleted_at IS NULL AND (project = 'fr' OR scope = 'global')"
+
+
+@query(bm25_sql(["licensed"], IN_FR, CONTEXT.format(pairs=PAIRS, query=100, least=0.65)), "obs")
+def prompt_context(s, d):
+    """No vector is near enough: the text matches."""
+    return _context(s, d, 100, 0.65)
+
+
+@query(bm25_sql(["licensed"], IN_FR, CONTEXT.format(pairs=PAIRS, query=0, least=0.05)), "obs")
+def prompt_context_vectors(s, d):
+    return _context(s, d, 0, 0.05)
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 1 THEN 'new ' || vec_id ELSE 'old' END AS snippet FROM embeddings WHERE vec_id % 3 <> 2")
+def vector_replace(s, d):
+    v = _vectors(s, d)
+    now = v.withColumn("snippet", F.lit("old"))
+    texts = v.filter("id % 3 > 0").select("id", F.when(F.col("id") % 3 == 1, F.col("embedding")).alias("embedding"), F.concat(F.lit("new "), "id").alias("content"), F.lit(2).alias("n"))
+    first = texts.withColumn("n", F.lit(1)).withColumn("content", F.lit("older"))
+    return ve.replace_vectors(now, first.unionByName(texts)).select("id", "snippet")
+
+
 @query("SELECT id FROM obs WHERE deleted_at IS NULL AND id NOT IN (SELECT vec_id FROM embeddings)", "obs")
 def reindex_missing(s, d):
     return ob.live(t.observations(s, d)).select("id").join(_vectors(s, d), "id", "left_anti")
@@ -613,7 +798,7 @@ def reindex_missing(s, d):
 def injected_anti_join(s, d):
     v = _vectors(s, d)
     shown = v.filter("id % 2 = 0").select(F.to_json(F.array("id")).alias("ids")).select(F.explode(F.from_json("ids", "array<bigint>")).alias("id"))
-    return ve.knn(v, v.filter("id % 100 = 0"), 1 << 30, 0.3).join(shown, "id", "left_anti").select("query_id", "id")
+    return ve.similar(v, v.filter("id % 100 = 0"), 0.3).join(shown, "id", "left_anti").select("query_id", "id")
 
 
 # --- relations -------------------------------------------------------------------------------------
@@ -702,6 +887,42 @@ def relation_candidates(s, d):
     return rl.candidates(o.drop("terms"), o.filter("id % 100 = 0"), t.relations(s, d), floor=None).withColumn("rk", F.col("rk").cast("long"))
 
 
+@query(f"WITH {ENDS} SELECT id, relation, judgment_status FROM e WHERE source_project = 'fr' ORDER BY created_at DESC, id DESC LIMIT 20", "rel", "obs")
+def relations_list_project(s, d):
+    return rl.listed(t.relations(s, d), t.observations(s, d), project="fr").limit(20).select("id", "relation", "judgment_status")
+
+
+@query("SELECT relation, count(*) AS n FROM rel WHERE judgment_status <> 'pending' GROUP BY relation", "rel")
+def relation_stats_by_verb(s, d):
+    return rl.verb_counts(t.relations(s, d))
+
+
+CAND_SCOPED = CAND.replace("SELECT id, sync_id, ", "SELECT id, sync_id, project, scope, deleted_at, ", 1).replace("tp AS (SELECT * FROM (SELECT *,", "sd AS (SELECT sc.* FROM sc JOIN tk a ON a.id = sc.src JOIN tk b ON b.id = sc.id WHERE b.deleted_at IS NULL AND (b.project = a.project OR b.scope = 'global')), tp AS (SELECT * FROM (SELECT *,").replace("AS rk FROM sc)", "AS rk FROM sd)").replace("WHERE rk <= 9)", "WHERE rk <= 9 AND rank >= -8)")
+
+
+@query(CAND_SCOPED.split("\nSELECT src, id, rank, row_number()")[0] + ", got AS (SELECT src, id, rank, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS k FROM (SELECT src, id, rank FROM tp) WHERE abs(src - id) <> 1 OR least(src, id) NOT IN (SELECT id FROM rel)) SELECT md5(CAST(src AS VARCHAR)) AS source_id, md5(CAST(id AS VARCHAR)) AS target_id, 'pending' AS judgment_status, rank AS score FROM got WHERE k <= 3", "obs", "rel")
+def relation_candidates_pending(s, d):
+    o = t.observations(s, d).select("id", "sync_id", "project", "scope", "deleted_at", se.tokens("title", "content").alias("toks"), F.filter(se.tokens("title"), lambda w: F.octet_length(w) > 2).alias("terms"))
+    found = rl.candidates(o.drop("terms"), o.filter("id % 100 = 0").select("id", "sync_id", "project", "terms"), t.relations(s, d), floor=-8.0)
+    return rl.pending_rows(found, o, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("source_id", "target_id", "judgment_status", "score")
+
+
+@query(f"WITH {ENDS}, v AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'related' WHEN id % 5 = 1 THEN 'nonsense' END AS verb FROM e), g AS (SELECT *, CASE WHEN verb = 'nonsense' THEN 'verb' WHEN verb IS NOT NULL AND source_project <> target_project THEN 'project' ELSE '' END AS error FROM v) SELECT id, error, CASE WHEN verb IS NOT NULL AND error = '' THEN verb ELSE relation END AS relation, CASE WHEN verb IS NOT NULL AND error = '' THEN 'judged' ELSE judgment_status END AS judgment_status, CASE WHEN verb IS NOT NULL AND error = '' THEN 'me' END AS marked_by_actor FROM g", "rel", "obs")
+def judge_guarded(s, d):
+    r = t.relations(s, d)
+    said = r.filter("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 0, "related").otherwise("nonsense").alias("verb"), F.lit("as seen").alias("why"), F.lit(0.8).alias("sure"), F.lit("me").alias("actor"), F.lit("agent").alias("kind"), F.lit("").alias("model"))
+    return rl.judged(r, t.observations(s, d), said, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("id", "error", "relation", "judgment_status", "marked_by_actor")
+
+
+@query("SELECT id, source_id, target_id, CASE WHEN id % 4 = 0 THEN 'scoped' ELSE relation END AS relation, CASE WHEN id % 4 = 0 THEN 'system' END AS marked_by_kind FROM rel UNION ALL SELECT NULL, md5(CAST(id AS VARCHAR)), md5(CAST(id + 2 AS VARCHAR)), 'related', 'system' FROM rel WHERE id % 10 = 3", "rel")
+def judge_semantic(s, d):
+    r = t.relations(s, d)
+    back = r.filter("id % 4 = 0").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.explode(F.array(F.struct(F.lit("related").alias("verb"), F.lit(1).alias("n")), F.struct(F.lit("scoped").alias("verb"), F.lit(2).alias("n")), F.struct(F.lit("odd").alias("verb"), F.lit(3).alias("n")))).alias("v")).select("source_id", "target_id", "v.*")
+    new = r.filter("id % 10 = 3").select(F.expr("md5(CAST(id AS STRING))").alias("source_id"), F.expr("md5(CAST(id + 2 AS STRING))").alias("target_id"), F.lit("related").alias("verb"), F.lit(1).alias("n"))
+    said = back.unionByName(new).withColumn("sure", F.lit(0.7)).withColumn("why", F.lit("")).withColumn("model", F.lit("m"))
+    return rl.judge_by_meaning(r, said, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("id", "source_id", "target_id", "relation", "marked_by_kind")
+
+
 # --- sync, export, streams -------------------------------------------------------------------------
 
 
@@ -716,6 +937,34 @@ def sync_import_once(s, d):
     return sync.import_new(o.filter("id % 3 = 0"), o, t.sessions(s, d)).select("id")
 
 
+@query("SELECT id, sync_id, title, updated_at FROM obs WHERE updated_at > TIMESTAMP '2024-01-03' AND id % 3 <> 0 AND session_id IN (SELECT id FROM sess)", "obs", "sess")
+def sync_roundtrip(s, d):
+    """Two exports of one content make one chunk; what it has and the other side lacks comes back, once."""
+    o, folder = t.observations(s, d), scratch(s, "sync")
+    for _ in range(2):
+        sync.export_chunk(o, folder, "a", "2024-05-01T00:00:00Z", since="2024-01-03 00:00:00")
+    ledger = s.createDataFrame([], "id string")
+    fresh, ledger = sync.import_chunks(o.filter("id % 3 = 0"), t.sessions(s, d), folder, ledger)
+    again, _ = sync.import_chunks(o.filter("id % 3 = 0"), t.sessions(s, d), folder, ledger)
+    return fresh.unionByName(again).select("id", "sync_id", "title", "updated_at")
+
+
+@query("SELECT 1 AS chunks, count(*) AS memories FROM obs WHERE updated_at > TIMESTAMP '2024-01-03'", "obs")
+def sync_manifest(s, d):
+    o, folder = t.observations(s, d), scratch(s, "sync")
+    for _ in range(2):
+        sync.export_chunk(o, folder, "a", "2024-05-01T00:00:00Z", since="2024-01-03 00:00:00")
+    return sync.manifest(s, folder).agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.sum("memories").alias("memories"))
+
+
+@query(f"WITH n AS (SELECT id, project || '/' || type || '/' || CASE WHEN id < 10000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END || '-' AS folder, {SLUG_CUT} AS old FROM (SELECT id, project, type, {SLUG.format('title')} AS s FROM obs WHERE deleted_at IS NULL)) SELECT folder || old || '.md' AS path, CASE WHEN id % 3 = 0 THEN 'remove' ELSE 'write' END AS change FROM n WHERE id % 3 = 0 OR id % 3 = 1 UNION ALL SELECT folder || 'renamed-' || id || '.md', 'write' FROM n WHERE id % 3 = 0", "obs")
+def mirror_changes(s, d):
+    """A third of the notes are renamed, another third are changed."""
+    o = ob.live(t.observations(s, d))
+    new = o.withColumn("title", F.when(F.col("id") % 3 == 0, F.concat(F.lit("renamed "), "id")).otherwise(F.col("title"))).withColumn("content", F.when(F.col("id") % 3 == 1, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    return sync.mirror(o, new).select("path", "change")
+
+
 @query("SELECT project, count(*) AS memories, count(DISTINCT session_id) AS sessions FROM obs GROUP BY project", "obs")
 def sync_chunk_counts(s, d):
     return t.observations(s, d).groupBy("project").agg(F.count(F.lit(1)).alias("memories"), F.countDistinct("session_id").alias("sessions"))
@@ -745,6 +994,23 @@ def replay_final_state(s, d):
     return streams.replay(t.queue(s, d)).groupBy("user").agg(F.max_by("entity_type", "id").alias("last_type"))
 
 
+def _entries(s, d):
+    """Queued writes of all kinds, made from events: sessions begin at ids divisible by 7, every eleventh payload is no JSON."""
+    kinds = F.element_at(F.array(*(F.lit(k) for k in streams.KINDS)), (F.col("id") % 9 + 1).cast("int"))
+    e = t.tool_usage(s, d).select("id", "session_id", kinds.alias("entity_type"))
+    body = F.to_json(F.struct(F.when(F.col("entity_type").isin("create_session", "end_session"), F.col("session_id")).otherwise(F.col("id").cast("string")).alias("ID"), F.when(F.col("id") % 4 == 0, "").otherwise(F.col("session_id")).alias("SessionID"), F.lit("p").alias("Project"), F.when(F.col("id") % 5 == 0, "").otherwise("text").alias("Content")))
+    body = F.when(F.col("entity_type").isin("update_observation", "delete_observation"), F.to_json(F.struct(F.col("id").alias("ID")))).otherwise(body)
+    return e.select("id", "entity_type", F.when(F.col("id") % 11 == 0, "broken").otherwise(body).alias("payload"))
+
+
+@query("""WITH q AS (SELECT id, session_id, (['save_observation', 'update_observation', 'delete_observation', 'create_session', 'end_session', 'save_prompt', 'record_tool_use', 'increment_search_count', 'touch_session_activity'])[id % 9 + 1] AS kind FROM tools WHERE id % 11 <> 0),
+k AS (SELECT session_id, min(since) AS since FROM (SELECT id AS session_id, -1 AS since FROM sess WHERE CAST(id AS BIGINT) % 2 = 0 UNION ALL SELECT session_id, id FROM q WHERE kind = 'create_session') GROUP BY session_id),
+j AS (SELECT q.*, coalesce(since < q.id, FALSE) AS known, CASE WHEN kind IN ('save_observation', 'save_prompt') AND id % 4 = 0 THEN TRUE ELSE coalesce(since < q.id, FALSE) END AS linked FROM q LEFT JOIN k USING (session_id))
+SELECT id AS entry, kind, CASE kind WHEN 'save_observation' THEN CASE WHEN linked THEN 'apply' ELSE 'unlink' END WHEN 'update_observation' THEN CASE WHEN id IN (SELECT id FROM obs) THEN 'apply' ELSE 'discard' END WHEN 'create_session' THEN CASE WHEN known THEN 'skip' ELSE 'apply' END WHEN 'end_session' THEN CASE WHEN known THEN 'apply' ELSE 'discard' END WHEN 'save_prompt' THEN CASE WHEN linked AND id % 5 <> 0 THEN 'apply' ELSE 'discard' END ELSE 'apply' END AS action FROM j""", "tools", "sess", "obs")
+def replay_resolved(s, d):
+    return streams.resolved(_entries(s, d), t.sessions(s, d).filter("CAST(id AS BIGINT) % 2 = 0"), t.observations(s, d))
+
+
 @query("WITH e AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM tools), g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS grp FROM e) SELECT session_id, count(*) AS events, min(created_at) AS first, max(created_at) AS last FROM g GROUP BY session_id, grp", "tools")
 def stream_session_windows(s, d):
     return streams.session_windows(t.tool_usage(s, d)).select("session_id", "events", "first", "last")

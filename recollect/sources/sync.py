@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import note_name, slug
+from .scratch import has_path
 
 
 def changed_since(df: DataFrame, since: str) -> DataFrame:
@@ -17,10 +18,55 @@ def write_chunk(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("compression", "gzip").json(path)
 
 
-def read_chunk(spark, path: str, schema) -> DataFrame:
+def read_chunk(spark, path: str | list[str], schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def chunk_id(df: DataFrame) -> str:
+    """Sixteen hex digits from the rows, whatever their order or files: equal contents have equal ids."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns))))
+    again = F.xxhash64(F.lit(1), F.to_json(F.struct(*sorted(df.columns))))
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("a"), F.sum(again.cast("decimal(38,0)")).alias("b"))
+    return one.select(F.substring(F.sha2(F.concat_ws("|", "n", "a", "b"), 256), 1, 16).alias("id")).first().id
+
+
+MANIFEST = "id string, created_by string, created_at string, memories bigint"
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that a folder has; empty where nothing was exported yet."""
+    path = f"{folder}/manifest"
+    return spark.read.schema(MANIFEST).json(path) if has_path(spark, path) else spark.createDataFrame([], MANIFEST)
+
+
+def export_chunk(df: DataFrame, folder: str, created_by: str, created_at: str, since: str | None = None) -> str | None:
+    """Write the rows changed after ``since`` as a chunk named by its content, and list it; None where nothing is new.
+
+    A chunk that the manifest lists is not written again.  The chunk is complete
+    before it is listed, so a reader never meets half of one.
+    """
+    spark = df.sparkSession
+    new = df.filter(F.col("updated_at") > F.expr(f"TIMESTAMP_NTZ '{since}'")) if since else df
+    n = new.count()
+    if not n:
+        return None
+    name = chunk_id(new)
+    if manifest(spark, folder).filter(F.col("id") == name).isEmpty():
+        new.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/chunks/{name}")
+        spark.createDataFrame([(name, created_by, created_at, n)], MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
+    return name
+
+
+def import_chunks(current: DataFrame, sessions: DataFrame, folder: str, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the chunks that the ledger (id) lacks and ``current`` does not have, and the ledger after them."""
+    spark = current.sparkSession
+    new = [r.id for r in manifest(spark, folder).join(ledger, "id", "left_anti").select("id").distinct().orderBy("id").collect()]  # names of chunks
+    if not new:
+        return current.limit(0), ledger
+    rows = read_chunk(spark, [f"{folder}/chunks/{name}" for name in new], current.schema).dropDuplicates(["sync_id"])
+    return import_new(current, rows, sessions).select(current.columns), ledger.unionByName(spark.createDataFrame([(name,) for name in new], "id string"))
+
+
 def import_new(current: DataFrame, incoming: DataFrame, sessions: DataFrame) -> DataFrame:
     """Rows of a chunk that are not here yet; a session that is unknown is cut off where there is one."""
     known = sessions.select(F.col("id").alias("session_id")).distinct().withColumn("known", F.lit(True))
@@ -47,16 +93,17 @@ def markdown(df: DataFrame) -> DataFrame:
 
 
 def write_markdown(df: DataFrame, out: str) -> None:
-    """One file for each note, written by the tasks that hold them, under a folder that all machines share."""
-    def save(rows) -> None:
-        from pathlib import Path
+    """One text file for each note, in the folder of its path, by Spark's own writer: any file system that it knows."""
+    notes = markdown(df).select(F.col("path").alias("note"), F.regexp_replace("body", r"\n\z", "").alias("value"))  # the writer ends each row's line
+    notes.repartition("note").write.mode("overwrite").partitionBy("note").text(out)
 
-        for r in rows:
-            p = Path(out, r.path)
-            p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_text(r.body)
 
-    markdown(df).foreachPartition(save)
+def mirror(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, body, change) that brings the notes of ``before`` to ``after`` (live rows): 'write', or 'remove' for old paths."""
+    old, new = markdown(before).select("path", F.col("body").alias("was")), markdown(after).select("path", "body")
+    both = old.join(new, "path", "full")
+    change = F.when(F.col("body").isNull(), "remove").when(F.col("was").isNull() | (F.col("was") != F.col("body")), "write")
+    return both.select("path", "body", change.alias("change")).filter("change IS NOT NULL")
 
 
 def index(df: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         f"element_at(array({kinds}), CAST(doc_id % 9 AS INT) + 1) AS type", "substring(text, 1, 80) AS title", "text AS content",
         "lang AS project", "CASE WHEN doc_id % 50 = 0 THEN 'global' ELSE 'project' END AS scope",
         "CASE WHEN doc_id % 5 = 0 THEN concat('t/', doc_id % 7) ELSE '' END AS topic_key", "1 AS revision_count", "1 AS duplicate_count",
-        f"{EPOCH} + make_dt_interval(0, 0, CAST(doc_id AS INT)) AS created_at", f"{EPOCH} + make_dt_interval(CAST(doc_id % 13 AS INT), 0, CAST(doc_id AS INT)) AS updated_at",
-        f"{EPOCH} + make_dt_interval(0, 0, CAST(doc_id AS INT)) AS last_seen_at", f"CASE WHEN doc_id % 17 = 0 THEN {EPOCH} + make_dt_interval(1, 0, CAST(doc_id AS INT)) END AS deleted_at",
+        f"{EPOCH} + doc_id * INTERVAL '1' MINUTE AS created_at", f"{EPOCH} + make_dt_interval(CAST(doc_id % 13 AS INT)) + doc_id * INTERVAL '1' MINUTE AS updated_at",
+        f"{EPOCH} + doc_id * INTERVAL '1' MINUTE AS last_seen_at", f"CASE WHEN doc_id % 17 = 0 THEN {EPOCH} + INTERVAL '1' DAY + doc_id * INTERVAL '1' MINUTE END AS deleted_at",
     ).withColumn("normalized_hash", content_hash(F.col("title"), F.col("content")))
 
 
@@ -55,7 +55,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def prompts(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations").filter("role = 'user'")
-    at = f"{EPOCH} + make_dt_interval(0, 0, 0, CAST(conv_id * 3600 + turn * 60 AS INT))"
+    at = f"{EPOCH} + (conv_id * 3600 + turn * 60) * INTERVAL '1' SECOND"
     return c.selectExpr("conv_id * 1000 + turn AS id", "CAST(conv_id AS STRING) AS session_id", "text AS content", "concat('p', conv_id % 10) AS project", f"{at} AS created_at", f"CASE WHEN (conv_id + turn) % 19 = 0 THEN {at} END AS deleted_at")
 
 
@@ -66,7 +66,7 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id AS id", "concat('r', vec_id) AS sync_id", "md5(CAST(vec_id AS STRING)) AS source_id", "md5(CAST(vec_id + 1 AS STRING)) AS target_id",
         f"CASE WHEN vec_id % 3 = 1 THEN element_at(array({verbs}), CAST(vec_id % 6 AS INT) + 1) ELSE 'pending' END AS relation", "CASE WHEN vec_id % 4 <> 0 THEN concat('because ', vec_id) END AS reason",
         "CASE WHEN vec_id % 3 = 1 THEN (vec_id % 10) / 10D END AS confidence", "CASE WHEN vec_id % 3 = 1 THEN 'judged' ELSE 'pending' END AS judgment_status",
-        f"{EPOCH} + make_dt_interval(0, CAST(vec_id AS INT)) AS created_at",
+        f"{EPOCH} + vec_id * INTERVAL '1' HOUR AS created_at",
     )
 
 

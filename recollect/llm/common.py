@@ -1,63 +1,21 @@
-"""What the text operators share: the shared folder, ASCII folding, grouped Arrow streams."""
+"""What the text operators share: ASCII folding, samples, portions of batches, grouped Arrow streams."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import string
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none (a local test), a temporary folder of this
-    machine is set; a cluster must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="recollect-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that no later result reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+from ..sources.scratch import drop_path, has_path, scratch, spool, spread, unspool  # noqa: F401  (of the operators beside)
 
-def unspool(*tables: DataFrame) -> None:
-    """Delete spooled tables that no later result reads."""
-    for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            drop_path(df.sparkSession, folder)
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def ascii_lower(text: Column) -> Column:
@@ -77,6 +35,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def some_rows(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """At most ``n`` distinct rows (id, text): those of the smallest hashes.
+
+    Rows that repeat count once, so one id that many rows share can't fill the
+    sample or a task.  Only hashes are sorted; texts are fetched for those chosen.
+    """
+    keys = df.select(F.col(id_col).alias("own"), F.xxhash64(text_or_empty(text_col)).alias("th")).withColumn("rank", F.xxhash64("own", "th"))
+    total = df.count()
+    if total > 16 * n:  # a share of all hashes that has enough rows, before they are sorted
+        keys = keys.filter(F.pmod("rank", F.lit(total // (16 * n))) == 0)
+    keys = keys.distinct().orderBy("rank", "own", "th").limit(n)
+    rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    found = rows.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("own")) & (F.xxhash64("text") == F.col("th")))
+    return found.groupBy("id", "th").agg(F.first("text").alias("text")).select("id", "text")
+
+
+#: Keys with more than this share of all rows are hot: at most so many, whatever the table.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """``rows`` joined to ``groups``, which has each key once and counts in ``n`` its rows of ``total`` (those of ``rows`` unless given).
+
+    Rows of the hot keys are joined where they are: these groups, a thousand at
+    most, go to every executor, so no task has all rows of one key.
+    """
+    hot = F.broadcast(groups.filter(F.col("n") > (total or rows.count()) / HOT_KEYS))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(groups, keys))
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; decides on a broadcast without reading further."""
     return df.limit(rows + 1).count() <= rows

@@ -3,7 +3,9 @@
 Every document is a set of word n-grams.  A run sends each set down a tree:
 the node (its path so far) draws which shared token to split on, and sets that
 agree on it go on together, until a bucket is small; sets of a small bucket are
-compared.  Runs repeat until the chance to meet reaches the target recall.
+compared; one that the last level leaves large is compared in many tasks, one
+for each pair of its blocks.  Runs repeat until the chance to meet reaches the
+target recall.
 Tokens are drawn from min-hash coordinates, so that sets meet at a level with
 the probability of their similarity.  Similar pairs of a bucket are then
 verified on the full sets.
@@ -19,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, fits, lists, spool, text_or_empty, unspool, whole_groups
-from .components import components
+from ..operators.graph import components
+from .common import bounds, fits, give_back, join_counted, list_array, lists, portioned, spool, spread, text_or_empty, unspool, unused, whole_groups
 from .ngrams import gram_hashes, mixed, word_hashes
 
 #: Characters between words, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COORDINATES = 64
-#: Buckets of more sets are split further, down to DEPTH levels; those still larger are compared in blocks of this size.
+#: Buckets of more sets are split further, down to DEPTH levels; those still larger are cut into blocks of about this size.
 SMALL, DEPTH = 1024, 4
 #: Up to so many ids of sets to verify go to every executor; more are shuffled with the texts.
 BROADCAST_IDS = 1_000_000
 #: Sets that share so much less of their coordinates than the threshold are not verified: four standard errors of the estimate.
 SLACK = 4.0
+#: Words whose shingles are made at a time.
+WORDS_AT_ONCE = 1 << 20
 SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -75,6 +79,11 @@ def chosen(path, run, level: int):
     return F.pmod(F.xxhash64(path, run, F.lit(level)), F.lit(COORDINATES // DEPTH)) + F.lit(level * (COORDINATES // DEPTH))
 
 
+def apart(side: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether pairs are of a bucket's own: all of a whole bucket or block (side 0), else those across two blocks."""
+    return (side[x] == 0) | (side[x] != side[y])
+
+
 def met_first(leaves: np.ndarray, x: np.ndarray, y: np.ndarray, run: int) -> np.ndarray:
     """Whether pairs met in no earlier run."""
     return ~(leaves[x, :run] == leaves[y, :run]).any(axis=1)
@@ -86,7 +95,7 @@ def blocks(n: int) -> Iterator[tuple[slice, slice]]:
             yield slice(a, min(a + SMALL, n)), slice(b, min(b + SMALL, n))
 
 
-def likely(sketch: np.ndarray, leaves: np.ndarray, run: int, least: int) -> np.ndarray:
+def likely(sketch: np.ndarray, leaves: np.ndarray, side: np.ndarray, run: int, least: int) -> np.ndarray:
     """Which sets of a bucket agree with another one, not met before, in ``least`` coordinates or more."""
     keep = np.zeros(len(sketch), bool)
     for a, b in blocks(len(sketch)):
@@ -95,24 +104,22 @@ def likely(sketch: np.ndarray, leaves: np.ndarray, run: int, least: int) -> np.n
             same += sketch[a, i, None] == sketch[None, b, i]
         x, y = np.nonzero(same >= least)
         x, y = x + a.start, y + b.start
-        apart = x < y
-        x, y = x[apart], y[apart]
+        own = (x < y) & apart(side, x, y)
+        x, y = x[own], y[own]
         new = met_first(leaves, x, y, run)
         keep[x[new]] = keep[y[new]] = True
     return keep
 
 
-def linked(sets: list[np.ndarray], leaves: np.ndarray, run: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def linked(sets: list[np.ndarray], leaves: np.ndarray, side: np.ndarray, run: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each set of a bucket to others not met before, and pairs that connect those linked."""
     sizes = np.array([len(s) for s in sets])
     flat, tokens = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
     doc, starts = flat[order], bounds(tokens[order])
-    ends = np.zeros(len(tokens), np.int64)
     own = np.empty(len(tokens), np.int64)
     own[order] = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     begins, stops = starts[:-1][own], starts[1:][own]
-    del ends
     count, root, pairs = np.zeros(len(sets), np.int64), list(range(len(sets))), []
 
     def top(i: int) -> int:
@@ -128,7 +135,7 @@ def linked(sets: list[np.ndarray], leaves: np.ndarray, run: int, threshold: floa
         shift = np.repeat(b - np.cumsum(lengths) + lengths, lengths)
         common = np.bincount(doc[shift + np.arange(len(shift))], minlength=len(sets))
         near = np.flatnonzero(common >= threshold * (sizes + sizes[i] - common) - 1e-9)
-        near = near[near > i]
+        near = near[(near > i) & apart(side, np.full(len(near), i), near)]
         near = near[met_first(leaves, np.full(len(near), i), near, run)]
         count[i] += len(near)
         count[near] += 1
@@ -150,15 +157,23 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     counts the other sets that a set is linked to.  Words are runs of letters
     and digits, ASCII upper case folded; a text of fewer than n words is one
     shingle, one without words (null, empty) is linked to nothing and its own
-    class.  Repeated rows share a set; ids must not be null to be compared:
-    rows without an id are returned with a null class and no links.
+    class.  Repeated rows share a set.  Rows that share an id but not a text
+    are taken for one document: each has the set of its own text, and of sets
+    with one ``set_id`` that of the smallest digest is compared.  Ids must not
+    be null to be compared: rows without an id get a null class and no links,
+    or those of an equal set that has an id.  An empty table gives no rows.
     """
+    return with_classes(docs, n, threshold, recall, id_col, text_col).drop("th")
+
+
+def with_classes(docs: DataFrame, n: int, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``jaccard_join`` with ``th``, a hash of the text."""
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    hashed = docs.select("doc_id", word_hashes(F.col("text"), GAP, True).alias("words"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text"), GAP, True).alias("words"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portioned(whole, "words", WORDS_AT_ONCE)):
             values, offsets = shingle_sets(*lists(batch.column("words")), n)
             full = np.flatnonzero(np.diff(offsets))
             digest = np.zeros((len(offsets) - 1, 2), np.uint64)
@@ -168,14 +183,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
             coordinates = np.ascontiguousarray(min_hashes(values, offsets)).view(np.uint8)
             width = 4 * COORDINATES
             made = pa.Array.from_buffers(pa.binary(), len(digest), [None, pa.py_buffer(np.arange(0, width * (len(digest) + 1), width, dtype=np.int32)), pa.py_buffer(coordinates)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), made], ["doc_id", "d1", "d2", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), made], ["doc_id", "th", "d1", "d2", "size", "sketch"])
+        give_back()
 
-    rows = spool(hashed.mapInArrow(sketch, f"doc_id {kind}, d1 bigint, d2 bigint, size int, sketch binary"), "sketches")
+    rows = spool(hashed.mapInArrow(sketch, f"doc_id {kind}, th bigint, d1 bigint, d2 bigint, size int, sketch binary"), "sketches")
     groups = rows.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("set_size"))
     groups = spool(groups, "sets")
     first = groups.select(F.col("set_id").alias("own")).filter("own IS NOT NULL")
     reps = rows.join(first, rows.doc_id == first.own, "left_semi").filter("size > 0")
-    reps = spool(reps.join(groups.select("d1", "d2", "set_id"), ["d1", "d2"]).filter("doc_id = set_id").select("set_id", "sketch").dropDuplicates(["set_id"]), "representatives")
+    reps = reps.join(groups.select("d1", "d2", "set_id"), ["d1", "d2"]).filter("doc_id = set_id")
+    reps = spool(reps.groupBy("set_id").agg(F.min(F.struct("d1", "d2", "th", "sketch")).alias("r")).select("set_id", "r.th", "r.sketch"), "representatives")
 
     # paths: all runs at once; buckets of one are dropped, small ones are leaves, others go down a level
     runs = runs_for(threshold, recall)
@@ -185,64 +202,71 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     for level in range(DEPTH):
         step = spool(todo.select("set_id", "run", F.xxhash64("path", "run", value(level)).alias("path")), "paths")
         sized = step.groupBy("run", "path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        step = step.join(sized, ["run", "path"])
+        step = join_counted(step, sized, ["run", "path"])
         leaves.append(step.filter(F.col("n") <= SMALL) if level < DEPTH - 1 else step)
         big = sized.filter(F.col("n") > SMALL)
         if level == DEPTH - 1 or big.isEmpty():
             break
-        todo = step.filter(F.col("n") > SMALL).select("set_id", "run", "path").join(reps, "set_id")
+        todo = step.filter(F.col("n") > SMALL).select("set_id", "run", "path").join(reps.drop("th"), "set_id")
     placed = leaves[0]
     for more in leaves[1:]:
         placed = placed.unionByName(more)
-    placed = spool(placed.select("set_id", "run", "path"), "leaves")
+    placed = spool(placed.select("set_id", "run", "path", "n"), "leaves")
+
+    # a leaf that is still large: a bucket for each pair of its blocks, so that no task has it whole
+    cut = placed.withColumn("blocks", F.ceil(F.col("n") / SMALL)).withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
+    cut = cut.select("set_id", "run", "path", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    bucket = F.when(F.col("blocks") == 1, F.col("path")).otherwise(F.xxhash64("path", low, high))
+    cut = cut.select("set_id", "run", bucket.alias("bucket"), F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).alias("side"))
 
     # compare the sketches of each bucket: which sets have a partner there that they met in no earlier run
     of_set = placed.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("m"))
-    of_set = of_set.select("set_id", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(m[r], set_id * {runs} + r))").alias("leaves")).join(reps, "set_id")
-    dealt = placed.join(of_set, "set_id").repartition("path").sortWithinPartitions("path", "set_id")
+    of_set = of_set.select("set_id", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(m[r], set_id * {runs} + r))").alias("leaves")).join(reps.drop("th"), "set_id")
+    dealt = cut.join(of_set, "set_id").repartition("bucket").sortWithinPartitions("bucket", "set_id")
     least = max(1, math.ceil(COORDINATES * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES))))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         return lists(column)[0].reshape(-1, runs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "path"):
+        for t in whole_groups(batches, "bucket"):
             t = t.combine_chunks()
-            met, run = matrix(t.column("leaves")), t.column("run").to_numpy()
+            met, run, side = matrix(t.column("leaves")), t.column("run").to_numpy(), t.column("side").to_numpy()
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            edges = bounds(t.column("path").to_numpy())
+            edges = bounds(t.column("bucket").to_numpy())
             keep = np.zeros(t.num_rows, bool)
             for a, b in zip(edges[:-1], edges[1:]):
-                keep[a:b] = likely(sketches[a:b], met[a:b], int(run[a]), least)
-            yield from t.select(["set_id", "run", "path", "leaves"]).filter(pa.array(keep)).combine_chunks().to_batches()
+                keep[a:b] = likely(sketches[a:b], met[a:b], side[a:b], int(run[a]), least)
+            yield from t.select(["set_id", "run", "bucket", "side", "leaves"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    close = spool(dealt.mapInArrow(compare, f"set_id {kind}, run int, path bigint, leaves array<bigint>"), "close")
+    close = spool(dealt.mapInArrow(compare, f"set_id {kind}, run int, bucket bigint, side int, leaves array<bigint>"), "close")
 
     # verify on the full sets
-    wanted = close.select(F.col("set_id").alias("doc_id")).distinct()
+    wanted = close.select("set_id").distinct().join(reps.select("set_id", "th"), "set_id").select(F.col("set_id").alias("doc_id"), "th")
     wanted = F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted
-    texts = docs.join(wanted, "doc_id", "left_semi")
+    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"], "left_semi")
     texts = texts.select("doc_id", word_hashes(F.col("text"), GAP, True).alias("words")).dropDuplicates(["doc_id"])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import list_array
-
-        for batch in batches:
+        for batch in (part for whole in batches for part in portioned(whole, "words", WORDS_AT_ONCE)):
             values, offsets = shingle_sets(*lists(batch.column("words")), n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(values.view(np.int64), offsets, pa.int64())], ["set_id", "grams"])
+        give_back()
 
     grams = texts.mapInArrow(shingle, f"set_id {kind}, grams array<bigint>")
-    dealt = close.join(grams, "set_id").repartition("path").sortWithinPartitions("path", "set_id")
+    dealt = close.join(grams, "set_id").repartition("bucket").sortWithinPartitions("bucket", "set_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "path"):
+        for t in whole_groups(batches, "bucket"):
             t = t.combine_chunks()
+            side = t.column("side").to_numpy()
             met, run, ids = matrix(t.column("leaves")), t.column("run").to_numpy(), t.column("set_id").to_pylist()
             values, offsets = lists(t.column("grams"))
             out_a, out_b, out_n = [], [], []
-            edges = bounds(t.column("path").to_numpy())
+            edges = bounds(t.column("bucket").to_numpy())
             for a, b in zip(edges[:-1], edges[1:]):
-                count, pairs = linked([values[offsets[i] : offsets[i + 1]] for i in range(a, b)], met[a:b], int(run[a]), threshold)
+                count, pairs = linked([values[offsets[i] : offsets[i + 1]] for i in range(a, b)], met[a:b], side[a:b], int(run[a]), threshold)
                 some = np.flatnonzero(count).tolist()
                 out_a += [ids[a + i] for i in some] + [ids[a + i] for i, _ in pairs]
                 out_b += [None] * len(some) + [ids[a + j] for _, j in pairs]
@@ -256,16 +280,23 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     sets = sets.select("d1", "d2", "set_id", "set_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "set_id").alias("class_id"))
     sets = spool(sets, "classes")
     unspool(placed, reps, close)
-    out = rows.filter("size > 0").join(sets, ["d1", "d2"]).select("doc_id", "class_id", "n_links", "set_id", "set_size")
-    alone = rows.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"))
+    out = rows.filter("size > 0").join(sets, ["d1", "d2"]).select("doc_id", "th", "class_id", "n_links", "set_id", "set_size")
+    alone = rows.filter("size = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each class; all columns stay.  Ids must be unique."""
-    gone = jaccard_join(docs, id_col=id_col, text_col=text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one document, that of the smallest id, of each class; all columns stay.
+
+    Rows are judged by id and text, so of rows that share an id only those
+    whose own class has a smaller id go; repeated rows of the document that
+    stays all stay (exact copies are another operator's work), and so do rows
+    without an id.
+    """
+    key, text = unused(docs, "id"), unused(docs, "hash")
+    gone = with_classes(docs, 5, 0.8, 0.999, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias(key), F.col("th").alias(text)).distinct()
+    return docs.join(gone, (F.col(id_col) == gone[key]) & (F.xxhash64(text_or_empty(text_col)) == gone[text]), "left_anti")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_path, fits, scratch, text_or_empty
+from .common import ascii_lower, drop_path, fits, has_path, join_counted, scratch, spool, text_or_empty, unused
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -23,7 +23,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-#: Up to so many hits, their ids go to every executor (16 bytes each); above it they are shuffled.
+#: Up to so many hits, they go to every executor (some 70 bytes each beside their ids); above it they are shuffled.
 BROADCAST_HITS = 500_000
 
 
@@ -31,28 +31,28 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def keyed_state(docs: DataFrame, arrivals: str, bytes_per_trigger: int) -> DataFrame:
-    """Stream the arrivals at a path through the state; one row per digest: id of the row that stays, count."""
+def keyed_state(docs: DataFrame, folder: str, bytes_per_trigger: int) -> DataFrame:
+    """Stream the arrivals of a folder that its state has not seen through it; one row per digest: the row that stays, count."""
     spark = docs.sparkSession.newSession()
     for k, v in STATE.items():
         spark.conf.set(k, v)
     spark.conf.set("spark.sql.shuffle.partitions", docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folder = scratch(spark, "dedup-state")
-    schema = spark.read.parquet(arrivals).schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(arrivals)
-    state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "rid", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    schema = spark.read.parquet(f"{folder}/arrivals").schema
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(f"{folder}/arrivals")
+    state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "call", "rid", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
 
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
     query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(changed).start()
     query.awaitTermination()
-    drop_path(spark, f"{folder}/checkpoint")
     session = docs.sparkSession
-    out = f"digest binary, keep struct<doc_id: {dict(docs.dtypes)['doc_id']}, rid: bigint, locator: string>, n bigint, batch int"
-    changes = session.read.schema(out).option("basePath", f"{folder}/changes").parquet(f"{folder}/changes/*") if query.lastProgress else session.createDataFrame([], out)
+    out = f"digest binary, keep struct<doc_id: {dict(docs.dtypes)['doc_id']}, call: int, rid: bigint, locator: string>, n bigint, batch int"
+    some = has_path(session, f"{folder}/changes")
+    changes = session.read.schema(out).option("basePath", f"{folder}/changes").parquet(f"{folder}/changes/*") if some else session.createDataFrame([], out)
     # a count only grows, so the largest is the last
-    return changes.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", F.col("s.n").alias("n"), F.col("s.keep.doc_id").alias("keep_id"), F.col("s.keep.rid").alias("keep_rid"))
+    last = changes.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s"))
+    return last.select("digest", F.col("s.n").alias("n"), F.col("s.keep.doc_id").alias("keep_id"), F.col("s.keep.call").alias("keep_call"), F.col("s.keep.rid").alias("keep_rid"))
 
 
 def exact_dedup(
@@ -61,6 +61,7 @@ def exact_dedup(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_digest,
     bytes_per_trigger: int = 4 << 30,
+    state: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest.
 
@@ -68,40 +69,77 @@ def exact_dedup(
     row with the largest id stays; among repeated rows of that id exactly one
     does.  Null texts count as empty, a null id is below every other, other
     columns are ignored, and an empty table gives no rows.  A hot text costs no
-    more than others: state is pre-aggregated before its shuffle and AQE splits
-    the joins.
+    more than others: state and the comparison of bytes are pre-aggregated
+    before their shuffles, and rows of a hot text are joined where they are.
+
+    With ``state``, a folder that all executors share, the keyed state stays
+    there without end: each call is compared with all calls before it, and its
+    rows say how things stand after it (a row that stayed may be replaced by a
+    larger id of a later call).  The folder then keeps the texts too, for the
+    comparison of bytes; the locator of an arrival is their file.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     norm = ascii_lower(F.col("text"))
-    path = scratch(spark, "arrivals")
-    docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), digest(norm).alias("digest"), F.input_file_name().alias("locator")).write.parquet(path)
-    arrivals = spark.read.parquet(path)
-    groups = keyed_state(docs, path, bytes_per_trigger)
-
-    # full bytes of every hit against those of the row that stays
-    hits = arrivals.join(groups.filter("n > 1"), "digest").select("doc_id", "digest", "keep_id", F.col("rid") == F.col("keep_rid"))
-    hits = hits.toDF("doc_id", "digest", "keep_id", "stays").groupBy("doc_id", "digest", "keep_id").agg(F.max("stays").alias("stays"))
+    folder = state or scratch(spark, "dedup")
+    call = spark.read.parquet(f"{folder}/arrivals").agg(F.max("call")).first()[0] + 1 if state and has_path(spark, f"{folder}/arrivals") else 0
+    arrived = docs.select("doc_id", F.lit(call).alias("call"), F.monotonically_increasing_id().alias("rid"), digest(norm).alias("digest"), *([norm.alias("norm")] if state else []))
+    if state:
+        arrived.write.mode("overwrite").parquet(f"{folder}/content/call={call}")
+        arrived = spark.read.parquet(f"{folder}/content/call={call}").drop("norm")
+    arrived = arrived.withColumn("locator", F.input_file_name())
+    arrived.write.mode("append").parquet(f"{folder}/arrivals")
+    everything = spark.read.parquet(f"{folder}/arrivals")
+    groups = keyed_state(docs, folder, bytes_per_trigger)
+    if not state:
+        drop_path(spark, f"{folder}/checkpoint")
+    arrivals, total = everything.filter(F.col("call") == call), everything.count()
+
+    # full bytes of every hit: the texts of a digest are one if the smallest and the largest are equal
+    stays = (F.col("rid") == F.col("keep_rid")) & (F.col("call") == F.col("keep_call"))
+    joined = join_counted(arrivals, groups, ["digest"], total)
+    hits = joined.filter("n > 1").groupBy("doc_id", "digest").agg(F.lit(True).alias("own"))
     small = fits(hits, BROADCAST_HITS)
     side = (F.broadcast(hits) if small else hits).alias("h")
-    full = docs.alias("d").join(side, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.doc_id", "h.digest", "h.keep_id", "h.stays", norm.alias("norm"))
+    full = docs.alias("d").join(side, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.doc_id", "h.digest", norm.alias("norm"), F.lit(True).alias("own"))
     full = full.filter(digest(F.col("norm")) == F.col("digest"))
-    reps = full.filter("stays").groupBy("digest").agg(F.max("norm").alias("rep"))
-    differing = full.join(reps, "digest").filter(F.col("norm") != F.col("rep")).select("digest").distinct()
-    out = arrivals.join(groups, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), "digest")
+    if call:
+        old = everything.filter(F.col("call") < call).join(hits.select("digest").distinct(), "digest", "left_semi")
+        files = [r.locator for r in old.select("locator").distinct().collect()]  # file names, not rows
+        if files:
+            texts = spark.read.option("basePath", f"{folder}/content").parquet(*files).select("call", "rid", "norm")
+            full = full.unionByName(old.join(texts, ["call", "rid"]).select("doc_id", "digest", "norm", F.lit(False).alias("own")))
+    differing = full.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest")
+    out = joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), stays.alias("kept"), "digest")
     if differing.isEmpty():
         return out
     # equal digests, different texts: those digests are grouped by the texts themselves
     apart = full.join(differing, "digest", "left_semi")
     named = apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = apart.select("doc_id", "digest", "norm").join(named, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    again = apart.filter("own").select("doc_id", "digest", "norm").join(named, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
     return out.join(differing, "digest", "left_anti").select(again.columns).union(again)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; all columns stay.  Ids must be unique."""
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` without the rows whose text another row keeps; all columns stay.
+
+    Of rows that repeat both the id and the text that stay, one stays (any of
+    them where other columns differ); a null id is an id like others here.  An
+    empty table gives no rows.
+    """
+    key, text = unused(docs, "id"), unused(docs, "digest")
+    found = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key), F.col("digest").alias(text)).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    found = spool(found.filter("not stays OR n > 1"), "copies")
+    own = docs.withColumn(text, sha256_digest(ascii_lower(text_or_empty(text_col))))
+    same = F.col(id_col).eqNullSafe(found[key]) & (own[text] == found[text])
+    rest = own.join(found.select(key, text), same, "left_anti").drop(text)
+    repeated = found.filter("stays")
+    if repeated.isEmpty():
+        return rest
+    rank = unused(docs, "rank")
+    again = own.join(repeated.select(key, text), F.col(id_col).eqNullSafe(repeated[key]) & (own[text] == repeated[text]), "left_semi")
+    one = again.withColumn(rank, F.row_number().over(Window.partitionBy(id_col, text).orderBy(F.lit(0)))).filter(F.col(rank) == 1)
+    return rest.unionByName(one.drop(text, rank))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

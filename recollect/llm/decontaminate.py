@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits, spool, text_or_empty, unspool
+from .common import ascii_lower, fits, spool, spread, text_or_empty, unused
 
 #: Characters between words, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,11 +30,19 @@ def windowed(array: str, size: int, of: str) -> Column:
     return F.expr(f"CASE WHEN size({array}) >= {size} THEN transform(sequence(1, size({array}) - {size - 1}), i -> {made}) END")
 
 
+def runs(array: str, size: int, of: str) -> Column:
+    """``of`` (a function of ``size`` values) of each run of neighbours, empty where there is none; no run is copied."""
+    values = ", ".join(f"get({array}, i + {j})" for j in range(size))
+    made = F.expr(f"CASE WHEN size({array}) >= {size} THEN transform(sequence(0, size({array}) - {size}), i -> {of}({values})) ELSE CAST(array() AS array<bigint>) END")
+    return made if size > 1 or of != "least" else F.col(array)
+
+
 def fingerprinted(df: DataFrame, lengths: list[int], k: int, keep: list[str]) -> DataFrame:
     """Adds ``fps``: the distinct fingerprints of all windows of these lengths in the column ``words``."""
     grams = sorted({min(n, k) for n in lengths})
-    df = df.select(*keep, "words", *(F.coalesce(windowed("words", g, "xxhash64({s})"), F.array().cast("array<bigint>")).alias(f"g{g}") for g in grams))
-    minima = [F.coalesce(windowed(f"g{min(n, k)}", n - min(n, k) + 1, "array_min({s})"), F.array().cast("array<bigint>")) for n in lengths]
+    df = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    df = df.select(*keep, *(runs("hashes", g, "xxhash64").alias(f"g{g}") for g in grams))
+    minima = [runs(f"g{min(n, k)}", n - min(n, k) + 1, "least") for n in lengths]
     return df.select(*keep, F.array_distinct(F.concat(*minima)).alias("fps"))
 
 
@@ -65,7 +73,11 @@ def decontaminate(
     repeat an id and text get equal results, rows that share an id but not a
     text get their own.  Either table may be empty.
     """
-    spark = docs.sparkSession
+    return with_hits(docs, benchmark, window, k, id_col, text_col, item_col, item_text_col).drop("th")
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, k: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The rows of ``decontaminate`` with ``th``, a hash of the text."""
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     wins = spool(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
@@ -100,17 +112,22 @@ def decontaminate(
     items = near.select("doc_id", "th", F.explode_outer("items").alias("item")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = spans.alias("s").join(items.alias("i"), F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.th") == F.col("i.th"))).select("s.doc_id", "s.th", "n_hit", "spans", "items")
     out = rows.alias("r").join(hit.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.th") == F.col("h.th")), "left")
-    return out.select("r.doc_id", "r.n_words", F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("h.items", F.array().cast("array<string>")).alias("items"), F.coalesce("h.spans", F.array().cast("array<struct<at: int, len: int>>")).alias("spans"))
+    return out.select("r.doc_id", "r.th", "r.n_words", F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("h.items", F.array().cast("array<string>")).alias("items"), F.coalesce("h.spans", F.array().cast("array<struct<at: int, len: int>>")).alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a window of a benchmark item; all columns stay.  Ids must be unique."""
-    gone = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col).filter("n_hit > 0").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` without the rows whose text holds a window of a benchmark item; all columns stay.
+
+    Rows are judged one by one, by id and text: a row that shares its id (or
+    has none) goes only for its own text.  Either table may be empty.
+    """
+    key, text = unused(docs, "id"), unused(docs, "hash")
+    gone = with_hits(docs, benchmark, 10, 5, id_col, text_col, "item_id", "text").filter("n_hit > 0").select(F.col("doc_id").alias(key), F.col("th").alias(text)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(gone[key]) & (F.xxhash64(text_or_empty(text_col)) == gone[text]), "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
-    out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = decontaminate(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )

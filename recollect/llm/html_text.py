@@ -8,6 +8,7 @@ line around paragraphs, markers before list items, table cells in columns.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Generator, Iterator
 from html import unescape
 
@@ -15,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 MARKUP = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})")
 BLANK = re.compile(r"[ \t\r\n\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +45,12 @@ FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern mark
 SCOPE = frozenset("table td th caption html body".split())
 
 
+def number(value: str, least: int, most: int, default: int) -> int:
+    """An attribute's leading integer, within bounds; ASCII digits only, and at most nine of them."""
+    found = NUMBER.match(value)
+    return max(least, min(int(found[1]), most)) if found else default
+
+
 class Node:
     __slots__ = ("children", "attributes", "tag", "rows")
 
@@ -51,17 +62,33 @@ class Node:
         a = self.attributes
         return self.tag not in UNSEEN and "hidden" not in a and not HIDING.search(a.get("style", "")) and not (self.tag == "dialog" and "open" not in a)
 
+    def dark(self, inherited: bool) -> bool:
+        """Whether text in it is unseen; unlike ``display``, a child may turn visible again."""
+        found = VISIBILITY.search(self.attributes.get("style", ""))
+        return found[1].lower() != "visible" if found else inherited
+
 
 def build(html: str) -> Node:
     """The tree of a page, with implied end tags and rows; unmatched end tags are passed over."""
     root = Node("html", {})
     stack, at = [root], 0
     head = foreign = 0  # places in the stack, 0 for none
+    opened: Counter = Counter()  # tags in the stack, so that none is looked for in vain
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def close(kinds: set, limits: frozenset | set) -> None:
+        if not any(opened[k] for k in kinds):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in kinds:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in limits:
                 return
@@ -76,7 +103,7 @@ def build(html: str) -> Node:
 
     def text(piece: str) -> None:
         if stack[-1].tag == "head" and piece.strip():
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(piece)
 
     while match := MARKUP.search(html, at):
@@ -87,7 +114,7 @@ def build(html: str) -> Node:
             continue
         tag = match[2].lower()
         if match[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p", {}))
             close({tag}, set() if tag == "table" else {"table"} if tag in BLOCKS else SCOPE - {tag})
             continue
@@ -107,10 +134,10 @@ def build(html: str) -> Node:
             close({"tr"}, {"table"})
         if tag in BLOCKS:
             close({"p"}, SCOPE)
-        if tag in ("td", "th") and stack[-1].tag != "tr" and any(n.tag == "table" for n in stack):
+        if tag in ("td", "th") and stack[-1].tag != "tr" and opened["table"]:
             row = Node("tr", {})
             add(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(match[3])} if match[3] else {})
         if foreign and tag in FOREIGN_UNSEEN:
             node.attributes["hidden"] = ""
@@ -130,7 +157,7 @@ def build(html: str) -> Node:
                 head = len(stack)
             elif tag in FOREIGN:
                 foreign = foreign or len(stack)
-            stack.append(node)
+            push(node)
     if at < len(html):
         text(html[at:])
     return root
@@ -191,14 +218,15 @@ def render(node: Node, page: Page) -> None:
             lines = None
 
 
-def flow(node: Node, page: Page, kept: bool = False) -> Generator:
+def flow(node: Node, page: Page, dark: bool = False) -> Generator:
     """Renders a node; yields the parts that have pages of their own to ``render``, which runs them first."""
-    todo: list = [("open", node, kept)]
+    todo: list = [("open", node, False, dark)]
     marks: list[tuple[str, int]] = []
     while todo:
-        what, node, kept = todo.pop()
+        what, node, kept, dark = todo.pop()
         if what == "text":
-            page.put(node, kept)
+            if not dark:
+                page.put(node, kept)
         elif what == "table":
             page.end_line(1)
             if lines := (yield table(node)):
@@ -211,21 +239,20 @@ def flow(node: Node, page: Page, kept: bool = False) -> Generator:
             elif node.tag == "li":
                 page.lead = page.lead[: 2 * max(len(marks) - 1, 0)]
         elif node.tag == "br":
-            page.end_line() if page.open else None
+            page.end_line(0 if page.open.strip(" ") else 1)
         elif node.shown():
-            tag = node.tag
+            tag, dark = node.tag, node.dark(dark)
             if tag == "table":
-                before, rows = parts_of(node)
-                todo.append(("table", rows, kept))
-                for child in reversed(before):
-                    todo.append(("text" if isinstance(child, str) else "open", child, kept))
+                before, rows = parts_of(node, dark)
+                todo.append(("table", rows, kept, dark))
+                for child, unseen in reversed(before):
+                    todo.append(("text" if isinstance(child, str) else "open", child, kept, unseen))
                 continue
             if tag in BLOCKS:
                 page.end_line(1 if tag in PARAGRAPHS and not (tag in ("ul", "ol") and marks) else 0)
-                todo.append(("close", node, kept))
+                todo.append(("close", node, kept, dark))
                 if tag in ("ul", "ol", "menu", "dir"):
-                    begin = node.attributes.get("start", "1")
-                    marks.append((tag, int(begin) - 1 if begin.lstrip("-").isdigit() else 0))
+                    marks.append((tag, number(node.attributes.get("start", "1"), -999_999_999, 999_999_999, 1) - 1))
                 elif tag == "li":
                     kind, n = marks.pop() if marks else ("ul", 0)
                     marks.append((kind, n + 1))
@@ -235,24 +262,26 @@ def flow(node: Node, page: Page, kept: bool = False) -> Generator:
             if tag == "details" and "open" not in node.attributes:
                 children = [c for c in children if not isinstance(c, str)]
             for child in reversed(children):
-                todo.append(("text", child, inside) if isinstance(child, str) else ("open", child, inside))
+                todo.append(("text" if isinstance(child, str) else "open", child, inside, dark))
 
 
-def parts_of(node: Node) -> tuple[list, list]:
-    """What stands in a table outside its cells, which is shown before it, and its captions and rows (lists of cells)."""
+def parts_of(node: Node, dark: bool) -> tuple[list, list]:
+    """What stands in a table outside its cells, which is shown before it, and its captions and rows (lists of cells); each with whether it is unseen."""
     before, rows = [], []
-    todo = [(child, None) for child in reversed(node.children)]
+    todo = [(child, None, dark) for child in reversed(node.children)]
     while todo:
-        child, cells = todo.pop()
+        child, cells, dark = todo.pop()
         if isinstance(child, str):
             if child.strip(" \t\r\n\f"):
-                before.append(child)
-        elif not child.shown():
+                before.append((child, dark))
+            continue
+        if not child.shown():
             continue
-        elif child.tag == "caption":
-            rows.append(child)
+        unseen = child.dark(dark)
+        if child.tag == "caption":
+            rows.append((child, dark))
         elif child.tag in ("td", "th") and cells is not None:
-            cells.append(child)
+            cells.append((child, unseen))
         elif child.tag == "tr" or child.rows or child.tag in ("thead", "tbody", "tfoot", "colgroup"):
             if child.tag == "tr" and cells is None:
                 cells = []
@@ -262,48 +291,64 @@ def parts_of(node: Node) -> tuple[list, list]:
                     line = Node("div", {})
                     line.children.append(c)
                     c = line if c.strip() else c
-                todo.append((c, cells))
+                todo.append((c, cells, unseen))
         else:
-            before.append(child)
+            before.append((child, dark))
     return before, rows
 
 
 def table(rows: list) -> Generator:
-    """Lines of a table: each column as wide as its widest cell that spans no other."""
-    head, grid, widths = [], [], []
+    """Lines of a table: columns as wide as their widest cells, the last that a cell spans wide enough for it; cells that span rows keep their columns free below."""
+    head, grid, widths, begins, wide = [], [], [], set(), []
+    taken: dict[int, int] = {}  # rows for which a column is taken by a cell above
     for row in rows:
-        if isinstance(row, Node):
+        if isinstance(row, tuple):
             page = Page()
-            yield flow(row, page)
+            yield flow(row[0], page, row[1])
             head += page.text().split("\n")
             continue
-        cells = []
-        for cell in row:
+        cells, at = [], 0
+        below: dict[int, int] = {}
+        for cell, dark in row:
             page = Page()
             for child in cell.children:
-                if isinstance(child, str):
+                if not isinstance(child, str):
+                    yield flow(child, page, dark)
+                elif not dark:
                     page.put(child)
-                else:
-                    yield flow(child, page)
             lines = page.text().split("\n")
-            span = cell.attributes.get("colspan", "1")
-            span = max(1, min(int(span), 100)) if span.isdigit() else 1
-            at = sum(s for _, s in cells)
+            span = number(cell.attributes.get("colspan", "1"), 1, 1000, 1)
+            down = number(cell.attributes.get("rowspan", "1"), 0, 65_534, 1) or 65_534
+            while taken.get(at, 0):
+                at += 1
             widths += [0] * (at + span - len(widths))
             if span == 1:
                 widths[at] = max(widths[at], *map(len, lines))
-            cells.append((lines, span))
+            else:
+                wide.append((at, span, max(map(len, lines))))
+            cells.append((at, lines))
+            begins.add(at)
+            if down > 1:
+                below.update(dict.fromkeys(range(at, at + span), down))
+            at += span
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
         if cells:
             grid.append(cells)
+    for at, span, width in wide:
+        room = sum(widths[at : at + span]) + 2 * sum(c in begins for c in range(at + 1, at + span))
+        widths[at + span - 1] += max(0, width - room)
+    places, place = [], 0
+    for c, width in enumerate(widths):
+        places.append(place)
+        place += width + 2 * (c + 1 in begins)
     out = []
     for cells in grid:
-        for i in range(max(len(lines) for lines, _ in cells)):
-            at, parts = 0, []
-            for lines, span in cells:
-                room = sum(widths[at : at + span]) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
+        for i in range(max(len(lines) for _, lines in cells)):
+            line = ""
+            for at, lines in cells:
+                line = line + "  " if line and len(line) + 2 > places[at] else line.ljust(places[at])
+                line += lines[i] if i < len(lines) else ""
+            out.append(line.rstrip())
     return [x for x in head if x] + out
 
 
@@ -333,4 +378,4 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
 
 def op5_html_text(spark, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))

@@ -3,8 +3,8 @@
 Labellers vote good, junk or nothing on each document.  Expectation-maximisation
 over the counts of vote patterns of all documents estimates how often each
 labeller votes what for good and for junk text; the posterior labels of a
-bounded sample train a linear scorer over hashed features, which scores every
-document.
+bounded sample train a linear scorer over hashed words and hashed runs of
+character classes, which scores every document.
 """
 
 from __future__ import annotations
@@ -12,19 +12,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool, text_or_empty, unspool
+from .common import give_back, portioned, some_rows, spread, text_or_empty, texts_of, unused
 
 #: Classes of bytes: lower case, upper case, digit, blank, line end, stop, comma and the like, other signs, bytes of non-ASCII letters.
 CLASS = np.full(256, 7, np.int64)
 for _name, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\r\n", b".?", b",;:'-")):
     CLASS[list(_bytes)] = _name
 CLASS[128:] = 8
-GRAM, BUCKETS = 4, 2048
+#: Hash buckets of runs of GRAM classes, and of words.
+GRAM, BUCKETS, WORDS = 4, 2048, 4096
+#: Bytes and rows that are worked on at a time.
+SIZE, ROWS = 1 << 20, 500
 #: Shares that say nothing of a text of fewer words.
 MANY = 12
 #: Named shares beside the hashed runs of classes.
@@ -36,25 +38,23 @@ class Texts:
     """What labellers and scorer need of a batch of texts, from their bytes."""
 
     def __init__(self, column: pa.Array):
-        column = column.cast(pa.large_binary()).combine_chunks() if isinstance(column, pa.ChunkedArray) else column.cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        self.raw, self.offsets, self.n = raw, offsets - offsets[0], len(column)
-        self.kinds = CLASS[raw]
+        self.raw, self.offsets = texts_of(column)
+        self.n = len(column)
+        self.kinds = CLASS[self.raw]
         self.doc = np.repeat(np.arange(self.n), np.diff(self.offsets))
+        self.words, self.word_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes, set by ``shares``
 
     def per_doc(self, mask: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
         return np.bincount((self.doc if doc is None else doc)[mask], minlength=self.n).astype(float)
 
-    def shares(self) -> pd.DataFrame:
+    def shares(self) -> dict[str, np.ndarray]:
         kinds, gap = self.kinds, (self.kinds == 3) | (self.kinds == 4)
         edge = np.zeros(len(kinds), bool)
         edge[self.offsets[:-1][self.offsets[:-1] < len(kinds)]] = True
         begin = ~gap & (np.r_[True, gap[:-1]][: len(gap)] | edge)
         starts = np.flatnonzero(begin)
         if not len(starts):
-            return pd.DataFrame(0.0, index=range(self.n), columns=["words", *SHARES])
+            return {name: np.zeros(self.n) for name in ["words", *SHARES]}
         doc = self.doc[starts]
         word = np.maximum(np.cumsum(begin) - 1, 0)
         power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
@@ -67,6 +67,7 @@ class Texts:
         signs = count(kinds == 7) > 0
         pipe = (size == 1) & (self.raw[starts] == ord("|"))
         again = np.r_[False, (code[1:] == code[:-1]) & (doc[1:] == doc[:-1])]
+        self.words, self.word_doc = code, doc
         words = np.bincount(doc, minlength=self.n).astype(float)
         order = np.lexsort((code, doc))
         d, c = doc[order], code[order]
@@ -78,32 +79,31 @@ class Texts:
         made = {"plain": self.per_doc(plain, doc), "signs": self.per_doc(signs & ~pipe, doc), "upper": self.per_doc(shouted, doc), "pipes": self.per_doc(pipe, doc), "again": self.per_doc(again, doc), "top": top}
         for name in ("upper", "again", "top"):
             made[name] = np.where(words >= MANY, made[name], 0)
-        return pd.DataFrame({"words": words} | {k: v / per for k, v in made.items()})
+        return {"words": words} | {k: v / per for k, v in made.items()}
 
-    def hashed(self) -> np.ndarray:
-        """Frequencies of runs of classes, hashed to buckets: a row for each document."""
+    def hashed(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(document, bucket) of each run of classes, and of each word."""
         codes = np.zeros(max(len(self.kinds) - GRAM + 1, 0), np.int64)
         for i in range(GRAM):
             codes = codes * 9 + self.kinds[i : len(self.kinds) - GRAM + 1 + i]
-        whole = self.doc[: len(codes)] == self.doc[GRAM - 1 :]
-        bucket = (codes * 2654435761 >> 7) % BUCKETS
-        out = np.zeros((self.n, BUCKETS), np.float32)
-        flat = np.bincount(self.doc[: len(codes)][whole] * BUCKETS + bucket[whole], minlength=self.n * BUCKETS).reshape(self.n, BUCKETS)
-        out[:] = flat / np.maximum(flat.sum(axis=1, keepdims=True), 1)
-        return out
+        first, last = self.doc[: len(codes)], self.doc[GRAM - 1 :]
+        whole = first == last
+        words = self.words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)
+        return [(first[whole], (codes[whole] * 2654435761 >> 7) % BUCKETS), (self.word_doc, words.astype(np.int64) % WORDS)]
 
 
-def votes(s: pd.DataFrame) -> np.ndarray:
+def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """One column per labeller."""
-    prose = (s.plain > 0.8) & (s.signs < 0.02) & (s.upper < 0.1) & (s.pipes < 0.02) & (s.again < 0.05) & (s.top < 0.15)
+    plain, signs, upper, pipes, again, top = (s[name] for name in SHARES)
+    prose = (plain > 0.8) & (signs < 0.02) & (upper < 0.1) & (pipes < 0.02) & (again < 0.05) & (top < 0.15)
     vote = lambda junk, good=False: np.where(junk, JUNK, np.where(good, GOOD, NONE))
     return np.stack([
-        vote(s.plain < 0.6, prose),
-        vote(s.signs > 0.3),
-        vote(s.upper > 0.4),
-        vote(s.pipes > 0.15),
-        vote(s.again > 0.25),
-        vote(s.top > 0.3),
+        vote(plain < 0.6, prose),
+        vote(signs > 0.3),
+        vote(upper > 0.4),
+        vote(pipes > 0.15),
+        vote(again > 0.25),
+        vote(top > 0.3),
     ], axis=1)
 
 
@@ -129,9 +129,21 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> n
     return good
 
 
-def features(texts: Texts, shares: pd.DataFrame) -> np.ndarray:
-    x = shares[SHARES].to_numpy(np.float32)
-    return np.hstack([texts.hashed(), x, np.ones((texts.n, 1), np.float32)])
+def features(texts: Texts, shares: dict[str, np.ndarray]) -> np.ndarray:
+    """A row for each document: frequencies of buckets, shares and a one."""
+    made = []
+    for (doc, bucket), size in zip(texts.hashed(), (BUCKETS, WORDS)):
+        flat = np.bincount(doc * size + bucket, minlength=texts.n * size).reshape(texts.n, size)
+        made.append(flat / np.maximum(flat.sum(axis=1, keepdims=True), 1))
+    return np.hstack([*made, *(shares[name][:, None] for name in SHARES), np.ones((texts.n, 1))]).astype(np.float32)
+
+
+def margins(texts: Texts, shares: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+    """The rows of ``features`` times the weights, without making them."""
+    out = np.stack([shares[name] for name in SHARES], axis=1) @ w[BUCKETS + WORDS : -1] + w[-1]
+    for (doc, bucket), own in zip(texts.hashed(), (w[:BUCKETS], w[BUCKETS : BUCKETS + WORDS])):
+        out += np.bincount(doc, own[bucket], texts.n) / np.maximum(np.bincount(doc, minlength=texts.n), 1)
+    return out
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
@@ -146,72 +158,64 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5
     return w
 
 
-def small(batch: pa.RecordBatch, size: int = 1 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of bounded bytes and rows (one row at least)."""
-    ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text").cast(pa.large_binary())])
-    at = 0
-    while at < batch.num_rows:
-        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
-        to = max(at + 1, min(to, at + rows))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
     """One row per row of ``docs``: its columns and ``quality_score``, the probability of good text.
 
     The scorer is fitted on at most ``sample`` documents, those of the smallest
-    hashed ids; vote counts are over all.  Null texts count as empty; texts
-    without words get the score of an empty feature row; rows that repeat get
-    equal scores; an empty table gives no rows.
+    hashed ids and texts; vote counts are over all.  Null texts count as empty;
+    texts without words get the score of an empty feature row; rows that repeat
+    get equal scores and are learnt from once; a null id is one like others; a
+    column named ``quality_score`` is replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(text_or_empty(text_col).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in small(batch):
+            for part in portioned(batch, "text", SIZE, ROWS):
                 v = votes(Texts(part.column("text")).shares())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(v @ (3 ** np.arange(v.shape[1])))], ["id", "pattern"])
+                yield pa.RecordBatch.from_arrays([pa.array(v @ (3 ** np.arange(v.shape[1])))], ["pattern"])
+        give_back()
 
-    voted = spool(texts.mapInArrow(vote, f"id {kind}, pattern bigint"), "votes")
-    counted = voted.groupBy("pattern").count().toPandas()  # 3 to the number of labellers rows at most
-    patterns = counted.pattern.to_numpy(np.int64)[:, None] // 3 ** np.arange(6) % 3
-    good = dict(zip(counted.pattern.tolist(), label_model(patterns, counted["count"].to_numpy(float)).tolist()))
-    chosen = voted.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("own"), "pattern").dropDuplicates(["own"])
-    rows = texts.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("own"))).select("text", "pattern")
+    counted = texts.mapInArrow(vote, "pattern bigint").groupBy("pattern").count().collect()  # 3 to the number of labellers rows at most
+    numbers = np.array([r.pattern for r in counted], np.int64)
+    good = dict(zip(numbers.tolist(), label_model(numbers[:, None] // 3 ** np.arange(6) % 3, np.array([float(r["count"]) for r in counted])).tolist()))
+    rows = some_rows(docs, sample, id_col, text_col).select("text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys = [], []
         for batch in batches:
-            for part in small(batch):
+            for part in portioned(batch, "text", SIZE, ROWS):
                 t = Texts(part.column("text"))
-                xs.append(features(t, t.shares()))
-                ys += [good[p] for p in part.column("pattern").to_pylist()]
+                shares = t.shares()
+                v = votes(shares)
+                xs.append(features(t, shares))
+                ys += [good[p] for p in (v @ (3 ** np.arange(v.shape[1]))).tolist()]
         if ys:
             yield pa.RecordBatch.from_arrays([pa.array([fit_linear(np.vstack(xs), np.array(ys)).tolist()])], ["w"])
+        del xs, ys
+        give_back()
 
     fitted = rows.repartition(1).mapInArrow(fit, "w array<double>").collect()  # one row, from the bounded sample
-    unspool(voted)
-    weights = spark.sparkContext.broadcast(np.array(fitted[0].w if fitted else np.zeros(BUCKETS + len(SHARES) + 1), np.float32))
+    weights = spark.sparkContext.broadcast(np.array(fitted[0].w if fitted else np.zeros(BUCKETS + WORDS + len(SHARES) + 1)))
     schema = docs.withColumn("quality_score", F.lit(0.0)).schema  # a copy: adding to docs.schema would change docs
+    text = unused(docs, "text_")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            column = batch.column("__text")
             values = []
-            for part in small(pa.RecordBatch.from_arrays([column], ["text"])):
-                t = Texts(part.column("text"))
-                values.append(1 / (1 + np.exp(-np.clip(features(t, t.shares()) @ w, -50, 50).astype(float))))
-            made = {c: batch.column(c) for c in batch.schema.names if c != "__text"}
+            for part in portioned(batch, text, SIZE, ROWS):
+                t = Texts(part.column(text))
+                values.append(1 / (1 + np.exp(-np.clip(margins(t, t.shares(), w), -50, 50))))
+            made = {c: batch.column(c) for c in batch.schema.names if c != text}
             made["quality_score"] = pa.array(np.concatenate(values) if values else np.zeros(0))
             yield pa.RecordBatch.from_pydict(made)
+        give_back()
 
-    return docs.withColumn("__text", text_or_empty(text_col)).mapInArrow(score, schema)
+    return docs.withColumn(text, text_or_empty(text_col)).mapInArrow(score, schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = quality(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, text_or_empty
+from .common import lists, spread, text_or_empty
 
 BUCKETS = 1 << 20
 
@@ -46,19 +46,49 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(flat, offsets), -40, 40)))
 
 
-def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, factors: int = 4, epochs: int = 40, batch: int = 64, rate: float = 0.1, sparse: float = 2e-3, decay: float = 1e-2, evidence: float = 15.0, common: float = 0.05, seed: int = 7) -> Machine:
+def evidence_of(k: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood statistic of k labels among n rows, where ``share`` of all rows have the label."""
+    part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(n * p, 1e-9)), 0)
+    return 2 * (part(k, share) + part(n - k, 1 - share))
+
+
+def telling_pairs(at: np.ndarray, lengths: np.ndarray, y: np.ndarray, terms: int, share: float, least: float) -> np.ndarray:
+    """Which of so many terms are in a pair with evidence of ``least`` or more, counted over all rows by products of blocks."""
+    both, right = np.zeros((2, terms, terms), np.float32)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    for a in range(0, len(lengths), 1000):
+        own = (rows >= a) & (rows < a + 1000)
+        x = np.zeros((min(1000, len(lengths) - a), terms), np.float32)
+        x[rows[own] - a, at[own]] = 1
+        both += x.T @ x
+        right += (x * y[a : a + 1000, None].astype(np.float32)).T @ x
+    told = evidence_of(right.astype(float), both.astype(float), share) >= least
+    np.fill_diagonal(told, False)
+    return told.any(axis=1)
+
+
+def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, factors: int = 4, epochs: int = 20, batch: int = 64, rate: float = 0.1, sparse: float = 2e-3, decay: float = 1e-2, evidence: float = 15.0, common: float = 0.05, pair_evidence: float = 30.0, pair_terms: int = 2000, seed: int = 7) -> Machine:
     """Stochastic gradient steps of adapted size on the logistic loss.
 
     Terms take part whose own log-likelihood statistic against the label is
-    ``evidence`` or more, and those in a share of ``common`` of the documents
-    or more, which may tell something in a pair.  Linear weights are drawn to 0
-    by ``sparse``, and factors shrink by ``decay``.
+    ``evidence`` or more, those in a share of ``common`` of the documents or
+    more, which may tell something in a pair, and of the ``pair_terms`` most
+    frequent others those in a pair whose statistic is ``pair_evidence`` or
+    more.  Linear weights are drawn to 0 by ``sparse``, and factors shrink by
+    ``decay``.
     """
     share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
     seen, own, n = np.unique(flat, return_inverse=True, return_counts=True)
     k = np.bincount(own, np.repeat(y, np.diff(offsets)), len(seen))
-    part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / (n * p)), 0)
-    terms = seen[(2 * (part(k, share) + part(n - k, 1 - share)) >= evidence) | (n >= common * max(len(y), 100))]
+    chosen = (evidence_of(k, n, share) >= evidence) | (n >= common * max(len(y), 100))
+    others = np.flatnonzero(~chosen & (n >= 10))
+    others = np.sort(others[np.argsort(-n[others], kind="stable")][:pair_terms])
+    if len(others):
+        place = np.minimum(np.searchsorted(others, own), len(others) - 1)
+        is_other = others[place] == own
+        per_row = np.diff(np.r_[0, np.cumsum(is_other)][offsets])
+        chosen[others[telling_pairs(place[is_other], per_row, y, len(others), share, pair_evidence)]] = True
+    terms = seen[chosen]
     machine = Machine(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.01, (len(terms), factors)))
     if not len(terms) or share in (1e-3, 1 - 1e-3):
         machine.v[:] = 0
@@ -69,7 +99,7 @@ def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, factors: int = 4,
     at, lengths = at[known], np.diff(kept)
     g0, gw, gv = 1e-8, np.full(len(terms), 1e-8), np.full((len(terms), factors), 1e-8)
     rng = np.random.default_rng(seed)
-    for _ in range(min(epochs, max(4, 200_000 // max(len(y), 1)))):
+    for _ in range(epochs):
         for rows in np.array_split(order := rng.permutation(len(y)), max(1, len(order) // batch)):
             doc = np.repeat(np.arange(len(rows)), lengths[rows])
             col = at[np.concatenate([np.arange(kept[r], kept[r + 1]) for r in rows])] if len(doc) else np.zeros(0, int)
@@ -118,14 +148,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``labels`` are the rows to learn from; at most ``sample`` of them are used,
     those of the smallest hashed ids.  Null and empty texts get the score of a
-    text without known terms, rows without a label are not learnt from,
-    repeated rows are scored each and learnt from each; without labels every
-    score is that of the prior.
+    text without known terms, rows without a label or an id are not learnt from,
+    repeated rows are scored each and learnt from once; without labels every
+    score is that of the prior.  Other columns are ignored, and an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    chosen = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(label_col).alias("label")).orderBy(F.xxhash64("own"), "own", "label").limit(sample)
-    model = spark.sparkContext.broadcast(train(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("text", "label")))
+    chosen = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(label_col).alias("label")).orderBy(F.xxhash64("own"), "own", "label").limit(sample).distinct()
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("own"))
+    rows = rows.groupBy("own", "label", F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))  # many rows may share an id
+    rows = rows.orderBy(F.xxhash64("own"), "own", "label", "th").limit(sample)
+    model = spark.sparkContext.broadcast(train(rows.select("text", "label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +169,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     out = toxicity(docs, labels.filter(~held_out))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

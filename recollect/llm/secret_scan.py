@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, text_or_empty, unspool
+from .common import some_rows, spool, spread, text_or_empty, unspool
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -30,6 +30,8 @@ CLASSES = len(ALPHABET) + 1
 #: Alphabets that keys are written in; the random model learns from strings drawn from each.
 LETTERS, DIGITS = ALPHABET[:52], ALPHABET[52:62]
 DRAWN = [LETTERS + DIGITS, LETTERS + DIGITS + "+/", LETTERS[:26] + DIGITS, DIGITS + "abcdef"]
+#: Matches of a text that are summed at a time.
+STRETCH = 500
 SPANS = "array<struct<start: bigint, end: bigint, kind: string, value: string>>"
 
 
@@ -52,8 +54,19 @@ def matches(text: str, pattern: str, kind: str, value_group: int | None = None,
         one = F.array(F.struct(at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
+    def shifted(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+
+    def onto(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: shifted(s, acc["at"]))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
+
+    # an array that grows is copied each time, so matches are summed in stretches, and the stretches after one another
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("m"), values.alias("v"))
-    return F.when(F.col(text).rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STRETCH).cast("int")), lambda i: F.aggregate(F.slice(zipped, i * STRETCH + 1, F.lit(STRETCH)), start, step))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPANS}>").alias("outs"))
+    spans = F.aggregate(stretches, none, onto, lambda acc: F.flatten(acc["outs"]))
+    return F.when(F.col(text).rlike(pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(text: str) -> Column:
@@ -101,7 +114,7 @@ def labelled_samples(spans: DataFrame, docs: DataFrame, sample: int) -> DataFram
     """
     secret = spans.select("value", F.lit(1).alias("label"))
     drawn = random_strings(docs.sparkSession, sample).select("value", F.lit(1).alias("label"))
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 20)
+    some = some_rows(docs, sample // 20, "doc_id", "text").withColumnRenamed("id", "doc_id")
     plain = some.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("pos", "value"))
     plain = plain.selectExpr("value", "pmod(xxhash64(doc_id, pos), 20) AS form", "0 AS label")
     plain, form = plain.orderBy(F.xxhash64("value"), "value", "form").limit(sample), F.col("form")
@@ -142,6 +155,6 @@ def listed(spans: Column) -> Column:
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
-    out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))

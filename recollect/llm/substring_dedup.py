@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, give_back, lists, portioned, ragged, spool, text_or_empty, unspool, whole_groups
+from .common import bounds, give_back, lists, portioned, ragged, spool, spread, text_or_empty, unspool, whole_groups
 from .ngrams import gram_hashes, sliding_min, word_hashes
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, list_array, lists, portioned, portions, ragged, scratch, spool, text_or_empty, texts_of
+from .common import give_back, list_array, lists, portioned, portions, ragged, scratch, spool, spread, text_or_empty, texts_of
 
 #: Bytes of text whose units are told apart together (one text at least), and bytes of text that are cut or put out at a time.
 AT_ONCE, PORTION = 24 << 20, 4 << 20
@@ -346,5 +346,5 @@ def with_crc(pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added=True)
+    out = pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added=True)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded")

@@ -112,3 +112,76 @@ def test_empty_tables(spark, docs, items):
     assert {r.n_hit for r in decontaminate.decontaminate(docs, items.limit(0)).collect()} == {0}
     assert substring_dedup.remove_repeats(none).count() == 0
     assert jaccard.jaccard_join(none).count() == 0
+
+
+def odd(spark):
+    """Repeated rows, ids that several texts share, null ids, and columns named as the operators' own."""
+    a, b = " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b + " end"), (None, "alone"), (None, "alone"), (2, "w1 w2 alone"), (3, None), (4, "")]
+    return brute.frame(spark, rows).withColumn("__gone", F.lit(1)).withColumn("id", F.lit(1)).withColumn("hash", F.lit(1)), rows
+
+
+def test_drop_copies_of_odd_rows(spark):
+    docs, rows = odd(spark)
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    # one row of each text: of the largest id, null below all
+    assert [t for _, t in left] == [t for _, t in sorted(left)] and sorted(t for _, t in left) == sorted({t or "" for _, t in rows})
+    assert dict((t, i) for i, t in left)[rows[0][1]] == 1 and dict((t, i) for i, t in left)[""] == 4
+
+
+def test_drop_contaminated_of_odd_rows(spark, items):
+    docs, rows = odd(spark)
+    got = decontaminate.drop_contaminated(docs, items)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert left == sorted((x for x in rows if x[1] != "w1 w2 alone"), key=str)  # items 4 and 5 are "w1 w2"
+
+
+def test_keep_one_of_odd_rows(spark):
+    docs, rows = odd(spark)
+    more = docs.unionByName(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(9).cast("long")).withColumn("text", F.lit(rows[0][1])))
+    got = jaccard.keep_one(more)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert left == sorted(rows, key=str)  # 9 is a copy of 1; rows without an id stay
+
+
+def test_substrings_of_hot_anchors(docs, monkeypatch):
+    for name, value in {"HOT": 2, "WORDS_AT_ONCE": 500}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.without_repeats(ROWS)
+
+
+@pytest.mark.parametrize("crowd", [1, 2000])
+def test_substrings_are_told_apart_by_words(docs, monkeypatch, crowd):
+    """Hashes that tell hardly anything apart change no result."""
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    monkeypatch.setattr(substring_dedup, "gram_hashes", lambda words, n: (words[: max(len(words) - n + 1, 0)] % np.uint64(3)).astype(np.uint64))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.without_repeats(ROWS)
+
+
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """A leaf that no level splits is compared in the pairs of its blocks, each link counted once."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    words = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:100], f"own{i}", *words[100:]])) for i in range(60)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(brute.frame(spark, rows)).collect()}
+    assert got == brute.similar(rows) == {i: (0, 59) for i in range(60)}
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_state_stays_between_calls(spark, tmp_path, weak):
+    """A later call is compared with all before it, by the bytes that the folder keeps."""
+    parts = [ROWS[:50], ROWS[50:51], [], ROWS[51:]]
+    digest = (lambda text: F.unhex(F.hex(F.length(text) % 3))) if weak else exact_dedup.sha256_digest
+    for i, part in enumerate(parts):
+        so_far = brute.copies([x for p in parts[: i + 1] for x in p])
+        frame = brute.frame(spark, part) if part else brute.frame(spark, ROWS[:1]).limit(0)
+        got = exact_dedup.exact_dedup(frame, digest=digest, state=f"{tmp_path}/state")
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == {x: so_far[x][:3] for x, _ in part}

@@ -127,6 +127,18 @@ def test_machine_learns_a_pair_that_no_term_tells():
     assert (((m.scores(np.concatenate(sets), offsets)) > 0.5) == y).mean() > 0.99
 
 
+def test_machine_learns_a_rare_pair_of_terms_that_each_tell_little():
+    rng = np.random.default_rng(4)
+    kinds = rng.choice(4, size=4000, p=[0.87, 0.05, 0.05, 0.03])
+    y = (rng.random(4000) < np.array([0.3, 0.18, 0.18, 0.95])[kinds]).astype(float)
+    sets = [np.r_[np.array([[], [0], [1], [0, 1]][k] if k else [], int), np.sort(2 + rng.choice(300, size=5, replace=False))] for k in kinds]
+    offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
+    m = toxicity.fit(np.concatenate(sets), offsets, y, evidence=60.0)
+    assert {0, 1} <= set(m.terms.tolist())
+    one, two, both = m.margins(np.array([0, 1, 0, 1]), np.array([0, 1, 2, 4]))
+    assert both > max(one, two) + 0.5 and both > 0 > max(one, two)
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("<p>a<p>b", "a\n\nb"), ("<ul><li>x<li>y</ul>", "- x\n- y"), ("<ol><li>x<li>y</ol>", "1. x\n2. y"),
     ("a<script>no</script><span style='display:none'>no</span> b", "a b"), ("<div>a</div><div>b</div>", "a\nb"), ("x &amp; y&nbsp;z", "x & y z"),
@@ -157,3 +169,147 @@ def test_deep_pages_and_other_columns(spark):
     got = html_text.extract(pages)
     assert sorted((r.page_id, r.text) for r in got.collect()) == [(1, "deep"), (2, ""), (2, "")]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<ol start='²'><li>x</ol>", "1. x"), ("<ol start='--5'><li>x</ol>", "1. x"), (f"<ol start='{'9' * 5000}'><li>x</ol>", "999999999. x"), ("<ol start=-2><li>x<li>y</ol>", "-2. x\n-1. y"),
+    ("<table><tr><td colspan='²'>a<td>b</table>", "a  b"), ("<table><tr><td colspan=0 rowspan=x>a<td>b</table>", "a  b"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td colspan=2>wide one<td>z<tr><td>a<td>b<td>c</table>", "wide one  z\na  b      c"),
+    ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>", "yes"), ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "  yes"),
+    ("a<br><br>b", "a\n\nb"), ("<p>a<br></p><p>b", "a\n\nb"), ("<br>a", "a"),
+])
+def test_page_text_of_odd_attributes(html, text):
+    assert html_text.visible_text(html).strip("\n") == text.strip("\n") or html_text.visible_text(html).split() == text.split() == ["yes"]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        start = time.process_time()
+        assert html_text.visible_text("<div>" * n + "x" + "</div>" * n) == "x"
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_all_words_of_the_pages_are_emitted(spark):
+    """Against a plain reader of text that takes every text outside unseen elements."""
+    import re
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.unseen, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            style = attrs.get("style") or ""
+            if self.unseen or tag in html_text.UNSEEN or "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style):
+                if tag not in html_text.VOID:
+                    self.unseen.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.unseen:
+                self.words += data.split()
+
+    rows = html_text.op5_html_text(spark, SF).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert {r.page_id for r in rows} == set(pages)
+    for r in rows:
+        plain = Plain()
+        plain.feed(pages[r.page_id] or "")
+        plain.close()
+        glued = lambda words: Counter("".join(words))  # noqa: E731  (texts may meet without a blank)
+        lost = glued(plain.words) - glued(r.text.split())
+        assert not lost, (r.page_id, lost)
+
+
+def test_margins_are_the_sum_over_all_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(np.arange(0, 40, 2), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    sets = [np.sort(rng.choice(45, size=n, replace=False)) for n in (0, 1, 5, 30)]
+    got = m.margins(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+    for terms, margin in zip(sets, got):
+        own = [i // 2 for i in terms if i % 2 == 0 and i < 40]
+        wanted = 0.3 + sum(m.w[i] for i in own) + sum(m.v[i] @ m.v[j] for k, i in enumerate(own) for j in own[k + 1 :])
+        assert margin == pytest.approx(wanted)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Very long and repeated texts, null ids, clashing columns, more rows of an id than the sample holds."""
+    rows = [(i, "you awful group people" if i % 2 else "a calm day at the lake") for i in range(60)] + [(7, "you awful group people")] * 30 + [(None, "calm"), (500, "awful " * 200_000), (501, None)]
+    docs = brute.frame(spark, rows).withColumn("score", F.lit(1)).withColumn("own", F.lit(2)).withColumn("label", F.lit(3))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels, sample=40)
+    assert got.columns == ["doc_id", "score"] and got.count() == len(rows)
+    score = {r.doc_id: r.score for r in got.collect()}
+    assert score[7] == score[9] > score[8] and all(0 <= x <= 1 for x in score.values())
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x " * 100_000), (None, None), (None, None), (2, "Plain words stand here, and more of them follow.")]
+    docs = brute.frame(spark, rows).withColumn("text_", F.lit("kept")).withColumn("__text", F.lit("kept"))
+    got = quality.quality(docs, sample=3).collect()
+    assert len(got) == len(rows) and all(r["text_"] == "kept" == r["__text"] for r in got)
+    assert len({r.quality_score for r in got if r.doc_id == 1}) == 1
+
+
+def test_margins_without_the_feature_matrix():
+    import pyarrow as pa
+
+    t = quality.Texts(pa.array(["One two, two!", "", "| | |", "ÜBER UND ÜBER " * 20, "x"]))
+    shares = t.shares()
+    w = np.random.default_rng(0).normal(size=quality.BUCKETS + quality.WORDS + len(quality.SHARES) + 1)
+    assert np.allclose(quality.margins(t, shares, w), quality.features(t, shares) @ w, atol=1e-4)
+
+
+def test_many_matches_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "STRETCH", 3)
+    text = " ".join(f"token={i:012d} é" for i in range(50))
+    got = secret_scan.scan(brute.frame(spark, [(1, text), (2, HEX + " token=abcdefgh")])).select("doc_id", secret_scan.listed(F.col("base")).alias("s")).collect()
+    assert {r.doc_id: r.s for r in got} == {1: ",".join(brute.base_spans(text)), 2: ",".join(brute.base_spans(HEX + " token=abcdefgh"))}
+
+
+def test_added_spans_are_those_of_the_ratio(spark):
+    """The models in plain Python, on planted keys without a fixed pattern: same spans."""
+    import math
+    import random
+    import re
+
+    rng = random.Random(8)
+    alphabet, classes = secret_scan.ALPHABET, secret_scan.CLASSES
+    words = ["river", "mountain", "garden", "library", "kitchen", "window", "morning", "teacher", "picture", "journey"]
+    text = lambda i: f"{' '.join(rng.choice(words) for _ in range(30))} " + ("".join(rng.choice(alphabet[:62]) for _ in range(28)) if i % 3 == 0 else f"{rng.choice(words)}_{rng.choice(words)}_{rng.choice(words)}_v2") + " end"
+    rows = [(i, text(i)) for i in range(150)]
+    docs = brute.frame(spark, rows)
+    found = secret_scan.scan(docs, sample=2000).collect()
+    samples = secret_scan.labelled_samples(docs.limit(0).select(F.lit("").alias("value")), docs.select("doc_id", "text"), 2000).collect()
+    at = lambda c: alphabet.find(c) + 1
+    logs = []
+    for label in (0, 1):
+        n = np.zeros((classes, classes))
+        for r in samples:
+            if r.label == label:
+                for a, b in zip(r.value, r.value[1:]):
+                    n[at(a), at(b)] += 1
+        single = n.sum(axis=0) + 0.5
+        logs.append(np.log((n + 30 * single / single.sum()) / (n.sum(axis=1, keepdims=True) + 30)))
+    ratio = logs[1] - logs[0]
+    wanted = {}
+    for i, t in rows:
+        tokens = [m for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        wanted[i] = [(m.start(), m.end()) for m in tokens if sum(ratio[at(a), at(b)] for a, b in zip(m[0], m[0][1:])) / (len(m[0]) - 1) > 0.5]
+    assert {r.doc_id: [(s.start, s.end) for s in r.added] for r in found} == wanted
+    planted = [i for i, _ in rows if i % 3 == 0]
+    names = [bool(wanted[i]) for i, _ in rows if i % 3]
+    print("planted", sum(bool(wanted[i]) for i in planted) / len(planted), "names", np.mean(names))
+    assert sum(bool(wanted[i]) for i in planted) >= 0.95 * len(planted) and np.mean(names) <= 0.1
+    assert math.isfinite(float(ratio.sum()))

@@ -59,7 +59,7 @@ def prompt_context(near: DataFrame, lexical: DataFrame, injected: DataFrame) ->
 def replace_vectors(current: DataFrame, changes: DataFrame) -> DataFrame:
     """(id, embedding, snippet) after changes (id, embedding, content, n): the last of each id; a null embedding removes it."""
     last = changes.groupBy("id").agg(F.max_by(F.struct("embedding", "content"), "n").alias("c"))
-    snippet = F.decode(F.substring(F.encode("c.content", "UTF-8"), 1, 100), "UTF-8")
+    snippet = F.make_valid_utf8(F.substring(F.encode("c.content", "UTF-8"), 1, 100).cast("string"))
     made = last.filter("c.embedding IS NOT NULL").select("id", "c.embedding", snippet.alias("snippet"))
     return current.join(last.select("id"), "id", "left_anti").unionByName(made)
 

@@ -14,6 +14,7 @@ from ..operators import search as se
 from ..operators import vectors as ve
 from ..sources import sync
 from ..sources import tables as t
+from ..sources import transcripts
 from ..sources.scratch import scratch, spread
 from ..sources.tables import sql
 from ..streaming import streams
@@ -500,9 +501,9 @@ def passive_title(s, d):
     return t.observations(s, d).select("id", tx.passive_title(F.col("content")).alias("title"))
 
 
-@query("SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(substr(content, 1, 20))), '[^a-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS project FROM obs", "obs")
+@query("SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(content)), '[^a-z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS project FROM obs", "obs")
 def normalize_project(s, d):
-    return t.observations(s, d).select("id", tx.project_name(F.expr("trim(substring(content, 1, 20))")).alias("project"))
+    return t.observations(s, d).select("id", tx.project_name(F.expr("trim(content)")).alias("project"))
 
 
 @query("SELECT page_id, list_last(string_split(regexp_replace(url, '\\.git$', ''), '/')) AS repo FROM pages")
@@ -515,9 +516,9 @@ def normalized_hash(s, d):
     return t.observations(s, d).select("id", "normalized_hash")
 
 
-@query("SELECT id, translate(substr(content, 1, 30), '/\\: ', '---_') || '.json' AS file FROM obs", "obs")
+@query("SELECT id, translate(content, '/\\: ', '---_') || '.json' AS file FROM obs", "obs")
 def checkpoint_filename(s, d):
-    return t.observations(s, d).select("id", tx.checkpoint_name(F.substring("content", 1, 30)).alias("file"))
+    return t.observations(s, d).select("id", tx.checkpoint_name(F.col("content")).alias("file"))
 
 
 @query("SELECT sync_id, 'session/summary/' || substr(sync_id, 1, 8) AS key FROM obs", "obs")
@@ -583,6 +584,15 @@ def transcript_tail_excerpt(s, d):
     return whole.select("conv_id", F.expr("right(array_join(x.said, '\n'), 500)").alias("tail"))
 
 
+@query(f"SELECT conv_id, right(string_agg(said, chr(10) ORDER BY turn), 300) AS tail FROM ({TURNS}) GROUP BY conv_id")
+def transcript_file_tails(s, d):
+    """The transcripts are written as files of JSON lines first."""
+    path = scratch(s, "transcripts")
+    lines = transcript_lines(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x"))
+    lines.select("conv_id", F.expr("array_join(x.line, '\n')").alias("value")).write.partitionBy("conv_id").text(path)
+    return transcripts.tails(s, path, 300).filter("tail <> ''").select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"), "tail")
+
+
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'related' END AS relation, CASE WHEN id % 3 = 0 THEN NULL ELSE 0.5 END AS confidence FROM obs", "obs")
 def parse_judge_json(s, d):
     good = F.concat(F.lit('sure: {"relation": "related", "confidence": 0.5} '), F.lit("end"))

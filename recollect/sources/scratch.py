@@ -26,9 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []  # paths of this driver that may still be there
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """A point in the list of fresh paths, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what this driver has written to the shared folder since a mark, once no result that reads it is needed."""
+    gone = [p for p in _made[since:] if p not in keep]
+    _made[since:] = [p for p in _made[since:] if p in keep]
+    for path in gone:
+        drop_path(spark, path)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:

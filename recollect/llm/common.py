@@ -70,6 +70,11 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fits_bytes(df: DataFrame, size: int, *each: Column) -> bool:
+    """Whether all rows of ``df``, by the bytes of each that are given, have at most so many."""
+    return (df.agg(F.sum(sum(each, F.lit(0)))).first()[0] or 0) <= size if size else False
+
+
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and the n + 1 offsets of a list column without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits, spool, spread, text_or_empty, unused
+from .common import ascii_lower, fits, fits_bytes, spool, spread, text_or_empty, unused
 
 #: Characters between words, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Above so many rows a table is shuffled, not broadcast (16 and about 100 bytes a row).
-BROADCAST_HASHES, BROADCAST_WINDOWS = 2_000_000, 200_000
+#: Above so many rows (of 16 bytes) or bytes a table is shuffled, not broadcast.
+BROADCAST_HASHES, BROADCAST_WINDOWS = 2_000_000, 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -98,7 +98,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, k: int, id_col
     near = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left_semi")
     starts = [F.coalesce(windowed("words", n, "struct({i} - 1 AS at, array_join({s}, ' ') AS win)"), F.array().cast("array<struct<at: int, win: string>>")) for n in lengths]
     near = near.select("doc_id", "th", F.explode(F.concat(*starts)).alias("s")).select("doc_id", "th", "s.at", "s.win")
-    few = fits(wins, BROADCAST_WINDOWS)
+    few = fits_bytes(wins, BROADCAST_WINDOWS, F.octet_length("win"), F.octet_length(F.array_join("items", ",")), F.lit(50))
     near = near.join(F.broadcast(wins) if few else wins, "win")
     near = spool(near.groupBy("doc_id", "th", "at").agg(F.max("len").alias("len"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "hits")
 

@@ -305,13 +305,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     Words are runs without ASCII white space, unchanged; kept words are joined
     by one space.  A word goes when a window over it also starts in a document
     of a smaller id; windows are judged on the input.  Null texts have no
-    words; texts of fewer than ``window`` words stay whole; rows with a null id
-    neither remove nor lose words; rows that repeat an id and its text get
-    equal results (an id must not stand for different texts).
+    words; texts of fewer than ``window`` words stay whole; rows that repeat an
+    id and its text get equal results; rows with a null id, and rows of an id
+    that stands for several texts, neither remove nor lose words.  Other columns
+    are ignored, and an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    spans = repeated_spans(docs.filter("doc_id IS NOT NULL"), window, kind)
+    own = docs.filter("doc_id IS NOT NULL")
+    texts = own.select("doc_id", F.xxhash64("text").alias("th")).groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b"))
+    mixed = texts.filter("a <> b").select("doc_id")
+    spans = repeated_spans(own if mixed.isEmpty() else own.join(mixed, "doc_id", "left_anti"), window, kind)
     out = docs.join(spans, "doc_id", "left").select("doc_id", F.array_remove(F.split("text", GAP), "").alias("words"), F.coalesce("covered", F.array().cast("array<struct<a: int, b: int>>")).alias("covered"))
     # what stays lies between the covered ranges
     left = "zip_with(concat(array(0), covered.b), concat(covered.a, array(size(words))), (b, a) -> slice(words, b + 1, a - b))"

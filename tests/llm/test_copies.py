@@ -185,3 +185,17 @@ def test_state_stays_between_calls(spark, tmp_path, weak):
         frame = brute.frame(spark, part) if part else brute.frame(spark, ROWS[:1]).limit(0)
         got = exact_dedup.exact_dedup(frame, digest=digest, state=f"{tmp_path}/state")
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == {x: so_far[x][:3] for x, _ in part}
+
+
+def test_substrings_of_odd_rows(spark):
+    """Null ids, repeated rows, and an id that stands for two texts of different lengths."""
+    docs, rows = odd(spark)
+    long = rows[0][1]
+    more = [(7, long + " and more"), (7, long + " and more"), (8, long), (8, "short"), (None, long)]
+    got = substring_dedup.remove_repeats(docs.unionByName(brute.frame(spark, more), allowMissingColumns=True)).collect()
+    assert len(got) == len(rows) + len(more)
+    kept = {(r.doc_id, r.n_words, r.n_removed) for r in got}
+    # id 1 stands for two texts too, so 7 has nothing before it to lose words to
+    assert {(7, 62, 0), (8, 60, 0), (8, 1, 0), (None, 60, 0)} <= kept
+    again = substring_dedup.remove_repeats(brute.frame(spark, [(1, long), (1, long), (7, long + " and more"), (None, long)])).collect()
+    assert sorted(((r.doc_id or 0), r.n_removed) for r in again) == [(0, 0), (1, 0), (1, 0), (7, 60)]

@@ -34,3 +34,29 @@ def test_sql_twins(spark):
     for name, sql in SQL.items():
         got, expected = compared(QUERIES[name](spark, "/root/testdata/sf0.001"), con, sql)
         assert got == expected, name
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, shared and missing ids, more columns; and no rows at all."""
+    import json
+
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80)
+    rows = good.union(good.filter("doc_id < 5")).union(good.filter("doc_id < 3"))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "Alone here, with words that nobody else has said.", "en", "x", None), (900, "", "en", "x", 0), (900, None, "en", "x", 0), (901, "x " * 100_000, "en", "x", 200_000)], good.schema)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for name, docs in (("odd", rows.union(odd)), ("none", rows.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    before = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, before, f"{tmp_path}/odd")
+        assert after.columns == before.columns
+        given = {json.dumps([r.doc_id, r.text]) for r in before.collect()}
+        assert {json.dumps([r.doc_id, r.text]) for r in after.collect()} <= given
+    kept = [(r.doc_id, brute.low(r.text)) for r in cp.without_copies(spark, before, "").collect()]
+    every = [(r.doc_id, brute.low(r.text)) for r in before.collect()]
+    assert sorted(t for _, t in kept) == sorted({t for _, t in every})
+    assert all((i or -1) == max(x if x is not None else -1 for x, u in every if u == t) for i, t in kept if i != 0)
+    packed = cp.run(spark, f"{tmp_path}/odd")
+    assert packed.columns == cp.run(spark, f"{tmp_path}/none").columns and packed.count() > 0
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0

@@ -28,7 +28,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that start at each position, as if all texts were one."""
     out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
     for i in range(n):
-        out = mixed(out * MIX + words[i : len(words) - n + 1 + i])
+        out = mixed(out * MIX + words[i : i + len(out)])
     return out
 
 

@@ -199,3 +199,11 @@ def test_substrings_of_odd_rows(spark):
     assert {(7, 62, 0), (8, 60, 0), (8, 1, 0), (None, 60, 0)} <= kept
     again = substring_dedup.remove_repeats(brute.frame(spark, [(1, long), (1, long), (7, long + " and more"), (None, long)])).collect()
     assert sorted(((r.doc_id or 0), r.n_removed) for r in again) == [(0, 0), (1, 0), (1, 0), (7, 60)]
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_one_short_text(spark, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    rows = [(1, text), (2, text)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(brute.frame(spark, rows).coalesce(1)).collect()}
+    assert got == brute.similar(rows)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spool
 from ..sources.tables import content_hash
 from .graph import components
 
@@ -101,6 +102,7 @@ def fold_saves(log: DataFrame) -> DataFrame:
     decide are sent to the folds.
     """
     key = log.select("id", "op", "project", F.coalesce("topic_key", F.lit("")).alias("topic_key"), "normalized_hash")
+    key = spool(key, "events")  # hashes of whole texts, read several times below
     plain = (F.col("topic_key") == "") & (F.col("op") == "save")
     mixed = key.filter(~plain).select("project", "normalized_hash").distinct()
     simple = key.join(mixed, ["project", "normalized_hash"], "left_anti").groupBy("project", "normalized_hash")

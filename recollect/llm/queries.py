@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, jaccard, quality, secret_scan, substring_dedup, tokens, toxicity
+from . import decontaminate, embedding_dedup, exact_dedup, fill_middle, html_text, jaccard, quality, secret_scan, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_packing": tokens.op8_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_embedding_near_dedup": embedding_dedup.op11_embedding_near_dedup,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
+    "op12_fill_in_middle": fill_middle.SQL,
 }

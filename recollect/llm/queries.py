@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, exact_dedup, fill_middle, html_text, jaccard, quality, secret_scan, substring_dedup, tokens, toxicity
+from . import conversations, decontaminate, embedding_dedup, exact_dedup, fill_middle, html_text, jaccard, quality, secret_scan, substring_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_embedding_near_dedup": embedding_dedup.op11_embedding_near_dedup,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounds, fits, give_back, join_counted, list_array, lists, portioned, spool, spread, text_or_empty, unspool, unused, whole_groups
+from .common import bounds, fits_bytes, give_back, join_counted, list_array, lists, portioned, spool, spread, text_or_empty, unspool, unused, whole_groups
 from .ngrams import gram_hashes, mixed, word_hashes
 
 #: Characters between words, after lower-casing A-Z.
@@ -30,8 +30,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COORDINATES = 64
 #: Buckets of more sets are split further, down to DEPTH levels; those still larger are cut into blocks of about this size.
 SMALL, DEPTH = 1024, 4
-#: Up to so many ids of sets to verify go to every executor; more are shuffled with the texts.
-BROADCAST_IDS = 1_000_000
+#: Up to so many bytes of ids of sets to verify go to every executor; more are shuffled with the texts.
+BROADCAST = 64 << 20
 #: Sets that share so much less of their coordinates than the threshold are not verified: four standard errors of the estimate.
 SLACK = 4.0
 #: Words whose shingles are made at a time.
@@ -89,6 +89,12 @@ def met_first(leaves: np.ndarray, x: np.ndarray, y: np.ndarray, run: int) -> np.
     return ~(leaves[x, :run] == leaves[y, :run]).any(axis=1)
 
 
+def in_bytes(table: np.ndarray) -> pa.Array:
+    """Each row of a matrix as its bytes."""
+    raw, width = np.ascontiguousarray(table).view(np.uint8), table.itemsize * table.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(np.arange(0, width * (len(table) + 1), width, dtype=np.int32)), pa.py_buffer(raw)])
+
+
 def blocks(n: int) -> Iterator[tuple[slice, slice]]:
     for a in range(0, n, SMALL):
         for b in range(a, n, SMALL):
@@ -157,11 +163,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     counts the other sets that a set is linked to.  Words are runs of letters
     and digits, ASCII upper case folded; a text of fewer than n words is one
     shingle, one without words (null, empty) is linked to nothing and its own
-    class.  Repeated rows share a set.  Rows that share an id but not a text
-    are taken for one document: each has the set of its own text, and of sets
-    with one ``set_id`` that of the smallest digest is compared.  Ids must not
-    be null to be compared: rows without an id get a null class and no links,
-    or those of an equal set that has an id.  An empty table gives no rows.
+    class.  Repeated rows share a set.  Inside, a set is known by its digest, so
+    each row is compared by its own text: rows that share an id, or have none,
+    are linked like others, and a null id is never the smallest (``class_id``
+    and ``set_id`` are null only where no row has an id).  An empty table gives
+    no rows.
     """
     return with_classes(docs, n, threshold, recall, id_col, text_col).drop("th")
 
@@ -180,50 +186,46 @@ def with_classes(docs: DataFrame, n: int, threshold: float, recall: float, id_co
             if len(full):
                 digest[full, 0] = np.add.reduceat(mixed(values), offsets[full])
                 digest[full, 1] = np.bitwise_xor.reduceat(mixed(values * SEEDS[0]), offsets[full])
-            coordinates = np.ascontiguousarray(min_hashes(values, offsets)).view(np.uint8)
-            width = 4 * COORDINATES
-            made = pa.Array.from_buffers(pa.binary(), len(digest), [None, pa.py_buffer(np.arange(0, width * (len(digest) + 1), width, dtype=np.int32)), pa.py_buffer(coordinates)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), made], ["doc_id", "th", "d1", "d2", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), in_bytes(digest), pa.array(np.diff(offsets).astype(np.int32)), in_bytes(min_hashes(values, offsets))], ["doc_id", "th", "set", "size", "sketch"])
         give_back()
 
-    rows = spool(hashed.mapInArrow(sketch, f"doc_id {kind}, th bigint, d1 bigint, d2 bigint, size int, sketch binary"), "sketches")
-    groups = rows.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("set_size"))
+    rows = spool(hashed.mapInArrow(sketch, f"doc_id {kind}, th bigint, set binary, size int, sketch binary"), "sketches")
+    # the row whose text stands for a set: of the smallest id, of those without one if no other has its words
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    groups = rows.filter("size > 0").groupBy("set").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("set_size"), F.min(own).alias("own"), F.first("sketch").alias("sketch"))
     groups = spool(groups, "sets")
-    first = groups.select(F.col("set_id").alias("own")).filter("own IS NOT NULL")
-    reps = rows.join(first, rows.doc_id == first.own, "left_semi").filter("size > 0")
-    reps = reps.join(groups.select("d1", "d2", "set_id"), ["d1", "d2"]).filter("doc_id = set_id")
-    reps = spool(reps.groupBy("set_id").agg(F.min(F.struct("d1", "d2", "th", "sketch")).alias("r")).select("set_id", "r.th", "r.sketch"), "representatives")
+    reps = groups.select("set", "sketch")
 
     # paths: all runs at once; buckets of one are dropped, small ones are leaves, others go down a level
     runs = runs_for(threshold, recall)
     value = lambda level: F.substring("sketch", (chosen(F.col("path"), F.col("run"), level) * 4 + 1).cast("int"), F.lit(4))
-    start = reps.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sketch").withColumn("path", F.col("run").cast("long"))
+    start = reps.select("set", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sketch").withColumn("path", F.col("run").cast("long"))
     todo, leaves = start, []
     for level in range(DEPTH):
-        step = spool(todo.select("set_id", "run", F.xxhash64("path", "run", value(level)).alias("path")), "paths")
+        step = spool(todo.select("set", "run", F.xxhash64("path", "run", value(level)).alias("path")), "paths")
         sized = step.groupBy("run", "path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         step = join_counted(step, sized, ["run", "path"])
         leaves.append(step.filter(F.col("n") <= SMALL) if level < DEPTH - 1 else step)
         big = sized.filter(F.col("n") > SMALL)
         if level == DEPTH - 1 or big.isEmpty():
             break
-        todo = step.filter(F.col("n") > SMALL).select("set_id", "run", "path").join(reps.drop("th"), "set_id")
+        todo = step.filter(F.col("n") > SMALL).select("set", "run", "path").join(reps, "set")
     placed = leaves[0]
     for more in leaves[1:]:
         placed = placed.unionByName(more)
-    placed = spool(placed.select("set_id", "run", "path", "n"), "leaves")
+    placed = spool(placed.select("set", "run", "path", "n"), "leaves")
 
     # a leaf that is still large: a bucket for each pair of its blocks, so that no task has it whole
-    cut = placed.withColumn("blocks", F.ceil(F.col("n") / SMALL)).withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
-    cut = cut.select("set_id", "run", "path", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cut = placed.withColumn("blocks", F.ceil(F.col("n") / SMALL)).withColumn("block", F.pmod(F.xxhash64("set"), "blocks"))
+    cut = cut.select("set", "run", "path", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     bucket = F.when(F.col("blocks") == 1, F.col("path")).otherwise(F.xxhash64("path", low, high))
-    cut = cut.select("set_id", "run", bucket.alias("bucket"), F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).alias("side"))
+    cut = cut.select("set", "run", bucket.alias("bucket"), F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).alias("side"))
 
     # compare the sketches of each bucket: which sets have a partner there that they met in no earlier run
-    of_set = placed.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("m"))
-    of_set = of_set.select("set_id", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(m[r], set_id * {runs} + r))").alias("leaves")).join(reps.drop("th"), "set_id")
-    dealt = cut.join(of_set, "set_id").repartition("bucket").sortWithinPartitions("bucket", "set_id")
+    of_set = placed.groupBy("set").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("m"))
+    of_set = of_set.select("set", F.expr(f"transform(sequence(0, {runs - 1}), r -> coalesce(m[r], xxhash64(set, r)))").alias("leaves")).join(reps, "set")
+    dealt = cut.join(of_set, "set").repartition("bucket").sortWithinPartitions("bucket", "set")
     least = max(1, math.ceil(COORDINATES * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES))))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -238,30 +240,30 @@ def with_classes(docs: DataFrame, n: int, threshold: float, recall: float, id_co
             keep = np.zeros(t.num_rows, bool)
             for a, b in zip(edges[:-1], edges[1:]):
                 keep[a:b] = likely(sketches[a:b], met[a:b], side[a:b], int(run[a]), least)
-            yield from t.select(["set_id", "run", "bucket", "side", "leaves"]).filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from t.select(["set", "run", "bucket", "side", "leaves"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    close = spool(dealt.mapInArrow(compare, f"set_id {kind}, run int, bucket bigint, side int, leaves array<bigint>"), "close")
+    close = spool(dealt.mapInArrow(compare, "set binary, run int, bucket bigint, side int, leaves array<bigint>"), "close")
 
     # verify on the full sets
-    wanted = close.select("set_id").distinct().join(reps.select("set_id", "th"), "set_id").select(F.col("set_id").alias("doc_id"), "th")
-    wanted = F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted
-    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, ["doc_id", "th"], "left_semi")
-    texts = texts.select("doc_id", word_hashes(F.col("text"), GAP, True).alias("words")).dropDuplicates(["doc_id"])
+    wanted = close.select("set").distinct().join(groups.select("set", "own"), "set").select("set", F.col("own.doc_id").alias("id"), F.col("own.th").alias("hash"))
+    wanted = F.broadcast(wanted) if fits_bytes(wanted, BROADCAST, F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)), F.lit(48)) else wanted
+    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash")))
+    texts = texts.select("set", word_hashes(F.col("text"), GAP, True).alias("words")).dropDuplicates(["set"])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portioned(whole, "words", WORDS_AT_ONCE)):
             values, offsets = shingle_sets(*lists(batch.column("words")), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(values.view(np.int64), offsets, pa.int64())], ["set_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("set"), list_array(values.view(np.int64), offsets, pa.int64())], ["set", "grams"])
         give_back()
 
-    grams = texts.mapInArrow(shingle, f"set_id {kind}, grams array<bigint>")
-    dealt = close.join(grams, "set_id").repartition("bucket").sortWithinPartitions("bucket", "set_id")
+    grams = texts.mapInArrow(shingle, "set binary, grams array<bigint>")
+    dealt = close.join(grams, "set").repartition("bucket").sortWithinPartitions("bucket", "set")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "bucket"):
             t = t.combine_chunks()
             side = t.column("side").to_numpy()
-            met, run, ids = matrix(t.column("leaves")), t.column("run").to_numpy(), t.column("set_id").to_pylist()
+            met, run, ids = matrix(t.column("leaves")), t.column("run").to_numpy(), t.column("set").to_pylist()
             values, offsets = lists(t.column("grams"))
             out_a, out_b, out_n = [], [], []
             edges = bounds(t.column("bucket").to_numpy())
@@ -271,16 +273,22 @@ def with_classes(docs: DataFrame, n: int, threshold: float, recall: float, id_co
                 out_a += [ids[a + i] for i in some] + [ids[a + i] for i, _ in pairs]
                 out_b += [None] * len(some) + [ids[a + j] for _, j in pairs]
                 out_n += count[some].tolist() + [0] * len(pairs)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, t.schema.field("set_id").type), "b": pa.array(out_b, t.schema.field("set_id").type), "n": pa.array(out_n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary()), "n": pa.array(out_n, pa.int64())})
 
-    found = spool(dealt.mapInArrow(verify, f"a {kind}, b {kind}, n bigint"), "links")
-    links = found.filter("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_links"))
+    found = spool(dealt.mapInArrow(verify, "a binary, b binary, n bigint"), "links")
+    links = found.filter("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("n_links"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
-    sets = groups.join(links, "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    sets = sets.select("d1", "d2", "set_id", "set_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "set_id").alias("class_id"))
+    # the smallest id of a component; sets that nothing is linked to are their own
+    joined = spool(roots.withColumnRenamed("node", "set").join(groups.select("set", "set_id"), "set"), "joined")
+    least = joined.groupBy("root").agg(F.min("set_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    classes = join_counted(joined.select("set", "root"), least, ["root"]).select("set", "class_id")
+    sets = groups.select("set", "set_id", "set_size").join(links, "set", "left").join(classes, "set", "left")
+    sets = sets.select("set", "set_id", "set_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "set_id").alias("class_id"))
     sets = spool(sets, "classes")
-    unspool(placed, reps, close)
-    out = rows.filter("size > 0").join(sets, ["d1", "d2"]).select("doc_id", "th", "class_id", "n_links", "set_id", "set_size")
+    unspool(placed, close, joined)
+    n_rows = rows.count()
+    known = join_counted(rows.filter("size > 0").select("doc_id", "th", "set"), sets.withColumn("n", F.col("set_size")), ["set"], n_rows)
+    out = known.select("doc_id", "th", "class_id", "n_links", "set_id", "set_size")
     alone = rows.filter("size = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("set_size"))
     return out.unionByName(alone)
 

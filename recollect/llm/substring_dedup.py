@@ -23,14 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, give_back, lists, portioned, ragged, spool, spread, text_or_empty, unspool, whole_groups
+from .common import bounds, fits, give_back, lists, portioned, portions, ragged, spool, spread, text_or_empty, unspool, whole_groups
 from .ngrams import gram_hashes, sliding_min, word_hashes
 
 GAP = r"[\x20\x09-\x0D]+"
 #: Words in an anchor, and distinct segments of one anchor above which its segments are cut into single windows.
 ANCHOR, CROWD = 4, 2000
-#: Segments of a shard: its automaton has some 100,000 states.
-SHARD_ROWS = 3000
+#: Bytes of words in a shard, whose automaton takes some 65 MB for each, and in the distinct segments of an anchor above which it is a crowd too.
+SHARD_BYTES = 1 << 20
+#: Windows of a segment: a run of one anchor that goes on (a line that repeats) is cut here.
+LONGEST = 1024
+#: Up to so many ids go to every executor.
+BROADCAST_IDS = 100_000
 #: Words that are cut into segments at a time, and segments of one anchor among them above which they are dealt out evenly.
 WORDS_AT_ONCE, HOT = 1 << 21, 8
 
@@ -45,6 +49,10 @@ def segments(words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
     anchors = sliding_min(gram_hashes(words.view(np.uint64), ANCHOR), window - ANCHOR + 1)[starts]
     doc = np.repeat(np.arange(len(counts)), per)
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchors[1:] != anchors[:-1])])
+    runs = np.diff(np.r_[first, len(doc)])
+    pieces = -(-runs // LONGEST)
+    if len(first) < pieces.sum():
+        first = np.repeat(first, pieces) + ragged(np.zeros(len(pieces), np.int64), pieces) * LONGEST
     return doc[first], starts[first] - offsets[doc[first]], np.diff(np.r_[first, len(doc)]), anchors[first].view(np.int64)
 
 
@@ -169,9 +177,9 @@ def named(words: bytes) -> bytes:
 
 
 def with_words(docs: DataFrame, places: DataFrame, kind: str, window: int) -> DataFrame:
-    """``places`` (doc_id, start, n, anchor) with the words of each segment and their key."""
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("places"))
-    rows = docs.join(by_doc, "doc_id").select("doc_id", "text", "places")
+    """``places`` (doc_id, part, start, n, anchor) with the words of each segment and their key."""
+    by_doc = places.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("places"))
+    rows = docs.join(by_doc, ["doc_id", "part"]).select("doc_id", "part", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portioned(whole, "places", 50_000)):
@@ -183,12 +191,12 @@ def with_words(docs: DataFrame, places: DataFrame, kind: str, window: int) -> Da
                 words = text.encode().split()  # bytes split at ASCII white space alone
                 found += [b" ".join(words[a:b]) for a, b in zip(start[at : at + own].tolist(), (start[at : at + own] + n[at : at + own] + window - 1).tolist())]
                 at += own
-            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(per)), per)))
+            of = pa.array(np.repeat(np.arange(len(per)), per))
             keys = pa.array([named(w) for w in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([doc, flat.field("start"), flat.field("n"), flat.field("anchor"), keys, pa.array(found, pa.binary())], ["doc_id", "start", "n", "anchor", "key", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("part").take(of), flat.field("start"), flat.field("n"), flat.field("anchor"), keys, pa.array(found, pa.binary())], ["doc_id", "part", "start", "n", "anchor", "key", "words"])
         give_back()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start int, n int, anchor bigint, key binary, words binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, part bigint, start int, n int, anchor bigint, key binary, words binary")
 
 
 def first_documents(distinct: DataFrame, kind: str, window: int) -> DataFrame:
@@ -198,8 +206,15 @@ def first_documents(distinct: DataFrame, kind: str, window: int) -> DataFrame:
     no other one of its anchor can share windows with is ``first`` for all.
     """
 
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for table in whole_groups(batches, "anchor", size=SHARD_BYTES):
+            edges = bounds(table.column("anchor").to_numpy())
+            sizes = np.r_[0, np.cumsum(pc.binary_length(table.column("words")).to_numpy().astype(np.int64))]
+            for a, b in portions(sizes[edges], SHARD_BYTES):
+                yield table.slice(edges[a], edges[b] - edges[a])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in whole_groups(batches, "anchor", rows=SHARD_ROWS, size=1 << 30):
+        for shard in shards(batches):
             words, docs = shard.column("words").to_pylist(), shard.column("first_doc").to_pylist()
             edges = bounds(shard.column("anchor").to_numpy())
             met = np.repeat(np.diff(edges) > 1, np.diff(edges)).tolist()
@@ -238,7 +253,7 @@ def first_documents_of_crowds(distinct: DataFrame, kind: str, window: int) -> Da
 
 
 def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
-    """(doc_id, covered): sorted, merged (from, to) word ranges that windows of earlier documents cover."""
+    """(doc_id, part, covered) of documents (doc_id, part, text), each once: sorted, merged (from, to) word ranges that windows of earlier documents cover."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portioned(whole, "words", WORDS_AT_ONCE)):
@@ -246,19 +261,20 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
             salt, hot = dealt(doc, anchor)
             more = lambda x, y, t: pa.array(np.r_[x, y].astype(t))
             zero = np.zeros(len(hot))
-            ids = batch.column("doc_id").take(pa.array(np.r_[doc, doc[hot]]))
-            yield pa.RecordBatch.from_arrays([more(anchor, anchor[hot], np.int64), ids, more(start, zero, np.int32), more(n, zero, np.int32), more(salt, zero, np.int32)], ["anchor", "doc_id", "start", "n", "salt"])
+            of = pa.array(np.r_[doc, doc[hot]])
+            yield pa.RecordBatch.from_arrays([more(anchor, anchor[hot], np.int64), batch.column("doc_id").take(of), batch.column("part").take(of), more(start, zero, np.int32), more(n, zero, np.int32), more(salt, zero, np.int32)], ["anchor", "doc_id", "part", "start", "n", "salt"])
         give_back()
 
-    schema = f"anchor bigint, doc_id {kind}, start int, n int"
-    words = docs.select("doc_id", word_hashes(F.col("text"), GAP, False).alias("words"))
+    schema = f"anchor bigint, doc_id {kind}, part bigint, start int, n int"
+    words = docs.select("doc_id", "part", word_hashes(F.col("text"), GAP, False).alias("words"))
     rows = words.mapInArrow(cut, schema + ", salt int").repartition("anchor", "salt").sortWithinPartitions("anchor", "doc_id").mapInArrow(shared_anchors, schema)
     rows = spool(rows, "segments")
     known = spool(with_words(docs, rows, kind, window), "known")
     unspool(rows)
 
     distinct = spool(known.groupBy("anchor", "words").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    crowded = distinct.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor")
+    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
+    crowded = crowded.filter((F.col("n") > CROWD) | (F.col("n") > 1) & (F.col("bytes") > SHARD_BYTES)).select("anchor")
     none = crowded.isEmpty()
     firsts = first_documents(distinct if none else distinct.join(crowded, "anchor", "left_anti"), kind, window)
     if not none:
@@ -276,10 +292,11 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
             begin = np.r_[True, (np.diff(hit) > 1) | (row[hit[1:]] != row[hit[:-1]])] if len(hit) else np.zeros(0, bool)
             a, b = hit[begin], hit[np.r_[begin[1:], True]] if len(hit) else hit
             of, first, last = np.r_[alike, row[a]], np.r_[start[alike], at[a]], np.r_[start[alike] + n[alike] - 1, at[b]]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(first.astype(np.int32)), pa.array((last + window).astype(np.int32))], ["doc_id", "a", "b"])
+            of = pa.array(of)
+            yield pa.RecordBatch.from_arrays([ids.take(of), batch.column("part").take(of), pa.array(first.astype(np.int32)), pa.array((last + window).astype(np.int32))], ["doc_id", "part", "a", "b"])
 
-    pieces = known.select("key", "doc_id", "start", "n").join(firsts, "key").select("doc_id", "start", "n", "first", "firsts").mapInArrow(covered, f"doc_id {kind}, a int, b int")
-    by_doc = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p"))
+    pieces = known.select("key", "doc_id", "part", "start", "n").join(firsts, "key").select("doc_id", "part", "start", "n", "first", "firsts").mapInArrow(covered, f"doc_id {kind}, part bigint, a int, b int")
+    by_doc = pieces.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,9 +309,9 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
                     else:
                         merged.append(s)
                 made.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "covered"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(made, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "part", "covered"])
 
-    out = spool(by_doc.mapInArrow(merge, f"doc_id {kind}, covered array<struct<a: int, b: int>>"), "covered")
+    out = spool(by_doc.mapInArrow(merge, f"doc_id {kind}, part bigint, covered array<struct<a: int, b: int>>"), "covered")
     unspool(known, distinct)
     return out
 
@@ -305,18 +322,30 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     Words are runs without ASCII white space, unchanged; kept words are joined
     by one space.  A word goes when a window over it also starts in a document
     of a smaller id; windows are judged on the input.  Null texts have no
-    words; texts of fewer than ``window`` words stay whole; rows that repeat an
-    id and its text get equal results; rows with a null id, and rows of an id
-    that stands for several texts, neither remove nor lose words.  Other columns
-    are ignored, and an empty table gives no rows.
+    words; texts of fewer than ``window`` words stay whole.  Each row is judged
+    by its own text: of rows that share an id none is earlier than another, and
+    rows that repeat both get equal results.  Rows with a null id neither remove
+    nor lose words.  Other columns are ignored, and an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     own = docs.filter("doc_id IS NOT NULL")
-    texts = own.select("doc_id", F.xxhash64("text").alias("th")).groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b"))
-    mixed = texts.filter("a <> b").select("doc_id")
-    spans = repeated_spans(own if mixed.isEmpty() else own.join(mixed, "doc_id", "left_anti"), window, kind)
-    out = docs.join(spans, "doc_id", "left").select("doc_id", F.array_remove(F.split("text", GAP), "").alias("words"), F.coalesce("covered", F.array().cast("array<struct<a: int, b: int>>")).alias("covered"))
+    # ids of several rows: there a document is an id and a text, by its hash; of others the id names it
+    several = spool(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("several")), "several")
+    none = several.isEmpty()
+    shared = F.broadcast(several) if fits(several, BROADCAST_IDS) else several
+
+    def parted(df: DataFrame) -> DataFrame:
+        if none:
+            return df.withColumn("part", F.lit(0).cast("long"))
+        return df.join(shared, "doc_id", "left").withColumn("part", F.when(F.col("several"), F.xxhash64("text")).otherwise(0)).drop("several")
+
+    once = parted(own)
+    if not none:
+        alike = once.filter("part <> 0").groupBy("doc_id", "part").agg(F.first("text").alias("text"))
+        once = once.filter("part = 0").unionByName(alike)
+    spans = repeated_spans(once, window, kind)
+    out = parted(docs).join(spans, ["doc_id", "part"], "left").select("doc_id", F.array_remove(F.split("text", GAP), "").alias("words"), F.coalesce("covered", F.array().cast("array<struct<a: int, b: int>>")).alias("covered"))
     # what stays lies between the covered ranges
     left = "zip_with(concat(array(0), covered.b), concat(covered.a, array(size(words))), (b, a) -> slice(words, b + 1, a - b))"
     return out.select(

@@ -195,8 +195,8 @@ def test_substrings_of_odd_rows(spark):
     got = substring_dedup.remove_repeats(docs.unionByName(brute.frame(spark, more), allowMissingColumns=True)).collect()
     assert len(got) == len(rows) + len(more)
     kept = {(r.doc_id, r.n_words, r.n_removed) for r in got}
-    # id 1 stands for two texts too, so 7 has nothing before it to lose words to
-    assert {(7, 62, 0), (8, 60, 0), (8, 1, 0), (None, 60, 0)} <= kept
+    # each row is judged by its own text, also where its id stands for several
+    assert {(7, 62, 60), (8, 60, 60), (8, 1, 0), (None, 60, 0)} <= kept
     again = substring_dedup.remove_repeats(brute.frame(spark, [(1, long), (1, long), (7, long + " and more"), (None, long)])).collect()
     assert sorted(((r.doc_id or 0), r.n_removed) for r in again) == [(0, 0), (1, 0), (1, 0), (7, 60)]
 
@@ -207,3 +207,29 @@ def test_one_short_text(spark, n):
     rows = [(1, text), (2, text)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(brute.frame(spark, rows).coalesce(1)).collect()}
     assert got == brute.similar(rows)
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Every row loses what an earlier id has, whatever else its own id stands for."""
+    p = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"{p} a"), (2, f"{p} b"), (2, "other"), (2, f"{p} b"), (3, f"{p} c"), (2, f"x {p}")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(brute.frame(spark, rows)).collect())
+    assert got == [(1, 21, 0), (2, 1, 0), (2, 21, 20), (2, 21, 20), (2, 21, 20), (3, 21, 20)]
+
+
+def test_substrings_of_lines_that_repeat(spark, monkeypatch):
+    """A text of one line over and over is one anchor's run: it is cut, and its shard stays small."""
+    monkeypatch.setattr(substring_dedup, "LONGEST", 16)
+    line = "alpha beta gamma delta epsilon "
+    rows = [(i, f"own{i} " + line * (30 + i) + f"end{i}") for i in range(12)] + [(50, line * 400)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(brute.frame(spark, rows)).collect()}
+    assert got == brute.without_repeats(rows)
+
+
+def test_jaccard_of_rows_that_share_an_id_or_have_none(spark):
+    words = [f"v{i}" for i in range(60)]
+    m, q, y = " ".join(words), " ".join(f"q{i}" for i in range(60)), " ".join([*words, "y"])
+    rows = [(1, m), (1, q), (5, q + " x"), (6, y), (None, m), (7, " ".join(["z", *words])), (None, "alone here"), (None, y)]
+    got = sorted(((r.doc_id or 0, r.class_id, r.n_links, r.set_id) for r in jaccard.jaccard_join(brute.frame(spark, rows)).collect()), key=str)
+    wanted = [(1, 1, 2, 1), (1, 1, 1, 1), (5, 1, 1, 5), (6, 1, 2, 6), (0, 1, 2, 1), (7, 1, 2, 7), (0, None, 0, None), (0, 1, 2, 6)]
+    assert got == sorted(wanted, key=str)

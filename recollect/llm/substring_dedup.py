@@ -29,8 +29,8 @@ from .ngrams import gram_hashes, sliding_min, word_hashes
 GAP = r"[\x20\x09-\x0D]+"
 #: Words in an anchor, and distinct segments of one anchor above which its segments are cut into single windows.
 ANCHOR, CROWD = 4, 2000
-#: Bytes of words in a shard, whose automaton takes some 65 MB for each, and in the distinct segments of an anchor above which it is a crowd too.
-SHARD_BYTES = 1 << 20
+#: Bytes of words in a shard, whose automaton takes some 65 MB for each, and in the distinct segments of one anchor above which they are a crowd too.
+SHARD_BYTES, CROWD_BYTES = 1 << 20, 4 << 20
 #: Windows of a segment: a run of one anchor that goes on (a line that repeats) is cut here.
 LONGEST = 1024
 #: Up to so many ids go to every executor.
@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
 
     distinct = spool(known.groupBy("anchor", "words").agg(F.min("doc_id").alias("first_doc")), "distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
-    crowded = crowded.filter((F.col("n") > CROWD) | (F.col("n") > 1) & (F.col("bytes") > SHARD_BYTES)).select("anchor")
+    crowded = crowded.filter((F.col("n") > CROWD) | (F.col("n") > 1) & (F.col("bytes") > CROWD_BYTES)).select("anchor")
     none = crowded.isEmpty()
     firsts = first_documents(distinct if none else distinct.join(crowded, "anchor", "left_anti"), kind, window)
     if not none:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import project_name
+
 GAP_US, HOUR_US, DAY_US = 1_800_000_000, 3_600_000_000, 86_400_000_000
 
 
@@ -209,9 +211,9 @@ def nudges(events: DataFrame, actions: int, fallback_minutes: int) -> DataFrame:
 
 
 def started(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Sessions with new ones (id, project, started_at), active since their start; an id that is there stays as it is."""
+    """Sessions with new ones (id, project, started_at), active since their start, their projects' names normalised; an id that is there stays as it is."""
     fresh = incoming.groupBy("id").agg(F.min_by(F.struct("project", "started_at"), "started_at").alias("s")).join(current.select("id"), "id", "left_anti")
-    made = fresh.select("id", "s.project", "s.started_at", F.col("s.started_at").alias("last_activity_at"))
+    made = fresh.select("id", project_name(F.col("s.project")).alias("project"), "s.started_at", F.col("s.started_at").alias("last_activity_at"))
     return current.unionByName(made, allowMissingColumns=True)
 
 

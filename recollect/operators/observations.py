@@ -1,16 +1,13 @@
-"""Observations: write resolution as folds over an event log, lookups, lists, counts, retention."""
+"""Observations: upserts, lookups, lists, counts, retention; the resolution of saves is in ``saves``."""
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import spool
+from ..functions.text import project_name
 from ..sources.tables import content_hash
-from .graph import components
+from .saves import fold_saves  # noqa: F401  (a fold of the log is an operator on observations)
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -45,86 +42,6 @@ def dedup_by_hash(saves: DataFrame) -> DataFrame:
     return saves.groupBy("project", "normalized_hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("duplicate_count"), F.max("created_at").alias("last_seen_at"))
 
 
-#: State of the fold: the row's own event, and the event that its texts are from.
-FOLDED = "project string, id long, current long, normalized_hash string, topic_key string, revision_count long, duplicate_count long, last_seen long"
-
-
-def fold_events(events: pd.DataFrame) -> pd.DataFrame:
-    """The rows that events (id, op, project, topic_key, normalized_hash) of one group leave, in the order of ids."""
-    rows: dict[int, dict] = {}
-    topics: dict[str, int] = {}
-    hashes: dict[str, list[int]] = {}  # ids of rows, smallest first; those that are gone or changed are passed over
-
-    def with_hash(digest: str) -> dict | None:
-        ids = hashes.get(digest, [])
-        while ids:
-            row = rows.get(ids[0])
-            if row and row["normalized_hash"] == digest:
-                return row
-            heapq.heappop(ids)
-        return None
-
-    for e in events.sort_values("id").to_dict("records"):
-        topic, digest, number = e["topic_key"] or "", e["normalized_hash"], e["id"]
-        row = rows.get(topics.get(topic)) if topic else None
-        if e["op"] == "delete":
-            gone = row or with_hash(digest)
-            if gone:
-                del rows[gone["id"]]
-                topics.pop(gone["topic_key"], None)
-        elif row:
-            row.update(current=number, normalized_hash=digest, revision_count=row["revision_count"] + 1, last_seen=number)
-            heapq.heappush(hashes.setdefault(digest, []), row["id"])
-        elif same := with_hash(digest):
-            same.update(duplicate_count=same["duplicate_count"] + 1, last_seen=number)
-        else:
-            rows[number] = {"project": e["project"], "id": number, "current": number, "normalized_hash": digest, "topic_key": topic, "revision_count": 1, "duplicate_count": 1, "last_seen": number}
-            heapq.heappush(hashes.setdefault(digest, []), number)
-            if topic:
-                topics[topic] = number
-    return pd.DataFrame(list(rows.values()), columns=["project", "id", "current", "normalized_hash", "topic_key", "revision_count", "duplicate_count", "last_seen"])
-
-
-def fold_saves(log: DataFrame) -> DataFrame:
-    """The state after all events (id, op, project, topic_key, normalized_hash, title, ...) in the order of ids.
-
-    A save with the topic of a live row updates it; else one with the hash of a
-    live row counts as a duplicate of the row with the smallest id; else it is
-    a new row.  ``op`` 'delete' ends the live row that the event's topic or
-    hash finds.  Texts (``title``, and ``content``, ``type``, ``created_at``
-    where the log has them) are those of the save that inserted or last updated
-    the row; ``last_seen_at`` is the time of the last event that touched it.
-
-    Each step depends on the state before it, but only through a topic or a
-    hash of the project, so events that no chain of shared topics and hashes
-    joins are folded apart.  Hashes that only saves without a topic have, and no
-    delete, need no fold: the first save is the row.  Only the columns that
-    decide are sent to the folds.
-    """
-    key = log.select("id", "op", "project", F.coalesce("topic_key", F.lit("")).alias("topic_key"), "normalized_hash")
-    key = spool(key, "events")  # hashes of whole texts, read several times below
-    plain = (F.col("topic_key") == "") & (F.col("op") == "save")
-    mixed = key.filter(~plain).select("project", "normalized_hash").distinct()
-    simple = key.join(mixed, ["project", "normalized_hash"], "left_anti").groupBy("project", "normalized_hash")
-    simple = simple.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("duplicate_count"), F.max("id").alias("last_seen"))
-    simple = simple.select("project", "id", F.col("id").alias("current"), "normalized_hash", F.lit("").alias("topic_key"), F.lit(1).cast("long").alias("revision_count"), "duplicate_count", "last_seen")
-
-    rest = key.join(mixed, ["project", "normalized_hash"], "left_semi")
-    # groups of hashes that topics join: each hash is linked to the topics of its events
-    node = lambda kind, c: F.xxhash64(F.lit(kind), "project", c)
-    links = rest.filter("topic_key <> ''").select(node("hash", "normalized_hash").alias("a"), node("topic", "topic_key").alias("b")).distinct()
-    roots = components(links)
-    rest = rest.withColumn("node", node("hash", "normalized_hash")).join(roots, "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    folded = rest.groupBy("project", "grp").applyInPandas(fold_events, FOLDED).unionByName(simple)
-
-    texts = [c for c in ("title", "content", "type", "created_at") if c in log.columns]
-    out = folded.join(log.select(F.col("id").alias("current"), *texts), "current")
-    if "created_at" in texts:
-        times = lambda c, name: log.select(F.col("id").alias(c), F.col("created_at").alias(name))
-        out = out.withColumnRenamed("created_at", "updated_at").join(times("id", "created_at"), "id").join(times("last_seen", "last_seen_at"), "last_seen")
-    return out.drop("current", "last_seen")
-
-
 def mark_deleted(df: DataFrame, ids: DataFrame, at: Column, again: bool = True) -> DataFrame:
     """Rows named in ``ids`` (id) get a ``deleted_at``; where ``again`` is false, those deleted before keep theirs."""
     gone = ids.select("id").distinct().withColumn("__hit", F.lit(True))
@@ -159,8 +76,8 @@ def partial_update(df: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def rename_project(df: DataFrame, old: str, new: str) -> DataFrame:
-    """Live rows of one project move to another."""
-    return df.withColumn("project", F.when(F.col("deleted_at").isNull() & (F.col("project") == old), F.lit(new)).otherwise(F.col("project")))
+    """Live rows of one project move to another, whose name is normalised."""
+    return df.withColumn("project", F.when(F.col("deleted_at").isNull() & (F.col("project") == old), project_name(F.lit(new))).otherwise(F.col("project")))
 
 
 def touch(df: DataFrame, ids: DataFrame, at: Column) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import spool, spread
 from ..sources.tables import VERBS
+from .index import postings_of as postings_of_index
+from .matching import best_matches
 from .observations import latest, live
+from .search import postings_of
 from .vectors import cosine
 
 
@@ -16,39 +18,70 @@ def pair_key(a: str = "source_id", b: str = "target_id") -> Column:
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
 
 
+def kept(relations: DataFrame) -> DataFrame:
+    """Relations that were not deleted (all of a table that has no such mark)."""
+    return relations.filter("deleted_at IS NULL") if "deleted_at" in relations.columns else relations
+
+
 def enriched(relations: DataFrame, observations: DataFrame) -> DataFrame:
-    """Relations with id, title and project of both ends, null texts as empty."""
+    """Relations that are kept, with id, title and project of both ends, null texts as empty."""
     end = lambda side: observations.select(F.col("sync_id").alias(f"{side}_id"), F.col("id").alias(f"{side}_obs"), F.col("title").alias(f"{side}_title"), F.col("project").alias(f"{side}_project"))
-    out = relations.join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
-    return out.withColumn("reason", F.coalesce("reason", F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    out = kept(relations).join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
+    texts = [c for c in ("reason", "evidence", "marked_by_actor", "marked_by_kind", "marked_by_model") if c in out.columns]
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {"confidence": F.coalesce("confidence", F.lit(0.0))})
+
+
+def of_project(relations: DataFrame, observations: DataFrame, project: str | None) -> DataFrame:
+    """Relations that are kept; where a project is named, those with an end in it, whichever.
+
+    Only the sync ids of the project's observations meet the relations; a
+    relation with both ends there is one row.
+    """
+    if not project:
+        return kept(relations)
+    own = observations.filter(F.col("project") == project).select("sync_id").distinct()
+    end = lambda side: own.select(F.col("sync_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_in"))
+    out = kept(relations).join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
+    return out.filter("source_in OR target_in").drop("source_in", "target_in")
 
 
 def listed(relations: DataFrame, observations: DataFrame, project: str | None = None, status: str | None = None) -> DataFrame:
-    """Enriched relations, newest first; of the project of their source, and of a status, where these are named."""
-    out = enriched(relations, observations)
-    out = out.filter(F.col("source_project") == project) if project else out
+    """Enriched relations, newest first; with an end in a project, and of a status, where these are named."""
+    out = kept(relations)
     out = out.filter(F.col("judgment_status") == status) if status else out
+    out = enriched(out, observations)
+    out = out.filter((F.col("source_project") == project) | (F.col("target_project") == project)) if project else out
     return out.orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def verb_counts(relations: DataFrame) -> DataFrame:
-    """Relations by verb, those pending left out."""
-    return relations.filter("judgment_status <> 'pending'").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+def verb_counts(relations: DataFrame, observations: DataFrame | None = None, project: str | None = None) -> DataFrame:
+    """Relations by verb, those still without one left out; with an end in a project where one is named."""
+    return of_project(relations, observations, project).filter("relation <> 'pending'").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stats(relations: DataFrame) -> DataFrame:
-    count = lambda s: F.sum((F.col("judgment_status") == s).cast("long")).alias(s)
-    return relations.agg(F.count(F.lit(1)).alias("total"), count("pending"), count("judged"), count("orphaned"))
+def stats(relations: DataFrame, observations: DataFrame | None = None, project: str | None = None) -> DataFrame:
+    """Relations by status, one row; with an end in a project where one is named."""
+    count = lambda s: F.coalesce(F.sum((F.col("judgment_status") == s).cast("long")), F.lit(0)).alias(s)
+    return of_project(relations, observations, project).agg(F.count(F.lit(1)).alias("total"), count("pending"), count("judged"), count("orphaned"))
 
 
 def dangling(relations: DataFrame, observations: DataFrame) -> DataFrame:
-    """Relations of which an end is no live observation."""
+    """Relations that are kept and of which an end is no live observation."""
     ids = live(observations).select("sync_id")
-    out = relations.join(ids.withColumnRenamed("sync_id", "source_id").withColumn("s", F.lit(1)), "source_id", "left")
+    out = kept(relations).join(ids.withColumnRenamed("sync_id", "source_id").withColumn("s", F.lit(1)), "source_id", "left")
     out = out.join(ids.withColumnRenamed("sync_id", "target_id").withColumn("t", F.lit(1)), "target_id", "left")
     return out.filter("s IS NULL OR t IS NULL").drop("s", "t")
 
 
+def collected(relations: DataFrame, observations: DataFrame, at: Column, days: int = 30) -> DataFrame:
+    """All relations after a sweep at a time: those with a dead end, and those pending for more than so many days, get deleted_at and updated_at."""
+    dead = dangling(relations, observations).select("id")
+    old = kept(relations).filter((F.col("judgment_status") == "pending") & (F.col("created_at") < at - F.make_dt_interval(F.lit(days)))).select("id")
+    gone = dead.unionByName(old).distinct().withColumn("__gone", F.lit(True))
+    out = relations.join(gone, "id", "left")
+    return out.withColumns({c: F.when(F.col("__gone"), at).otherwise(F.col(c)) for c in ("deleted_at", "updated_at")}).drop("__gone")
+
+
 def across_projects(relations: DataFrame, observations: DataFrame) -> DataFrame:
     """Relations whose ends are known and lie in different projects."""
     return enriched(relations, observations).filter("source_project <> target_project")
@@ -69,48 +102,77 @@ def judge_by_similarity(relations: DataFrame, vectors: DataFrame, low: float = 0
 
 
 def apply_verdicts(relations: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Set the verdicts (sync_id, verb) whose verb is valid."""
-    good = verdicts.filter(F.col("verb").isin(VERBS))
+    """Set the verdicts (sync_id, verb) whose verb is valid; of several for one relation, the first by name."""
+    good = verdicts.filter(F.col("verb").isin(VERBS)).groupBy("sync_id").agg(F.min("verb").alias("verb"))
     out = relations.join(good, "sync_id", "left")
     return out.withColumn("relation", F.coalesce("verb", "relation")).withColumn("judgment_status", F.when(F.col("verb").isNotNull(), "judged").otherwise(F.col("judgment_status"))).drop("verb")
 
 
-def judged(relations: DataFrame, observations: DataFrame, verdicts: DataFrame, at: Column) -> DataFrame:
-    """Relations after verdicts (id, verb, why, sure, actor, kind, model) of agents; each says in ``error`` why a verdict was refused.
+#: What a verdict says, and the column that it goes to.
+SAID = {"verb": "relation", "why": "reason", "evidence": "evidence", "sure": "confidence", "actor": "marked_by_actor", "kind": "marked_by_kind", "model": "marked_by_model", "session": "session_id"}
+
 
-    A verb must be valid, and both ends must lie in one project (an end that is
-    not there does not count).  Rows without a verdict stay as they are.
+def judged(relations: DataFrame, observations: DataFrame, verdicts: DataFrame, at: Column) -> DataFrame:
+    """Relations after verdicts of agents, with ``error``: why the last verdict on a row was refused, else ''.
+
+    Verdicts have id and verb, and where they say so why, evidence, sure, actor,
+    kind, model, session (their order: n, where several may name one relation;
+    the last valid one counts).  A verb must be valid, both ends must lie in one
+    project (an end that is not there does not count), and a deleted relation
+    can't be judged.  A verdict replaces all marks of its row, with null where
+    it says nothing; rows without a valid one keep theirs.  Columns that the
+    table lacks are added.
     """
-    ends = enriched(relations, observations).select("id", "source_project", "target_project")
-    j = relations.join(ends, "id").join(verdicts, "id", "left")
-    known = F.col("verb").isNotNull()
-    error = F.when(known & ~F.col("verb").isin(VERBS), "verb").when(known & (F.col("source_project") != F.col("target_project")), "project").otherwise("")
-    j = j.withColumn("error", error).withColumn("hit", known & (F.col("error") == ""))
-    new = {"relation": F.col("verb"), "reason": F.col("why"), "confidence": F.col("sure"), "judgment_status": F.lit("judged")}
-    for c, value in new.items():
-        j = j.withColumn(c, F.when(F.col("hit"), value).otherwise(F.col(c)))
-    for c, value in {"marked_by_actor": F.col("actor"), "marked_by_kind": F.col("kind"), "marked_by_model": F.col("model"), "updated_at": at}.items():
-        j = j.withColumn(c, F.when(F.col("hit"), value))
-    return j.drop("hit", "verb", "why", "sure", "actor", "kind", "model", "source_project", "target_project")
+    said = [c for c in SAID if c in verdicts.columns]
+    order = [F.col("n")] if "n" in verdicts.columns else [F.col(c) for c in said]
+    ends = observations.select("sync_id", "project")
+    end = lambda side: ends.select(F.col("sync_id").alias(f"{side}_id"), F.col("project").alias(f"__{side}"))
+    missing = {c: F.lit(None).cast("double" if c == "confidence" else "string") for c in SAID.values() if c not in relations.columns}
+    missing |= {c: F.lit(None).cast("timestamp_ntz") for c in ("updated_at", "deleted_at") if c not in relations.columns}
+    rows = relations.withColumns(missing)
+    # only rows that are named meet the observations
+    named = verdicts.select("id", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("order"), F.struct(*(F.col(c) for c in said)).alias("said"))
+    v = named.join(rows.select("id", "source_id", "target_id", "deleted_at"), "id").join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
+    error = F.when(~F.coalesce(F.col("said.verb").isin(VERBS), F.lit(False)), "verb").when(F.col("deleted_at").isNotNull(), "deleted").when(F.col("__source") != F.col("__target"), "project").otherwise("")
+    v = v.withColumn("error", error)
+    folded = v.groupBy("id").agg(F.max_by("error", "order").alias("error"), F.max_by(F.when(F.col("error") == "", F.col("said")), F.when(F.col("error") == "", F.col("order"))).alias("said"))
+    out = rows.join(folded, "id", "left")
+    hit = F.col("said").isNotNull()
+    new = {SAID[c]: F.col(f"said.{c}") for c in SAID if c in said} | {SAID[c]: F.lit(None) for c in SAID if c not in said}
+    new |= {"judgment_status": F.lit("judged"), "updated_at": at}
+    out = out.withColumns({c: F.when(hit, value).otherwise(F.col(c)) for c, value in new.items()} | {"error": F.coalesce("error", F.lit(""))})
+    return out.drop("said")
+
+
+def new_ids(pair: Column, at: Column) -> tuple[Column, Column]:
+    """(id, sync_id) of a relation that a pair gets at a time, by their digest: a call that comes again makes the same ids."""
+    digest = F.md5(F.concat_ws("|", pair, at.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), digest
 
 
 def judge_by_meaning(relations: DataFrame, verdicts: DataFrame, at: Column, actor: str = "engine") -> DataFrame:
     """Relations after a model's verdicts (source_id, target_id, verb, sure, why, model, n), the last of each pair by ``n``.
 
-    A pair that has a relation in either direction keeps its id and direction and
-    takes the verdict; of several the one with the smallest id does.  Other pairs
-    are new rows without an id.  Verdicts with an unknown verb are passed over.
+    A pair that has a relation in either direction keeps its ids and direction
+    and takes the verdict; of several the one with the smallest id does.  Other
+    pairs are new rows, with ids made from the pair and the time.  Verdicts with
+    an unknown verb are passed over, deleted relations neither found nor
+    changed, and rows without a verdict keep all their columns.
     """
     good = latest(verdicts.filter(F.col("verb").isin(VERBS)).withColumn("pair", pair_key()), ["pair"], F.desc("n"))
-    marks = [F.lit("judged").alias("judgment_status"), F.lit("system").alias("marked_by_kind"), F.lit(actor).alias("marked_by_actor"), F.col("model").alias("marked_by_model"), at.alias("updated_at")]
-    verdict = [F.col("verb").alias("relation"), F.col("sure").alias("confidence"), F.col("why").alias("reason"), *marks]
-    keyed = relations.withColumn("pair", pair_key())
-    first = latest(keyed, ["pair"], F.asc("id")).select("pair", "id", "source_id", "target_id", "created_at")
-    changed = good.join(first.withColumnRenamed("source_id", "s").withColumnRenamed("target_id", "t"), "pair").select("id", F.col("s").alias("source_id"), F.col("t").alias("target_id"), *verdict, "created_at")
-    new = good.join(first.select("pair"), "pair", "left_anti").select(F.lit(None).cast("bigint").alias("id"), "source_id", "target_id", *verdict, at.alias("created_at"))
-    none = lambda c: F.lit(None).cast("string").alias(c)
-    same = keyed.join(changed.select("id"), "id", "left_anti").select("id", "source_id", "target_id", "relation", "confidence", "reason", "judgment_status", none("marked_by_kind"), none("marked_by_actor"), none("marked_by_model"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), "created_at")
-    return same.unionByName(changed).unionByName(new)
+    number, name = new_ids(F.col("pair"), at)
+    text, time = "string", "timestamp_ntz"
+    wanted = {"sync_id": text, "reason": text, "marked_by_actor": text, "marked_by_kind": text, "marked_by_model": text, "updated_at": time, "deleted_at": time}
+    rows = relations.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in relations.columns})
+    marks = {"relation": F.col("verb"), "confidence": F.col("sure"), "reason": F.col("why"), "judgment_status": F.lit("judged"), "marked_by_kind": F.lit("system"), "marked_by_actor": F.lit(actor), "marked_by_model": F.col("model"), "updated_at": at}
+    first = latest(kept(rows).withColumn("pair", pair_key()), ["pair"], F.asc("id")).select("pair", "id")
+    said = good.select("pair", "source_id", "target_id", "verb", "sure", "why", "model")
+    changed = rows.join(said.drop("source_id", "target_id").join(first, "pair"), "id", "left")
+    hit = F.col("verb").isNotNull()
+    changed = changed.withColumns({c: F.when(hit, value).otherwise(F.col(c)) for c, value in marks.items()}).select(rows.columns)
+    new = said.join(first.select("pair"), "pair", "left_anti").withColumns({"id": number, "sync_id": name, "created_at": at} | marks)
+    own = ["id", "sync_id", "source_id", "target_id", "created_at", *marks]
+    return changed.unionByName(new.select(own), allowMissingColumns=True)
 
 
 def upsert_symmetric(relations: DataFrame, order: Column) -> DataFrame:
@@ -118,44 +180,32 @@ def upsert_symmetric(relations: DataFrame, order: Column) -> DataFrame:
     return latest(relations.withColumn("pair", pair_key()), ["pair"], order)
 
 
-#: Parts into which the postings of a frequent word are dealt, and the share of documents above which it is frequent.
-PARTS, FREQUENT = 64, 0.01
-
-
-def candidates(observations: DataFrame, sources: DataFrame, existing: DataFrame, limit: int = 3, floor: float | None = -2.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def candidates(observations: DataFrame, sources: DataFrame, existing: DataFrame, limit: int = 3, floor: float | None = -2.0, k1: float = 1.2, b: float = 0.75, index_path: str | None = None) -> DataFrame:
     """(src, id, rank, rk): observations whose words match the title of each source, best first.
 
     ``observations`` has id, sync_id and toks, ``sources`` id, sync_id and terms.
     Where ``observations`` has ``deleted_at``, ``project`` and ``scope``, only
     live rows of the source's project and global ones are candidates (all count
-    in the statistics).  The terms of the sources select the postings before the
-    join; scores are summed map-side.  The postings of a word that more than
-    one document in a hundred has are dealt over many tasks, and its sources
-    sent to each.  The best ``3 * limit`` are cut first, then those below the
-    floor and pairs that exist go, then ``limit`` stay.
+    in the statistics).  Of the documents that share words with a source only
+    those that bounds of scores let into the best are scored (``best_matches``).
+    With ``index_path`` the words come from a kept index, and the texts are not
+    read.  The best ``3 * limit`` are cut first, then those below the floor and
+    pairs that exist go, then ``limit`` stay.
     """
-    scoped = {"deleted_at", "project", "scope"} <= set(observations.columns)
-    wanted = sources.select(F.col("id").alias("src"), F.explode(F.array_distinct("terms")).alias("term"))
-    toks = spool(spread(observations).select("id", "toks"), "tokens")
-    n = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    posts = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    posts = spool(posts.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row
-    parts = F.when(F.col("df") > F.col("n") * FREQUENT, PARTS).otherwise(1).alias("parts")
-    df = df.select("*", parts)
-    wanted = wanted.join(df.select("term", "parts"), "term").select("src", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    w = posts.join(df, "term")
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    w = w.select("id", "term", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), (-idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("score"))
-    scored = wanted.join(w, ["term", "part"]).filter("src <> id").groupBy("src", "id").agg(F.round(F.sum("score"), 6).alias("rank"))
-    if scoped:
-        own = sources.join(observations.select("id", "project"), "id").select(F.col("id").alias("src"), F.col("project").alias("src_project")) if "project" not in sources.columns else sources.select(F.col("id").alias("src"), F.col("project").alias("src_project"))
-        seen = observations.select("id", "deleted_at", "project", "scope")
-        scored = scored.join(own, "src").join(seen, "id").filter("deleted_at IS NULL AND (project = src_project OR scope = 'global')").select("src", "id", "rank")
+    named = sources.select(F.col("id").alias("src"), "terms")
+    terms = named.select(F.explode("terms").alias("term"))
+    postings, totals = postings_of_index(terms, index_path) if index_path else postings_of(observations.select("id", "toks"), terms)
+    allowed = lambda pairs: pairs
+    if {"deleted_at", "project", "scope"} <= set(observations.columns):
+        own = sources.join(observations.select("id", "project"), "id") if "project" not in sources.columns else sources
+        own = own.select(F.col("id").alias("src"), F.col("project").alias("src_project"))
+        seen = live(observations).select("id", "project", "scope")
+        allowed = lambda pairs: pairs.join(own, "src").join(seen, "id").filter("project = src_project OR scope = 'global'").select(pairs.columns)
+    scored = best_matches(postings, totals, named, 3 * limit, allowed, k1, b)[0].select("src", "id", F.round(-F.col("score"), 6).alias("rank"))
     top = scored.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy("rank", "id"))).filter(F.col("rk") <= 3 * limit)
     top = top.filter(F.col("rank") >= floor) if floor is not None else top
     ids = observations.select("id", "sync_id")
-    known = existing.select(pair_key().alias("pair")).distinct()
+    known = kept(existing).select(pair_key().alias("pair")).distinct()
     top = top.join(ids.toDF("src", "s"), "src").join(ids.toDF("id", "t"), "id").withColumn("pair", pair_key("s", "t")).join(known, "pair", "left_anti")
     return top.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy("rank", "id"))).filter(F.col("rk") <= limit).select("src", "id", "rank", "rk")
 

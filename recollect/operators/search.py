@@ -1,4 +1,4 @@
-"""Lexical search: query language, tokens, BM25 over words, phrases and prefixes, an inverted index."""
+"""Lexical search: query language, tokens, BM25 over words, phrases and prefixes, on tables or on a kept index."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import spool, spread
+from . import index
 
 ACCENTED, PLAIN = "áéíóúàèìòùâêîôûäëïöüãõñç", "aeiouaeiouaeiouaeiouaonc"
 K1, B = 1.2, 0.75
@@ -210,9 +211,14 @@ def positive_terms(tree) -> list[Term]:
     return positive_terms(tree[1]) + ([] if tree[0] == "not" else positive_terms(tree[2]))
 
 
-def ranked(counted: DataFrame, units: list[Term]) -> DataFrame:
-    """``counted`` (dl, tf0, tf1, ...) with ``rank``: the sum over units, each word, phrase or prefix one; negative, lower is better."""
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(units))))
+def ranked(counted: DataFrame, units: list[Term], totals: tuple[int, float] | None = None) -> DataFrame:
+    """``counted`` (dl, tf0, tf1, ...) with ``rank``: the sum over units, each word, phrase or prefix one; negative, lower is better.
+
+    ``counted`` has all rows, or those with some unit where ``totals`` tells the
+    number of all and their mean length.
+    """
+    whole = [F.lit(totals[0]).alias("n"), F.lit(totals[1]).alias("avgdl")] if totals else [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")]
+    stats = counted.agg(*whole, *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(units))))
     rank = F.lit(0.0)
     for i in range(len(units)):
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
@@ -227,6 +233,16 @@ def counts(docs: DataFrame, units: list[Term], *keep: str) -> DataFrame:
     return spool(docs.select("id", *keep, F.size("toks").alias("dl"), *(frequency(u).alias(f"tf{i}") for i, u in enumerate(units))), "counts")
 
 
+def postings_of(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, tuple[int, float]]:
+    """Postings (term, id, tf, dl) of the words of a table of terms (term), written once, and the number and mean length of all documents (id, toks)."""
+    mark = F.array(F.lit(""))  # no word, so that each document has a row
+    words = spread(docs).select("id", F.size("toks").alias("dl"), F.explode(F.concat(mark, "toks")).alias("term"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    posts = spool(words.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")), "postings")
+    n, avgdl = posts.filter("term = ''").agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    return posts.filter("term <> ''"), (n, avgdl)
+
+
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(id, rank): negative, lower is better.  ``docs`` has id and toks; all of them count in the statistics."""
     units = [Term((w,)) for w in sorted(set(terms))]
@@ -255,30 +271,35 @@ def search(observations: DataFrame, query: str, project: str | None = None, limi
 # --- inverted index ------------------------------------------------------------------------------
 
 
+def notes(observations: DataFrame) -> DataFrame:
+    """Observations as an index takes them; tables without visibility have only visible rows."""
+    none = {"project": "string", "scope": "string", "deleted_at": "timestamp"}
+    shown = [F.col(c) if c in observations.columns else F.lit(None).cast(kind).alias(c) for c, kind in none.items()]
+    return observations.select("id", *shown, indexed(observations).alias("toks"))
+
+
 def write_index(observations: DataFrame, path: str) -> None:
-    """Documents (id, project, scope, deleted_at, dl) and postings (term, id, positions) in files sorted by term.
+    """An index of all observations, as its first version."""
+    index.create(notes(observations), path)
 
-    Row groups are small, so a reader of some terms skips nearly all of them by
-    their statistics; a very frequent term spreads over files, not one task.
-    """
-    toks = spread(observations).select("id", "project", "scope", "deleted_at", indexed(observations).alias("toks"))
-    toks.select("id", "project", "scope", "deleted_at", F.size("toks").alias("dl")).write.parquet(f"{path}/documents")
-    posts = toks.select("id", F.posexplode("toks").alias("pos", "term")).groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
+
+def update_index(path: str, changed: DataFrame, removed: DataFrame | None = None) -> None:
+    """Bring an index up to date with observations that are new or changed, and ids (id) that are no longer there."""
+    index.update(path, notes(changed), removed)
 
 
 def search_index(spark: SparkSession, path: str, query: str, project: str | None = None, limit: int = 20) -> DataFrame:
-    """``search`` on the files of ``write_index``: only postings of the query's words are read."""
+    """``search`` on a kept index: only postings of the query's words are read, and only notes that have some are ranked."""
     tree = parse(sanitize(query))
     units = all_terms(tree)
     whole = sorted({w for u in units for k, w in enumerate(u.words) if not (u.prefix and k == len(u.words) - 1)})
     starts = sorted({u.words[-1] for u in units if u.prefix and u.words})
-    wanted = reduce(lambda a, b: a | b, [F.col("term").isin(whole), *(F.col("term").startswith(p) for p in starts)])
-    posts = spark.read.parquet(f"{path}/postings").filter(wanted)
+    posts, totals = index.postings(spark, path, index.any_of(whole, starts))
     # words of the query at their positions; others are gaps between them
-    near = posts.groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("p"))
+    seen = F.first((~F.col("gone")) & ((F.col("project") == project) | (F.col("scope") == "global") if project else F.lit(True)))
+    near = posts.groupBy("id").agg(F.first("dl").alias("dl"), seen.alias("ok"), F.collect_list(F.struct("term", "positions")).alias("p"))
     spots = F.flatten(F.transform("p", lambda p: F.transform(p["positions"], lambda x: F.struct(x.alias("pos"), p["term"].alias("term")))))
-    near = near.select("id", F.map_from_entries(spots).alias("at"))
+    near = near.select("id", "dl", "ok", F.map_from_entries(spots).alias("at"))
 
     def times(u: Term) -> Column:
         last = len(u.words) - 1
@@ -290,10 +311,8 @@ def search_index(spark: SparkSession, path: str, query: str, project: str | None
 
         return F.size(F.filter(F.map_keys("at"), lambda i: here(i) & (i == 0) if u.initial else here(i))) if u.words else F.lit(0)
 
-    docs = spark.read.parquet(f"{path}/documents")
-    rows = docs.join(near.select("id", *(times(u).alias(f"tf{i}") for i, u in enumerate(units))), "id", "left")
-    rows = rows.select("id", visible_to(project).alias("ok"), "dl", *(F.coalesce(f"tf{i}", F.lit(0)).alias(f"tf{i}") for i in range(len(units))))
-    found = ranked(rows, units).filter(F.col("ok") & _met(tree, units))
+    rows = spool(near.select("id", "dl", "ok", *(times(u).alias(f"tf{i}") for i, u in enumerate(units))), "hits")
+    found = ranked(rows, units, totals).filter(F.col("ok") & _met(tree, units))
     return found.select("id", "rank").orderBy("rank", "id").limit(limit)
 
 

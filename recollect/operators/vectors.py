@@ -38,6 +38,11 @@ def similar(vectors: DataFrame, queries: DataFrame, least: float, most: int = 10
     return pairs.select("query_id", "id", F.round(sim, 6).alias("sim")).filter(F.col("sim") >= least)
 
 
+def seen(vectors: DataFrame, observations: DataFrame, visible: Column) -> DataFrame:
+    """Vectors of observations that a condition on their rows lets through: deleted and foreign notes are no neighbours."""
+    return vectors.join(observations.filter(visible).select("id"), "id", "left_semi")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float, most: int = 1000) -> DataFrame:
     """(query_id, id, sim, rk): the k vectors nearest to each query, itself left out; each task keeps only its best k."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))

@@ -10,12 +10,13 @@ from ..functions import text as tx
 from ..operators import activity as act
 from ..operators import observations as ob
 from ..operators import relations as rl
+from ..operators import saves as sv
 from ..operators import search as se
 from ..operators import vectors as ve
 from ..sources import sync
 from ..sources import tables as t
 from ..sources import transcripts
-from ..sources.scratch import scratch, spread
+from ..sources.scratch import scratch, spool, spread
 from ..sources.tables import sql
 from ..streaming import streams
 
@@ -156,12 +157,52 @@ def dedup_by_hash(s, d):
     return ob.dedup_by_hash(t.observations(s, d).filter("topic_key = ''"))
 
 
-@query(None)
+def fold_sql(events: str, then: str) -> str:
+    """Saves and deletes (project, k, id, op, topic_key, digest, sync) followed one by one: a list of the rows of each project as state."""
+    row = "STRUCT(id BIGINT, topic VARCHAR, digest VARCHAR, sync VARCHAR, revision BIGINT, duplicates BIGINT, cur BIGINT, last BIGINT)"
+    put = lambda digest, revision, duplicates, cur: f"struct_pack(id := r.id, topic := r.topic, digest := {digest}, sync := r.sync, revision := {revision}, duplicates := {duplicates}, cur := {cur}, last := e)"
+    change = lambda at, new: f"list_transform(rows, lambda r, i: CASE WHEN i = {at} THEN {new} ELSE r END)"
+    return f"""WITH RECURSIVE ev AS MATERIALIZED ({events}), st(project, k, rows) AS (
+  SELECT DISTINCT project, 0::BIGINT, CAST([] AS {row}[]) FROM ev
+  UNION ALL
+  SELECT project, k, CASE WHEN op = 'delete' THEN list_filter(rows, lambda r, i: i <> CASE WHEN t > 0 THEN t ELSE h END)
+    WHEN t > 0 THEN {change('t', put('d', 'r.revision + 1', 'r.duplicates', 'e'))} WHEN h > 0 THEN {change('h', put('r.digest', 'r.revision', 'r.duplicates + 1', 'r.cur'))}
+    WHEN taken THEN rows ELSE list_append(rows, struct_pack(id := e, topic := topic_key, digest := d, sync := sync, revision := 1::BIGINT, duplicates := 1::BIGINT, cur := e, last := e)) END
+  FROM (SELECT ev.project, ev.k, op, id AS e, topic_key, digest AS d, sync, rows, CASE WHEN topic_key = '' THEN 0 ELSE coalesce(list_position(list_transform(rows, lambda r: r.topic), topic_key), 0) END AS t,
+    coalesce(list_position(list_transform(rows, lambda r: r.digest), digest), 0) AS h, list_contains(list_transform(rows, lambda r: r.sync), sync) AS taken FROM st JOIN ev ON ev.project = st.project AND ev.k = st.k + 1)),
+left_over AS (SELECT project, r.* FROM (SELECT project, unnest(rows) AS r FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY project ORDER BY k DESC) = 1))) {then}"""
+
+
+def log_sql(op: str) -> str:
+    return f"SELECT project, row_number() OVER (PARTITION BY project ORDER BY id) AS k, id, {op} AS op, topic_key, normalized_hash AS digest, sync_id AS sync FROM obs"
+
+
+@query(fold_sql(log_sql("'save'"), "SELECT project, count(*) AS n, CAST(sum(revision) AS BIGINT) AS revisions, CAST(sum(duplicates) AS BIGINT) AS duplicates FROM left_over GROUP BY project"), "obs")
 def save_fold_counts(s, d):
     log = t.observations(s, d).select("id", "project", "topic_key", "normalized_hash", "title", F.lit("save").alias("op"))
     return ob.fold_saves(log).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("revision_count").alias("revisions"), F.sum("duplicate_count").alias("duplicates"))
 
 
+SAVED = """SELECT l.id, l.project, l.sync AS sync_id, l.topic, l.digest AS normalized_hash, l.revision AS revision_count, l.duplicates AS duplicate_count, a.created_at, c.created_at AS updated_at, z.created_at AS last_seen_at, c.type,
+CASE WHEN c.id % 2 = 0 THEN 'Edit' ELSE '' END AS tool_name FROM left_over l JOIN obs a ON a.id = l.id JOIN obs c ON c.id = l.cur JOIN obs z ON z.id = l.last"""
+
+
+@query(fold_sql("""SELECT 'all' AS project, row_number() OVER (ORDER BY id) AS k, id, 'save' AS op, CASE WHEN topic_key = '' THEN '' ELSE project || '|' || topic_key END AS topic_key, project || '|' || normalized_hash AS digest,
+  CASE WHEN id % 11 = 0 THEN 's' || (id % 5) ELSE md5('save ' || id) END AS sync FROM obs WHERE coalesce(content, '') <> '' AND id % 13 <> 0""", f"SELECT * REPLACE (split_part(normalized_hash, '|', 1) AS project, split_part(normalized_hash, '|', 2) AS normalized_hash, CASE WHEN topic = '' THEN '' ELSE split_part(topic, '|', 2) END AS topic) FROM ({SAVED})"), "obs")
+def save_batches(s, d):
+    """Three batches, each merged onto the table that those before left: some titles are empty, project names are untidy, sync ids meet."""
+    pick = lambda when, one, other: F.when(F.expr(when), one).otherwise(other)
+    saves = t.observations(s, d).select(
+        "id", "created_at", pick("id % 11 = 0", F.concat(F.lit("s"), F.expr("id % 5")), "").alias("sync_id"), "session_id", "type", pick("id % 13 = 0", "", F.col("title")).alias("title"), "content",
+        pick("id % 2 = 0", "Edit", "").alias("tool_name"), pick("id % 4 = 0", F.concat(F.lit(" "), F.upper("project"), F.lit(" ")), F.col("project")).alias("project"), "topic_key",
+    )
+    top = saves.agg(F.max("id")).first()[0] or 0
+    table = s.createDataFrame([], sv.TABLE)
+    for k in range(3):
+        table = spool(sv.merged(table, sv.save_batch(table, saves.filter(f"id * 3 div {top + 1} = {k}"))), "saved")
+    return table.select("id", "project", "sync_id", F.col("topic_key").alias("topic"), "normalized_hash", "revision_count", "duplicate_count", "created_at", "updated_at", "last_seen_at", "type", "tool_name")
+
+
 @query("SELECT sync_id, id FROM obs WHERE id % 3 = 0 UNION ALL SELECT sync_id, id FROM obs WHERE id % 3 <> 0 AND id % 2 = 0", "obs")
 def insert_or_ignore_sync_id(s, d):
     o = t.observations(s, d)
@@ -177,7 +218,7 @@ def partial_update_coalesce(s, d):
 
 @query("SELECT id, CASE WHEN deleted_at IS NULL AND project = 'fr' THEN 'en' ELSE project END AS project FROM obs", "obs")
 def merge_projects(s, d):
-    return ob.rename_project(t.observations(s, d), "fr", "en").select("id", "project")
+    return ob.rename_project(t.observations(s, d), "fr", " EN ").select("id", "project")
 
 
 @query("SELECT id, CASE WHEN id % 10 = 1 THEN TIMESTAMP '2024-02-01' ELSE last_seen_at END AS last_seen_at FROM obs", "obs")
@@ -393,10 +434,10 @@ def activity_nudges(s, d):
     return act.nudges(calls.unionByName(starts), 2, 10_000)
 
 
-@query("SELECT id, project, started_at, last_activity_at FROM sess UNION ALL SELECT 'n' || id, project, started_at, started_at FROM sess WHERE CAST(id AS BIGINT) % 5 = 0", "sess")
+@query("SELECT id, project, started_at, last_activity_at FROM sess UNION ALL SELECT 'n' || id, project || '-x', started_at, started_at FROM sess WHERE CAST(id AS BIGINT) % 5 = 0", "sess")
 def session_create(s, d):
     now = t.sessions(s, d)
-    new = now.filter("CAST(id AS BIGINT) % 5 = 0").select(F.concat(F.lit("n"), "id").alias("id"), "project", "started_at")
+    new = now.filter("CAST(id AS BIGINT) % 5 = 0").select(F.concat(F.lit("n"), "id").alias("id"), F.concat(F.lit(" "), F.upper("project"), F.lit("/x")).alias("project"), "started_at")
     return act.started(now, new.unionByName(now.select("id", "project", F.col("last_activity_at").alias("started_at")))).select("id", "project", "started_at", "last_activity_at")
 
 
@@ -434,7 +475,7 @@ def nul_strip_lenient_int(s, d):
     return o.select("id", F.md5(ob.without_nul(F.col("c"))).alias("stored"), ob.lenient_int(raw, -1).alias("n"))
 
 
-@query(None)
+@query(fold_sql(log_sql("CASE WHEN id % 100 = 99 THEN 'delete' ELSE 'save' END"), f"SELECT id, project, topic AS topic_key, normalized_hash, revision_count, duplicate_count, created_at, updated_at, last_seen_at, type FROM ({SAVED})"), "obs")
 def save_fold_rows(s, d):
     """The rows that all saves leave, with a delete after each hundred."""
     o = t.observations(s, d).select("id", "project", "topic_key", "normalized_hash", "title", "content", "type", "created_at")
@@ -718,6 +759,26 @@ def fts_search_index(s, d):
     return se.search_index(s, path, 'licens* OR "of the"', "en").select("id", F.round("rank", 6).alias("rank"))
 
 
+CHANGED = "obs2 AS (SELECT * REPLACE (CASE WHEN id % 10 = 1 THEN 'licensed licensed anew ' || id ELSE title END AS title, CASE WHEN id % 10 = 1 THEN 'of the others' ELSE content END AS content) FROM obs WHERE id % 10 <> 2)"
+
+
+def _changed_index(s, d):
+    """An index that took a tenth of the notes late, then lost a tenth and saw another changed, in several steps."""
+    o, path = t.observations(s, d), scratch(s, "kept-index")
+    se.write_index(o.filter("id % 10 <> 3"), path)
+    se.update_index(path, o.filter("id % 10 = 3"))
+    new = o.withColumns({"title": F.concat(F.lit("licensed licensed anew "), "id"), "content": F.lit("of the others")})
+    for k in range(4):
+        se.update_index(path, new.filter(f"id % 10 = 1 AND id % 4 = {k}"), o.filter(f"id % 10 = 2 AND id % 4 = {k}"))
+    return path
+
+
+@query(unit_sql([PREFIX, PHRASE, WORD.format("anew")], "deleted_at IS NULL AND (project = 'en' OR scope = 'global') AND (tf0 > 0 OR tf1 > 0 OR tf2 > 0)", TOP).replace("WITH tk AS", f"WITH {CHANGED}, tk AS").replace("AS toks FROM obs)", "AS toks FROM obs2)"), "obs")
+def fts_index_changes(s, d):
+    """Inserts, updates and deletes reach an index whose older segments stay as they are; ranks are those of a rebuild."""
+    return se.search_index(s, _changed_index(s, d), 'licens* OR "of the" OR anew', "en").select("id", F.round("rank", 6).alias("rank"))
+
+
 @query(f"""WITH tk AS (SELECT id, {TOKS.format("title || ' ' || content")} AS toks FROM obs WHERE deleted_at IS NULL AND (project = 'en' OR scope = 'global')),
 h AS (SELECT id, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'licensed') AS a, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = 'the') AS b FROM tk WHERE list_contains(toks, 'licensed') AND list_contains(toks, 'the')),
 p AS (SELECT id, abs(x - y) AS d FROM (SELECT id, b, unnest(a) AS x FROM h), unnest(b) AS u(y))
@@ -757,23 +818,23 @@ def related_085(s, d):
 
 @query(bm25_sql(["the"], "deleted_at IS NULL", f"""
 , lx AS (SELECT id, row_number() OVER (ORDER BY round(rank, 9), id) AS rk FROM (SELECT * FROM r ORDER BY round(rank, 9), id LIMIT 20)), {PAIRS},
-vx AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS rk FROM p WHERE query_id = 100 AND sim >= 0.2)
+vx AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS rk FROM p WHERE query_id = 100 AND sim >= 0.2 AND id IN (SELECT id FROM obs WHERE deleted_at IS NULL))
 SELECT id, round(sum(1.0::DOUBLE / (60 + rk)), 10) AS score FROM (SELECT * FROM lx UNION ALL SELECT * FROM vx WHERE rk <= 20) GROUP BY id ORDER BY score DESC, id LIMIT 10"""), "obs")
 def hybrid_rrf(s, d):
-    v = _vectors(s, d)
-    near = ve.knn(v, v.filter("id = 100"), 20, 0.2)
-    return ve.hybrid(se.search(t.observations(s, d), "the").withColumn("rank", F.round("rank", 9)), near, 10)
+    v, o = _vectors(s, d), t.observations(s, d)
+    near = ve.knn(ve.seen(v, o, se.visible_to(None)), v.filter("id = 100"), 20, 0.2)
+    return ve.hybrid(se.search(o, "the").withColumn("rank", F.round("rank", 9)), near, 10)
 
 
 CONTEXT = """, {pairs}, lx AS (SELECT id FROM r ORDER BY round(rank, 9), id LIMIT 2), shown AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0),
-vx AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rk FROM p WHERE query_id = {query} AND sim >= {least}) WHERE rk <= 2 AND id NOT IN (SELECT id FROM shown))
+vx AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rk FROM p WHERE query_id = {query} AND sim >= {least} AND id IN (SELECT id FROM obs WHERE deleted_at IS NULL AND (project = 'fr' OR scope = 'global'))) WHERE rk <= 2 AND id NOT IN (SELECT id FROM shown))
 SELECT id, 'vector' AS source FROM vx UNION ALL SELECT id, 'text' FROM lx WHERE id NOT IN (SELECT id FROM shown) AND NOT EXISTS (SELECT 1 FROM vx)"""
 
 
 def _context(s, d, query, least):
-    v = _vectors(s, d)
-    near = ve.knn(v, v.filter(F.col("id") == query), 2, least)
-    return ve.prompt_context(near, se.search(t.observations(s, d), "licensed", "fr", 2), v.filter("id % 3 = 0").select("id"))
+    v, o = _vectors(s, d), t.observations(s, d)
+    near = ve.knn(ve.seen(v, o, se.visible_to("fr")), v.filter(F.col("id") == query), 2, least)
+    return ve.prompt_context(near, se.search(o, "licensed", "fr", 2), v.filter("id % 3 = 0").select("id"))
 
 
 IN_FR = "deleted_at IS NULL AND (project = 'fr' OR scope = 'global')"
@@ -813,28 +874,39 @@ def injected_anti_join(s, d):
 
 # --- relations -------------------------------------------------------------------------------------
 
-ENDS = "e AS (SELECT r.*, s.id AS source_obs, s.project AS source_project, x.id AS target_obs, x.project AS target_project FROM rel r LEFT JOIN obs s ON s.sync_id = r.source_id LEFT JOIN obs x ON x.sync_id = r.target_id)"
+ENDS = "e AS (SELECT r.*, s.id AS source_obs, s.project AS source_project, x.id AS target_obs, x.project AS target_project FROM rel r LEFT JOIN obs s ON s.sync_id = r.source_id LEFT JOIN obs x ON x.sync_id = r.target_id WHERE r.deleted_at IS NULL)"
 
 
-@query(f"WITH {ENDS} SELECT id, relation, coalesce(reason, '') AS reason, coalesce(confidence, 0) AS confidence, source_obs, target_obs FROM e WHERE judgment_status = 'judged' AND source_project = 'en' ORDER BY created_at DESC, id DESC LIMIT 50", "rel", "obs")
+@query(f"WITH {ENDS} SELECT id, relation, coalesce(reason, '') AS reason, coalesce(confidence, 0) AS confidence, source_obs, target_obs FROM e WHERE judgment_status = 'judged' AND (source_project = 'en' OR target_project = 'en') ORDER BY created_at DESC, id DESC LIMIT 50", "rel", "obs")
 def relations_list(s, d):
-    e = rl.enriched(t.relations(s, d), t.observations(s, d)).filter("judgment_status = 'judged' AND source_project = 'en'")
+    e = rl.listed(t.relations(s, d), t.observations(s, d), project="en", status="judged")
     return ob.page(e, 50, 0, F.desc("created_at"), F.desc("id")).select("id", "relation", "reason", "confidence", "source_obs", "target_obs")
 
 
-@query("SELECT count(*) AS total, CAST(sum((judgment_status = 'pending')::INT) AS BIGINT) AS pending, CAST(sum((judgment_status = 'judged')::INT) AS BIGINT) AS judged, CAST(sum((judgment_status = 'orphaned')::INT) AS BIGINT) AS orphaned FROM rel", "rel")
+@query("SELECT count(*) AS total, CAST(sum((judgment_status = 'pending')::INT) AS BIGINT) AS pending, CAST(sum((judgment_status = 'judged')::INT) AS BIGINT) AS judged, CAST(sum((judgment_status = 'orphaned')::INT) AS BIGINT) AS orphaned FROM rel WHERE deleted_at IS NULL", "rel")
 def relation_stats(s, d):
     return rl.stats(t.relations(s, d))
 
 
-@query("SELECT id FROM rel WHERE source_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR target_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL)", "rel", "obs")
+@query(f"WITH {ENDS} SELECT count(*) AS total, count(*) FILTER (WHERE judgment_status = 'pending') AS pending, count(*) FILTER (WHERE judgment_status = 'judged') AS judged, count(*) FILTER (WHERE judgment_status = 'orphaned') AS orphaned FROM e WHERE source_project = 'fr' OR target_project = 'fr'", "rel", "obs")
+def relation_stats_project(s, d):
+    return rl.stats(t.relations(s, d), t.observations(s, d), "fr")
+
+
+@query("SELECT id FROM rel WHERE deleted_at IS NULL AND (source_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR target_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL))", "rel", "obs")
 def gc_dangling_relations(s, d):
     return rl.dangling(t.relations(s, d), t.observations(s, d)).select("id")
 
 
-@query("SELECT id FROM rel WHERE judgment_status = 'pending' AND created_at < TIMESTAMP '2024-01-06'", "rel")
+@query("SELECT id, CASE WHEN deleted_at IS NULL AND (source_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR target_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR (judgment_status = 'pending' AND created_at < TIMESTAMP '2024-01-06')) THEN TIMESTAMP '2024-02-05' ELSE deleted_at END AS deleted_at, CASE WHEN deleted_at IS NULL AND (source_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR target_id NOT IN (SELECT sync_id FROM obs WHERE deleted_at IS NULL) OR (judgment_status = 'pending' AND created_at < TIMESTAMP '2024-01-06')) THEN TIMESTAMP '2024-02-05' ELSE updated_at END AS updated_at FROM rel", "rel", "obs")
+def gc_relations(s, d):
+    """The whole table after the sweep."""
+    return rl.collected(t.relations(s, d), t.observations(s, d), F.expr("TIMESTAMP_NTZ '2024-02-05 00:00:00'")).select("id", "deleted_at", "updated_at")
+
+
+@query("SELECT id FROM rel WHERE deleted_at IS NULL AND judgment_status = 'pending' AND created_at < TIMESTAMP '2024-01-06'", "rel")
 def gc_stale_pending(s, d):
-    return t.relations(s, d).filter("judgment_status = 'pending' AND created_at < TIMESTAMP_NTZ '2024-02-05 00:00:00' - INTERVAL '30' DAY").select("id")
+    return rl.kept(t.relations(s, d)).filter("judgment_status = 'pending' AND created_at < TIMESTAMP_NTZ '2024-02-05 00:00:00' - INTERVAL '30' DAY").select("id")
 
 
 @query(f"WITH {ENDS} SELECT id, source_project, target_project FROM e WHERE source_project <> target_project", "rel", "obs")
@@ -842,11 +914,11 @@ def cross_project_relations(s, d):
     return rl.across_projects(t.relations(s, d), t.observations(s, d)).select("id", "source_project", "target_project")
 
 
-@query("SELECT a.id FROM rel a WHERE EXISTS (SELECT 1 FROM rel b WHERE b.id % 2 = 0 AND least(b.source_id, b.target_id) = least(a.target_id, a.source_id) AND greatest(b.source_id, b.target_id) = greatest(a.target_id, a.source_id))", "rel")
+@query("SELECT a.id FROM rel a WHERE EXISTS (SELECT 1 FROM rel b WHERE b.deleted_at IS NULL AND b.id % 2 = 0 AND least(b.source_id, b.target_id) = least(a.target_id, a.source_id) AND greatest(b.source_id, b.target_id) = greatest(a.target_id, a.source_id))", "rel")
 def relation_pair_exists(s, d):
     r = t.relations(s, d)
     asked = r.select("id", rl.pair_key("target_id", "source_id").alias("pair"))
-    return asked.join(r.filter("id % 2 = 0").select(rl.pair_key().alias("pair")), "pair", "left_semi").select("id")
+    return asked.join(rl.kept(r).filter("id % 2 = 0").select(rl.pair_key().alias("pair")), "pair", "left_semi").select("id")
 
 
 @query(f"WITH {VECS} SELECT r.id, CASE WHEN b.id IS NULL OR sim < 0.3 THEN 'not_conflict' WHEN sim >= 0.4 THEN 'related' ELSE 'pending' END AS verdict, CASE WHEN b.id IS NULL OR sim < 0.3 THEN 0.9 WHEN sim >= 0.4 THEN sim END AS confidence FROM (SELECT r.id, a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM rel r LEFT JOIN v a ON a.id = r.id LEFT JOIN v b ON b.id = r.id + 1 WHERE judgment_status = 'pending') r LEFT JOIN v b ON b.id = r.y", "rel")
@@ -888,7 +960,7 @@ po AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unn
 dfs AS (SELECT term, count(*) AS df FROM po GROUP BY term),
 sc AS (SELECT src, id, round(sum(-greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank FROM q JOIN po USING (term) JOIN dfs USING (term), st WHERE src <> id GROUP BY src, id),
 tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM sc) WHERE rk <= 9)
-SELECT src, id, rank, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM tp WHERE abs(src - id) <> 1 OR least(src, id) NOT IN (SELECT id FROM rel) QUALIFY rk <= 3"""
+SELECT src, id, rank, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM tp WHERE abs(src - id) <> 1 OR least(src, id) NOT IN (SELECT id FROM rel WHERE deleted_at IS NULL) QUALIFY rk <= 3"""
 
 
 @query(CAND.replace("row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM tp", "row_number() OVER (PARTITION BY src ORDER BY rank, id) AS rk FROM (SELECT src, id, rank FROM tp)"), "obs", "rel")
@@ -897,40 +969,59 @@ def relation_candidates(s, d):
     return rl.candidates(o.drop("terms"), o.filter("id % 100 = 0"), t.relations(s, d), floor=None).withColumn("rk", F.col("rk").cast("long"))
 
 
-@query(f"WITH {ENDS} SELECT id, relation, judgment_status FROM e WHERE source_project = 'fr' ORDER BY created_at DESC, id DESC LIMIT 20", "rel", "obs")
+@query(f"WITH {ENDS} SELECT id, relation, judgment_status FROM e WHERE source_project = 'fr' OR target_project = 'fr' ORDER BY created_at DESC, id DESC LIMIT 20", "rel", "obs")
 def relations_list_project(s, d):
     return rl.listed(t.relations(s, d), t.observations(s, d), project="fr").limit(20).select("id", "relation", "judgment_status")
 
 
-@query("SELECT relation, count(*) AS n FROM rel WHERE judgment_status <> 'pending' GROUP BY relation", "rel")
+@query("SELECT relation, count(*) AS n FROM rel WHERE deleted_at IS NULL AND relation <> 'pending' GROUP BY relation", "rel")
 def relation_stats_by_verb(s, d):
     return rl.verb_counts(t.relations(s, d))
 
 
+@query(f"WITH {ENDS} SELECT relation, count(*) AS n FROM e WHERE relation <> 'pending' AND (source_project = 'fr' OR target_project = 'fr') GROUP BY relation", "rel", "obs")
+def relation_verbs_project(s, d):
+    return rl.verb_counts(t.relations(s, d), t.observations(s, d), "fr")
+
+
 CAND_SCOPED = CAND.replace("SELECT id, sync_id, ", "SELECT id, sync_id, project, scope, deleted_at, ", 1).replace("tp AS (SELECT * FROM (SELECT *,", "sd AS (SELECT sc.* FROM sc JOIN tk a ON a.id = sc.src JOIN tk b ON b.id = sc.id WHERE b.deleted_at IS NULL AND (b.project = a.project OR b.scope = 'global')), tp AS (SELECT * FROM (SELECT *,").replace("AS rk FROM sc)", "AS rk FROM sd)").replace("WHERE rk <= 9)", "WHERE rk <= 9 AND rank >= -8)")
 
 
-@query(CAND_SCOPED.split("\nSELECT src, id, rank, row_number()")[0] + ", got AS (SELECT src, id, rank, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS k FROM (SELECT src, id, rank FROM tp) WHERE abs(src - id) <> 1 OR least(src, id) NOT IN (SELECT id FROM rel)) SELECT md5(CAST(src AS VARCHAR)) AS source_id, md5(CAST(id AS VARCHAR)) AS target_id, 'pending' AS judgment_status, rank AS score FROM got WHERE k <= 3", "obs", "rel")
+@query(CAND_SCOPED.split("\nSELECT src, id, rank, row_number()")[0] + ", got AS (SELECT src, id, rank, row_number() OVER (PARTITION BY src ORDER BY rank, id) AS k FROM (SELECT src, id, rank FROM tp) WHERE abs(src - id) <> 1 OR least(src, id) NOT IN (SELECT id FROM rel WHERE deleted_at IS NULL)) SELECT md5(CAST(src AS VARCHAR)) AS source_id, md5(CAST(id AS VARCHAR)) AS target_id, 'pending' AS judgment_status, rank AS score FROM got WHERE k <= 3", "obs", "rel")
 def relation_candidates_pending(s, d):
     o = t.observations(s, d).select("id", "sync_id", "project", "scope", "deleted_at", se.tokens("title", "content").alias("toks"), F.filter(se.tokens("title"), lambda w: F.octet_length(w) > 2).alias("terms"))
     found = rl.candidates(o.drop("terms"), o.filter("id % 100 = 0").select("id", "sync_id", "project", "terms"), t.relations(s, d), floor=-8.0)
     return rl.pending_rows(found, o, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("source_id", "target_id", "judgment_status", "score")
 
 
-@query(f"WITH {ENDS}, v AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'related' WHEN id % 5 = 1 THEN 'nonsense' END AS verb FROM e), g AS (SELECT *, CASE WHEN verb = 'nonsense' THEN 'verb' WHEN verb IS NOT NULL AND source_project <> target_project THEN 'project' ELSE '' END AS error FROM v) SELECT id, error, CASE WHEN verb IS NOT NULL AND error = '' THEN verb ELSE relation END AS relation, CASE WHEN verb IS NOT NULL AND error = '' THEN 'judged' ELSE judgment_status END AS judgment_status, CASE WHEN verb IS NOT NULL AND error = '' THEN 'me' END AS marked_by_actor FROM g", "rel", "obs")
+JUDGED = """WITH e AS (SELECT r.*, s.project AS source_project, x.project AS target_project FROM rel r LEFT JOIN obs s ON s.sync_id = r.source_id LEFT JOIN obs x ON x.sync_id = r.target_id),
+v AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'related' WHEN id % 5 = 1 THEN 'nonsense' END AS verb FROM e),
+g AS (SELECT *, CASE WHEN verb = 'nonsense' THEN 'verb' WHEN verb IS NOT NULL AND deleted_at IS NOT NULL THEN 'deleted' WHEN verb IS NOT NULL AND source_project <> target_project THEN 'project' ELSE '' END AS error FROM v),
+h AS (SELECT *, verb IS NOT NULL AND error = '' AS hit FROM g)
+SELECT id, error, CASE WHEN hit THEN verb ELSE relation END AS relation, CASE WHEN hit THEN 'judged' ELSE judgment_status END AS judgment_status, CASE WHEN hit THEN 'me' ELSE marked_by_actor END AS marked_by_actor,
+  CASE WHEN hit THEN 'line ' || id ELSE evidence END AS evidence, CASE WHEN hit THEN 's' || id ELSE session_id END AS session_id, CASE WHEN hit THEN TIMESTAMP '2024-05-01' ELSE updated_at END AS updated_at FROM h"""
+
+
+@query(JUDGED, "rel", "obs")
 def judge_guarded(s, d):
+    """Of two verdicts on each fifth relation the last counts; rows that are not named keep their marks."""
     r = t.relations(s, d)
-    said = r.filter("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 0, "related").otherwise("nonsense").alias("verb"), F.lit("as seen").alias("why"), F.lit(0.8).alias("sure"), F.lit("me").alias("actor"), F.lit("agent").alias("kind"), F.lit("").alias("model"))
-    return rl.judged(r, t.observations(s, d), said, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("id", "error", "relation", "judgment_status", "marked_by_actor")
+    verbs = F.when(F.col("id") % 5 == 0, F.array(F.struct(F.lit("scoped").alias("verb"), F.lit(1).alias("n")), F.struct(F.lit("related").alias("verb"), F.lit(2).alias("n")))).otherwise(F.array(F.struct(F.lit("nonsense").alias("verb"), F.lit(1).alias("n"))))
+    said = r.filter("id % 5 < 2").select("id", F.explode(verbs).alias("v"), F.lit("as seen").alias("why"), F.concat(F.lit("line "), "id").alias("evidence"), F.lit(0.8).alias("sure"), F.lit("me").alias("actor"), F.lit("agent").alias("kind"), F.lit("").alias("model"), F.concat(F.lit("s"), "id").alias("session"))
+    said = said.select("id", "v.verb", "v.n", "why", "evidence", "sure", "actor", "kind", "model", "session")
+    return rl.judged(r, t.observations(s, d), said, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("id", "error", "relation", "judgment_status", "marked_by_actor", "evidence", "session_id", "updated_at")
 
 
-@query("SELECT id, source_id, target_id, CASE WHEN id % 4 = 0 THEN 'scoped' ELSE relation END AS relation, CASE WHEN id % 4 = 0 THEN 'system' END AS marked_by_kind FROM rel UNION ALL SELECT NULL, md5(CAST(id AS VARCHAR)), md5(CAST(id + 2 AS VARCHAR)), 'related', 'system' FROM rel WHERE id % 10 = 3", "rel")
+@query("""WITH n AS (SELECT md5(CAST(id AS VARCHAR)) AS a, md5(CAST(id + 2 AS VARCHAR)) AS b, 'related' AS verb FROM rel WHERE id % 10 = 3 UNION ALL SELECT target_id, source_id, 'scoped' FROM rel WHERE id % 4 = 0 AND deleted_at IS NOT NULL),
+m AS (SELECT a, b, verb, md5(least(a, b) || '|' || greatest(a, b) || '|2024-05-01 00:00:00') AS name FROM n)
+SELECT id, sync_id, source_id, target_id, CASE WHEN hit THEN 'scoped' ELSE relation END AS relation, CASE WHEN hit THEN 'system' ELSE marked_by_kind END AS marked_by_kind, CASE WHEN hit THEN 'm' ELSE marked_by_model END AS marked_by_model, evidence FROM (SELECT *, id % 4 = 0 AND deleted_at IS NULL AS hit FROM rel)
+UNION ALL SELECT CAST('0x' || substr(name, 1, 15) AS BIGINT), name, a, b, verb, 'system', 'm', NULL FROM m""", "rel")
 def judge_semantic(s, d):
     r = t.relations(s, d)
     back = r.filter("id % 4 = 0").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.explode(F.array(F.struct(F.lit("related").alias("verb"), F.lit(1).alias("n")), F.struct(F.lit("scoped").alias("verb"), F.lit(2).alias("n")), F.struct(F.lit("odd").alias("verb"), F.lit(3).alias("n")))).alias("v")).select("source_id", "target_id", "v.*")
     new = r.filter("id % 10 = 3").select(F.expr("md5(CAST(id AS STRING))").alias("source_id"), F.expr("md5(CAST(id + 2 AS STRING))").alias("target_id"), F.lit("related").alias("verb"), F.lit(1).alias("n"))
     said = back.unionByName(new).withColumn("sure", F.lit(0.7)).withColumn("why", F.lit("")).withColumn("model", F.lit("m"))
-    return rl.judge_by_meaning(r, said, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("id", "source_id", "target_id", "relation", "marked_by_kind")
+    return rl.judge_by_meaning(r, said, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'")).select("id", "sync_id", "source_id", "target_id", "relation", "marked_by_kind", "marked_by_model", "evidence")
 
 
 # --- sync, export, streams -------------------------------------------------------------------------

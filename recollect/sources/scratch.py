@@ -62,6 +62,14 @@ def has_path(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none where it is not there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(p)] if files.exists(p) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that no later result reads."""
     jvm = spark.sparkContext._jvm

@@ -66,7 +66,9 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id AS id", "concat('r', vec_id) AS sync_id", "md5(CAST(vec_id AS STRING)) AS source_id", "md5(CAST(vec_id + 1 AS STRING)) AS target_id",
         f"CASE WHEN vec_id % 3 = 1 THEN element_at(array({verbs}), CAST(vec_id % 6 AS INT) + 1) ELSE 'pending' END AS relation", "CASE WHEN vec_id % 4 <> 0 THEN concat('because ', vec_id) END AS reason",
         "CASE WHEN vec_id % 3 = 1 THEN (vec_id % 10) / 10D END AS confidence", "CASE WHEN vec_id % 3 = 1 THEN 'judged' ELSE 'pending' END AS judgment_status",
-        f"{EPOCH} + vec_id * INTERVAL '1' HOUR AS created_at",
+        "CASE WHEN vec_id % 3 = 1 THEN concat('seen ', vec_id) END AS evidence", "CASE WHEN vec_id % 3 = 1 THEN concat('a', vec_id % 4) END AS marked_by_actor", "CASE WHEN vec_id % 3 = 1 THEN 'agent' END AS marked_by_kind",
+        "CASE WHEN vec_id % 3 = 1 THEN 'm0' END AS marked_by_model", "CASE WHEN vec_id % 3 = 1 THEN CAST(vec_id % 100 AS STRING) END AS session_id",
+        f"{EPOCH} + vec_id * INTERVAL '1' HOUR AS created_at", f"{EPOCH} + vec_id * INTERVAL '1' HOUR AS updated_at", f"CASE WHEN vec_id % 23 = 0 THEN {EPOCH} + INTERVAL '1' DAY + vec_id * INTERVAL '1' HOUR END AS deleted_at",
     )
 
 
@@ -84,12 +86,14 @@ CTE = {
     "tools": "tools AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS session_id, 'p' || (user_id % 10) AS project, event_type AS tool_name, ts AS created_at FROM events)",
     "sess": "sess AS (SELECT CAST(user_id AS VARCHAR) AS id, 'p' || (user_id % 10) AS project, min(ts) AS started_at, max(ts) AS last_activity_at, CASE WHEN user_id % 2 = 0 THEN max(ts) END AS ended_at, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS search_count FROM events GROUP BY user_id)",
     "prom": "prom AS (SELECT *, CASE WHEN gone THEN created_at END AS deleted_at FROM (SELECT conv_id * 1000 + turn AS id, CAST(conv_id AS VARCHAR) AS session_id, text AS content, 'p' || (conv_id % 10) AS project, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60) AS created_at, (conv_id + turn) % 19 = 0 AS gone FROM conversations WHERE role = 'user'))",
-    "rel": f"rel AS (SELECT vec_id AS id, 'r' || vec_id AS sync_id, md5(CAST(vec_id AS VARCHAR)) AS source_id, md5(CAST(vec_id + 1 AS VARCHAR)) AS target_id, CASE WHEN vec_id % 3 = 1 THEN list_extract({VERBS}, CAST(vec_id % 6 + 1 AS INT)) ELSE 'pending' END AS relation, CASE WHEN vec_id % 4 <> 0 THEN 'because ' || vec_id END AS reason, CASE WHEN vec_id % 3 = 1 THEN (vec_id % 10) / 10.0::DOUBLE END AS confidence, CASE WHEN vec_id % 3 = 1 THEN 'judged' ELSE 'pending' END AS judgment_status, TIMESTAMP '2024-01-01' + to_hours(vec_id) AS created_at FROM embeddings)",
+    "rel": f"rel AS (SELECT vec_id AS id, 'r' || vec_id AS sync_id, md5(CAST(vec_id AS VARCHAR)) AS source_id, md5(CAST(vec_id + 1 AS VARCHAR)) AS target_id, CASE WHEN vec_id % 3 = 1 THEN list_extract({VERBS}, CAST(vec_id % 6 + 1 AS INT)) ELSE 'pending' END AS relation, CASE WHEN vec_id % 4 <> 0 THEN 'because ' || vec_id END AS reason, CASE WHEN vec_id % 3 = 1 THEN (vec_id % 10) / 10.0::DOUBLE END AS confidence, CASE WHEN vec_id % 3 = 1 THEN 'judged' ELSE 'pending' END AS judgment_status, CASE WHEN vec_id % 3 = 1 THEN 'seen ' || vec_id END AS evidence, CASE WHEN vec_id % 3 = 1 THEN 'a' || (vec_id % 4) END AS marked_by_actor, CASE WHEN vec_id % 3 = 1 THEN 'agent' END AS marked_by_kind, CASE WHEN vec_id % 3 = 1 THEN 'm0' END AS marked_by_model, CASE WHEN vec_id % 3 = 1 THEN CAST(vec_id % 100 AS VARCHAR) END AS session_id, TIMESTAMP '2024-01-01' + to_hours(vec_id) AS created_at, TIMESTAMP '2024-01-01' + to_hours(vec_id) AS updated_at, CASE WHEN vec_id % 23 = 0 THEN TIMESTAMP '2024-01-02' + to_hours(vec_id) END AS deleted_at FROM embeddings)",
     "que": "que AS (SELECT event_id AS id, event_type AS entity_type, user_id, value, ts AS created_at FROM events)",
 }
 
 
 def sql(body: str, *names: str) -> str:
-    """A query over the mapped tables it names; ``body`` may begin with further CTEs after WITH."""
+    """A query over the mapped tables it names; ``body`` may begin with further CTEs after WITH or WITH RECURSIVE."""
     given = ", ".join(CTE[n] for n in names)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {given}, {body[15:]}"
     return f"WITH {given}, {body[5:]}" if body.startswith("WITH ") else f"WITH {given} {body}"

@@ -176,7 +176,8 @@ def nudges(events: DataFrame, actions: int, fallback_minutes: int) -> DataFrame:
     """(session_id, id, reason) of the checks at which a session is reminded to save.
 
     ``events`` are (session_id, id, created_at, kind) with kind 'start',
-    'save', 'action' or 'check'.  At a check, a session that is two minutes old
+    'save', 'action', 'check' or 'end', after which nothing is known of the
+    session until it starts again.  At a check, a session that is two minutes old
     is reminded when so many actions came since the last such reminder and over
     five minutes since the last save (reason 'actions'), else when the fallback
     has passed since the last save ('time').  A session that never started is
@@ -190,8 +191,8 @@ def nudges(events: DataFrame, actions: int, fallback_minutes: int) -> DataFrame:
         for number, kind, us in zip(*(pdf.sort_values(["us", "id"])[c] for c in ("id", "kind", "us"))):
             if kind == "start":
                 started, saved, done = us, us, 0
-            elif started is None:
-                continue
+            elif started is None or kind == "end":
+                started = None
             elif kind == "save":
                 saved = us
             elif kind == "action":

@@ -18,6 +18,8 @@ from ..sources import tables as t
 from ..sources import transcripts
 from ..sources.scratch import scratch, spool, spread
 from ..sources.tables import sql
+from ..streaming import ordered as od
+from ..streaming import replay as rp
 from ..streaming import streams
 
 QUERIES: dict = {}
@@ -419,19 +421,54 @@ def sessions_in_range_all(s, d):
     return act.sessions_in_range(t.sessions(s, d), act.activity_events(t.tool_usage(s, d), t.prompts(s, d)), "2024-01-05", "2024-01-05 03:00:00").select("id")
 
 
-@query(None)
+LIMITED = """WITH RECURSIVE ev AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY created_at, id) AS k, id, epoch_us(created_at) AS us FROM tools),
+st(project, k, id, admitted, taken) AS (SELECT DISTINCT project, 0::BIGINT, NULL::BIGINT, FALSE, CAST([] AS BIGINT[]) FROM ev
+  UNION ALL SELECT project, k, id, len(t) < 3, CASE WHEN len(t) < 3 THEN list_append(t, us) ELSE t END FROM (SELECT ev.project, ev.k, ev.id, us, list_filter(taken, lambda x: x > us - 86400000000) AS t FROM st JOIN ev ON ev.project = st.project AND ev.k = st.k + 1))
+SELECT id, admitted FROM st WHERE k > 0"""
+
+
+@query(LIMITED, "tools")
 def rate_limit_exact(s, d):
     """Calls of each project, three in a day."""
     return act.rate_limited(t.tool_usage(s, d), ["project"], 3, 86_400)
 
 
-@query(None)
-def activity_nudges(s, d):
-    """Each session starts at its first call; purchases are saves, clicks significant actions, views checks."""
-    kinds = F.when(F.col("tool_name") == "purchase", "save").when(F.col("tool_name") == "click", "action").otherwise("check")
+@query(LIMITED, "tools")
+def rate_limit_stream(s, d):
+    """The same from a stream in four slices of time, some calls a while late."""
+    calls = t.tool_usage(s, d).select("project", "id", "created_at")
+    return od.through(calls, 4, lambda e: od.limited(e, ["project"], 3, 86_400, "1 hour")).select("id", (F.col("verdict") == "admitted").alias("admitted"))
+
+
+REMINDED = """WITH RECURSIVE ev AS MATERIALIZED (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY us, id) AS k, id, kind, us FROM (
+    SELECT session_id, id, CASE tool_name WHEN 'purchase' THEN 'save' WHEN 'click' THEN 'action' ELSE CASE WHEN id % 40 = 0 THEN 'end' WHEN id % 40 = 1 THEN 'start' ELSE 'check' END END AS kind, epoch_us(created_at) AS us FROM tools
+    UNION ALL SELECT id, -1, 'start', epoch_us(started_at) FROM sess)),
+st(session_id, k, id, started, saved, done, reason) AS (SELECT DISTINCT session_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0, NULL::VARCHAR FROM ev
+  UNION ALL SELECT session_id, k, id, CASE kind WHEN 'start' THEN us WHEN 'end' THEN NULL ELSE started END, CASE WHEN kind = 'start' OR kind = 'save' AND started IS NOT NULL THEN us ELSE saved END,
+    CASE WHEN kind = 'start' OR r = 'actions' THEN 0 WHEN kind = 'action' AND started IS NOT NULL THEN done + 1 ELSE done END, r
+  FROM (SELECT ev.session_id, ev.k, ev.id, kind, us, started, saved, done, CASE WHEN kind = 'check' AND us - started >= 120000000 THEN CASE WHEN done >= 2 AND us - saved > 300000000 THEN 'actions' WHEN us - saved > 600000000000 THEN 'time' END END AS r
+    FROM st JOIN ev ON ev.session_id = st.session_id AND ev.k = st.k + 1))
+SELECT session_id, id, reason FROM st WHERE reason IS NOT NULL"""
+
+
+def _session_events(s, d):
+    """Each session starts at its first call; purchases are saves, clicks significant actions, of the views some end or start it and the others are checks."""
+    view = F.when(F.col("id") % 40 == 0, "end").when(F.col("id") % 40 == 1, "start").otherwise("check")
+    kinds = F.when(F.col("tool_name") == "purchase", "save").when(F.col("tool_name") == "click", "action").otherwise(view)
     calls = t.tool_usage(s, d).select("session_id", "id", "created_at", kinds.alias("kind"))
     starts = t.sessions(s, d).select(F.col("id").alias("session_id"), F.lit(-1).cast("bigint").alias("id"), F.col("started_at").alias("created_at"), F.lit("start").alias("kind"))
-    return act.nudges(calls.unionByName(starts), 2, 10_000)
+    return calls.unionByName(starts)
+
+
+@query(REMINDED, "tools", "sess")
+def activity_nudges(s, d):
+    return act.nudges(_session_events(s, d), 2, 10_000)
+
+
+@query(REMINDED, "tools", "sess")
+def nudge_stream(s, d):
+    """The same from a stream in four slices of time, some events a while late; the end of a session removes its state."""
+    return od.through(_session_events(s, d), 4, lambda e: od.reminders(e, 2, 10_000))
 
 
 @query("SELECT id, project, started_at, last_activity_at FROM sess UNION ALL SELECT 'n' || id, project || '-x', started_at, started_at FROM sess WHERE CAST(id AS BIGINT) % 5 = 0", "sess")
@@ -1112,6 +1149,63 @@ def replay_resolved(s, d):
     return streams.resolved(_entries(s, d), t.sessions(s, d).filter("CAST(id AS BIGINT) % 2 = 0"), t.observations(s, d))
 
 
+def _queue(s, d):
+    """Queued writes of all kinds, made from events: every eleventh payload is no JSON, texts and sessions are missing here and there."""
+    kinds = F.element_at(F.array(*(F.lit(k) for k in streams.KINDS)), (F.col("id") % 9 + 1).cast("int"))
+    e = t.tool_usage(s, d).select("id", "session_id", kinds.alias("entity_type"), "created_at")
+    named = F.when(F.col("entity_type").isin("create_session", "end_session"), F.col("session_id")).otherwise("")
+    told = F.struct(
+        named.alias("ID"), F.when(F.col("id") % 4 == 0, "").otherwise(F.col("session_id")).alias("SessionID"), F.lit(" My P ").alias("Project"), F.concat(F.lit("note "), "id").alias("Title"),
+        F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.lit("text "), "id")).alias("Content"), F.concat(F.lit("sum "), "id").alias("Summary"), F.lit("tool").alias("ToolName"),
+    )
+    body = F.when(F.col("entity_type").isin("update_observation", "delete_observation"), F.to_json(F.struct(F.col("id").alias("ID"), F.concat(F.lit("changed "), "id").alias("Title")))).otherwise(F.to_json(told))
+    return e.select((F.col("id") + 10_000_000).alias("id"), "entity_type", F.when(F.col("id") % 11 == 0, "broken").otherwise(body).alias("payload"), "created_at")
+
+
+@query("""WITH q AS (SELECT id, id + 10000000 AS entry, session_id, id % 9 AS kind, CASE WHEN id % 4 = 0 THEN '' ELSE session_id END AS owner, created_at FROM tools WHERE id % 11 <> 0),
+k AS (SELECT session_id, min(since) AS since FROM (SELECT id AS session_id, -1 AS since FROM sess WHERE CAST(id AS BIGINT) % 2 = 0 UNION ALL SELECT session_id, entry FROM q WHERE kind = 3) GROUP BY session_id),
+start AS (SELECT id, last_activity_at, ended_at, search_count FROM sess WHERE CAST(id AS BIGINT) % 2 = 0 UNION ALL SELECT q.session_id, q.created_at, NULL, 0 FROM q JOIN k ON k.since = q.entry),
+ends AS (SELECT q.session_id, max_by(q.created_at, q.id) AS at, max_by('sum ' || q.id, q.id) AS said FROM q JOIN k ON k.session_id = q.session_id AND since < entry WHERE kind = 4 GROUP BY q.session_id),
+alive AS (SELECT owner, max_by(q.created_at, q.id) FILTER (WHERE kind = 8) AS at, count(*) FILTER (WHERE kind = 7) AS n FROM q JOIN k ON k.session_id = owner AND since < entry WHERE kind IN (7, 8) GROUP BY owner),
+u AS (SELECT * FROM q WHERE kind = 1), x AS (SELECT * FROM q WHERE kind = 2)
+SELECT 'observations' AS tbl, CAST(o.id AS VARCHAR) AS id, CASE WHEN u.id IS NOT NULL AND o.deleted_at IS NULL THEN 'changed ' || o.id ELSE o.title END AS said, CASE WHEN u.id IS NOT NULL AND o.deleted_at IS NULL THEN 2 ELSE 1 END AS n,
+  coalesce(x.created_at, o.deleted_at, u.created_at, o.updated_at) AS at FROM obs o LEFT JOIN u ON u.id = o.id LEFT JOIN x ON x.id = o.id
+UNION ALL SELECT 'observations', CAST(entry AS VARCHAR), 'note ' || id, 1, created_at FROM q WHERE kind = 0 AND id % 5 <> 0
+UNION ALL SELECT 'sessions', start.id, coalesce(said, ''), search_count + coalesce(n, 0), coalesce(ends.at, ended_at, alive.at, last_activity_at) FROM start LEFT JOIN ends ON ends.session_id = start.id LEFT JOIN alive ON owner = start.id
+UNION ALL SELECT 'prompts', CAST(entry AS VARCHAR), 'text ' || q.id, 0, created_at FROM q LEFT JOIN k ON k.session_id = owner WHERE kind = 5 AND q.id % 5 <> 0 AND (owner = '' OR since < entry)
+UNION ALL SELECT 'tool_usage', CAST(entry AS VARCHAR), 'tool', 0, created_at FROM q WHERE kind = 6
+UNION ALL SELECT 'ledger', CAST(id + 10000000 AS VARCHAR), CASE WHEN id % 11 = 0 THEN 'corrupt' ELSE 'done' END, 0, NULL FROM tools""", "obs", "sess", "tools")
+def replay_applied(s, d):
+    """The tables after a replay in two batches, the second of which fails once and comes again."""
+    folder, queue, checkpoint, failed = scratch(s, "store"), scratch(s, "queue"), scratch(s, "replay"), []
+    o = t.observations(s, d).withColumn("tool_name", F.lit(""))
+    known = t.sessions(s, d).filter("CAST(id AS BIGINT) % 2 = 0").withColumns({"directory": F.lit(""), "summary": F.lit("")})
+    rp.put(s, folder, {"observations": o, "sessions": known})
+    entries = _queue(s, d)
+    half = entries.agg(F.expr("(max(id) + min(id)) div 2")).first()[0] or 0
+    for part in (entries.filter(F.col("id") <= half), entries.filter(F.col("id") > half)):
+        part.coalesce(1).write.mode("append").parquet(queue)
+
+    def lost(number):
+        if number == 1 and not failed:
+            failed.append(number)
+            raise OSError("the store is down")
+
+    for _ in range(2):
+        stream = s.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+        try:
+            rp.replay(stream, folder, checkpoint, lost)
+        except Exception:
+            if not failed:
+                raise
+    rows = lambda name, said, n, at, key="id": rp.table(s, folder, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("id"), said.alias("said"), n.cast("long").alias("n"), at.cast("timestamp_ntz").alias("at"))
+    none, zero = F.lit(None), F.lit(0)
+    out = rows("observations", F.col("title"), F.col("revision_count"), F.coalesce("deleted_at", "updated_at"))
+    out = out.unionByName(rows("sessions", F.col("summary"), F.col("search_count"), F.coalesce("ended_at", "last_activity_at")))
+    out = out.unionByName(rows("prompts", F.col("content"), zero, F.col("created_at"))).unionByName(rows("tool_usage", F.col("tool_name"), zero, F.col("created_at")))
+    return out.unionByName(rows("ledger", F.when(F.col("action") == "corrupt", "corrupt").otherwise("done"), zero, none, "entry"))
+
+
 @query("WITH e AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM tools), g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS grp FROM e) SELECT session_id, count(*) AS events, min(created_at) AS first, max(created_at) AS last FROM g GROUP BY session_id, grp", "tools")
 def stream_session_windows(s, d):
     return streams.session_windows(t.tool_usage(s, d)).select("session_id", "events", "first", "last")

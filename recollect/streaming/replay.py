@@ -29,6 +29,7 @@ TABLES = {
     "prompts": "id bigint, session_id string, content string, project string, created_at timestamp_ntz",
     "tool_usage": "id bigint, session_id string, project string, tool_name string, created_at timestamp_ntz",
     "ledger": "entry bigint, kind string, action string",
+    "chunks": "chunk string, imported_at timestamp_ntz",
 }
 #: Tables of which a part replaces rows of the parts before it.
 KEYED = ("observations", "sessions")

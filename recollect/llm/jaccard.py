@@ -279,7 +279,8 @@ def with_classes(docs: DataFrame, n: int, threshold: float, recall: float, id_co
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("n_links"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
     # the smallest id of a component; sets that nothing is linked to are their own
-    joined = spool(roots.withColumnRenamed("node", "set").join(groups.select("set", "set_id"), "set"), "joined")
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is in its component too
+    joined = spool(nodes.withColumnRenamed("node", "set").join(groups.select("set", "set_id"), "set"), "joined")
     least = joined.groupBy("root").agg(F.min("set_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     classes = join_counted(joined.select("set", "root"), least, ["root"]).select("set", "class_id")
     sets = groups.select("set", "set_id", "set_size").join(links, "set", "left").join(classes, "set", "left")

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_path, has_path, scratch, spool, spread, unspool  # noqa: F401  (of the operators beside)
+from ..sources.scratch import children, drop_path, has_path, move_path, scratch, spool, spread, unspool  # noqa: F401  (of the operators beside)
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 

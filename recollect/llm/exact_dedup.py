@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_path, fits, has_path, join_counted, scratch, spool, text_or_empty, unused
+from .common import ascii_lower, children, drop_path, fits, has_path, join_counted, move_path, scratch, spool, text_or_empty, unused
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -25,6 +25,8 @@ STATE = {
 }
 #: Up to so many hits, they go to every executor (some 70 bytes each beside their ids); above it they are shuffled.
 BROADCAST_HITS = 500_000
+#: Up to so many files of earlier texts are named one by one.
+LISTED_FILES = 10_000
 
 
 def sha256_digest(text: Column) -> Column:
@@ -37,8 +39,8 @@ def keyed_state(docs: DataFrame, folder: str, bytes_per_trigger: int) -> DataFra
     for k, v in STATE.items():
         spark.conf.set(k, v)
     spark.conf.set("spark.sql.shuffle.partitions", docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = spark.read.parquet(f"{folder}/arrivals").schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(f"{folder}/arrivals")
+    schema = spark.read.parquet(f"{folder}/arrivals/*").schema
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(f"{folder}/arrivals/*")
     state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "call", "rid", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
 
     def changed(batch: DataFrame, number: int) -> None:
@@ -55,6 +57,24 @@ def keyed_state(docs: DataFrame, folder: str, bytes_per_trigger: int) -> DataFra
     return last.select("digest", F.col("s.n").alias("n"), F.col("s.keep.doc_id").alias("keep_id"), F.col("s.keep.call").alias("keep_call"), F.col("s.keep.rid").alias("keep_rid"))
 
 
+def begun_call(docs: DataFrame, folder: str) -> tuple[int, bool]:
+    """The number of this call, and whether it has begun before: a call is known by its rows, whatever their order."""
+    spark = docs.sparkSession
+    row = F.xxhash64("doc_id", "text").cast("decimal(38,0)")
+    one = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("a"), F.sum(F.xxhash64(F.lit(1), "text", "doc_id").cast("decimal(38,0)")).alias("b")).first()
+    name = f"{one.n}|{one.a}|{one.b}"
+    calls = sorted(int(c) for c in children(spark, f"{folder}/calls"))
+    if calls and "done" not in children(spark, f"{folder}/calls/{calls[-1]:06d}"):
+        call = calls[-1]
+        known = spark.read.schema("name string").json(f"{folder}/calls/{call:06d}/name").first()
+        if known is not None and known.name != name:
+            raise ValueError("the call before this one failed: repeat it first")
+    else:
+        call = calls[-1] + 1 if calls else 0
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{folder}/calls/{call:06d}/name")
+    return call, has_path(spark, f"{folder}/arrivals/{call:06d}")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,22 +96,29 @@ def exact_dedup(
     there without end: each call is compared with all calls before it, and its
     rows say how things stand after it (a row that stayed may be replaced by a
     larger id of a later call).  The folder then keeps the texts too, for the
-    comparison of bytes; the locator of an arrival is their file.
+    comparison of bytes; the locator of an arrival is their file.  A call that
+    failed is made good by the same call again, which goes on where it stopped
+    and counts each row once; another call before that raises ``ValueError``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     norm = ascii_lower(F.col("text"))
     folder = state or scratch(spark, "dedup")
-    call = spark.read.parquet(f"{folder}/arrivals").agg(F.max("call")).first()[0] + 1 if state and has_path(spark, f"{folder}/arrivals") else 0
-    arrived = docs.select("doc_id", F.lit(call).alias("call"), F.monotonically_increasing_id().alias("rid"), digest(norm).alias("digest"), *([norm.alias("norm")] if state else []))
-    if state:
-        arrived.write.mode("overwrite").parquet(f"{folder}/content/call={call}")
-        arrived = spark.read.parquet(f"{folder}/content/call={call}").drop("norm")
-    arrived = arrived.withColumn("locator", F.input_file_name())
-    arrived.write.mode("append").parquet(f"{folder}/arrivals")
-    everything = spark.read.parquet(f"{folder}/arrivals")
+    call, begun = begun_call(docs, folder) if state else (0, False)
+    if not begun:
+        arrived = docs.select("doc_id", F.lit(call).alias("call"), F.monotonically_increasing_id().alias("rid"), digest(norm).alias("digest"), *([norm.alias("norm")] if state else []))
+        if state:
+            arrived.write.mode("overwrite").parquet(f"{folder}/content/call={call}")
+            arrived = spark.read.parquet(f"{folder}/content/call={call}").drop("norm")
+        arrived = arrived.withColumn("locator", F.input_file_name())
+        # all of a call's arrivals are there or none
+        arrived.write.mode("overwrite").parquet(f"{folder}/coming")
+        move_path(spark, f"{folder}/coming", f"{folder}/arrivals/{call:06d}")
+    everything = spark.read.parquet(f"{folder}/arrivals/*")
     groups = keyed_state(docs, folder, bytes_per_trigger)
-    if not state:
+    if state:
+        spark.range(1).write.mode("overwrite").parquet(f"{folder}/calls/{call:06d}/done")
+    else:
         drop_path(spark, f"{folder}/checkpoint")
     arrivals, total = everything.filter(F.col("call") == call), everything.count()
 
@@ -105,9 +132,11 @@ def exact_dedup(
     full = full.filter(digest(F.col("norm")) == F.col("digest"))
     if call:
         old = everything.filter(F.col("call") < call).join(hits.select("digest").distinct(), "digest", "left_semi")
-        files = [r.locator for r in old.select("locator").distinct().collect()]  # file names, not rows
+        files = [r.locator for r in old.select("locator").distinct().limit(LISTED_FILES + 1).collect()]
         if files:
-            texts = spark.read.option("basePath", f"{folder}/content").parquet(*files).select("call", "rid", "norm")
+            # the files that the locators name; where these are too many to list, all texts of the calls before
+            paths = files if len(files) <= LISTED_FILES else [f"{folder}/content/call={c}" for c in range(call)]
+            texts = spark.read.option("basePath", f"{folder}/content").parquet(*paths).select("call", "rid", "norm")
             full = full.unionByName(old.join(texts, ["call", "rid"]).select("doc_id", "digest", "norm", F.lit(False).alias("own")))
     differing = full.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("digest")
     out = joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), stays.alias("kept"), "digest")

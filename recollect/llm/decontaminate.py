@@ -18,12 +18,21 @@ from .common import ascii_lower, fits, fits_bytes, spool, spread, text_or_empty,
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Above so many rows (of 16 bytes) or bytes a table is shuffled, not broadcast.
 BROADCAST_HASHES, BROADCAST_WINDOWS = 2_000_000, 32 << 20
+#: Windows of a slice: a longer text is worked on in slices that overlap by all but one word of a window.
+SLICE = 20_000
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), GAP), "")
 
 
+def sliced(df: DataFrame, window: int, *keep: str) -> DataFrame:
+    """``df`` with a row for each slice of ``words`` and its first position (``start``); one row where there are no words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(SLICE))
+    cut = df.select(*keep, "words", F.explode(starts).alias("start"))
+    return cut.select(*keep, "start", F.when(F.size("words") <= SLICE + window - 1, F.col("words")).otherwise(F.slice("words", F.col("start") + 1, SLICE + window - 1)).alias("words"))
+
+
 def windowed(array: str, size: int, of: str) -> Column:
     """``of`` for each run of ``size`` elements (``slice`` as {s}, its first position as {i}); empty if there is none."""
     made = of.format(s=f"slice({array}, i, {size})", i="i")
@@ -71,7 +80,8 @@ def decontaminate(
     ``spans`` are (first word, length) of the merged occurrences, from 0.  Null texts have no words; items without words have no
     windows; a null item id is never reported but its windows hit; rows that
     repeat an id and text get equal results, rows that share an id but not a
-    text get their own.  Either table may be empty.
+    text get their own.  A very long text is split into words at once, but its
+    windows are made in slices.  Either table may be empty.
     """
     return with_hits(docs, benchmark, window, k, id_col, text_col, item_col, item_text_col).drop("th")
 
@@ -87,8 +97,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, k: int, id_col
     prints = F.broadcast(prints.withColumn("hit", F.lit(1))) if fits(prints, BROADCAST_HASHES) else prints.withColumn("hit", F.lit(1))
 
     # 1. all documents: number of words, and whether any fingerprint is a benchmark's
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    rows = fingerprinted(rows.withColumn("n_words", F.size("words").cast("long")), lengths, k, ["rid", "doc_id", "th", "n_words"])
+    rows = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))
+    rows = fingerprinted(sliced(rows, window, "rid", "doc_id", "th", "n_words"), lengths, k, ["rid", "doc_id", "th", "n_words"])
     rows = rows.select("rid", "doc_id", "th", "n_words", F.explode_outer("fps").alias("fp")).join(prints, "fp", "left")
     rows = spool(rows.groupBy("rid").agg(*(F.max(c).alias(c) for c in ("doc_id", "th", "n_words", "hit"))), "winnowed")
 
@@ -97,7 +107,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, k: int, id_col
     found = F.broadcast(found) if fits(found, BROADCAST_HASHES) else found
     near = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left_semi")
     starts = [F.coalesce(windowed("words", n, "struct({i} - 1 AS at, array_join({s}, ' ') AS win)"), F.array().cast("array<struct<at: int, win: string>>")) for n in lengths]
-    near = near.select("doc_id", "th", F.explode(F.concat(*starts)).alias("s")).select("doc_id", "th", "s.at", "s.win")
+    near = sliced(near, window, "doc_id", "th").select("doc_id", "th", "start", F.explode(F.concat(*starts)).alias("s")).select("doc_id", "th", (F.col("start") + F.col("s.at")).alias("at"), "s.win")
     few = fits_bytes(wins, BROADCAST_WINDOWS, F.octet_length("win"), F.octet_length(F.array_join("items", ",")), F.lit(50))
     near = near.join(F.broadcast(wins) if few else wins, "win")
     near = spool(near.groupBy("doc_id", "th", "at").agg(F.max("len").alias("len"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "hits")

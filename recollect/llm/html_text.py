@@ -8,7 +8,7 @@ line around paragraphs, markers before list items, table cells in columns.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Generator, Iterator
 from html import unescape
 
@@ -43,6 +43,8 @@ HEAD = frozenset("base basefont bgsound head link meta noframes noscript script
 FOREIGN = frozenset(("svg", "math"))
 FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 SCOPE = frozenset("table td th caption html body".split())
+#: Characters up to which a column is padded and up to which the columns of a row are aligned together, list levels that are indented, and tables in tables that are aligned: bounds of the blanks in a text, not of its words.
+COLUMN, ROW, LEVELS, DEEP = 80, 240, 20, 8
 
 
 def number(value: str, least: int, most: int, default: int) -> int:
@@ -73,25 +75,24 @@ def build(html: str) -> Node:
     root = Node("html", {})
     stack, at = [root], 0
     head = foreign = 0  # places in the stack, 0 for none
-    opened: Counter = Counter()  # tags in the stack, so that none is looked for in vain
+    opened: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack, so that none is walked for
 
     def push(node: Node) -> None:
+        opened[node.tag].append(len(stack))
         stack.append(node)
-        opened[node.tag] += 1
 
     def cut(i: int) -> None:
-        opened.subtract(n.tag for n in stack[i:])
+        for n in stack[i:]:
+            opened[n.tag].pop()
         del stack[i:]
 
+    def nearest(tags: frozenset | set) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(kinds: set, limits: frozenset | set) -> None:
-        if not any(opened[k] for k in kinds):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in kinds:
-                cut(i)
-                return
-            if stack[i].tag in limits:
-                return
+        i = nearest(kinds)
+        if i and i >= nearest(limits):
+            cut(i)
 
     def add(node: Node) -> None:
         if node.tag == "tr":
@@ -114,7 +115,7 @@ def build(html: str) -> Node:
             continue
         tag = match[2].lower()
         if match[1]:
-            if tag == "p" and not opened["p"]:
+            if tag == "p" and not opened.get("p"):
                 stack[-1].children.append(Node("p", {}))
             close({tag}, set() if tag == "table" else {"table"} if tag in BLOCKS else SCOPE - {tag})
             continue
@@ -134,7 +135,7 @@ def build(html: str) -> Node:
             close({"tr"}, {"table"})
         if tag in BLOCKS:
             close({"p"}, SCOPE)
-        if tag in ("td", "th") and stack[-1].tag != "tr" and opened["table"]:
+        if tag in ("td", "th") and stack[-1].tag != "tr" and opened.get("table"):
             row = Node("tr", {})
             add(row)
             push(row)
@@ -218,7 +219,7 @@ def render(node: Node, page: Page) -> None:
             lines = None
 
 
-def flow(node: Node, page: Page, dark: bool = False) -> Generator:
+def flow(node: Node, page: Page, dark: bool = False, depth: int = 0) -> Generator:
     """Renders a node; yields the parts that have pages of their own to ``render``, which runs them first."""
     todo: list = [("open", node, False, dark)]
     marks: list[tuple[str, int]] = []
@@ -229,7 +230,7 @@ def flow(node: Node, page: Page, dark: bool = False) -> Generator:
                 page.put(node, kept)
         elif what == "table":
             page.end_line(1)
-            if lines := (yield table(node)):
+            if lines := (yield table(node, depth)):
                 page.lines += ([""] if page.lines and page.gap else []) + lines
                 page.gap = 1
         elif what == "close":
@@ -237,7 +238,7 @@ def flow(node: Node, page: Page, dark: bool = False) -> Generator:
             if node.tag in ("ul", "ol", "menu", "dir"):
                 marks.pop()
             elif node.tag == "li":
-                page.lead = page.lead[: 2 * max(len(marks) - 1, 0)]
+                page.lead = page.lead[: 2 * min(max(len(marks) - 1, 0), LEVELS)]
         elif node.tag == "br":
             page.end_line(0 if page.open.strip(" ") else 1)
         elif node.shown():
@@ -256,7 +257,7 @@ def flow(node: Node, page: Page, dark: bool = False) -> Generator:
                 elif tag == "li":
                     kind, n = marks.pop() if marks else ("ul", 0)
                     marks.append((kind, n + 1))
-                    page.lead = "  " * (len(marks) - 1) + (f"{n + 1}. " if kind == "ol" else "- ")
+                    page.lead = "  " * min(len(marks) - 1, LEVELS) + (f"{n + 1}. " if kind == "ol" else "- ")
             inside = kept or tag in ("pre", "xmp", "textarea")
             children = [c for c in node.children if isinstance(c, str) or c.tag == "summary"] if tag == "details" and "open" not in node.attributes else node.children
             if tag == "details" and "open" not in node.attributes:
@@ -297,14 +298,19 @@ def parts_of(node: Node, dark: bool) -> tuple[list, list]:
     return before, rows
 
 
-def table(rows: list) -> Generator:
-    """Lines of a table: columns as wide as their widest cells, the last that a cell spans wide enough for it; cells that span rows keep their columns free below."""
+def table(rows: list, depth: int) -> Generator:
+    """Lines of a table: columns as wide as their widest cells, the last that a cell spans wide enough for it; cells that span rows keep their columns free below.
+
+    Text is never cut or wrapped: a cell wider than COLUMN pushes the cells after
+    it in its own row, and where columns would begin beyond ROW, or in tables
+    deeper than DEEP in others, two blanks stand between cells.
+    """
     head, grid, widths, begins, wide = [], [], [], set(), []
     taken: dict[int, int] = {}  # rows for which a column is taken by a cell above
     for row in rows:
         if isinstance(row, tuple):
             page = Page()
-            yield flow(row[0], page, row[1])
+            yield flow(row[0], page, row[1], depth + 1)
             head += page.text().split("\n")
             continue
         cells, at = [], 0
@@ -313,7 +319,7 @@ def table(rows: list) -> Generator:
             page = Page()
             for child in cell.children:
                 if not isinstance(child, str):
-                    yield flow(child, page, dark)
+                    yield flow(child, page, dark, depth + 1)
                 elif not dark:
                     page.put(child)
             lines = page.text().split("\n")
@@ -339,8 +345,8 @@ def table(rows: list) -> Generator:
         widths[at + span - 1] += max(0, width - room)
     places, place = [], 0
     for c, width in enumerate(widths):
-        places.append(place)
-        place += width + 2 * (c + 1 in begins)
+        places.append(place if place <= ROW and depth <= DEEP else 0)
+        place += min(width, COLUMN) + 2 * (c + 1 in begins)
     out = []
     for cells in grid:
         for i in range(max(len(lines) for _, lines in cells)):
@@ -362,7 +368,9 @@ def visible_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with ``out_col``, the visible text, in place of the html.
 
-    Null and empty pages give an empty text; broken markup is read as far as it
+    Blanks that align cells and indent lists are bounded (COLUMN, ROW, LEVELS,
+    DEEP), so a text is at most a small multiple of its page; words are never
+    cut.  Null and empty pages give an empty text; broken markup is read as far as it
     goes; every row is read on its own, so repeated rows and empty tables need
     nothing special.  A column named as ``out_col`` is replaced.
     """

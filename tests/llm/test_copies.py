@@ -233,3 +233,37 @@ def test_jaccard_of_rows_that_share_an_id_or_have_none(spark):
     got = sorted(((r.doc_id or 0, r.class_id, r.n_links, r.set_id) for r in jaccard.jaccard_join(brute.frame(spark, rows)).collect()), key=str)
     wanted = [(1, 1, 2, 1), (1, 1, 1, 1), (5, 1, 1, 5), (6, 1, 2, 6), (0, 1, 2, 1), (7, 1, 2, 7), (0, None, 0, None), (0, 1, 2, 6)]
     assert got == sorted(wanted, key=str)
+
+
+@pytest.mark.parametrize("place", ["move_path", "keyed_state", "join_counted"])
+def test_a_call_that_failed_is_made_good(spark, tmp_path, monkeypatch, place):
+    """Whatever a call had written, the same call again counts each row once."""
+    first, second = ROWS[:40], ROWS[40:]
+    state = f"{tmp_path}/state"
+    exact_dedup.exact_dedup(brute.frame(spark, first), state=state).count()
+    true = getattr(exact_dedup, place)
+
+    def lost(*a, **k):
+        if place == "keyed_state":
+            true(*a, **k)
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, place, lost)
+        with pytest.raises(OSError):
+            exact_dedup.exact_dedup(brute.frame(spark, second), state=state)
+    if place != "join_counted":  # there the call was done, only its result was lost
+        with pytest.raises(ValueError, match="repeat"):
+            exact_dedup.exact_dedup(brute.frame(spark, first[:3]), state=state)
+        so_far = brute.copies([*first, *second])
+        got = exact_dedup.exact_dedup(brute.frame(spark, second).repartition(5), state=state)
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == {x: so_far[x][:3] for x, _ in second}
+
+
+def test_decontamination_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 7)
+    items = [(f"i{k}", " ".join(f"w{(k * 37 + j) % 300}" for j in range(n))) for k, n in enumerate([4, 10, 25, 12])]
+    rows = [*ROWS, (900, " ".join(f"x{j}" for j in range(40)) + " " + items[2][1] + " tail " + items[0][1]), (901, items[1][1]), (902, "")]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(brute.frame(spark, rows), table).collect()}
+    assert got == brute.contaminated(rows, items)

@@ -313,3 +313,36 @@ def test_added_spans_are_those_of_the_ratio(spark):
     print("planted", sum(bool(wanted[i]) for i in planted) / len(planted), "names", np.mean(names))
     assert sum(bool(wanted[i]) for i in planted) >= 0.95 * len(planted) and np.mean(names) <= 0.1
     assert math.isfinite(float(ratio.sum()))
+
+
+def test_wide_cells_do_not_pad_other_rows():
+    """One long cell beside thousands of short rows: the text stays a small multiple of the page, and no word goes."""
+    long = "word " * 8000
+    page = f"<table><tr><td>{long}</td><td>b</td></tr>" + "<tr><td>x</td><td>y</td></tr>" * 2000 + "</table>"
+    text = html_text.visible_text(page)
+    assert len(text) < 4 * len(page) and text.split() == [*long.split(), "b", *["x", "y"] * 2000]
+    many = "<table>" + "<tr>" + "<td>c</td>" * 400 + "</tr>" + "<tr><td colspan=399></td><td>z</td></tr>" * 300 + "</table>"
+    assert len(html_text.visible_text(many)) < 20 * len(many)
+    lists = "<ul><li>a" * 3000
+    assert len(html_text.visible_text(lists)) < 10 * len(lists)
+    tables = "<table><tr><td>a</td><td>" * 1500
+    assert len(html_text.visible_text(tables)) < 10 * len(tables)
+
+
+def test_columns_are_still_aligned():
+    page = "<table><tr><td>ab<td>c</tr><tr><td>d<td>e</tr><tr><td colspan=2>wide across<td>f</tr></table>"
+    assert html_text.visible_text(page) == "ab  c\nd   e\nwide across  f"
+
+
+@pytest.mark.parametrize("start", ["<p><td>", "<table><tr><td><p>", "<li><table>", "<button><dl>"])
+def test_open_elements_take_time_in_proportion(start):
+    import time
+
+    def took(n):
+        begin = time.perf_counter()
+        html_text.visible_text(start + "<div>x" * n)
+        return time.perf_counter() - begin
+
+    took(1000)
+    assert took(40_000) < 4 + 8 * 4 * took(10_000)
+    assert took(20_000) < 3

@@ -77,6 +77,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Give a complete folder its name; one that a failed move left there goes first."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    files = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(b.getParent())
+    files.delete(b, True)
+    if not files.rename(a, b):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def unspool(*tables: DataFrame) -> None:
     """Delete spooled tables that no later result reads."""
     for df in tables:

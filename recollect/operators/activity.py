@@ -226,6 +226,12 @@ def ended(sessions: DataFrame, ends: DataFrame) -> DataFrame:
     return j.withColumn("ended_at", F.coalesce("__end", "ended_at")).withColumn("summary", F.coalesce("__said", "summary")).drop("__end", "__said")
 
 
+def with_calls(usage: DataFrame, calls: DataFrame, at: Column, after: Column) -> DataFrame:
+    """Tool usage with calls (session_id, project, tool_name, n) appended at a time, numbered from ``after`` on in the order of ``n``; every call is a row."""
+    new = calls.select((after + F.col("n")).cast("bigint").alias("id"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("session_id", "project", "tool_name")), at.alias("created_at"))
+    return usage.unionByName(new)
+
+
 def valid_prompts(prompts: DataFrame) -> DataFrame:
     """Prompts that are kept: those without a text or a project are passed over."""
     return prompts.filter("content <> '' AND project <> ''")

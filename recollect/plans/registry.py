@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import activity as act
+from ..operators import neighbours as kn
 from ..operators import observations as ob
 from ..operators import relations as rl
 from ..operators import saves as sv
@@ -495,7 +494,8 @@ def prompt_append(s, d):
 @query("SELECT id, session_id, tool_name FROM tools UNION ALL SELECT id + 1000000000, session_id, 'mem_search' FROM tools WHERE tool_name = 'view'", "tools")
 def tool_use_append(s, d):
     u = t.tool_usage(s, d)
-    return u.unionByName(u.filter("tool_name = 'view'").withColumn("id", F.col("id") + 1_000_000_000).withColumn("tool_name", F.lit("mem_search"))).select("id", "session_id", "tool_name")
+    calls = u.filter("tool_name = 'view'").select("session_id", "project", F.lit("mem_search").alias("tool_name"), F.col("id").alias("n"))
+    return act.with_calls(u, calls, F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'"), F.lit(1_000_000_000)).select("id", "session_id", "tool_name")
 
 
 @query("SELECT id, CASE WHEN id % 7 = 0 THEN TIMESTAMP '2024-05-01' ELSE deleted_at END AS again, CASE WHEN id % 7 = 0 AND deleted_at IS NULL THEN TIMESTAMP '2024-05-01' ELSE deleted_at END AS once FROM obs", "obs")
@@ -679,9 +679,30 @@ def parse_judge_json(s, d):
     return t.observations(s, d).select("id", tx.verdict_json(answer).alias("v")).select("id", "v.relation", "v.confidence")
 
 
-@query("SELECT * FROM (VALUES (1,60),(2,60),(3,60),(4,300),(5,300),(6,300),(7,600),(8,600),(9,600),(10,1200),(11,1200),(12,1200),(13,1800),(14,1800),(15,1800),(16,3600),(17,3600)) AS v(attempt, seconds)")
+WAITS = "CASE WHEN tries = 0 THEN 0 WHEN tries <= 3 THEN 60 WHEN tries <= 6 THEN 300 WHEN tries <= 9 THEN 600 WHEN tries <= 12 THEN 1200 WHEN tries <= 15 THEN 1800 ELSE 3600 END"
+
+
+@query(f"SELECT id, tries, coalesce(last, created_at) + to_seconds({WAITS}) AS next_at FROM (SELECT id, created_at, id % 20 AS tries, CASE WHEN id % 20 > 0 THEN created_at + to_minutes(id % 20) END AS last FROM que)", "que")
 def retry_schedule(s, d):
-    return s.createDataFrame(list(enumerate(islice(streams.retry_intervals(), 17), 1)), "attempt int, seconds int")
+    """When each queued entry may be tried again, by its log of failed tries."""
+    q = t.queue(s, d)
+    failed = q.filter("id % 20 > 0").select("id", "created_at", F.explode(F.expr("sequence(1L, id % 20)")).alias("try"))
+    return streams.due_entries(q, failed.select("id", (F.col("created_at") + F.make_dt_interval(mins=F.col("try").cast("int"))).alias("at")))
+
+
+@query(r"""WITH i AS (SELECT id, project, created_at, list_transform(string_split(content, '.'), lambda x: regexp_replace(replace(x, chr(10), ' '), '^\s+|\s+$', '', 'g')) AS v FROM obs),
+u AS (SELECT id, project, created_at, k, v[k] AS item FROM i, unnest(range(1, least(len(v), 900) + 1)) AS t(k) WHERE octet_length(encode(v[k])) >= 20 AND len(regexp_split_to_array(v[k], '\s+')) >= 4),
+c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS pos FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id, lower(item) ORDER BY k) = 1)),
+n AS (SELECT *, substr(regexp_replace(item, '^[0-9.\-) \t]+', ''), 1, 80) AS title FROM c),
+h AS (SELECT *, sha256(lower(regexp_replace(title, '^\s+|\s+$', '', 'g') || '|' || regexp_replace(item, '^\s+|\s+$', '', 'g'))) AS digest FROM n WHERE title <> '')
+SELECT project, digest AS normalized_hash, count(*) AS duplicate_count, min(created_at) AS created_at FROM h GROUP BY project, digest""", "obs")
+def passive_saved(s, d):
+    """Learnings of answers are saved like any notes: those that say the same are one."""
+    lines = F.transform(F.slice(F.split("content", r"\."), 1, 900), lambda x: F.concat(F.lit("- "), F.replace(x, F.lit("\n"), F.lit(" "))))
+    made = F.concat(F.lit("## Key Learnings:\n"), F.array_join(lines, "\n"))
+    answers = t.observations(s, d).select("id", "session_id", "project", "created_at", made.alias("content"))
+    table = sv.save_batch(s.createDataFrame([], sv.TABLE), sv.passive_saves(answers))
+    return table.select("project", "normalized_hash", "duplicate_count", "created_at")
 
 
 @query("SELECT session_id, max(created_at) AS updated_at, max(created_at) <= TIMESTAMP '2024-01-30 11:40:00' AS due FROM tools GROUP BY session_id", "tools")
@@ -842,6 +863,13 @@ def knn_topk(s, d):
     return ve.knn(v, v.filter("id % 100 = 0"), 5, 0.2).withColumn("rk", F.col("rk").cast("long"))
 
 
+@query(f"WITH {PAIRS} SELECT query_id, id, sim, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rk FROM p WHERE sim >= 0.2) WHERE rk <= 5")
+def knn_pruned(s, d):
+    """The same neighbours from blocks of vectors, without those that bounds rule out."""
+    v = _vectors(s, d)
+    return kn.nearest(v, v.filter("id % 100 = 0"), 5, 0.2)[0].withColumn("rk", F.col("rk").cast("long"))
+
+
 @query(f"WITH {PAIRS} SELECT query_id, id, sim FROM p WHERE sim >= 0.4")
 def similar_pairs(s, d):
     v = _vectors(s, d)
@@ -1239,9 +1267,12 @@ def replay_applied(s, d):
 
 @query("WITH e AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM tools), g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS grp FROM e) SELECT session_id, count(*) AS events, min(created_at) AS first, max(created_at) AS last FROM g GROUP BY session_id, grp", "tools")
 def stream_session_windows(s, d):
-    return streams.session_windows(t.tool_usage(s, d)).select("session_id", "events", "first", "last")
+    calls = t.tool_usage(s, d).select("session_id", "id", "created_at")
+    out = od.through(calls, 4, lambda e: streams.session_windows(e.withColumn("created_at", F.col("created_at").cast("timestamp"))).drop("w"))
+    return out.filter("session_id <> ''").select("session_id", "events", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
 @query("SELECT DISTINCT project, normalized_hash FROM obs", "obs")
 def stream_dedup(s, d):
-    return streams.first_of_each(t.observations(s, d)).select("project", "normalized_hash")
+    saves = t.observations(s, d).select("id", "project", "normalized_hash", "created_at")
+    return od.through(saves, 4, streams.first_of_each).filter("normalized_hash <> '' OR normalized_hash IS NULL").select("project", "normalized_hash")

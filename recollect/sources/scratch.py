@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,24 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_made: list[str] = []  # paths of this driver that may still be there
+class _Made(threading.local):
+    """Paths that this thread of the driver has named and that may still be there: those of queries in other threads are theirs."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    _made.append(f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made.paths.append(f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
 
 
 def mark() -> int:
     """A point in the list of fresh paths, for ``sweep``."""
-    return len(_made)
+    return len(_made.paths)
 
 
 def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete what this driver has written to the shared folder since a mark, once no result that reads it is needed."""
-    gone = [p for p in _made[since:] if p not in keep]
-    _made[since:] = [p for p in _made[since:] if p in keep]
+    """Delete what this thread has written to the shared folder since a mark, once no result that reads it is needed."""
+    gone = [p for p in _made.paths[since:] if p not in keep]
+    _made.paths[since:] = [p for p in _made.paths[since:] if p in keep]
     for path in gone:
         drop_path(spark, path)
 

@@ -169,7 +169,7 @@ def through(events: DataFrame, slices: int, build: Callable[[DataFrame], DataFra
     low, high = rows.agg(F.min("arrives"), F.max("arrives")).first()
     if low is not None:
         width = (high - low) // slices + 1
-        rows = rows.withColumn("slice", F.expr(f"(arrives - {low}) div {width}")).drop("arrives")
+        rows = rows.withColumn("slice", F.coalesce(F.expr(f"(arrives - {low}) div {width}"), F.lit(0))).drop("arrives")
         last = events.orderBy(F.desc("created_at")).limit(1).withColumns({"created_at": F.col("created_at") + F.expr(f"INTERVAL {closing}"), "id": F.lit(-1).cast(dict(events.dtypes)["id"])})
         last = last.withColumns({c: F.lit("").alias(c) for c, kind in events.dtypes if kind == "string"})
         for k in range(slices):  # one file each, so that a trigger takes a slice
@@ -179,5 +179,6 @@ def through(events: DataFrame, slices: int, build: Callable[[DataFrame], DataFra
         stream = own.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         made = build(stream)
         made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(made.schema).parquet(out).filter("id >= 0")
+        found = spark.read.schema(made.schema).parquet(out)
+        return found.filter("id >= 0") if "id" in found.columns else found
     return spark.createDataFrame([], build(events.sparkSession.readStream.schema(events.schema).parquet(folder)).schema)

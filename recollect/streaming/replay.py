@@ -138,17 +138,16 @@ def observations_after(now: DataFrame, kinds: dict[str, DataFrame], linked: Data
     tied = spool(edits.join(tied, "ID", "left_semi"), "tied")
     free = edits.join(tied.select("entry"), "entry", "left_anti")
     changes = spool(edited(now, free), "changes")
-    now = saves.merged(now, changes)
     places = sorted(r.entry for r in tied.select("entry").collect())  # edits whose order against saves matters
     low = -1
     for place in [*places, None]:
         part = said.filter(F.col("id") > low) if place is None else said.filter((F.col("id") > low) & (F.col("id") < place))
         if not part.isEmpty():
-            new = saves.save_batch(now, part)
-            changes, now = spool(saves.merged(changes, new), "changes"), saves.merged(now, new)
+            new = saves.save_batch(saves.merged(now, changes), part)
+            changes = spool(saves.merged(changes, new), "changes")
         if place is not None:
-            new = edited(now, tied.filter(F.col("entry") == place))
-            changes, now = spool(saves.merged(changes, new), "changes"), saves.merged(now, new)
+            new = edited(saves.merged(now, changes), tied.filter(F.col("entry") == place))
+            changes = spool(saves.merged(changes, new), "changes")
             low = place
     return changes
 

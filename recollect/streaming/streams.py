@@ -113,6 +113,25 @@ def retry_intervals() -> Iterator[int]:
             n += 1
 
 
+def retry_seconds(tries: Column) -> Column:
+    """Seconds to wait after so many failed tries of one entry (0 and less: it may be tried at once)."""
+    upto, out = 0, F.when(tries <= 0, F.lit(0))
+    for seconds, n in RETRY:
+        if n is None:
+            return out.otherwise(seconds)
+        upto += n
+        out = out.when(tries <= upto, seconds)
+    return out
+
+
+def due_entries(queue: DataFrame, failures: DataFrame) -> DataFrame:
+    """(id, tries, next_at) of each queued entry (id, created_at) from the log of failed tries (id, at): when it may be tried again."""
+    counted = failures.groupBy("id").agg(F.count(F.lit(1)).alias("tries"), F.max("at").alias("last"))
+    j = queue.select("id", "created_at").join(counted, "id", "left").withColumn("tries", F.coalesce("tries", F.lit(0)).cast("long"))
+    wait = F.make_dt_interval(secs=retry_seconds(F.col("tries")).cast("decimal(18,6)"))
+    return j.select("id", "tries", (F.coalesce("last", "created_at") + wait).alias("next_at"))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything that is there, into Parquet files, then stop."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

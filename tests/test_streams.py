@@ -41,3 +41,83 @@ def test_retry_intervals_grow():
 
     first = list(islice(streams.retry_intervals(), 17))
     assert first == sorted(first) and first[0] == 60 and first[-1] == 3600
+
+
+def test_intermediate_tables_of_other_threads_are_left_alone(spark):
+    import threading
+
+    from recollect.sources import scratch as sc
+
+    start = sc.mark()
+    mine = sc.spool(spark.range(3), "mine")
+    theirs = []
+    other = threading.Thread(target=lambda: theirs.append(sc.spool(spark.range(4), "theirs")))
+    other.start()
+    other.join()
+    paths = mine.inputFiles()
+    sc.sweep(spark, start)
+    assert theirs[0].count() == 4 and not sc.has_path(spark, paths[0])
+
+
+def test_streams_follow_events_in_the_order_of_their_times(spark, tmp_path):
+    """Shuffled micro-batches under a watermark that lets all of them in: the stream equals the batch; an end removes the state."""
+    import random
+
+    from recollect.operators import activity as act
+    from recollect.streaming import ordered as od
+
+    rng = random.Random(5)
+    at = datetime(2026, 1, 1)
+    kinds = ["start", "save", "action", "action", "check", "check", "check", "end"]
+    rows = [(f"s{rng.randrange(4)}", i, at + timedelta(seconds=rng.randrange(20_000)), rng.choice(kinds)) for i in range(300)]
+    schema = "session_id string, id long, created_at timestamp_ntz, kind string"
+    table = spark.createDataFrame(rows, schema)
+    shuffled = rng.sample(rows, len(rows))
+    for k in range(3):
+        spark.createDataFrame(shuffled[k::3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("", -1, at + timedelta(days=30), "check")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    own = od.stateful(spark)
+    for name, made, batch in (
+        ("reminders", lambda e: od.reminders(e, 2, 30, "1 day"), act.nudges(table, 2, 30).select("session_id", "id", "reason")),
+        ("limits", lambda e: od.limited(e.drop("kind"), ["session_id"], 3, 600, "1 day"), act.rate_limited(table, ["session_id"], 3, 600)),
+    ):
+        stream = made(own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+        streams.run_available(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state")
+        got = spark.read.parquet(f"{tmp_path}/{name}").filter("id >= 0").collect()
+        if name == "reminders":
+            assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect())) != []
+        else:
+            assert {r.id: r.verdict == "admitted" for r in got} == {r.id: r.admitted for r in batch.collect()}
+            assert {r.verdict for r in got} == {"admitted", "refused"}
+
+
+def test_replay_with_edits_between_saves(spark, tmp_path):
+    """Edits of rows that saves of one batch make or find keep their place; a batch that comes again changes nothing."""
+    import json
+
+    from recollect.streaming import replay as rp
+
+    at = datetime(2026, 1, 1)
+    said = lambda title, topic="", session="": {"Title": title, "Content": "c", "Project": "p", "TopicKey": topic, "SessionID": session}
+    log = [
+        ("create_session", {"ID": "s", "Project": " My P "}), ("save_observation", said("one", "k", "s")), ("update_observation", {"ID": 2, "Title": "two"}), ("save_observation", said("one")),
+        ("save_observation", said("two")), ("delete_observation", {"ID": 2}), ("save_observation", said("again", "k")), ("increment_search_count", {"SessionID": "s"}), ("increment_search_count", {"SessionID": "gone"}),
+        ("end_session", {"ID": "s", "Summary": "done"}), ("save_prompt", {"SessionID": "gone", "Content": "x", "Project": "p"}), ("save_observation", said("", "")), ("odd", {}),
+    ]
+    rows = [(i, kind, json.dumps(p), at + timedelta(minutes=i)) for i, (kind, p) in enumerate(log, 1)]
+    entries = spark.createDataFrame(rows, "id long, entity_type string, payload string, created_at timestamp_ntz")
+
+    def state(folder):
+        o = sorted((r.id, r.title, r.content, r.revision_count, r.duplicate_count, r.deleted_at is not None) for r in rp.table(spark, folder, "observations").collect())
+        s = [(r.id, r.project, r.summary, r.search_count, r.ended_at) for r in rp.table(spark, folder, "sessions").collect()]
+        return o, s, {r.entry: r.action for r in rp.table(spark, folder, "ledger").collect()}
+
+    whole, parts = f"{tmp_path}/whole", f"{tmp_path}/parts"
+    rp.apply_entries(spark, whole, entries)
+    wanted = [(2, "two", "c", 2, 2, True), (4, "one", "c", 1, 1, False), (7, "again", "c", 1, 1, False)]
+    o, s, ledger = state(whole)
+    assert o == wanted and s == [("s", "my-p", "done", 1, at + timedelta(minutes=10))]
+    assert ledger[11] == "discard" and ledger[12] == "refuse" and ledger[13] == "corrupt" and len(ledger) == 13
+    for ids in ("id <= 5", "id <= 5", "id > 4"):
+        rp.apply_entries(spark, parts, entries.filter(ids))
+    assert state(parts) == (o, s, ledger)

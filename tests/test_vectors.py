@@ -26,3 +26,23 @@ def test_related_keeps_all_neighbours(spark, tmp_path):
     rows = [(100 + i, [1.0, 0.01 * i]) for i in range(6)] + [(200, [0.0, 1.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {(r.query_id, r.id) for r in QUERIES["related_085"](spark, str(tmp_path)).collect()} == {(100, 100 + i) for i in range(1, 6)}
+
+
+def test_blocks_that_bounds_rule_out_are_not_compared(spark):
+    """Clustered vectors: the neighbours of all pairs, from a small share of them."""
+    import numpy as np
+
+    from recollect.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.1 * rng.normal(size=12)]) for i in range(800)]
+    rows += [(900, [0.0] * 12), (901, None), (902, [1.0, 2.0]), (903, rows[5][1]), (904, rows[5][1])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = v.filter("id % 100 = 0 OR id IN (5, 903)")
+    got, pairs = neighbours.nearest(v, q, 7, 0.3, n=60)
+    sound = v.filter("size(embedding) = 12")
+    wanted = ve.knn(sound, sound.filter("id % 100 = 0 OR id IN (5, 903)"), 7, 0.3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    share = sum(r.size for r in pairs.collect()) / (803 * 10)
+    assert share < 0.35, share

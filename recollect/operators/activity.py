@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -161,11 +163,25 @@ def rate_limited(events: DataFrame, keys: list[str], limit: int = 120, seconds:
         calls = calls.sort_values(["us", "id"])
         return pd.DataFrame({"id": calls["id"], "admitted": admitted(calls["us"].to_numpy(), limit, window)})
 
-    order = Window.partitionBy(*keys).orderBy("us", "id")
-    e = events.select(*keys, "id", micros(F.col("created_at")).alias("us"))
-    e = e.withColumn("new", (F.col("us") - F.lag("us").over(order) >= window).cast("int"))
-    e = e.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("us").rangeBetween(-window + 1, 0)))
+    # calls are windowed by slices of time, so a hot key is not sorted in one task: what ends a pause lies in the slice or the one before
+    width = max(window, HOUR_US)
+    e = events.select(*keys, "id", micros(F.col("created_at")).alias("us")).withColumn("slice", F.floor(F.col("us") / width))
+    inside = Window.partitionBy(*keys, "slice").orderBy("us", "id")
+
+    def beside(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows with what was found of their key, which may be null, and slice."""
+        named = found.select(*(F.col(c).alias(f"__{c}") for c in (*keys, "slice")), *(c for c in found.columns if c not in (*keys, "slice")))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "slice")])
+        return rows.join(named, same, "left").drop(*(f"__{c}" for c in (*keys, "slice")))
+
+    carried = e.groupBy(*keys, "slice").agg(F.max("us").alias("carry")).withColumn("slice", F.col("slice") + 1)
+    e = beside(e.withColumn("pu", F.lag("us").over(inside)), carried).withColumn("pu", F.coalesce("pu", "carry")).drop("carry")
+    begins = F.when(F.col("pu").isNull() | (F.col("us") - F.col("pu") >= window), F.col("us"))
+    e = e.withColumn("begins", begins).withColumn("own", F.max("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = e.groupBy(*keys, "slice").agg(F.max("begins").alias("begun")).withColumn("begun", F.max("begun").over(earlier))
+    e = beside(e, slices).select(*keys, "id", "us", F.coalesce("own", "begun").alias("stretch"))
+    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "stretch").orderBy("us").rangeBetween(-window + 1, 0)))
     e = e.withColumn("most", F.max("n").over(Window.partitionBy(*keys, "stretch")))
     calm = e.filter(F.col("most") <= limit).select("id", F.lit(True).alias("admitted"))
     busy = e.filter(F.col("most") > limit).groupBy(*keys, "stretch").applyInPandas(follow, f"id {dict(events.dtypes)['id']}, admitted boolean")

@@ -41,3 +41,13 @@ def test_range_and_single_event_session(spark):
 def test_trailing_window_leaves_its_far_end_out(spark):
     e = events(spark, a=[0, 1, 2])
     assert [r.in_window for r in act.trailing_count(e, ["session_id"], 120).orderBy("id").collect()] == [1, 2, 2]
+
+
+def test_limits_of_calls_without_a_key(spark):
+    from datetime import datetime, timedelta
+
+    at = datetime(2026, 3, 1)
+    calls = [(None if i % 2 else "a", i, at + timedelta(minutes=20 * (i // 2))) for i in range(40)]
+    frame = spark.createDataFrame(calls, "session_id string, id long, created_at timestamp_ntz")
+    got = {r.id: r.admitted for r in act.rate_limited(frame, ["session_id"], 2, 3600).collect()}
+    assert len(got) == 40 and all(got[i] == got[i + 1] for i in range(0, 40, 2)) and sum(got.values()) == 2 * sum(got[i] for i in range(0, 40, 2)) < 40

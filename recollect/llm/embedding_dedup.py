@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounds, give_back, join_counted, lists, ragged, spool, spread, unspool, whole_groups
+from .common import bounds, give_back, join_counted, ragged, spool, spread, unspool, whole_groups
 from .ngrams import mixed
 
 #: Width of the lattice in units of a projected unit vector, and cells around a vector that are probed.

@@ -25,8 +25,8 @@ for _name, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNO
 CLASS[128:] = 8
 #: Hash buckets of runs of GRAM classes, and of words.
 GRAM, BUCKETS, WORDS = 4, 2048, 4096
-#: Bytes and rows that are worked on at a time.
-SIZE, ROWS = 1 << 20, 500
+#: Bytes and rows that are worked on at a time; a longer text is read in pieces of so many bytes.
+SIZE, ROWS, PIECE = 1 << 20, 500, 2 << 20
 #: Shares that say nothing of a text of fewer words.
 MANY = 12
 #: Named shares beside the hashed runs of classes.
@@ -47,13 +47,15 @@ class Texts:
     def per_doc(self, mask: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
         return np.bincount((self.doc if doc is None else doc)[mask], minlength=self.n).astype(float)
 
-    def shares(self) -> dict[str, np.ndarray]:
+    def counts(self) -> dict[str, np.ndarray]:
+        """Words of each document and how many of them are of a kind; the counts behind ``shares``."""
         kinds, gap = self.kinds, (self.kinds == 3) | (self.kinds == 4)
         edge = np.zeros(len(kinds), bool)
         edge[self.offsets[:-1][self.offsets[:-1] < len(kinds)]] = True
         begin = ~gap & (np.r_[True, gap[:-1]][: len(gap)] | edge)
         starts = np.flatnonzero(begin)
         if not len(starts):
+            self.words, self.word_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return {name: np.zeros(self.n) for name in ["words", *SHARES]}
         doc = self.doc[starts]
         word = np.maximum(np.cumsum(begin) - 1, 0)
@@ -74,12 +76,19 @@ class Texts:
         runs = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
         top = np.zeros(self.n)
         np.maximum.at(top, d[runs], np.diff(np.r_[runs, len(d)]))
-        per = np.maximum(words, 1)
         shouted = (upper >= 2) & (letters - 2 <= upper)
-        made = {"plain": self.per_doc(plain, doc), "signs": self.per_doc(signs & ~pipe, doc), "upper": self.per_doc(shouted, doc), "pipes": self.per_doc(pipe, doc), "again": self.per_doc(again, doc), "top": top}
+        return {"words": words, "plain": self.per_doc(plain, doc), "signs": self.per_doc(signs & ~pipe, doc), "upper": self.per_doc(shouted, doc), "pipes": self.per_doc(pipe, doc), "again": self.per_doc(again, doc), "top": top}
+
+    def shares(self) -> dict[str, np.ndarray]:
+        made = self.counts()
+        words = made.pop("words")
         for name in ("upper", "again", "top"):
             made[name] = np.where(words >= MANY, made[name], 0)
-        return {"words": words} | {k: v / per for k, v in made.items()}
+        return {"words": words} | {k: v / np.maximum(words, 1) for k, v in made.items()}
+
+    def buckets(self) -> list[np.ndarray]:
+        """How often each document has each bucket, of runs of classes and of words."""
+        return [np.bincount(doc * size + bucket, minlength=self.n * size).reshape(self.n, size) for (doc, bucket), size in zip(self.hashed(), (BUCKETS, WORDS))]
 
     def hashed(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(document, bucket) of each run of classes, and of each word."""
@@ -92,6 +101,58 @@ class Texts:
         return [(first[whole], (codes[whole] * 2654435761 >> 7) % BUCKETS), (self.word_doc, words.astype(np.int64) % WORDS)]
 
 
+class LongText(Texts):
+    """What ``Texts`` gives of one very long text, read in pieces that end between words: only a piece's numbers are held, and its distinct words."""
+
+    def __init__(self, column: pa.Array):
+        self.raw, self.n = texts_of(column)[0], 1
+
+    def pieces(self) -> Iterator[tuple[int, Texts]]:
+        """(first byte, numbers) of each piece."""
+        at = 0
+        while at < len(self.raw):
+            to = min(at + PIECE, len(self.raw))
+            while to < len(self.raw):
+                gaps = np.flatnonzero((CLASS[self.raw[max(at, to - PIECE) : to]] == 3) | (CLASS[self.raw[max(at, to - PIECE) : to]] == 4))
+                if len(gaps):
+                    to = max(at, to - PIECE) + int(gaps[-1]) + 1
+                    break
+                to = min(to + PIECE, len(self.raw))  # a word longer than a piece
+            piece = np.ascontiguousarray(self.raw[at:to])
+            yield at, Texts(pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(piece)], np.int32)), pa.py_buffer(piece)]))
+            at = to
+
+    def counts(self) -> dict[str, np.ndarray]:
+        total = {name: np.zeros(1) for name in ["words", *SHARES]}
+        known, often, last = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        for _, piece in self.pieces():
+            for name, v in piece.counts().items():
+                total[name] += v
+            if len(piece.words):
+                total["again"] += last is not None and piece.words[0] == last
+                last = piece.words[-1]
+                own, n = np.unique(piece.words, return_counts=True)
+                known, where = np.unique(np.r_[known, own], return_inverse=True)
+                often = np.bincount(where, np.r_[often, n], len(known)).astype(np.int64)
+        total["top"] = np.array([float(often.max(initial=0))])
+        return total
+
+    def buckets(self) -> list[np.ndarray]:
+        made = [np.zeros((1, size), np.int64) for size in (BUCKETS, WORDS)]
+        for at, piece in self.pieces():
+            piece.counts()  # sets the words
+            begin = max(at - GRAM + 1, 0)  # runs of classes go on over the ends of pieces
+            piece.kinds, piece.doc = CLASS[self.raw[begin : at + len(piece.raw)]], np.zeros(at - begin + len(piece.raw), np.int64)
+            for total, own in zip(made, piece.buckets()):
+                total += own
+        return made
+
+
+def read(column: pa.Array) -> Texts:
+    """The numbers of some texts, or of one that is longer than a piece."""
+    return LongText(column) if len(column) == 1 and len(texts_of(column)[0]) > PIECE else Texts(column)
+
+
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """One column per labeller."""
     plain, signs, upper, pipes, again, top = (s[name] for name in SHARES)
@@ -131,15 +192,14 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> n
 
 def features(texts: Texts, shares: dict[str, np.ndarray]) -> np.ndarray:
     """A row for each document: frequencies of buckets, shares and a one."""
-    made = []
-    for (doc, bucket), size in zip(texts.hashed(), (BUCKETS, WORDS)):
-        flat = np.bincount(doc * size + bucket, minlength=texts.n * size).reshape(texts.n, size)
-        made.append(flat / np.maximum(flat.sum(axis=1, keepdims=True), 1))
+    made = [flat / np.maximum(flat.sum(axis=1, keepdims=True), 1) for flat in texts.buckets()]
     return np.hstack([*made, *(shares[name][:, None] for name in SHARES), np.ones((texts.n, 1))]).astype(np.float32)
 
 
 def margins(texts: Texts, shares: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
-    """The rows of ``features`` times the weights, without making them."""
+    """The rows of ``features`` times the weights, without making them (but that of a text in pieces)."""
+    if isinstance(texts, LongText):
+        return features(texts, shares) @ w
     out = np.stack([shares[name] for name in SHARES], axis=1) @ w[BUCKETS + WORDS : -1] + w[-1]
     for (doc, bucket), own in zip(texts.hashed(), (w[:BUCKETS], w[BUCKETS : BUCKETS + WORDS])):
         out += np.bincount(doc, own[bucket], texts.n) / np.maximum(np.bincount(doc, minlength=texts.n), 1)
@@ -165,7 +225,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     hashed ids and texts; vote counts are over all.  Null texts count as empty;
     texts without words get the score of an empty feature row; rows that repeat
     get equal scores and are learnt from once; a null id is one like others; a
-    column named ``quality_score`` is replaced; an empty table gives no rows.
+    column named ``quality_score`` is replaced; a very long text is read in
+    pieces; an empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(text_or_empty(text_col).alias("text"))
@@ -173,7 +234,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portioned(batch, "text", SIZE, ROWS):
-                v = votes(Texts(part.column("text")).shares())
+                v = votes(read(part.column("text")).shares())
                 yield pa.RecordBatch.from_arrays([pa.array(v @ (3 ** np.arange(v.shape[1])))], ["pattern"])
         give_back()
 
@@ -186,7 +247,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         xs, ys = [], []
         for batch in batches:
             for part in portioned(batch, "text", SIZE, ROWS):
-                t = Texts(part.column("text"))
+                t = read(part.column("text"))
                 shares = t.shares()
                 v = votes(shares)
                 xs.append(features(t, shares))
@@ -206,7 +267,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         for batch in batches:
             values = []
             for part in portioned(batch, text, SIZE, ROWS):
-                t = Texts(part.column(text))
+                t = read(part.column(text))
                 values.append(1 / (1 + np.exp(-np.clip(margins(t, t.shares(), w), -50, 50))))
             made = {c: batch.column(c) for c in batch.schema.names if c != text}
             made["quality_score"] = pa.array(np.concatenate(values) if values else np.zeros(0))

@@ -346,3 +346,25 @@ def test_open_elements_take_time_in_proportion(start):
     took(1000)
     assert took(40_000) < 4 + 8 * 4 * took(10_000)
     assert took(20_000) < 3
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+def test_a_long_text_in_pieces_is_the_same_text(monkeypatch, piece):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(piece)
+    words = ["one", "Two", "SHOUT", "|", "x1!", "Été", "again", "again", "", "\n", "verylongword" * 3, "3.14", "end."]
+    for text in (" ".join(rng.choice(words) for _ in range(400)), "nogapsatall" * 50, "   ", "a", "tail " * 30):
+        column = pa.array([text])
+        whole = quality.Texts(column)
+        with monkeypatch.context() as m:
+            m.setattr(quality, "PIECE", piece)
+            parts = quality.LongText(column)
+            wanted, got = whole.shares(), parts.shares()
+            assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in wanted.items()}
+            assert np.allclose(quality.features(parts, got), quality.features(whole, wanted))
+            w = np.random.default_rng(0).normal(size=quality.BUCKETS + quality.WORDS + len(quality.SHARES) + 1)
+            assert np.allclose(quality.margins(parts, got, w), quality.margins(whole, wanted, w), atol=1e-4)

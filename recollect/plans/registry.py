@@ -1272,6 +1272,14 @@ def stream_session_windows(s, d):
     return out.filter("session_id <> ''").select("session_id", "events", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
 
 
+@query("WITH a AS (SELECT session_id, id, 0 AS kind, created_at FROM tools UNION ALL SELECT session_id, id, 1, created_at FROM prom WHERE deleted_at IS NULL), e AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, kind, id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM a), g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS grp FROM e) SELECT session_id, count(*) AS events, min(created_at) AS first, max(created_at) AS last FROM g GROUP BY session_id, grp", "tools", "prom")
+def stream_activity_windows(s, d):
+    """Tool calls and prompts as two streams under one watermark."""
+    two = [t.tool_usage(s, d), ob.live(t.prompts(s, d))]
+    out = od.through([x.select("session_id", "id", "created_at") for x in two], 3, streams.activity_windows).filter("session_id <> ''")
+    return out.select("session_id", "events", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
+
+
 @query("SELECT DISTINCT project, normalized_hash FROM obs", "obs")
 def stream_dedup(s, d):
     saves = t.observations(s, d).select("id", "project", "normalized_hash", "created_at")

@@ -156,29 +156,40 @@ def stateful(spark: SparkSession) -> SparkSession:
     return own
 
 
-def through(events: DataFrame, slices: int, build: Callable[[DataFrame], DataFrame], delay: str = "30 minutes", closing: str = "400 days") -> DataFrame:
-    """A table as a stream: written in slices of time, read one after the other, the result as a table.
+def in_slices(events: DataFrame, slices: int, delay: str, closing: str) -> str | None:
+    """A folder with a table's rows in one file for each slice of time, and a last event a while after all others; None for an empty table."""
+    folder = scratch(events.sparkSession, "events")
+    when = F.col("created_at").cast("timestamp")
+    rows = events.withColumn("arrives", F.unix_micros(F.when(F.col("id") % 50 == 0, when + F.expr(f"INTERVAL {delay}")).otherwise(when)))
+    low, high = rows.agg(F.min("arrives"), F.max("arrives")).first()
+    if low is None:
+        return None
+    width = (high - low) // slices + 1
+    rows = rows.withColumn("slice", F.coalesce(F.expr(f"(arrives - {low}) div {width}"), F.lit(0))).drop("arrives")
+    last = events.orderBy(F.desc("created_at")).limit(1).withColumns({"created_at": F.col("created_at") + F.expr(f"INTERVAL {closing}"), "id": F.lit(-1).cast(dict(events.dtypes)["id"])})
+    last = last.withColumns({c: F.lit("").alias(c) for c, kind in events.dtypes if kind == "string"})
+    for k in range(slices):  # one file each, so that a trigger takes a slice
+        rows.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+    last.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def through(events: DataFrame | list[DataFrame], slices: int, build: Callable[..., DataFrame], delay: str = "30 minutes", closing: str = "400 days") -> DataFrame:
+    """Tables as streams: written in slices of time, read one after the other, the result of ``build`` (a stream of each) as a table.
 
     Every fiftieth event comes a delay late, maybe with the next slice.  A last
     event, a while after all others, moves the watermark past them.
     """
-    spark = events.sparkSession
-    folder, out = scratch(spark, "events"), scratch(spark, "followed")
-    when = F.col("created_at").cast("timestamp")
-    rows = events.withColumn("arrives", F.unix_micros(F.when(F.col("id") % 50 == 0, when + F.expr(f"INTERVAL {delay}")).otherwise(when)))
-    low, high = rows.agg(F.min("arrives"), F.max("arrives")).first()
-    if low is not None:
-        width = (high - low) // slices + 1
-        rows = rows.withColumn("slice", F.coalesce(F.expr(f"(arrives - {low}) div {width}"), F.lit(0))).drop("arrives")
-        last = events.orderBy(F.desc("created_at")).limit(1).withColumns({"created_at": F.col("created_at") + F.expr(f"INTERVAL {closing}"), "id": F.lit(-1).cast(dict(events.dtypes)["id"])})
-        last = last.withColumns({c: F.lit("").alias(c) for c, kind in events.dtypes if kind == "string"})
-        for k in range(slices):  # one file each, so that a trigger takes a slice
-            rows.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(folder)
-        last.coalesce(1).write.mode("append").parquet(folder)
-        own = stateful(spark)
-        stream = own.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-        made = build(stream)
-        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-        found = spark.read.schema(made.schema).parquet(out)
-        return found.filter("id >= 0") if "id" in found.columns else found
-    return spark.createDataFrame([], build(events.sparkSession.readStream.schema(events.schema).parquet(folder)).schema)
+    tables = events if isinstance(events, list) else [events]
+    spark = tables[0].sparkSession
+    folders, out = [in_slices(e, slices, delay, closing) for e in tables], scratch(spark, "followed")
+    own = stateful(spark)
+    stream = lambda e, f: own.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f)
+    if None in folders:  # an empty table ends no stream: nothing is known of its time
+        empty = scratch(spark, "events")
+        tables[0].limit(0).coalesce(1).write.parquet(empty)
+        folders = [f or empty for f in folders]
+    made = build(*(stream(e, f) for e, f in zip(tables, folders)))
+    made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(made.schema).parquet(out)
+    return found.filter("id >= 0") if "id" in found.columns else found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,13 @@ def session_windows(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return e.groupBy("session_id", F.session_window("created_at", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
 
 
+def activity_windows(*sources: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Active spans of each session over several streams (session_id, created_at), such as tool calls and prompts: the slowest of them holds the watermark."""
+    marked = [s.select("session_id", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark("created_at", late) for s in sources]
+    spans = reduce(DataFrame.unionByName, marked).groupBy("session_id", F.session_window("created_at", "30 minutes").alias("w"))
+    return spans.agg(F.count(F.lit(1)).alias("events"), F.min("created_at").alias("first"), F.max("created_at").alias("last")).drop("w")
+
+
 def first_of_each(saves: DataFrame) -> DataFrame:
     """The first save of each project and hash; on a stream, state is kept without end."""
     return saves.dropDuplicates(["project", "normalized_hash"])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import project_name
+from ..sources.scratch import spool
 
 GAP_US, HOUR_US, DAY_US = 1_800_000_000, 3_600_000_000, 86_400_000_000
 
@@ -136,15 +139,23 @@ def overlapping(events: DataFrame) -> DataFrame:
     return own.join(daily_minutes(events, []), "day").select("day", "own", "minutes", (F.col("own") > F.col("minutes")).alias("overlap"))
 
 
-def admitted(us: np.ndarray, limit: int, window: int) -> np.ndarray:
-    """Which calls, in order of time, find fewer than ``limit`` admitted ones in the window before them."""
-    ok, taken, first = np.zeros(len(us), bool), [], 0
-    for i, at in enumerate(us.tolist()):
-        while first < len(taken) and taken[first] <= at - window:
-            first += 1
-        if len(taken) - first < limit:
-            taken.append(at)
-            ok[i] = True
+def admitted(us: np.ndarray, limit: int, window: int, taken: list[int] | None = None) -> np.ndarray:
+    """Which calls, in order of time, find fewer than ``limit`` admitted ones in the window before them.
+
+    ``taken`` are the last admitted before these, and is brought up to date.
+    Refused calls are passed over by a search for the first that is free again.
+    """
+    taken = [] if taken is None else taken
+    ok, i, n = np.zeros(len(us), bool), 0, len(us) if limit > 0 else 0
+    while i < n:
+        if len(taken) >= limit and taken[-limit] > us[i] - window:
+            i += int(np.searchsorted(us[i:], taken[-limit] + window))
+            continue
+        taken.append(int(us[i]))
+        ok[i] = True
+        i += 1
+        if len(taken) > 4 * limit:
+            del taken[:-limit]
     return ok
 
 
@@ -155,37 +166,49 @@ def rate_limited(events: DataFrame, keys: list[str], limit: int = 120, seconds:
     followed in order, but after a pause as long as the window nothing is left
     to remember: calls between pauses are followed apart, in many tasks.  A
     stretch in which no window has more than ``limit`` calls is admitted whole
-    without being followed.
+    without being followed; the others stream through their tasks.
     """
     window = seconds * 1_000_000
-
-    def follow(calls: pd.DataFrame) -> pd.DataFrame:
-        calls = calls.sort_values(["us", "id"])
-        return pd.DataFrame({"id": calls["id"], "admitted": admitted(calls["us"].to_numpy(), limit, window)})
-
-    # calls are windowed by slices of time, so a hot key is not sorted in one task: what ends a pause lies in the slice or the one before
+    kind = dict(events.dtypes)["id"]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: list[int] = []
+        for batch in batches:
+            us = batch.column("us").to_numpy()
+            starts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+            ok = [admitted(us[: starts[0] if len(starts) else len(us)], limit, window, taken)]
+            for a, b in zip(starts, [*starts[1:], len(us)]):
+                taken = []  # a new stretch
+                ok.append(admitted(us[a:b], limit, window, taken))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(ok))], ["id", "admitted"])
+
+    # calls lie in slices of time, so a hot key is not sorted in one task: what ends a pause or fills a window lies in the slice or the one before, whose last calls are put in front
     width = max(window, HOUR_US)
     e = events.select(*keys, "id", micros(F.col("created_at")).alias("us")).withColumn("slice", F.floor(F.col("us") / width))
-    inside = Window.partitionBy(*keys, "slice").orderBy("us", "id")
-
-    def beside(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Rows with what was found of their key, which may be null, and slice."""
-        named = found.select(*(F.col(c).alias(f"__{c}") for c in (*keys, "slice")), *(c for c in found.columns if c not in (*keys, "slice")))
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "slice")])
-        return rows.join(named, same, "left").drop(*(f"__{c}" for c in (*keys, "slice")))
-
-    carried = e.groupBy(*keys, "slice").agg(F.max("us").alias("carry")).withColumn("slice", F.col("slice") + 1)
-    e = beside(e.withColumn("pu", F.lag("us").over(inside)), carried).withColumn("pu", F.coalesce("pu", "carry")).drop("carry")
-    begins = F.when(F.col("pu").isNull() | (F.col("us") - F.col("pu") >= window), F.col("us"))
-    e = e.withColumn("begins", begins).withColumn("own", F.max("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    newest = Window.partitionBy(*keys, "slice").orderBy(F.desc("us"), F.desc("id"))
+    carried = e.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= max(limit, 1)).drop("rn").withColumn("slice", F.col("slice") + 1)
+    inside = Window.partitionBy(*keys, "slice").orderBy("us", "own", "id")
+    e = e.withColumn("own", F.lit(True)).unionByName(carried.withColumn("own", F.lit(False)))
+    e = e.withColumns({"pu": F.lag("us").over(inside), "full": F.lag("us", limit).over(inside) if limit > 0 else F.col("us")}).filter("own").drop("own")
+    first = F.col("pu").isNull() | (F.col("us") - F.col("pu") >= window)
+    e = e.withColumns({"first": first, "crowded": F.coalesce(F.col("us") - F.col("full") < window, F.lit(False))}).drop("pu", "full")
+    upto = Window.partitionBy(*keys, "slice").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    e = spool(e.withColumn("begun", F.max(F.when(F.col("first"), F.col("us"))).over(upto)), "calls")
+
+    def beside(rows: DataFrame, found: DataFrame, by: list[str], how: str) -> DataFrame:
+        """Rows joined with what was found of their key, which may be null."""
+        named = found.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in found.columns if c not in by))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+        return rows.join(named, same, how).drop(*(f"__{c}" for c in by))
+
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = e.groupBy(*keys, "slice").agg(F.max("begins").alias("begun")).withColumn("begun", F.max("begun").over(earlier))
-    e = beside(e, slices).select(*keys, "id", "us", F.coalesce("own", "begun").alias("stretch"))
-    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "stretch").orderBy("us").rangeBetween(-window + 1, 0)))
-    e = e.withColumn("most", F.max("n").over(Window.partitionBy(*keys, "stretch")))
-    calm = e.filter(F.col("most") <= limit).select("id", F.lit(True).alias("admitted"))
-    busy = e.filter(F.col("most") > limit).groupBy(*keys, "stretch").applyInPandas(follow, f"id {dict(events.dtypes)['id']}, admitted boolean")
-    return calm.unionByName(busy)
+    slices = e.groupBy(*keys, "slice").agg(F.max("begun").alias("before")).withColumn("before", F.max("before").over(earlier))
+    e = beside(e, slices, [*keys, "slice"], "left").withColumn("stretch", F.coalesce("begun", "before")).select(*keys, "id", "us", "first", "crowded", "stretch")
+    crowds = e.filter("crowded").select(*keys, "stretch").distinct()
+    calm = beside(e, crowds, [*keys, "stretch"], "left_anti").select("id", F.lit(True).alias("admitted"))
+    busy = beside(e, crowds, [*keys, "stretch"], "left_semi")
+    busy = busy.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "us", "id").select("id", "us", "first")
+    return calm.unionByName(busy.mapInArrow(follow, f"id {kind}, admitted boolean"))
 
 
 def nudges(events: DataFrame, actions: int, fallback_minutes: int) -> DataFrame:

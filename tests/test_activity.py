@@ -51,3 +51,11 @@ def test_limits_of_calls_without_a_key(spark):
     frame = spark.createDataFrame(calls, "session_id string, id long, created_at timestamp_ntz")
     got = {r.id: r.admitted for r in act.rate_limited(frame, ["session_id"], 2, 3600).collect()}
     assert len(got) == 40 and all(got[i] == got[i + 1] for i in range(0, 40, 2)) and sum(got.values()) == 2 * sum(got[i] for i in range(0, 40, 2)) < 40
+
+
+def test_limits_of_very_many_calls_in_one_window(spark):
+    """A window with all of 300,000 calls: neither their counts nor what is followed grows with its square."""
+    frame = spark.range(300_000).selectExpr("'a' AS session_id", "id", "TIMESTAMP_NTZ '2026-03-01 00:00:00' + (id * 7919 % 300000) * INTERVAL '1' SECOND AS created_at")
+    got = [r.s for r in act.rate_limited(frame, ["session_id"], 3, 86_400).filter("admitted").selectExpr("id * 7919 % 300000 AS s").orderBy("s").collect()]
+    assert got == [k * 86_400 + i for k in range(4) for i in range(3)]
+    assert act.rate_limited(frame, ["session_id"], 3, 86_400).count() == 300_000

@@ -121,3 +121,16 @@ def test_replay_with_edits_between_saves(spark, tmp_path):
     for ids in ("id <= 5", "id <= 5", "id > 4"):
         rp.apply_entries(spark, parts, entries.filter(ids))
     assert state(parts) == (o, s, ledger)
+
+
+def test_of_two_streams_the_shorter_does_not_hold_back_the_longer(spark):
+    """Calls of two days and prompts that go on for three years: all spans are given, also where one table is empty."""
+    from recollect.streaming import ordered as od
+
+    at = datetime(2026, 1, 1)
+    schema = "session_id string, id long, created_at timestamp_ntz"
+    calls = spark.createDataFrame([("a", i, at + timedelta(hours=i)) for i in range(48)], schema)
+    prompts = spark.createDataFrame([("b", i, at + timedelta(days=i)) for i in range(1000)], schema)
+    count = lambda x, y: od.through([x, y], 3, streams.activity_windows).filter("session_id <> ''").groupBy("session_id").count().collect()
+    assert dict(map(tuple, count(calls, prompts))) == {"a": 48, "b": 1000}
+    assert dict(map(tuple, count(calls.limit(0), prompts))) == {"b": 1000}

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import spool, spread
-from .vectors import dot
+from .vectors import blockwise
 
 #: Centroids, and vectors of a part of a block: a larger block is dealt over several.
-CENTROIDS, PART = 256, 20_000
+CENTROIDS, PART = 256, 8192
+#: Queries that meet a part of a block at once.
+QUERIES = 1000
 #: Blocks of a query that are compared before any bound is known.
 FIRST = 2
 #: Similarities are compared after rounding to six places.
@@ -73,7 +75,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float, n: int
     dimension than most are no neighbours.
     """
     centres = centroids(vectors, n)
-    own = placed(spread(vectors), centres, False).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    own = placed(spread(vectors), centres, False)
     own = spool(own, "blocks")
     sizes = own.groupBy("block").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("size"))
     parts = F.ceil(F.col("size") / PART)
@@ -85,13 +87,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float, n: int
     asked = asked.select("query_id", "block", "size", "parts", bound.alias("bound")).filter(F.col("bound") >= least - MARGIN)
     asked = asked.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
     asked = spool(asked, "asked")
-    texts = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    texts = queries.select(F.col("id").alias("query_id"), "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("of"))
+    own = own.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def compared(which: DataFrame) -> DataFrame:
         dealt = which.select("query_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts, "query_id")
-        pairs = own.join(dealt, ["block", "part"]).filter("id <> query_id")
-        sim = F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6)
-        return pairs.select("query_id", "id", sim.alias("sim")).filter(F.col("sim") >= least)
+        return blockwise(own, dealt, ["block", "part", "of"], least, k)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     first = spool(compared(asked.filter(F.col("rn") <= FIRST)).withColumn("rk", rank).filter(F.col("rk") <= k), "nearest")

@@ -46,3 +46,16 @@ def test_blocks_that_bounds_rule_out_are_not_compared(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
     share = sum(r.size for r in pairs.collect()) / (803 * 10)
     assert share < 0.35, share
+
+
+def test_only_what_may_be_nearest_leaves_a_block(spark):
+    """Odd vectors have the cosines of the plain expression; of 4,000 in blocks few pairs are left to be ranked."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(4000)]
+    rows += [(5000, [0.0] * 5), (5001, None), (5002, [1.0, 2.0]), (5003, [1.0, None, 0.0, 0.0, 0.0]), (5004, rows[0][1]), (5005, []), (5006, [2.0, 4.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.filter("id % 500 = 0 OR id > 5000")
+    x, y = v.selectExpr("id", "embedding AS a"), q.selectExpr("id AS query_id", "embedding AS b")
+    plain = x.crossJoin(y).filter("id <> query_id").select("query_id", "id", ve.F.round(ve.cosine(ve.F.col("a"), ve.F.col("b")), 6).alias("sim")).filter("sim >= 0.9")
+    assert sorted(map(tuple, ve.similar(v, q, 0.9, 4).collect())) == sorted(map(tuple, plain.collect())) != []
+    assert ve.similar(v, q, -1.0, 4, k=3).count() < 0.05 * 4000 * 10

@@ -143,3 +143,17 @@ def test_candidates_over_a_kept_index(spark, tmp_path):
     plain = rl.candidates(o.drop("terms"), sources, none, floor=None).collect()
     kept = rl.candidates(o.drop("terms", "toks"), sources, none, floor=None, index_path=path).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, kept)) != []
+
+
+def test_matches_of_parts_and_blocks(spark, monkeypatch):
+    """Documents in many parts and sources in many blocks, as far as they meet at all, have the matches of all pairs."""
+    monkeypatch.setattr(mt, "DOCUMENTS", 50)
+    monkeypatch.setattr(mt, "SOURCES", 4)
+    docs, sources = corpus(3)
+    asked = spark.createDataFrame(list(sources.items()), "src long, terms array<string>")
+    postings, totals = se.postings_of(spark.createDataFrame(list(docs.items()), "id long, toks array<string>"), asked.select(F.explode("terms").alias("term")))
+    got = {}
+    for r in mt.best_matches(postings, totals, asked, 5)[0].collect():
+        got.setdefault(r.src, []).append((round(-r.score, 6), r.id))
+    assert {s: sorted(x)[:5] for s, x in got.items()} == {s: x for s, x in best_of_all(docs, sources, 5).items() if x}
+    assert mt.DOCUMENTS == 50 and mt.scored

@@ -179,7 +179,7 @@ def named(words: bytes) -> bytes:
 def with_words(docs: DataFrame, places: DataFrame, kind: str, window: int) -> DataFrame:
     """``places`` (doc_id, part, start, n, anchor) with the words of each segment and their key."""
     by_doc = places.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("places"))
-    rows = docs.join(by_doc, ["doc_id", "part"]).select("doc_id", "part", "text", "places")
+    rows = docs.join(by_doc.hint("merge"), ["doc_id", "part"]).select("doc_id", "part", "text", "places")  # one plan at all sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portioned(whole, "places", 50_000)):
@@ -295,7 +295,7 @@ def repeated_spans(docs: DataFrame, window: int, kind: str) -> DataFrame:
             of = pa.array(of)
             yield pa.RecordBatch.from_arrays([ids.take(of), batch.column("part").take(of), pa.array(first.astype(np.int32)), pa.array((last + window).astype(np.int32))], ["doc_id", "part", "a", "b"])
 
-    pieces = known.select("key", "doc_id", "part", "start", "n").join(firsts, "key").select("doc_id", "part", "start", "n", "first", "firsts").mapInArrow(covered, f"doc_id {kind}, part bigint, a int, b int")
+    pieces = known.select("key", "doc_id", "part", "start", "n").join(firsts.hint("merge"), "key").select("doc_id", "part", "start", "n", "first", "firsts").mapInArrow(covered, f"doc_id {kind}, part bigint, a int, b int")
     by_doc = pieces.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         alike = once.filter("part <> 0").groupBy("doc_id", "part").agg(F.first("text").alias("text"))
         once = once.filter("part = 0").unionByName(alike)
     spans = repeated_spans(once, window, kind)
-    out = parted(docs).join(spans, ["doc_id", "part"], "left").select("doc_id", F.array_remove(F.split("text", GAP), "").alias("words"), F.coalesce("covered", F.array().cast("array<struct<a: int, b: int>>")).alias("covered"))
+    out = parted(docs).join(spans.hint("merge"), ["doc_id", "part"], "left").select("doc_id", F.array_remove(F.split("text", GAP), "").alias("words"), F.coalesce("covered", F.array().cast("array<struct<a: int, b: int>>")).alias("covered"))
     # what stays lies between the covered ranges
     left = "zip_with(concat(array(0), covered.b), concat(covered.a, array(size(words))), (b, a) -> slice(words, b + 1, a - b))"
     return out.select(

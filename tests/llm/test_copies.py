@@ -1,10 +1,13 @@
 """Exact dedup, decontamination, substring dedup and the Jaccard join against plain Python."""
 
+from pathlib import Path
+
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, exact_dedup, jaccard, substring_dedup
+from recollect.sources.scratch import spool
 
 ROWS = brute.corpus()
 ITEMS = [(1, ROWS[11][1]), (2, " ".join(f"w{i}" for i in range(30))), (3, None), (4, "w1 w2"), (5, "w1 w2"), (6, ROWS[40][1]), (10, ROWS[-1][1][:300])]
@@ -267,3 +270,20 @@ def test_decontamination_in_slices(spark, monkeypatch):
     table = spark.createDataFrame(items, "item_id string, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(brute.frame(spark, rows), table).collect()}
     assert got == brute.contaminated(rows, items)
+
+
+def test_small_substring_tables_have_the_plan_of_large_ones(spark):
+    """Joins that are broadcasts on small tables alone make the shuffle grow faster than the input."""
+    text = " ".join(f"w{i}" for i in range(20))
+    out = substring_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, text), (3, "one two")], "doc_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 20, 3: 0}
+
+
+def test_what_a_spool_shuffled_goes_with_it(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before, counts = held(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = spool(counts, "counts")
+    assert not held() - before and table.count() == 7

@@ -157,3 +157,20 @@ def test_matches_of_parts_and_blocks(spark, monkeypatch):
         got.setdefault(r.src, []).append((round(-r.score, 6), r.id))
     assert {s: sorted(x)[:5] for s, x in got.items()} == {s: x for s, x in best_of_all(docs, sources, 5).items() if x}
     assert mt.DOCUMENTS == 50 and mt.scored
+
+
+def test_postings_of_a_note_need_no_other_row(spark, tmp_path, monkeypatch):
+    """Tokens are cut once, in one pass that moves none of them; texts without words and long ones, cut into portions, keep their rows."""
+    plans, keep = [], ix.spool
+    monkeypatch.setattr(ix, "spool", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, name))[1])
+    monkeypatch.setattr(ix, "AT_ONCE", 5)
+    toks = {1: ["b", "a", "b"], 2: [], 3: ["a"] * 7, 4: ["c", "b"], 5: ["ñ", "b", "ñ"]}
+    rows = [(i, "p" if i % 2 else None, "project", None, t) for i, t in toks.items()]
+    ix.create(spark.createDataFrame(rows, "id long, project string, scope string, deleted_at timestamp, toks array<string>"), f"{tmp_path}/index")
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Generate" not in plans[0]
+    listed = ix.manifest(spark, f"{tmp_path}/index")
+    wanted = {(w, i): [k for k, x in enumerate(t) if x == w] for i, t in toks.items() for w in t}
+    got = ix.read_part(spark, f"{tmp_path}/index", listed, "postings").collect()
+    assert {(r.term, r.id): r.positions for r in got} == wanted and len(got) == len(wanted)
+    assert all((r.tf, r.dl, r.project, r.gone) == (len(r.positions), len(toks[r.id]), "p" if r.id % 2 else None, False) for r in got)
+    assert {r.id: r.dl for r in ix.read_part(spark, f"{tmp_path}/index", listed, "documents").collect()} == {i: len(t) for i, t in toks.items()}

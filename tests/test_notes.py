@@ -56,3 +56,10 @@ def test_cosine(spark):
     v = lambda *x: F.array(*(F.lit(float(y)) for y in x))
     assert one(spark, ve.cosine(v(1, 0), v(1, 0))) == 1 and one(spark, ve.cosine(v(1, 0), v(0, 1))) == 0
     assert one(spark, ve.cosine(v(0, 0), v(0, 1))) is None
+
+
+def test_project_names_are_made_once(spark):
+    names = {"": "unknown", " \t\n": "unknown", "--": "unknown", " My Repo\n": "my-repo", "\x0b-a_b--C-- ": "a_b--c", "Ñandú/x\ny": "and--x-y", "𝒳a": "a", "a𝒳b": "a-b", None: None}
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, x string").select("x", tx.project_name(F.col("x")).alias("name"))
+    assert {r.x: r.name for r in rows.collect()} == names
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9_-]") == 1

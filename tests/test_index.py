@@ -174,3 +174,16 @@ def test_postings_of_a_note_need_no_other_row(spark, tmp_path, monkeypatch):
     assert {(r.term, r.id): r.positions for r in got} == wanted and len(got) == len(wanted)
     assert all((r.tf, r.dl, r.project, r.gone) == (len(r.positions), len(toks[r.id]), "p" if r.id % 2 else None, False) for r in got)
     assert {r.id: r.dl for r in ix.read_part(spark, f"{tmp_path}/index", listed, "documents").collect()} == {i: len(t) for i, t in toks.items()}
+
+
+def test_postings_are_counted_where_words_are_cut(spark, tmp_path):
+    """Texts are moved by id, not each of their words; rows that share an id are one note, as in the SQL."""
+    from recollect.plans.registry import QUERIES
+
+    rows = [(1, "a b a", "en"), (1, "b c", "en"), (2, "", "es"), (3, None, "en"), (None, "a", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["fts_postings"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(id") == 1
+    found = {(r.id, r.term): r.tf for r in got.collect()}
+    assert (found[1, "a"], found[1, "b"], found[1, "c"], found[None, "a"]) == (4, 4, 2, 2)  # of title and text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import note_name, slug
@@ -80,16 +80,24 @@ def split_valid(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(empty("title"), "title").when(empty("content"), "content").when(empty("project"), "project").otherwise(""))
 
 
-def markdown(df: DataFrame) -> DataFrame:
-    """(path, body) of each note."""
+def file_name() -> Column:
+    """Path of a note's file."""
+    return F.concat(slug(F.col("project")), F.lit("/"), "type", F.lit("/"), note_name(F.col("id"), F.col("title")), F.lit(".md"))
+
+
+def file_top() -> Column:
+    """What a note's file has above its content."""
     day = F.date_format("created_at", "yyyy-MM-dd")
     topic = F.when(F.col("topic_key") != "", F.concat(F.lit("topic_key: "), "topic_key", F.lit("\n"))).otherwise("")
-    head = F.concat(
+    return F.concat(
         F.lit("---\nid: "), F.col("id"), F.lit('\ntitle: "'), F.replace(F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"\ntype: '), "type", F.lit("\nproject: "), "project",
-        F.lit("\nscope: "), "scope", F.lit("\n"), topic, F.lit("created_at: "), day, F.lit("\nrevision: "), "revision_count", F.lit("\n---\n\n"),
+        F.lit("\nscope: "), "scope", F.lit("\n"), topic, F.lit("created_at: "), day, F.lit("\nrevision: "), "revision_count", F.lit("\n---\n\n# "), "title", F.lit("\n\n"),
     )
-    path = F.concat(slug(F.col("project")), F.lit("/"), "type", F.lit("/"), note_name(F.col("id"), F.col("title")), F.lit(".md"))
-    return df.select("id", path.alias("path"), F.concat(head, F.lit("# "), "title", F.lit("\n\n"), "content", F.lit("\n")).alias("body"))
+
+
+def markdown(df: DataFrame) -> DataFrame:
+    """(path, body) of each note."""
+    return df.select("id", file_name().alias("path"), F.concat(file_top(), "content", F.lit("\n")).alias("body"))
 
 
 def write_markdown(df: DataFrame, out: str) -> None:
@@ -98,11 +106,20 @@ def write_markdown(df: DataFrame, out: str) -> None:
     notes.repartition("note").write.mode("overwrite").partitionBy("note").text(out)
 
 
-def mirror(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, body, change) that brings the notes of ``before`` to ``after`` (live rows): 'write', or 'remove' for old paths."""
-    old, new = markdown(before).select("path", F.col("body").alias("was")), markdown(after).select("path", "body")
+def digest(text: str) -> Column:
+    return F.sha2(text, 256)
+
+
+def mirror(before: DataFrame, after: DataFrame, digested: bool = False) -> DataFrame:
+    """(path, body, change) that brings the notes of ``before`` to ``after`` (live rows): 'write', or 'remove' for old paths.
+
+    Contents are compared by digests, so those of ``before`` are not moved; its
+    rows may come with digests in their place (``digested``).
+    """
+    old = before.select(file_name().alias("path"), F.concat(file_top(), F.col("content") if digested else digest("content")).alias("was"))
+    new = after.select(file_name().alias("path"), F.concat(file_top(), digest("content")).alias("now"), F.concat(file_top(), "content", F.lit("\n")).alias("body"))
     both = old.join(new, "path", "full")
-    change = F.when(F.col("body").isNull(), "remove").when(F.col("was").isNull() | (F.col("was") != F.col("body")), "write")
+    change = F.when(F.col("now").isNull(), "remove").when(F.col("was").isNull() | (F.col("was") != F.col("now")), "write")
     return both.select("path", "body", change.alias("change")).filter("change IS NOT NULL")
 
 

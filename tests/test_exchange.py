@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import saves
+from recollect.plans.registry import QUERIES
 from recollect.sources import mirror
 from recollect.streaming import exchange as ex
 from recollect.streaming import replay as store
@@ -108,3 +109,51 @@ def test_files_follow_a_store(spark, tmp_path, monkeypatch):
     one = tmp_path / "one"
     mirror.export(store.table(spark, folder, "observations"), str(one), "2026-03-01", "q")
     assert {p.split("/")[0] for p in files(one)} == {"q", "_index.md"}
+
+
+def test_no_task_sorts_the_whole_index(spark, tmp_path, monkeypatch):
+    rows = [(i, minutes(i * 7 % 50), *note(i, f"Ñote {i % 37}", project="pqr"[i % 3], content=f"c{i}")[2:]) for i in range(1, 301)]
+    fill(spark, f"{tmp_path}/store", rows)
+    pieces, opened = [], mirror.opened
+
+    def watched(out):  # by the driver, which clears the pieces away
+        pieces.extend(tmp_path.glob("notes/_index.md.*.pieces/*"))
+        return opened(out)
+
+    monkeypatch.setattr(mirror, "opened", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mirror.write_index(store.table(spark, f"{tmp_path}/store", "observations"), f"{tmp_path}/notes", "2026-03-01")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(pieces) == 4 and [p.name for p in (tmp_path / "notes").iterdir()] == ["_index.md"]
+    wanted = "# Índice de Memoria\n\n> Exportado: 2026-03-01 | Total: 300 observaciones\n\n"
+    for project in "pqr":
+        wanted += f"## {project} (100)\n\n| ID | Título | Tipo | Fecha |\n|----|--------|------|-------|\n"
+        for at, i in sorted((i * 7 % 50, i) for i in range(1, 301) if "pqr"[i % 3] == project):
+            wanted += f"| {i} | [[{i:04d}-note-{i % 37}]] | bugfix | 2026-03-01 |\n"
+        wanted += "\n"
+    assert (tmp_path / "notes/_index.md").read_text() == wanted
+
+
+def test_tasks_list_files_by_folder(spark, tmp_path):
+    found = QUERIES["mirror_files"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() == []  # the driver has no list of them
+    assert found.count() > 0
+    names = ["_index.md", "p/bugfix/1.md", "p/bugfix/ñ b.md", "p/a/b/c.md", "q/2.md"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    for out in (str(tmp_path), f"{tmp_path}/", tmp_path.as_uri()):
+        assert sorted(r.path for r in mirror.files_below(spark, out).collect()) == sorted(names)
+    assert mirror.files_below(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_only_what_differs_is_written_again(spark, tmp_path):
+    folder, out = f"{tmp_path}/store", str(tmp_path / "notes")
+    fill(spark, folder, [note(i, f"Note {i}") for i in range(1, 5)])
+    mirror.follow(spark, folder, out, "2026-03-01")
+    now = store.table(spark, folder, "observations")
+    store.put(spark, folder, {"observations": now.withColumn("content", F.when(F.col("id") == 2, "other").otherwise(F.col("content")))})
+    assert mirror.follow(spark, folder, out, "2026-03-01") == {"write": 1}
+    assert files(tmp_path / "notes")["p/bugfix/0002-note-2.md"].endswith("\n\nother\n")

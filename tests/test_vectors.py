@@ -59,3 +59,17 @@ def test_only_what_may_be_nearest_leaves_a_block(spark):
     plain = x.crossJoin(y).filter("id <> query_id").select("query_id", "id", ve.F.round(ve.cosine(ve.F.col("a"), ve.F.col("b")), 6).alias("sim")).filter("sim >= 0.9")
     assert sorted(map(tuple, ve.similar(v, q, 0.9, 4).collect())) == sorted(map(tuple, plain.collect())) != []
     assert ve.similar(v, q, -1.0, 4, k=3).count() < 0.05 * 4000 * 10
+
+
+def of_notes(spark, *vectors):
+    """Vectors, and their notes: every third is deleted."""
+    v = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(vectors)], "id long, embedding array<double>")
+    return v, v.select("id", ve.F.when(ve.F.col("id") % 3 == 2, "2024-01-01").alias("deleted_at"))
+
+
+def test_neighbours_among_rows_of_one_table_that_notes_let_through(spark):
+    v, notes = of_notes(spark, (1, 0), (1, 0.1), (1, 0.01), (1, 0.2), (0, 1))
+    near = ve.knn(ve.seen(v, notes, ve.F.col("deleted_at").isNull()), v.filter("id IN (0, 2)"), 2, 0.2)
+    assert sorted((r.query_id, r.rk, r.id) for r in near.collect()) == [(0, 1, 1), (0, 2, 3), (2, 1, 0), (2, 2, 1)]
+    lexical = v.select("id", (ve.F.col("id") - 5.0).alias("rank"))
+    assert [r.id for r in ve.hybrid(lexical, near.filter("query_id = 0"), 3).collect()] == [1, 3, 0]

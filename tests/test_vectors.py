@@ -73,3 +73,14 @@ def test_neighbours_among_rows_of_one_table_that_notes_let_through(spark):
     assert sorted((r.query_id, r.rk, r.id) for r in near.collect()) == [(0, 1, 1), (0, 2, 3), (2, 1, 0), (2, 2, 1)]
     lexical = v.select("id", (ve.F.col("id") - 5.0).alias("rank"))
     assert [r.id for r in ve.hybrid(lexical, near.filter("query_id = 0"), 3).collect()] == [1, 3, 0]
+
+
+def context(spark, least):
+    v, notes = of_notes(spark, (1, 0), (1, 0.1), (1, 0.01), (1, 0.2), (0, 1))
+    near = ve.knn(ve.seen(v, notes, ve.F.col("deleted_at").isNull()), v.filter("id = 4"), 2, least)
+    got = ve.prompt_context(near, v.filter("id IN (0, 1)").select("id"), v.filter("id = 1").select("id"))
+    return sorted(map(tuple, got.collect()))
+
+
+def test_context_of_a_prompt_falls_back_to_texts(spark):
+    assert context(spark, 0.65) == [(0, "text")]

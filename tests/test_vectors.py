@@ -84,3 +84,7 @@ def context(spark, least):
 
 def test_context_of_a_prompt_falls_back_to_texts(spark):
     assert context(spark, 0.65) == [(0, "text")]
+
+
+def test_context_of_a_prompt_has_vectors_that_were_not_shown(spark):
+    assert context(spark, 0.05) == [(3, "vector")]

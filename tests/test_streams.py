@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta
 from uuid import uuid4
 
+import pytest
+
 from recollect.sources import sync
 from recollect.streaming import streams
 
@@ -134,3 +136,22 @@ def test_of_two_streams_the_shorter_does_not_hold_back_the_longer(spark):
     count = lambda x, y: od.through([x, y], 3, streams.activity_windows).filter("session_id <> ''").groupBy("session_id").count().collect()
     assert dict(map(tuple, count(calls, prompts))) == {"a": 48, "b": 1000}
     assert dict(map(tuple, count(calls.limit(0), prompts))) == {"b": 1000}
+
+
+def test_a_replay_that_fails_is_no_result(spark, monkeypatch):
+    """The replay recovers from the loss that is meant; where the batch that comes again fails too, there are no rows."""
+    from recollect.plans.registry import QUERIES
+    from recollect.streaming import replay as rp
+
+    calls, put = [], rp.put
+
+    def full(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise OSError("no space left")
+        return put(*args)
+
+    monkeypatch.setattr(rp, "put", full)
+    with pytest.raises(Exception, match="no space left"):
+        QUERIES["replay_applied"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 3

@@ -187,3 +187,27 @@ def test_postings_are_counted_where_words_are_cut(spark, tmp_path):
     assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(id") == 1
     found = {(r.id, r.term): r.tf for r in got.collect()}
     assert (found[1, "a"], found[1, "b"], found[1, "c"], found[None, "a"]) == (4, 4, 2, 2)  # of title and text
+
+
+def test_what_is_written_of_candidates_grows_with_documents_only(spark, monkeypatch):
+    """Documents are not moved to meet sources; rows that share an id, and dead, foreign and global notes, are told apart where the words lie."""
+    plans, keep = [], mt.spool
+    monkeypatch.setattr(mt, "spool", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1])
+    monkeypatch.setattr(mt, "SOURCES", 4)
+    docs, sources = corpus(5, 300)
+    rows = [(i, f"s{i}", "pq"[i % 2], "global" if i % 50 == 0 else "project", "gone" if i % 7 == 3 else None, toks) for i, toks in docs.items()]
+    o = spark.createDataFrame(rows, "id long, sync_id string, project string, scope string, deleted_at string, toks array<string>")
+    asked = o.filter("id % 40 = 0").select("id", "sync_id", F.slice("toks", 1, 8).alias("terms"))
+    none = spark.createDataFrame([("s1", "s2", None)], "source_id string, target_id string, deleted_at string")
+    got = sorted((r.src, r.rank, r.id) for r in rl.candidates(o, asked, none, limit=3, floor=None).collect())
+    of = {r[0]: r for r in rows}
+    wanted = []
+    for src, found in best_of_all(docs, {i: docs[i][:8] for i in docs if i % 40 == 0}, len(docs)).items():
+        seen = [(rank, i) for rank, i in found if of[i][4] is None and (of[i][2] == of[src][2] or of[i][3] == "global")]
+        wanted += [(src, *x) for x in seen[:3]]
+    assert got == sorted(wanted) != []
+    moved = [name for name, plan in plans if name in ("words", "champions", "survivors") and "Exchange hash" in plan]
+    assert moved == [] and [name for name, _ in plans].count("survivors") == 3
+    twice = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (2, ["b"]), (1, ["a"])], "id long, toks array<string>")
+    posts, totals = se.postings_of(twice, spark.createDataFrame([("a",), ("b",)], "term string"))
+    assert sorted((r.id, r.dl, r.term, r.tf) for r in posts.collect()) == [(1, 1, "a", 1), (1, 2, "a", 1), (1, 2, "b", 2), (2, 1, "b", 1)] and totals[0] == 3

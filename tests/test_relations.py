@@ -79,3 +79,18 @@ def test_collection(tables):
     gone = {x.id: x.deleted_at for x in rl.collected(r, o, at(datetime(2026, 1, 20))).collect()}
     assert gone == {1: None, 2: None, 3: OLD, 4: datetime(2026, 1, 20), 5: datetime(2026, 1, 20)}
     assert {x.id for x in rl.collected(r, o, at()).filter("deleted_at IS NOT NULL").collect()} == {2, 3, 4, 5}
+
+
+def test_sources_without_strong_documents_in_their_scope_keep_few_pairs(spark, monkeypatch):
+    """The strongest documents of the words are foreign, so nothing is known of the best; still only what may be among them is written."""
+    from recollect.operators import matching as mt
+
+    written, keep = {}, mt.spool
+    monkeypatch.setattr(mt, "spool", lambda df, name: written.setdefault(name, keep(df, name)))
+    rows = [(i, f"s{i}", "p" if i < 300 else "q", "project", None, ["a", "b"] + ["x"] * (30 if i < 300 else 1)) for i in range(600)]
+    o = spark.createDataFrame(rows, "id long, sync_id string, project string, scope string, deleted_at string, toks array<string>")
+    none = spark.createDataFrame([("s0", "s1", None)], "source_id string, target_id string, deleted_at string")
+    asked = o.filter("id IN (0, 7)").select("id", "sync_id", "project", F.slice("toks", 1, 2).alias("terms"))
+    got = sorted((r.src, r.rk, r.id) for r in rl.candidates(o, asked, none, limit=3, floor=None).collect())
+    assert got == [(0, 1, 2), (0, 2, 3), (0, 3, 4), (7, 1, 0), (7, 2, 1), (7, 3, 2)]
+    assert written["survivors"].count() <= 2 * 9 * 8  # of 598; nine for each of eight parts at most

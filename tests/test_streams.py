@@ -155,3 +155,47 @@ def test_a_replay_that_fails_is_no_result(spark, monkeypatch):
     with pytest.raises(Exception, match="no space left"):
         QUERIES["replay_applied"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 3
+
+
+def test_edits_of_rows_that_a_batch_makes_take_no_turns(spark, tmp_path, monkeypatch):
+    """Saves that no other save can find are edited after all of them; one whose text a later save meets, on the way or in the end, keeps its place.  No scratch files are left."""
+    import json
+
+    from recollect.sources import scratch
+    from recollect.streaming import replay as rp
+
+    at, turns, edited = datetime(2026, 1, 1), [], rp.edited
+    monkeypatch.setattr(rp, "edited", lambda *a: (turns.append(1), edited(*a))[1])
+    said = lambda title: ("save_observation", {"Title": title, "Content": "c", "Project": "p"})
+    edit = lambda i, title: ("update_observation", {"ID": i, "Title": title})
+    log = [said(f"t{i}") for i in range(1, 9)]  # 1 to 8
+    log += [edit(i, f"new {i}") for i in range(1, 6)] + [edit(14, "too early"), said("late"), edit(1, "twice"), ("delete_observation", {"ID": 2}), edit(2, "gone")]  # 9 to 18; 15 is the late one
+    log += [edit(7, "met"), said("met"), edit(7, "elsewhere")]  # 19 to 21: on the way
+    rows = [(i, kind, json.dumps(p), at + timedelta(minutes=i)) for i, (kind, p) in enumerate(log, 1)]
+    entries = spark.createDataFrame(rows, "id long, entity_type string, payload string, created_at timestamp_ntz")
+    before = scratch.mark()
+    rp.apply_entries(spark, f"{tmp_path}/store", entries)
+    assert scratch.mark() == before and len(turns) == 4  # rows that were there, 19, 21, and all others at once
+    got = {r.id: (r.title, r.revision_count, r.duplicate_count, r.deleted_at is not None) for r in rp.table(spark, f"{tmp_path}/store", "observations").collect()}
+    assert got == {
+        1: ("twice", 3, 1, False), 2: ("new 2", 2, 1, True), 3: ("new 3", 2, 1, False), 4: ("new 4", 2, 1, False), 5: ("new 5", 2, 1, False), 6: ("t6", 1, 1, False),
+        7: ("elsewhere", 3, 2, False), 8: ("t8", 1, 1, False), 15: ("late", 1, 1, False),
+    }
+
+
+def test_replay_of_ids_that_saves_give_too(spark, tmp_path):
+    """Events from 10,000,000 on, whose ids are those of rows that saves of the same batch make: the rows of the SQL, without a turn for each edit."""
+    import os
+
+    from pyspark.sql import functions as F
+    from recollect.plans.registry import QUERIES, SQL
+    from twins import TABLES, compared, connection
+
+    for name in set(TABLES) - {"events"}:
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id < 200")
+    copies = [events.withColumn("event_id", F.col("event_id") + start) for start in (0, 10_000_000, 30_000_000)]
+    copies[0].unionByName(copies[1]).unionByName(copies[2]).coalesce(1).write.parquet(f"{tmp_path}/made")
+    os.symlink(next(f"{tmp_path}/made/{f}" for f in os.listdir(f"{tmp_path}/made") if f.endswith(".parquet")), f"{tmp_path}/events.parquet")
+    got, wanted = compared(QUERIES["replay_applied"](spark, str(tmp_path)), connection(str(tmp_path)), SQL["replay_applied"])
+    assert got == wanted
